@@ -230,3 +230,27 @@ def merge_turns(df: DataFrame, key: str | Sequence[str], order: str | Sequence[s
                               lambda x: x["_parts"])).alias("_parts"),
         F.sum("_n").alias("_n"))
     return direct.unionByName(finish(stitched))
+
+
+def nest_turns(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str], fields: Sequence[str],
+               chunk: Column | int | None = DEFAULT_CHUNK_ROWS, out: str = "conversation") -> DataFrame:
+    """Long form -> one row per key with ``out`` = ordered ``array<struct<fields>>``.
+
+    Two-level: rows are first collected per (key, chunk) - bounded groups, with
+    map-side partial aggregation - and the sorted pieces are then concatenated
+    per key.  The output row holds the whole conversation by definition.
+    """
+    keys = _as_list(key)
+    order = _as_list(order)
+    if isinstance(chunk, int):
+        chunk_col = F.floor(F.col(order[0]) / F.lit(chunk)).cast("bigint")
+    elif chunk is None:
+        chunk_col = F.lit(0).cast("bigint")
+    else:
+        chunk_col = chunk.cast("bigint")
+    item = F.struct(F.struct(*order).alias("_o"), *fields)
+    pieces = df.groupBy(*keys, chunk_col.alias("_chunk")).agg(F.array_sort(F.collect_list(item)).alias("_part"))
+    whole = pieces.groupBy(*keys).agg(
+        F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "_part"))), lambda x: x["_part"]))
+        .alias("_items"))
+    return whole.select(*keys, F.transform("_items", lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(out))

@@ -1 +1,215 @@
-"""Driver queries (filled below)."""
+"""Driver queries for prompt building, encoding, padding and fold assignment."""
+
+from __future__ import annotations
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from dialframe.functions import fixed
+from dialframe.operators.encode import encode_examples, pad_batches
+from dialframe.operators.folds import fold_roles, kfold
+from dialframe.operators.prompts import VARIANTS, build_prompts
+from dialframe.operators.turns import clean_and_drop_empty, merge_turns, nest_turns
+from dialframe.plans.oracle_sql import CLEAN_STAGES, EXAMPLES_VIEW, MERGE_STAGES, NOISE_VIEW
+from dialframe.plans.registry import register
+from dialframe.sources.tables import example_heads, noise_utterances, read_table
+
+EOS = "</s>"
+MAX_SOURCE_LEN = 1024
+BATCH_SIZE = 4
+PAD_ID = 0
+K_FOLDS = 5
+
+
+# Spark frames ---------------------------------------------------------------
+
+def examples_nested(spark: SparkSession, sf_dir: str, refined: bool = False) -> DataFrame:
+    """One nested example per conversation: conversation array, reference ids and the head fields."""
+    u = noise_utterances(spark, sf_dir)
+    refs = nest_turns(u.where("is_ref"), "conv_id", "turn", ["utterance_id"], out="_refs").select(
+        "conv_id", F.transform("_refs", lambda r: r["utterance_id"]).alias("reference_id"))
+    if refined:
+        runs = merge_turns(clean_and_drop_empty(u, "text"), "conv_id", "turn")
+        conv = nest_turns(runs.select("conv_id", "turn", "speaker", F.col("text").alias("utterance"),
+                                      F.col("utterance_ids").alias("utterance_id")),
+                          "conv_id", "turn", ["speaker", "utterance", "utterance_id"])
+    else:
+        conv = nest_turns(u.withColumnRenamed("text", "utterance"), "conv_id", "turn",
+                          ["speaker", "utterance", "utterance_id"])
+    heads = example_heads(spark, sf_dir)
+    # Every example has a conversation; a conversation without references gets [].
+    return (heads.join(conv, "conv_id").join(refs, "conv_id", "left")
+            .withColumn("reference_id", F.coalesce("reference_id", F.array().cast("array<string>"))))
+
+
+def _prompts(spark: SparkSession, sf_dir: str, names, refined: bool = False) -> DataFrame:
+    ex = examples_nested(spark, sf_dir, refined)
+    return build_prompts(ex, names, keep=("conv_id",), eos_token=EOS, ids_are_arrays=refined)
+
+
+# Oracle pieces --------------------------------------------------------------
+
+def _lit(s: str) -> str:
+    return "'" + s.replace("'", "''") + "'"
+
+
+def _category_case(idx: int) -> str:
+    whens = " ".join(f"WHEN {_lit(row[0])} THEN {_lit(row[idx])}" for row in fixed.CATEGORIES)
+    return f"CASE category {whens} END"
+
+
+def _has_final(x: str) -> str:
+    return f"((unicode(right({x}, 1)) - 44032) % 28 + 28) % 28 > 0"
+
+
+def _user_sql(name: str) -> str:
+    v = VARIANTS[name]
+    raw = {"category": "category", "term": _category_case(1), "definition": _category_case(2)}[v.subject]
+    shown = raw if v.subject == "category" else f"concat('**', {raw}, '**')"
+    q = (f"concat(CASE WHEN {_has_final(raw)} THEN concat({_lit(v.lead)}, {shown}, {_lit(v.particles[0])}) "
+         f"ELSE {_lit(v.particles[1])} END, {_lit(v.tail)})")
+    conv = "conv_block_sep" if v.conversation_label_sep else "conv_block"
+    opts = ("concat('[Option]', chr(10), 'A. ', inference_1, chr(10), 'B. ', inference_2, chr(10), "
+            "'C. ', inference_3)")
+    nl2 = "chr(10) || chr(10)"
+    if v.instruction_first:
+        return f"concat({q}, {nl2}, {conv}, {nl2}, ref_block, {nl2}, {opts})"
+    return f"concat({conv}, {nl2}, ref_block, {nl2}, {q}, {nl2}, {opts})"
+
+
+_TARGET_SQL = ("CASE output WHEN 'inference_1' THEN concat('A. ', inference_1, " + _lit(EOS) + ") "
+               "WHEN 'inference_2' THEN concat('B. ', inference_2, " + _lit(EOS) + ") "
+               "WHEN 'inference_3' THEN concat('C. ', inference_3, " + _lit(EOS) + ") ELSE '' END")
+_LABEL_SQL = ("CASE output WHEN '' THEN NULL WHEN 'inference_1' THEN 0 WHEN 'inference_2' THEN 1 "
+              "WHEN 'inference_3' THEN 2 END")
+
+_RAW_BLOCKS = f"""v AS ({NOISE_VIEW}), e AS ({EXAMPLES_VIEW}),
+c AS (SELECT conv_id,
+        string_agg(CASE WHEN length(text) > 1 THEN concat(chr(10), '화자', speaker, ': ', text) END, ''
+                   ORDER BY turn) AS lines,
+        string_agg(CASE WHEN length(text) > 1 THEN concat(chr(10), '화자 ', speaker, ': ', text) END, ''
+                   ORDER BY turn) AS lines_sep,
+        string_agg(CASE WHEN is_ref AND length(text) > 1 THEN concat(chr(10), '화자', speaker, ': ', text) END, ''
+                   ORDER BY turn) AS ref_lines
+      FROM v GROUP BY conv_id),
+x AS (SELECT e.*, concat('[Conversation]', coalesce(lines, '')) AS conv_block,
+             concat('[Conversation]', coalesce(lines_sep, '')) AS conv_block_sep,
+             concat('[Utterance References]', coalesce(ref_lines, '')) AS ref_block
+      FROM e JOIN c USING (conv_id))"""
+
+_REFINED_BLOCKS = f"""v AS ({NOISE_VIEW}), e AS ({EXAMPLES_VIEW}), {CLEAN_STAGES}, {MERGE_STAGES},
+refs AS (SELECT conv_id, utterance_id FROM v WHERE is_ref),
+mr AS (SELECT merged.*, (n_turns = 1 AND EXISTS (SELECT 1 FROM refs WHERE refs.conv_id = merged.conv_id
+                                                 AND refs.utterance_id = merged.utterance_ids)) AS is_ref_run
+       FROM merged),
+c AS (SELECT conv_id,
+        string_agg(CASE WHEN length(text) > 1 THEN concat(chr(10), '화자', speaker, ': ', text) END, ''
+                   ORDER BY start_turn) AS lines,
+        string_agg(CASE WHEN length(text) > 1 THEN concat(chr(10), '화자 ', speaker, ': ', text) END, ''
+                   ORDER BY start_turn) AS lines_sep,
+        string_agg(CASE WHEN is_ref_run AND length(text) > 1 THEN concat(chr(10), '화자', speaker, ': ', text) END,
+                   '' ORDER BY start_turn) AS ref_lines
+      FROM mr GROUP BY conv_id),
+x AS (SELECT e.*, concat('[Conversation]', coalesce(lines, '')) AS conv_block,
+             concat('[Conversation]', coalesce(lines_sep, '')) AS conv_block_sep,
+             concat('[Utterance References]', coalesce(ref_lines, '')) AS ref_block
+      FROM e JOIN c USING (conv_id))"""
+
+
+def _prompt_sql(blocks: str, names) -> str:
+    parts = [f"SELECT conv_id, '{n}' AS variant, {_user_sql(n)} AS prompt, {_TARGET_SQL} AS target, "
+             f"{_LABEL_SQL} AS label FROM x" for n in names]
+    return f"WITH {blocks} " + " UNION ALL ".join(parts)
+
+
+def _codepoints_sql(x: str) -> str:
+    return f"list_transform(list_filter(string_split({x}, ''), lambda ch: ch <> ''), lambda ch: unicode(ch))"
+
+
+_ENCODED_SQL = f"""WITH {_RAW_BLOCKS},
+p AS (SELECT conv_id, {_user_sql('v1')} AS prompt, {_TARGET_SQL} AS target, {_LABEL_SQL} AS label FROM x),
+s AS (SELECT conv_id, label,
+             {_codepoints_sql("concat(" + _lit(fixed.DEFAULT_SYSTEM_TEXT) + ", chr(10), prompt, chr(10))")} AS src,
+             {_codepoints_sql('target')} AS tgt FROM p)"""
+
+
+# Queries --------------------------------------------------------------------
+
+def _make_prompt_query(name: str):
+    @register(f"prompt_{name}", "Q1-Q8, J2-J4, N10-N11, P5 (" + name + ")",
+              oracle=_prompt_sql(_RAW_BLOCKS, [name]))
+    def _q(spark: SparkSession, sf_dir: str) -> DataFrame:
+        return _prompts(spark, sf_dir, [name]).select(
+            "conv_id", "variant", F.col("user").alias("prompt"), "target", "label")
+    return _q
+
+
+for _name in VARIANTS:
+    _make_prompt_query(_name)
+
+
+@register("prompt_refined", "Q1-Q9 on refined examples, several variants in one pass",
+          oracle=_prompt_sql(_REFINED_BLOCKS, ["v1", "v5"]))
+def prompt_refined(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _prompts(spark, sf_dir, ["v1", "v5"], refined=True).select(
+        "conv_id", "variant", F.col("user").alias("prompt"), "target", "label")
+
+
+@register("encoded_examples", "E1, E3-E6, R1, R2 (code-point encoder)", oracle=_ENCODED_SQL + """
+SELECT conv_id, CAST(len(src) AS INTEGER) AS n_source, CAST(len(tgt) AS INTEGER) AS n_target,
+       array_to_string(list_concat(src, tgt), ' ') AS input_ids,
+       array_to_string(list_concat(list_transform(src, lambda t: -100), tgt), ' ') AS labels, label FROM s""")
+def encoded_examples(spark: SparkSession, sf_dir: str) -> DataFrame:
+    enc = encode_examples(_prompts(spark, sf_dir, ["v1"]), keep=("conv_id",))
+    return enc.select("conv_id", "n_source", "n_target", F.array_join("input_ids", " ").alias("input_ids"),
+                      F.array_join("labels", " ").alias("labels"), "label")
+
+
+@register("length_filtered", "E2, F4 (train mode)", oracle=_ENCODED_SQL + f"""
+SELECT conv_id, CAST(len(src) AS INTEGER) AS n_source, CAST(len(tgt) AS INTEGER) AS n_target FROM s
+WHERE len(src) <= {MAX_SOURCE_LEN}""")
+def length_filtered(spark: SparkSession, sf_dir: str) -> DataFrame:
+    enc = encode_examples(_prompts(spark, sf_dir, ["v1"]), keep=("conv_id",), mode="train",
+                          max_source_len=MAX_SOURCE_LEN)
+    return enc.select("conv_id", "n_source", "n_target")
+
+
+@register("padded_batches", "E7, E8, W2, W3, R3, R4", oracle=_ENCODED_SQL + f""",
+i AS (SELECT conv_id, len(src) + len(tgt) AS n, row_number() OVER (ORDER BY conv_id) - 1 AS idx FROM s),
+b AS (SELECT *, idx // {BATCH_SIZE} AS batch FROM i),
+w AS (SELECT *, max(n) OVER (PARTITION BY batch) AS batch_len FROM b)
+SELECT conv_id, idx, batch, CAST(batch_len AS INTEGER) AS batch_len, CAST(batch_len - n AS INTEGER) AS n_pad,
+       CAST(n AS INTEGER) AS n_attended FROM w""")
+def padded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
+    enc = encode_examples(_prompts(spark, sf_dir, ["v1"]), keep=("conv_id",))
+    padded = pad_batches(enc.select("conv_id", "input_ids", "labels"), "conv_id", BATCH_SIZE, PAD_ID)
+    return padded.select(
+        "conv_id", "idx", "batch", "batch_len",
+        F.size(F.filter("attention_mask", lambda m: ~m)).alias("n_pad"),
+        F.size(F.filter("attention_mask", lambda m: m)).alias("n_attended"))
+
+
+@register("kfold_assignments", "W2, K1, K2 over orders", oracle=f"""
+WITH i AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx, count(*) OVER () AS n FROM orders),
+p AS (SELECT *, n // {K_FOLDS} AS q, n % {K_FOLDS} AS r FROM i)
+SELECT o_orderkey, idx, CAST(CASE WHEN idx < r * (q + 1) THEN idx // (q + 1) ELSE r + (idx - r * (q + 1)) // q END + 1
+                          AS INTEGER) AS fold FROM p""")
+def kfold_assignments(spark: SparkSession, sf_dir: str) -> DataFrame:
+    orders = read_table(spark, sf_dir, "orders", ["o_orderkey"])
+    return kfold(orders, "o_orderkey", K_FOLDS).select("o_orderkey", "idx", "fold")
+
+
+@register("kfold_roles", "K1 train/validation rounds over examples", oracle=f"""
+WITH e AS ({EXAMPLES_VIEW}),
+i AS (SELECT conv_id, row_number() OVER (ORDER BY conv_id) - 1 AS idx, count(*) OVER () AS n FROM e),
+p AS (SELECT *, n // {K_FOLDS} AS q, n % {K_FOLDS} AS r FROM i),
+f AS (SELECT conv_id, CASE WHEN idx < r * (q + 1) THEN idx // (q + 1) ELSE r + (idx - r * (q + 1)) // q END + 1 AS fold
+      FROM p),
+x AS (SELECT f.*, CAST(rd AS INTEGER) AS round FROM f, range(1, {K_FOLDS + 1}) t(rd))
+SELECT round, CASE WHEN fold = round THEN 'validation' ELSE 'train' END AS role, count(*) AS n_rows,
+       min(conv_id) AS first_conv, max(conv_id) AS last_conv
+FROM x GROUP BY ALL""")
+def kfold_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folded = kfold(example_heads(spark, sf_dir).select("conv_id"), "conv_id", K_FOLDS)
+    return fold_roles(folded, K_FOLDS).groupBy("round", "role").agg(
+        F.count(F.lit(1)).alias("n_rows"), F.min("conv_id").alias("first_conv"), F.max("conv_id").alias("last_conv"))
