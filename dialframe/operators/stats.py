@@ -174,12 +174,12 @@ def top_k(counts: DataFrame, k: int, order: Sequence[Column], group: str | Seque
     g = _as_list(group)
     if salt_col is None:
         w = Window.partitionBy(*g).orderBy(*order) if g else Window.orderBy(*order)
-        return counts.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        return counts.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
     salted = counts.withColumn("_salt", F.pmod(F.xxhash64(salt_col), F.lit(salts)))
     w1 = Window.partitionBy(*g, "_salt").orderBy(*order)
     local = salted.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k).drop("_r", "_salt")
     w2 = Window.partitionBy(*g).orderBy(*order)
-    return local.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= k)
+    return local.withColumn("rank", F.row_number().over(w2).cast("bigint")).where(F.col("rank") <= k)
 
 
 def top_tokens(counts: DataFrame, k: int = fixed.TOP_TOKENS, group: str | Sequence[str] | None = None) -> DataFrame:

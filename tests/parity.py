@@ -30,6 +30,20 @@ def _norm(v, digits):
     return v
 
 
+_SPARK = {"LongType": "int64", "IntegerType": "int32", "ShortType": "int16", "DoubleType": "float64",
+          "FloatType": "float32", "StringType": "string", "BooleanType": "bool"}
+_DUCK = {"BIGINT": "int64", "INTEGER": "int32", "SMALLINT": "int16", "DOUBLE": "float64", "FLOAT": "float32",
+         "VARCHAR": "string", "BOOLEAN": "bool", "HUGEINT": "int128"}
+
+
+def _spark_type(t):
+    return _SPARK.get(type(t).__name__, type(t).__name__)
+
+
+def _duck_type(t):
+    return _DUCK.get(t, t)
+
+
 def duck(sf_dir):
     import duckdb
     con = duckdb.connect()
@@ -56,6 +70,11 @@ def compare(spark, con, name, sf_dir, digits=None):
         res["match"] = False
         res["why"] = f"columns {sorted(s_cols)} vs {sorted(o_cols)}"
         return res
+    s_types = {f.name: _spark_type(f.dataType) for f in df.schema.fields}
+    o_types = {d[0]: _duck_type(str(d[1])) for d in cur.description}
+    bad = {c: (s_types[c], o_types[c]) for c in s_cols if s_types[c] != o_types[c]}
+    if bad:
+        res["type_mismatch"] = bad
     order = sorted(s_cols)
     si = [s_cols.index(c) for c in order]
     oi = [o_cols.index(c) for c in order]
