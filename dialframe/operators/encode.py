@@ -100,7 +100,8 @@ def pad_batches(encoded: DataFrame, order: str | Sequence[str], batch_size: int,
     """
     if mask_by not in ("value", "length"):
         raise ValueError(f"mask_by must be 'value' or 'length', got {mask_by!r}")
-    indexed = with_global_index(encoded, order, out="idx")
+    # The index reads its input twice; the encoded rows are computed once.
+    indexed = with_global_index(encoded, order, out="idx", checkpoint=True)
     batched = indexed.withColumn("batch", F.floor(F.col("idx") / F.lit(batch_size)).cast("bigint"))
     n = F.size("input_ids")
     width = F.max(n).over(Window.partitionBy("batch"))

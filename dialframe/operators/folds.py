@@ -13,6 +13,8 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from dialframe.session import ensure_checkpoint_dir
+
 DEFAULT_MAX_BUCKETS = 1 << 18
 
 
@@ -21,22 +23,28 @@ def _as_list(x: str | Sequence[str]) -> list[str]:
 
 
 def with_global_index(df: DataFrame, order: str | Sequence[str], out: str = "idx",
-                      max_buckets: int = DEFAULT_MAX_BUCKETS, total: str | None = None) -> DataFrame:
+                      max_buckets: int = DEFAULT_MAX_BUCKETS, total: str | None = None,
+                      checkpoint: bool = False) -> DataFrame:
     """Add a 0-based index in ``order`` (first column integral; the rest break ties).
 
     ``total`` names an optional column with the row count of the whole frame.
 
     The bucket table has at most ``max_buckets`` rows, which is what makes its
     broadcast safe; each bucket holds at most ``(max - min + 1) / max_buckets``
-    distinct keys.
+    distinct keys.  The input is read twice (count, then number); materialize an
+    expensive input first (``checkpoint=True`` does it in the checkpoint dir).
     """
     order = _as_list(order)
+    if checkpoint:
+        ensure_checkpoint_dir(df.sparkSession)
+        df = df.checkpoint(eager=True)
     o = F.col(order[0]).cast("bigint")
-    bounds = df.select(F.struct(F.min(o).alias("lo"), F.max(o).alias("hi"))).scalar()
-    lo, hi = bounds["lo"], bounds["hi"]
-    width = F.greatest(F.lit(1).cast("bigint"),
-                       F.ceil((hi - lo + F.lit(1)) / F.lit(max_buckets)).cast("bigint"))
-    keyed = df.withColumn("_bucket", F.floor((o - lo) / width).cast("bigint"))
+    # Two numbers from one small job (like a range partitioner's sample): the key range.
+    lo, hi = df.select(F.min(o), F.max(o)).first()
+    lo = 0 if lo is None else int(lo)
+    hi = lo if hi is None else int(hi)
+    width = max(1, -(-(hi - lo + 1) // max_buckets))
+    keyed = df.withColumn("_bucket", F.floor((o - F.lit(lo)) / F.lit(width)).cast("bigint"))
     counts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     # At most max_buckets rows: one small ordered pass for the running offsets.
     offsets = counts.select(

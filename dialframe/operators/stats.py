@@ -64,18 +64,14 @@ def value_counts(df: DataFrame, key: str, group: str | Sequence[str] | None = No
 def distribution(df: DataFrame, key: str, group: str | Sequence[str] | None = None) -> DataFrame:
     """Count and percentage of every value of ``key``; percentage of all rows of the group.
 
-    The group totals are a second aggregate (one row per group) joined to the
-    counts; the unrounded percentage is returned (render ``%.2f`` at display).
+    The group total is a window sum over the aggregated counts (one row per
+    value of a categorical key), so the input is read once; the unrounded
+    percentage is returned (render ``%.2f`` at display).
     """
     g = _as_list(group)
     counts = value_counts(df, key, g)
-    if not g:
-        # A scalar subquery, evaluated once: no join at all.
-        j = counts.withColumn("_total", df.select(F.count(F.lit(1))).scalar())
-    else:
-        totals = df.groupBy(*g).agg(F.count(F.lit(1)).alias("_total"))
-        j = counts.join(totals, g)
-    return j.select(*g, key, "n", (F.col("n") / F.col("_total") * F.lit(100.0)).alias("pct"))
+    total = F.sum("n").over(Window.partitionBy(*g))
+    return counts.select(*g, key, "n", (F.col("n") / total * F.lit(100.0)).alias("pct"))
 
 
 def fixed_key_distribution(df: DataFrame, key: str, keys: Sequence[str], group: str | Sequence[str] | None = None,
@@ -111,26 +107,31 @@ def histogram(df: DataFrame, value: str, step: int, group: str | Sequence[str] |
     """Fixed-width histogram with edges ``0, step, 2*step, ...`` up to the group maximum.
 
     ``nbins = ceil(max / step)`` (at least 1); the last bin is closed, so the
-    maximum lands in it; empty bins are present with 0.  Values are counted per
-    raw bin first, so the joins below only see aggregated rows.
+    maximum lands in it; empty bins are present with 0.  One linear chain over
+    the input: values are counted per raw bin (a small table), every raw bin then
+    also emits the empty bins up to the next one (``lead`` over the raw bins of
+    its group), and a last aggregate clamps the top bin.
     """
     g = _as_list(group)
     v = F.col(value).cast("bigint")
     raw = df.where(v.isNotNull()).groupBy(*g, F.floor(v / F.lit(step)).cast("bigint").alias("_rb")).agg(
-        F.count(F.lit(1)).alias("n"), F.max(v).alias("_mx"))
-    nb = F.greatest(F.ceil(F.max("_mx") / F.lit(step)).cast("bigint"), F.lit(1).cast("bigint"))
-    if g:
-        maxima = raw.groupBy(*g).agg(nb.alias("_nb"))
-        with_nb = raw.join(maxima, g)
-    else:  # the bin count is a scalar subquery
-        maxima = raw.agg(nb.alias("_nb"))
-        with_nb = raw.withColumn("_nb", raw.select(nb).scalar())
-    clamped = with_nb.groupBy(*g, F.least(F.col("_rb"), F.col("_nb") - 1).alias("bin")).agg(
-        F.sum("n").alias("n"))
-    bins = maxima.select(*g, F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("_nb") - 1)).alias("bin"))
-    out = bins.join(clamped, [*g, "bin"], "left")
+        F.count(F.lit(1)).alias("_n"), F.max(v).alias("_mx"))
+    wg = Window.partitionBy(*g)
+    wo = wg.orderBy("_rb")
+    nb = F.greatest(F.ceil(F.max("_mx").over(wg) / F.lit(step)).cast("bigint"), F.lit(1).cast("bigint"))
+    raw = raw.select(*g, "_rb", "_n", nb.alias("_nb"),
+                     F.lead("_rb").over(wo).alias("_next"), F.row_number().over(wo).alias("_first"))
+    # Bins this raw bin stands for: itself (with its count) and the empty bins after it up to the
+    # next raw bin (or to the last bin); the first raw bin of a group also covers the bins before it.
+    start = F.when(F.col("_first") == 1, F.lit(0).cast("bigint")).otherwise(F.col("_rb"))
+    stop = F.coalesce(F.col("_next") - 1, F.col("_nb") - 1)
+    stop = F.greatest(stop, F.col("_rb"))
+    cells = F.transform(F.sequence(start, stop), lambda b: F.struct(
+        b.alias("_b"), F.when(b == F.col("_rb"), F.col("_n")).otherwise(F.lit(0).cast("bigint")).alias("_c")))
+    exploded = raw.select(*g, "_nb", F.inline(cells))
+    out = exploded.groupBy(*g, F.least(F.col("_b"), F.col("_nb") - 1).alias("bin")).agg(F.sum("_c").alias("n"))
     return out.select(*g, "bin", (F.col("bin") * step).alias("bin_start"), ((F.col("bin") + 1) * step).alias("bin_end"),
-                      F.coalesce(F.col("n"), F.lit(0).cast("bigint")).alias("n"))
+                      "n")
 
 
 # ---------------------------------------------------------------------------

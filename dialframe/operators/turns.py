@@ -19,6 +19,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialframe.functions.text import DEFAULT_CLEAN, CleanConfig, clean_utterance, strip_unicode
+from dialframe.session import ensure_checkpoint_dir
 
 DEFAULT_CHUNK_ROWS = 1 << 16
 
@@ -45,52 +46,54 @@ def clean_conversation(conversation: Column, cfg: CleanConfig = DEFAULT_CLEAN) -
     return F.filter(cleaned, lambda u: u["utterance"] != F.lit(""))
 
 
-def merge_conversation(conversation: Column, reference_ids: Column, ids_are_arrays: bool = False) -> Column:
+def merge_conversation(conversation: Column, reference_ids: Column, ids_are_arrays: bool = False,
+                       speaker_type: str = "int") -> Column:
     """Merge consecutive utterances of one speaker inside one conversation array.
 
     A new run starts at the first utterance, on a speaker change, at a reference
     utterance, and right after a reference utterance.  Texts of a run are joined
     with one space and stripped; ids are kept in order as ``array<string>``; a run
-    whose text is blank is dropped.
+    whose text is blank is dropped.  One left fold over the array: the input
+    expression is evaluated once.
     """
-    c = conversation
-    n = F.size(c)
-
-    def last_id(u: Column) -> Column:
-        return F.element_at(u["utterance_id"], -1) if ids_are_arrays else u["utterance_id"]
-
-    def first_id(u: Column) -> Column:
-        return F.element_at(u["utterance_id"], 1) if ids_are_arrays else u["utterance_id"]
-
-    def is_break(i: Column) -> Column:
-        cur = F.get(c, i)
-        prev = F.get(c, i - 1)
-        return ((i == 0)
-                | ~cur["speaker"].eqNullSafe(prev["speaker"])
-                | F.coalesce(F.array_contains(reference_ids, first_id(cur)), F.lit(False))
-                | F.coalesce(F.array_contains(reference_ids, last_id(prev)), F.lit(False)))
-
-    starts = F.filter(F.sequence(F.lit(0), n - 1), is_break)
-    starts = F.when(n > 0, starts).otherwise(F.array().cast("array<int>"))
-
-    def run(s: Column, k: Column) -> Column:
-        stop = F.coalesce(F.get(starts, k + 1), n)
-        part = F.slice(c, s + 1, stop - s)
-        ids = (F.flatten(F.transform(part, lambda u: u["utterance_id"])) if ids_are_arrays
-               else F.transform(part, lambda u: u["utterance_id"]))
-        return F.struct(
-            F.get(part, 0)["speaker"].alias("speaker"),
-            strip_unicode(F.array_join(F.transform(part, lambda u: u["utterance"]), " ")).alias("utterance"),
-            ids.alias("utterance_id"))
-
-    merged = F.transform(starts, run)
+    run_t = "array<struct<speaker:{s},texts:array<string>,ids:array<string>>>"
+
+    def ids_of(u: Column) -> Column:
+        return u["utterance_id"] if ids_are_arrays else F.array(u["utterance_id"])
+
+    def is_ref(u: Column) -> Column:
+        first = F.get(u["utterance_id"], 0) if ids_are_arrays else u["utterance_id"]
+        return F.coalesce(F.array_contains(reference_ids, first), F.lit(False))
+
+    def step(acc: Column, u: Column) -> Column:
+        runs = acc["runs"]
+        n = F.size(runs)
+        last = F.get(runs, n - 1)
+        brk = (n == 0) | ~u["speaker"].eqNullSafe(last["speaker"]) | is_ref(u) | acc["prev_ref"]
+        new_run = F.struct(u["speaker"].alias("speaker"), F.array(u["utterance"].cast("string")).alias("texts"),
+                           ids_of(u).alias("ids"))
+        grown = F.struct(last["speaker"].alias("speaker"),
+                         F.concat(last["texts"], F.array(u["utterance"].cast("string"))).alias("texts"),
+                         F.concat(last["ids"], ids_of(u)).alias("ids"))
+        runs2 = F.when(brk, F.concat(runs, F.array(new_run))).otherwise(
+            F.concat(F.slice(runs, 1, F.greatest(n - 1, F.lit(0))), F.array(grown)))
+        last_ref = (F.get(u["utterance_id"], F.size(u["utterance_id"]) - 1) if ids_are_arrays
+                    else u["utterance_id"])
+        return F.struct(runs2.alias("runs"),
+                        F.coalesce(F.array_contains(reference_ids, last_ref), F.lit(False)).alias("prev_ref"))
+
+    zero = F.struct(F.array().cast(run_t.format(s=speaker_type)).alias("runs"), F.lit(False).alias("prev_ref"))
+    folded = F.aggregate(conversation, zero, step, lambda acc: acc["runs"])
+    merged = F.transform(folded, lambda r: F.struct(
+        r["speaker"].alias("speaker"), strip_unicode(F.array_join(r["texts"], " ")).alias("utterance"),
+        r["ids"].alias("utterance_id")))
     return F.filter(merged, lambda u: u["utterance"] != F.lit(""))
 
 
 def refine_conversation(conversation: Column, reference_ids: Column,
-                        cfg: CleanConfig = DEFAULT_CLEAN) -> Column:
+                        cfg: CleanConfig = DEFAULT_CLEAN, speaker_type: str = "int") -> Column:
     """Clean, drop empty utterances, then merge runs (the refine step of one example)."""
-    return merge_conversation(clean_conversation(conversation, cfg), reference_ids)
+    return merge_conversation(clean_conversation(conversation, cfg), reference_ids, speaker_type=speaker_type)
 
 
 def reference_utterances(conversation: Column, reference_ids: Column) -> Column:
@@ -135,6 +138,14 @@ def clean_and_drop_empty(df: DataFrame, text: str = "text", cfg: CleanConfig = D
     return df.select(*cols, cleaned.alias(out))
 
 
+def _chunk_column(order: list[str], chunk: Column | int | None) -> Column:
+    if isinstance(chunk, int):
+        return F.floor(F.col(order[0]) / F.lit(chunk)).cast("bigint")
+    if chunk is None:
+        return F.lit(0).cast("bigint")
+    return chunk.cast("bigint")
+
+
 def merge_turns(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str],
                 speaker: str = "speaker", text: str = "text", uid: str = "utterance_id",
                 is_ref: str = "is_ref", chunk: Column | int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
@@ -144,26 +155,25 @@ def merge_turns(df: DataFrame, key: str | Sequence[str], order: str | Sequence[s
     utterance.  A run starts at the first row of a key, on a speaker change, at a
     reference row and right after one.  Output: ``key``, the ``order`` values of
     the run's first row, ``speaker``, ``text`` (joined with one space, stripped),
-    ``utterance_ids`` (array, in order) and ``n_turns``; blank runs are dropped.
+    ``utterance_ids`` (array, in order), ``n_turns`` and ``is_ref`` (the run is a
+    reference row; such a run is always a single row); blank runs are dropped.
 
     ``chunk`` bounds the work per task: an ``int`` cuts the (integral) first order
     column into ranges of that many positions, a ``Column`` gives any expression
-    that never decreases along the order, ``None`` puts a whole key in one
-    window partition.  The result does not depend on the chunking.
+    that never decreases along the order.  Runs are first built per (key, chunk)
+    with one window; the per-chunk pieces are then written once to the
+    checkpoint directory (reliable, lineage cut) and runs that cross a chunk
+    boundary are stitched from a table of at most two boundary pieces per chunk.
+    ``chunk=None`` is the single-pass plan for keys known to be small: a whole
+    key is one window partition and nothing is materialized.  The result does not
+    depend on the chunking.
     """
     keys = _as_list(key)
     order = _as_list(order)
-    if isinstance(chunk, int):
-        chunk_col = F.floor(F.col(order[0]) / F.lit(chunk)).cast("bigint")
-    elif chunk is None:
-        chunk_col = F.lit(0).cast("bigint")
-    else:
-        chunk_col = chunk.cast("bigint")
-
     rows = df.select(*keys, *order, F.col(speaker).alias("_spk"), F.col(text).cast("string").alias("_txt"),
                      F.col(uid).cast("string").alias("_uid"),
                      F.coalesce(F.col(is_ref).cast("boolean"), F.lit(False)).alias("_ref"),
-                     chunk_col.alias("_chunk"))
+                     _chunk_column(order, chunk).alias("_chunk"))
     w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     brk = ((F.row_number().over(w) == 1)
            | ~F.col("_spk").eqNullSafe(F.lag("_spk").over(w))
@@ -186,39 +196,40 @@ def merge_turns(df: DataFrame, key: str | Sequence[str], order: str | Sequence[s
             *keys, *[F.col("_start")[o].alias(o) for o in order], F.col("_spk").alias(speaker),
             strip_unicode(F.array_join(F.transform(parts, lambda x: x["_txt"]), " ")).alias(text),
             F.transform(parts, lambda x: x["_uid"]).alias("utterance_ids"),
-            F.col("_n").cast("bigint").alias("n_turns"))
+            F.col("_n").cast("bigint").alias("n_turns"),
+            ((F.col("_n") == 1) & F.col("_first_ref")).alias("is_ref"))
         return merged.where(F.col(text) != F.lit(""))
 
     if chunk is None:
         return finish(pieces)
 
-    # Boundary pieces only: the first and the last run of every chunk, without text.
-    # Same (key, chunk) partitioning as the window above: no exchange here.
+    # Materialize the pieces once: the boundary table, the link join and the two
+    # output branches below all read them, and none recomputes scan + clean + window.
     pieces = pieces.withColumn("_nrun", F.max("_run").over(Window.partitionBy(*keys, "_chunk")))
-    bounds = (pieces.select(*keys, "_chunk", "_run", "_nrun", "_spk", "_first_ref", "_last_ref")
+    ensure_checkpoint_dir(pieces.sparkSession)
+    pieces = pieces.checkpoint(eager=True)
+
+    # Boundary pieces only (first and last run of every chunk), without text.
+    bounds = (pieces.select(*keys, "_chunk", "_run", "_spk", "_first_ref", "_last_ref")
               .where((F.col("_run") == 1) | (F.col("_run") == F.col("_nrun"))))
     wb = Window.partitionBy(*keys).orderBy("_chunk", "_run")
     cont = ((F.col("_run") == 1) & F.lag("_chunk").over(wb).isNotNull()
             & F.col("_spk").eqNullSafe(F.lag("_spk").over(wb))
             & ~F.coalesce(F.lag("_last_ref").over(wb), F.lit(True)) & ~F.col("_first_ref"))
     bounds = bounds.withColumn("_cont", cont)
+    # The head of a run is its first piece: the latest piece at or before that does
+    # not continue an earlier one.  A piece is linked when it continues or is continued.
     head = F.max(F.when(~F.col("_cont"), F.struct(F.col("_chunk").alias("c"), F.col("_run").alias("r")))).over(
         wb.rowsBetween(Window.unboundedPreceding, 0))
-    bounds = bounds.withColumn("_head", head)
-    # A run that goes on into the next chunk starts at its head piece and goes on in
-    # the first piece of every following chunk until a piece that is not continued.
-    cont_rows = bounds.where("_cont").select(*keys, "_chunk", "_run", "_head")
-    head_rows = cont_rows.select(*keys, F.col("_head.c").alias("_chunk"), F.col("_head.r").alias("_run"),
-                                 "_head").distinct()
-    linked = cont_rows.unionByName(head_rows)
+    bounds = bounds.withColumn("_head", head).withColumn(
+        "_linked", F.col("_cont") | F.coalesce(F.lead("_cont").over(wb), F.lit(False)))
     # At most two linked pieces per chunk (its first and its last run): one row per chunk.
-    links = linked.groupBy(*keys, "_chunk").agg(
+    links = bounds.where("_linked").groupBy(*keys, "_chunk").agg(
         F.max(F.when(F.col("_run") == 1, F.col("_head"))).alias("_h1"),
         F.max(F.when(F.col("_run") != 1, F.col("_run"))).alias("_rn"),
         F.max(F.when(F.col("_run") != 1, F.col("_head"))).alias("_hn"))
 
-    # Equi-join on exactly (key, chunk): the pieces keep their partitioning, only the
-    # small link table moves.
+    # Equi-join on exactly (key, chunk): the pieces keep their partitioning.
     j = pieces.join(links, [*keys, "_chunk"], "left").withColumn(
         "_lhead", F.when(F.col("_run") == 1, F.col("_h1")).when(F.col("_run") == F.col("_rn"), F.col("_hn")))
 
@@ -228,7 +239,8 @@ def merge_turns(df: DataFrame, key: str | Sequence[str], order: str | Sequence[s
         F.min("_start").alias("_start"),
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "_parts"))),
                               lambda x: x["_parts"])).alias("_parts"),
-        F.sum("_n").alias("_n"))
+        F.sum("_n").alias("_n"),
+        F.min_by("_first_ref", "_chunk").alias("_first_ref"))
     return direct.unionByName(finish(stitched))
 
 
@@ -242,12 +254,7 @@ def nest_turns(df: DataFrame, key: str | Sequence[str], order: str | Sequence[st
     """
     keys = _as_list(key)
     order = _as_list(order)
-    if isinstance(chunk, int):
-        chunk_col = F.floor(F.col(order[0]) / F.lit(chunk)).cast("bigint")
-    elif chunk is None:
-        chunk_col = F.lit(0).cast("bigint")
-    else:
-        chunk_col = chunk.cast("bigint")
+    chunk_col = _chunk_column(order, chunk)
     item = F.struct(F.struct(*order).alias("_o"), *fields)
     pieces = df.groupBy(*keys, chunk_col.alias("_chunk")).agg(F.array_sort(F.collect_list(item)).alias("_part"))
     whole = pieces.groupBy(*keys).agg(

@@ -9,10 +9,10 @@ from dialframe.functions import fixed
 from dialframe.operators.encode import encode_examples, pad_batches
 from dialframe.operators.folds import fold_roles, kfold
 from dialframe.operators.prompts import VARIANTS, build_prompts
-from dialframe.operators.turns import clean_and_drop_empty, merge_turns, nest_turns
+from dialframe.operators.turns import nest_turns, refine_conversation
 from dialframe.plans.oracle_sql import CLEAN_STAGES, EXAMPLES_VIEW, MERGE_STAGES, NOISE_VIEW
 from dialframe.plans.registry import register
-from dialframe.sources.tables import example_heads, noise_utterances, read_table
+from dialframe.sources.tables import example_head_columns, example_heads, noise_utterances, read_table
 
 EOS = "</s>"
 MAX_SOURCE_LEN = 1024
@@ -24,22 +24,22 @@ K_FOLDS = 5
 # Spark frames ---------------------------------------------------------------
 
 def examples_nested(spark: SparkSession, sf_dir: str, refined: bool = False) -> DataFrame:
-    """One nested example per conversation: conversation array, reference ids and the head fields."""
-    u = noise_utterances(spark, sf_dir)
-    refs = nest_turns(u.where("is_ref"), "conv_id", "turn", ["utterance_id"], out="_refs").select(
-        "conv_id", F.transform("_refs", lambda r: r["utterance_id"]).alias("reference_id"))
+    """One nested example per conversation, from a single scan of the utterance view.
+
+    The conversation array is nested once (two-level, chunked); reference ids and
+    head fields come from the same row.  ``refined`` cleans and merges inside the
+    row (higher-order functions, no shuffle); an example whose utterances all
+    clean to empty keeps an empty conversation.
+    """
+    u = noise_utterances(spark, sf_dir).withColumnRenamed("text", "utterance")
+    ex = nest_turns(u, "conv_id", "turn", ["speaker", "utterance", "utterance_id", "is_ref"])
+    ex = ex.select("conv_id", "conversation",
+                   F.transform(F.filter("conversation", lambda x: x["is_ref"]), lambda x: x["utterance_id"])
+                   .alias("reference_id"),
+                   *example_head_columns(F.col("conv_id")))
     if refined:
-        runs = merge_turns(clean_and_drop_empty(u, "text"), "conv_id", "turn")
-        conv = nest_turns(runs.select("conv_id", "turn", "speaker", F.col("text").alias("utterance"),
-                                      F.col("utterance_ids").alias("utterance_id")),
-                          "conv_id", "turn", ["speaker", "utterance", "utterance_id"])
-    else:
-        conv = nest_turns(u.withColumnRenamed("text", "utterance"), "conv_id", "turn",
-                          ["speaker", "utterance", "utterance_id"])
-    heads = example_heads(spark, sf_dir)
-    # Every example has a conversation; a conversation without references gets [].
-    return (heads.join(conv, "conv_id").join(refs, "conv_id", "left")
-            .withColumn("reference_id", F.coalesce("reference_id", F.array().cast("array<string>"))))
+        ex = ex.withColumn("conversation", refine_conversation(F.col("conversation"), F.col("reference_id")))
+    return ex
 
 
 def _prompts(spark: SparkSession, sf_dir: str, names, refined: bool = False) -> DataFrame:
@@ -113,7 +113,7 @@ c AS (SELECT conv_id,
 x AS (SELECT e.*, concat('[Conversation]', coalesce(lines, '')) AS conv_block,
              concat('[Conversation]', coalesce(lines_sep, '')) AS conv_block_sep,
              concat('[Utterance References]', coalesce(ref_lines, '')) AS ref_block
-      FROM e JOIN c USING (conv_id))"""
+      FROM e LEFT JOIN c USING (conv_id))"""
 
 
 def _prompt_sql(blocks: str, names) -> str:
@@ -213,3 +213,10 @@ def kfold_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
     folded = kfold(example_heads(spark, sf_dir).select("conv_id"), "conv_id", K_FOLDS)
     return fold_roles(folded, K_FOLDS).groupBy("round", "role").agg(
         F.count(F.lit(1)).alias("n_rows"), F.min("conv_id").alias("first_conv"), F.max("conv_id").alias("last_conv"))
+
+
+@register("prompt_all_variants", "Q1-Q9: all five variants in one pass (generator over variant rows)",
+          oracle=_prompt_sql(_RAW_BLOCKS, list(VARIANTS)))
+def prompt_all_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _prompts(spark, sf_dir, list(VARIANTS)).select(
+        "conv_id", "variant", F.col("user").alias("prompt"), "target", "label")

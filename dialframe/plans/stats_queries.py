@@ -11,7 +11,7 @@ from dialframe.operators import stats
 from dialframe.plans.dialogue_queries import refined_turns_df
 from dialframe.plans.oracle_sql import CLEAN_STAGES, EXAMPLES_VIEW, MERGE_STAGES, NOISE_VIEW
 from dialframe.plans.registry import register
-from dialframe.sources.tables import example_heads, noise_utterances, read_table
+from dialframe.sources.tables import example_head_columns, example_heads, noise_utterances, read_table
 
 # Oracle pieces --------------------------------------------------------------
 
@@ -77,8 +77,10 @@ def _lengths_long(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.struct(F.lit("raw").alias("form"), F.col("r_turns").alias("n_turns"), F.col("r_chars").alias("chars")),
         F.struct(F.lit("refined").alias("form"), F.coalesce("f_turns", zero).alias("n_turns"),
                  F.coalesce("f_chars", zero).alias("chars")))
-    lens = per_conv.select("conv_id", F.inline(forms))
-    return _examples_all(spark, sf_dir).select("conv_id", "split").join(lens, "conv_id")
+    # The head fields are functions of conv_id: no second scan for the example heads.
+    split = example_head_columns(F.col("conv_id"))[-1]
+    heads = per_conv.select("conv_id", split, F.inline(forms))
+    return stats.with_combined_split(heads)
 
 
 def _utterances_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -186,11 +188,9 @@ def distinct_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
 SELECT lang, count(*) AS n_rows, count(DISTINCT text) AS n_distinct FROM documents GROUP BY lang""")
 def distinct_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["lang", "text"])
-    rows = docs.groupBy("lang").agg(F.count(F.lit(1)).alias("n_rows"))
-    uniq = stats.distinct_texts(docs, "text", "lang").where(F.col("text").isNotNull()).groupBy("lang").agg(
-        F.count(F.lit(1)).alias("n_distinct"))
-    return rows.join(uniq, "lang", "left").select(
-        "lang", "n_rows", F.coalesce("n_distinct", F.lit(0).cast("bigint")).alias("n_distinct"))
+    per_text = docs.groupBy("lang", "text").agg(F.count(F.lit(1)).alias("_k"))
+    return per_text.groupBy("lang").agg(F.sum("_k").alias("n_rows"),
+                                        F.count("text").alias("n_distinct"))
 
 
 @register("utterance_token_counts", "A10, N1-N7, F3 (refined utterances per split)", oracle=_tokens_sql(

@@ -60,19 +60,24 @@ def noise_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
 _VIEW_CATEGORIES = ("원인", "후행사건", "전제", "동기", "반응")
 
 
-def example_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One example head per conversation: id, category, inference_1..3, output, split."""
-    ids = read_table(spark, sf_dir, "conversations", ["conv_id"]).distinct()
-    cid = F.col("conv_id")
+def example_head_columns(conv_id: Column) -> list[Column]:
+    """Head fields of the example of a conversation: category, inference_1..3, output, split."""
+    cid = conv_id
     cat = None
     for i, name in enumerate(_VIEW_CATEGORIES):
         cat = F.when(cid % 5 == i, F.lit(name)) if cat is None else cat.when(cid % 5 == i, F.lit(name))
-    return ids.select(
-        "conv_id",
+    return [
         cat.alias("category"),
         F.concat(F.lit("후보 가"), (cid % 7).cast("string")).alias("inference_1"),
         F.concat(F.lit("후보 나"), (cid % 5).cast("string")).alias("inference_2"),
         F.concat(F.lit("후보 다"), (cid % 3).cast("string")).alias("inference_3"),
         F.when(cid % 4 == 0, F.lit("")).otherwise(
             F.concat(F.lit("inference_"), (cid % 3 + 1).cast("string"))).alias("output"),
-        F.when(cid % 10 < 7, F.lit("train")).when(cid % 10 < 8, F.lit("dev")).otherwise(F.lit("test")).alias("split"))
+        F.when(cid % 10 < 7, F.lit("train")).when(cid % 10 < 8, F.lit("dev")).otherwise(F.lit("test")).alias("split"),
+    ]
+
+
+def example_heads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One example head per conversation: conv_id, category, inference_1..3, output, split."""
+    ids = read_table(spark, sf_dir, "conversations", ["conv_id"]).distinct()
+    return ids.select("conv_id", *example_head_columns(F.col("conv_id")))
