@@ -150,16 +150,22 @@ def normalise_tokens(tokens: Column, letters: Sequence[str] = fixed.SQUEEZED_JAM
 
 
 def token_counts(df: DataFrame, text: str = "text", group: str | Sequence[str] | None = None,
-                 distinct_first: bool = True) -> DataFrame:
+                 distinct_first: bool = True, letters: Sequence[str] = fixed.SQUEEZED_JAMO) -> DataFrame:
     """Token frequencies: split on single spaces, squeeze jamo runs, drop tokens of length <= 1.
 
     With ``distinct_first`` every distinct text of a group counts once (the
     word-cloud input is a set of texts).  Joining texts with a space and then
     splitting equals splitting every text, so no text is ever concatenated.
+    Tokens are exploded first so the normalisation is a top-level (code
+    generated) expression, and the six squeezes only run on tokens holding one
+    of the letters.
     """
     g = _as_list(group)
     src = distinct_texts(df, text, g) if distinct_first else df.select(*g, text)
-    toks = src.select(*g, F.explode(normalise_tokens(split_on_space(F.col(text)))).alias("token"))
+    toks = src.select(*g, F.explode(split_on_space(F.col(text))).alias("_tok"))
+    has_jamo = F.col("_tok").rlike("[" + "".join(letters) + "]")
+    norm = F.when(has_jamo, squeeze_jamo_runs(F.col("_tok"), tuple(letters))).otherwise(F.col("_tok"))
+    toks = toks.select(*g, norm.alias("token")).where(F.length("token") >= 2)
     return toks.groupBy(*g, "token").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -261,3 +261,16 @@ def nest_turns(df: DataFrame, key: str | Sequence[str], order: str | Sequence[st
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "_part"))), lambda x: x["_part"]))
         .alias("_items"))
     return whole.select(*keys, F.transform("_items", lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(out))
+
+
+def refine_examples(examples: DataFrame, cfg: CleanConfig = DEFAULT_CLEAN, ids_are_arrays: bool = True) -> DataFrame:
+    """The refine job on nested examples: clean, drop empty, merge - all inside the row, no shuffle."""
+    conv = merge_conversation(clean_conversation(F.col("conversation"), cfg), F.col("reference_id"),
+                              ids_are_arrays=ids_are_arrays)
+    return examples.withColumn("conversation", conv)
+
+
+def example_lengths(examples: DataFrame, keep: Sequence[str] = ("id", "split")) -> DataFrame:
+    """Turns and total characters per example (the length table)."""
+    return examples.select(*keep, turn_count(F.col("conversation")).alias("n_turns"),
+                           total_characters(F.col("conversation")).alias("total_utterance_length"))
