@@ -11,6 +11,7 @@ from __future__ import annotations
 from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -29,10 +30,7 @@ def code_points(text: Column) -> Column:
 
 def pandas_encoder(encode_batch: Callable[[list[str]], list[list[int]]]) -> Encoder:
     """Wrap ``encode_batch(texts) -> ids`` (e.g. a tokenizer's batch call) as an Arrow UDF."""
-    import pandas as pd
-    from pyspark.sql.functions import pandas_udf
-
-    @pandas_udf("array<bigint>")
+    @F.pandas_udf("array<bigint>")
     def _encode(texts: pd.Series) -> pd.Series:
         out = encode_batch([t if t is not None else "" for t in texts.tolist()])
         return pd.Series([list(map(int, ids)) for ids in out])
@@ -105,13 +103,15 @@ def pad_batches(encoded: DataFrame, order: str | Sequence[str], batch_size: int,
     batched = indexed.withColumn("batch", F.floor(F.col("idx") / F.lit(batch_size)).cast("bigint"))
     n = F.size("input_ids")
     width = F.max(n).over(Window.partitionBy("batch"))
-    batched = batched.withColumn("batch_len", width)
+    batched = batched.withColumn("batch_len", width).withColumn("_len", n)
+    n = F.col("_len")
     pad = F.col("batch_len") - n
     ids = F.concat("input_ids", F.array_repeat(F.lit(pad_id).cast("bigint"), pad))
     labels = F.concat("labels", F.array_repeat(F.lit(fixed.IGNORE_INDEX).cast("bigint"), pad))
-    out = batched.withColumn("input_ids", ids).withColumn("labels", labels)
     if mask_by == "value":
-        mask = F.transform("input_ids", lambda x: x != F.lit(pad_id))
+        mask = F.transform(ids, lambda x: x != F.lit(pad_id))
     else:
         mask = F.transform(F.sequence(F.lit(0), F.col("batch_len") - 1), lambda i: i < n)
-    return out.withColumn("attention_mask", mask)
+    # One projection: every expression sees the unpadded arrays.
+    others = [c for c in batched.columns if c not in ("input_ids", "labels", "_len")]
+    return batched.select(*others, ids.alias("input_ids"), labels.alias("labels"), mask.alias("attention_mask"))

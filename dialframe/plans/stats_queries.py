@@ -84,8 +84,9 @@ def _lengths_long(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def _utterances_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    heads = _examples_all(spark, sf_dir).select("conv_id", "split")
-    return refined_turns_df(spark, sf_dir).select("conv_id", "text").join(heads, "conv_id")
+    """Refined utterance texts with the split of their example (a function of conv_id: no join)."""
+    runs = refined_turns_df(spark, sf_dir).select("conv_id", "text")
+    return stats.with_combined_split(runs.select("text", example_head_columns(F.col("conv_id"))[-1]))
 
 
 # Queries --------------------------------------------------------------------
