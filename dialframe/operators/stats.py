@@ -163,9 +163,14 @@ def token_counts(df: DataFrame, text: str = "text", group: str | Sequence[str] |
     g = _as_list(group)
     src = distinct_texts(df, text, g) if distinct_first else df.select(*g, text)
     toks = src.select(*g, F.explode(split_on_space(F.col(text))).alias("_tok"))
-    has_jamo = F.col("_tok").rlike("[" + "".join(letters) + "]")
-    norm = F.when(has_jamo, squeeze_jamo_runs(F.col("_tok"), tuple(letters))).otherwise(F.col("_tok"))
-    toks = toks.select(*g, norm.alias("token")).where(F.length("token") >= 2)
+    # Squeezing never shortens a token below two code points when it holds one of the
+    # letters and leaves other tokens unchanged, so the length rule is decided on the
+    # raw token without any regex (a lone letter becomes a doubled one and is kept).
+    tok = F.col("_tok")
+    keep = (F.length(tok) >= 2) | tok.isin(*letters)
+    has_jamo = tok.rlike("[" + "".join(letters) + "]")
+    norm = F.when(has_jamo, squeeze_jamo_runs(tok, tuple(letters))).otherwise(tok)
+    toks = toks.where(keep).select(*g, norm.alias("token"))
     return toks.groupBy(*g, "token").agg(F.count(F.lit(1)).alias("n"))
 
 

@@ -18,10 +18,22 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
-def read_table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] | None = None) -> DataFrame:
-    """Read one parquet table; selecting columns here lets the scan prune the rest."""
+def read_table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] | None = None,
+               spread: bool = False) -> DataFrame:
+    """Read one parquet table; selecting columns here lets the scan prune the rest.
+
+    ``spread`` is for inputs that feed CPU-heavy row work (regex cleaning,
+    tokenizing): when the scan yields fewer splits than the default parallelism
+    (a small file with one row group), rows are dealt round-robin to that many
+    partitions.  A large input already has enough splits and is left alone.
+    """
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
-    return df.select(*columns) if columns else df
+    df = df.select(*columns) if columns else df
+    if spread:
+        want = spark.sparkContext.defaultParallelism
+        if df.rdd.getNumPartitions() < want:
+            df = df.repartition(want)
+    return df
 
 
 # FIXED VALUES: noise injected by the utterance view, by (conv_id * 3 + turn) % 8
@@ -47,7 +59,7 @@ def _noise_text(conv_id: Column, turn: Column, text: Column) -> Column:
 
 def noise_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``conversations`` as utterances: conv_id, turn, speaker, utterance_id, is_ref, text."""
-    c = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"])
+    c = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"], spread=True)
     return c.select(
         "conv_id", "turn",
         (F.lit(1) + F.length("text") % 2).cast("int").alias("speaker"),
