@@ -1,21 +1,22 @@
 """Deterministic row index, K-fold assignment and train/validation views.
 
 The row index never uses a window without a partition (that funnels every row
-through one task).  Rows are cut into at most ``max_buckets`` ranges of the
-integral order key; per-range counts (a table of bounded size) give each range
-its offset, and ``row_number`` runs inside a range only.
+through one task).  Rows are cut into at most ``buckets`` quantile ranges of the
+order key; per-range counts (a table of bounded size) give each range its
+offset, and ``row_number`` runs inside a range only.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialframe.session import ensure_checkpoint_dir
 
-DEFAULT_MAX_BUCKETS = 1 << 18
+DEFAULT_BUCKETS = 1 << 12
 
 
 def _as_list(x: str | Sequence[str]) -> list[str]:
@@ -23,30 +24,36 @@ def _as_list(x: str | Sequence[str]) -> list[str]:
 
 
 def with_global_index(df: DataFrame, order: str | Sequence[str], out: str = "idx",
-                      max_buckets: int = DEFAULT_MAX_BUCKETS, total: str | None = None,
+                      buckets: int = DEFAULT_BUCKETS, total: str | None = None,
                       checkpoint: bool = False) -> DataFrame:
-    """Add a 0-based index in ``order`` (first column integral; the rest break ties).
-
-    ``total`` names an optional column with the row count of the whole frame.
-
-    The bucket table has at most ``max_buckets`` rows, which is what makes its
-    broadcast safe; each bucket holds at most ``(max - min + 1) / max_buckets``
-    distinct keys.  The input is read twice (count, then number); materialize an
-    expensive input first (``checkpoint=True`` does it in the checkpoint dir).
+    """Add a 0-based index in ``order`` (first column numeric; the rest break ties).
+
+    Bucket boundaries are approximate quantiles of the first order column (one
+    sketch pass, at most ``buckets - 1`` numbers reach the driver), so every
+    bucket holds about ``rows / buckets`` rows however the keys cluster.  A
+    binary search (``Bucketizer``) assigns buckets; the per-bucket counts (at most
+    ``buckets`` rows, which is what makes their broadcast safe) give running
+    offsets, and ``row_number`` runs inside a bucket only.  ``total`` names an
+    optional column with the row count of the whole frame.  The input is read
+    for the sketch, the counts and the numbering; ``checkpoint=True``
+    materializes an expensive input once in the checkpoint dir.
     """
+    from pyspark.ml.feature import Bucketizer
+
     order = _as_list(order)
     if checkpoint:
         ensure_checkpoint_dir(df.sparkSession)
         df = df.checkpoint(eager=True)
-    o = F.col(order[0]).cast("bigint")
-    # Two numbers from one small job (like a range partitioner's sample): the key range.
-    lo, hi = df.select(F.min(o), F.max(o)).first()
-    lo = 0 if lo is None else int(lo)
-    hi = lo if hi is None else int(hi)
-    width = max(1, -(-(hi - lo + 1) // max_buckets))
-    keyed = df.withColumn("_bucket", F.floor((o - F.lit(lo)) / F.lit(width)).cast("bigint"))
+    probs = [i / buckets for i in range(1, buckets)]
+    cuts = sorted(set(df.approxQuantile(order[0], probs, 1.0 / (4 * buckets)))) if buckets > 1 else []
+    splits = [float("-inf")] + [c for c in cuts if math.isfinite(c)] + [float("inf")]
+    keyed = df.withColumn("_k", F.col(order[0]).cast("double"))
+    keyed = Bucketizer(splits=splits, inputCol="_k", outputCol="_b", handleInvalid="keep").transform(keyed)
+    # Nulls sort first in ascending order: give them the first bucket.
+    keyed = keyed.withColumn("_bucket", F.when(F.col(order[0]).isNull(), F.lit(-1)).otherwise(
+        F.col("_b")).cast("bigint")).drop("_k", "_b")
     counts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # At most max_buckets rows: one small ordered pass for the running offsets.
+    # At most `buckets` rows: one small ordered pass for the running offsets.
     offsets = counts.select(
         "_bucket",
         F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)),
@@ -85,3 +92,8 @@ def fold_roles(folded: DataFrame, k: int, fold: str = "fold", out_round: str = "
     """
     return folded.select("*", F.explode(F.sequence(F.lit(1), F.lit(k))).alias(out_round)).withColumn(
         out_role, F.when(F.col(fold) == F.col(out_round), F.lit("validation")).otherwise(F.lit("train")))
+
+
+def fold_name(fold: Column | str) -> Column:
+    """``fold_<k>`` (1-based), the name of a fold's model and prediction set."""
+    return F.concat(F.lit("fold_"), (F.col(fold) if isinstance(fold, str) else fold).cast("string"))

@@ -91,6 +91,11 @@ def fixed_key_distribution(df: DataFrame, key: str, keys: Sequence[str], group:
         *g, key, "key_pos", "n", (F.col("n") / F.col("_total") * F.lit(100.0)).alias("pct"))
 
 
+def percent_text(pct: Column | str) -> Column:
+    """Display text of a percentage, two decimals and a percent sign (e.g. ``12.50%``)."""
+    return F.format_string("%.2f%%", F.col(pct) if isinstance(pct, str) else pct)
+
+
 # ---------------------------------------------------------------------------
 # summaries and histograms (A5, A6, A7, A8)
 # ---------------------------------------------------------------------------

@@ -59,8 +59,13 @@ def test_pandas_encoder_plugs_in(spark):
 
 def test_global_index_and_folds(spark):
     df = spark.range(0, 10).select((F.col("id") * 7 + 3).alias("key"))
-    idx = sorted((r["key"], r["idx"]) for r in with_global_index(df, "key", max_buckets=3).collect())
+    idx = sorted((r["key"], r["idx"]) for r in with_global_index(df, "key", buckets=3).collect())
     assert [i for _, i in idx] == list(range(10))
+    # clustered keys (most of them in a narrow range) still get a dense, ordered index
+    skew = spark.range(0, 2000).select(F.when(F.col("id") < 1900, F.col("id")).otherwise(F.col("id") * 1000000)
+                                        .alias("key"))
+    got = [r["idx"] for r in with_global_index(skew, "key", buckets=16).orderBy("key").collect()]
+    assert got == list(range(2000))
     folds = {r["key"]: r["fold"] for r in kfold(df, "key", 3).collect()}
     sizes = [sum(1 for v in folds.values() if v == f) for f in (1, 2, 3)]
     assert sizes == [4, 3, 3] and folds[3] == 1 and folds[66] == 3

@@ -1,6 +1,6 @@
 from pyspark.sql import functions as F
 
-from dialframe.operators.stats import (distribution, fixed_key_distribution, histogram, length_summary,
+from dialframe.operators.stats import (percent_text, distribution, fixed_key_distribution, histogram, length_summary,
                                        token_counts, top_tokens, with_combined_split)
 
 
@@ -51,3 +51,8 @@ def test_tokens_and_top_k(spark):
     top = top_tokens(big.groupBy("split", "token").agg(F.sum("n").alias("n")), 5, "split")
     exact = big.groupBy("split", "token").agg(F.sum("n").alias("n")).orderBy(F.desc("n"), "token").limit(5)
     assert [r["token"] for r in top.orderBy("rank").collect()] == [r["token"] for r in exact.collect()]
+
+
+def test_percent_text(spark):
+    df = spark.createDataFrame([(12.5,), (100.0 / 3,)], "p double")
+    assert [r[0] for r in df.select(percent_text("p")).collect()] == ["12.50%", "33.33%"]
