@@ -47,6 +47,12 @@ def predict_from_scores(df: DataFrame, scores: Sequence[str], keep: Sequence[str
                       index_to_output(F.col("pred")).alias("output"))
 
 
+def source_only(encoded: DataFrame, keep: Sequence[str]) -> DataFrame:
+    """Scoring input: the source tokens only.  In eval mode an example with a gold
+    output also carries its target; scoring the last position must not see it."""
+    return encoded.select(*keep, F.slice("input_ids", 1, F.col("n_source")).alias("input_ids"))
+
+
 def score_batches(df: DataFrame, factory: ScorerFactory, keep: Sequence[str],
                   out_scores: Sequence[str] = ("s_a", "s_b", "s_c"), key_types: str | None = None) -> DataFrame:
     """Run ``factory()``'s scorer over Arrow batches of ``df``; returns ``keep`` + score columns.

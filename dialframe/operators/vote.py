@@ -55,3 +55,17 @@ def accuracy(pred: DataFrame, gold: DataFrame, id: str = "id", label: str = "out
     ok = (F.col("_pred") == F.col(label)).cast("bigint")
     return j.groupBy(*g).agg(F.count(F.lit(1)).alias("n"), F.sum(ok).alias("n_correct"),
                              (F.sum(ok) / F.count(F.lit(1))).alias("accuracy"))
+
+
+def check_prediction_sets(submission: DataFrame, preds: DataFrame, id: str = "id", model: str = "model") -> None:
+    """Raise ``ValueError`` when a prediction set does not cover the submission exactly once per id.
+
+    One small job (the per-set summary has one row per set).
+    """
+    bad = (validate_prediction_sets(submission, preds, id, model)
+           .where((F.col("n_missing") > 0) | (F.col("n_extra") > 0) | (F.col("n_duplicate_ids") > 0))
+           .collect())
+    if bad:
+        detail = "; ".join(f"{r[model]}: {r['n_missing']} missing, {r['n_extra']} extra, "
+                           f"{r['n_duplicate_ids']} duplicated ids" for r in bad)
+        raise ValueError(f"prediction sets do not match the submission: {detail}")

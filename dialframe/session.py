@@ -53,6 +53,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     current = sc.getCheckpointDir()
     if current:
         return current
+    if not sc.master.startswith("local"):
+        # A machine-local folder would lose checkpoints with the executor that wrote them.
+        raise RuntimeError("spark.checkpoint.dir is not set: name a shared folder (HDFS, object store) "
+                           "for the checkpointed stages")
     path = tempfile.mkdtemp(prefix="dialframe-ckpt-", dir="/tmp")
     sc.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)

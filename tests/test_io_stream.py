@@ -122,3 +122,33 @@ def test_streaming_refine_matches_batch(spark):
     # the greeting-only turn is dropped; the reference turn stays a run of its own
     assert [(u["utterance"], u["utterance_id"]) for u in by_id["t-train-000002"]["input"]["conversation"]] == [
         ("오늘 비 와", "b.2"), ("우산 챙겨", "b.3")]
+
+
+def test_ensemble_modes_and_errors(spark):
+    from dialframe.plans.ensemble import ensemble
+    d = tempfile.mkdtemp(prefix="dialframe-ens-", dir="/tmp")
+    sub = spark.createDataFrame([("q0", ""), ("q1", "")], "id string, output string")
+    for name, outs in {"a": ["inference_1", "inference_2"], "b": ["inference_3", "inference_2"],
+                       "c": ["inference_3", "inference_1"]}.items():
+        with open(os.path.join(d, f"{name}.json"), "w") as f:
+            json.dump([{"id": f"q{i}", "output": o} for i, o in enumerate(outs)], f)
+    got = {r["id"]: r["output"] for r in ensemble(spark, sub, base_dir=d, names=["a", "b", "c"]).collect()}
+    assert got == {"q0": "inference_3", "q1": "inference_2"}
+    with pytest.raises(ValueError):
+        ensemble(spark, sub, base_dir=d, names=["a"])
+    with open(os.path.join(d, "short.json"), "w") as f:
+        json.dump([{"id": "q0", "output": "inference_1"}], f)
+    with pytest.raises(ValueError, match="missing"):
+        ensemble(spark, sub, base_dir=d, names=["a", "short"])
+    stem = os.path.join(d, "m.json")
+    for i, p in enumerate(fold_prediction_paths(stem, 2), start=1):
+        with open(p, "w") as f:
+            json.dump([{"id": "q0", "output": "inference_2"}, {"id": "q1", "output": f"inference_{i}"}], f)
+    got = {r["id"]: r["output"] for r in ensemble(spark, sub, k_folds=2, output=stem).collect()}
+    assert got == {"q0": "inference_2", "q1": "inference_1"}
+
+
+def test_source_only_scoring_input(spark):
+    from dialframe.operators.score import source_only
+    df = spark.createDataFrame([("x", [1, 2, 3, 4], 2)], "id string, input_ids array<bigint>, n_source int")
+    assert list(source_only(df, ["id"]).first()["input_ids"]) == [1, 2]
