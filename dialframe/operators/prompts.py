@@ -173,13 +173,24 @@ def build_prompts(examples: DataFrame, variants: Sequence[str] = ("v1",), keep:
     ``system_text`` overrides every variant's system text (required for v5
     messages, whose long system text is caller configuration).
     """
-    ex = examples.select(*keep, "conversation", "reference_id", "category", "inference_1", "inference_2",
-                         "inference_3", "output", F.inline(_variant_rows(variants)))
-    conv = conversation_block(F.col("conversation"), F.col("_sep"))
-    refs = reference_block(F.col("conversation"), F.col("reference_id"), ids_are_arrays)
+    names = list(variants)
+    specs = [variant(n) for n in names]
+    seps = sorted({v.conversation_label_sep for v in specs})
+    # Blocks that do not depend on the variant are rendered once per example, before
+    # the variant rows are generated.
+    blocks = [conversation_block(F.col("conversation"), sep).alias(f"_conv{i}") for i, sep in enumerate(seps)]
+    ex = examples.select(
+        *keep, "category", "output", "inference_1", "inference_2", "inference_3", *blocks,
+        reference_block(F.col("conversation"), F.col("reference_id"), ids_are_arrays).alias("_refs"),
+        option_block(F.col("inference_1"), F.col("inference_2"), F.col("inference_3")).alias("_opts"))
+    ex = ex.select("*", F.inline(_variant_rows(names)))
+    conv = None
+    for i, sep in enumerate(seps):
+        conv = (F.when(F.col("_sep") == sep, F.col(f"_conv{i}")) if conv is None
+                else conv.when(F.col("_sep") == sep, F.col(f"_conv{i}")))
     q = question_text(F.col("category"), F.col("_subject"), F.col("_lead"), F.col("_pf"), F.col("_pn"),
                       F.col("_tail"), particle_mode)
-    opts = option_block(F.col("inference_1"), F.col("inference_2"), F.col("inference_3"))
+    refs, opts = F.col("_refs"), F.col("_opts")
     user = F.when(F.col("_instr_first"), F.concat_ws("\n\n", q, conv, refs, opts)).otherwise(
         F.concat_ws("\n\n", conv, refs, q, opts))
     system = F.lit(system_text) if system_text is not None else F.col("system")

@@ -1,9 +1,9 @@
 """Corpus statistics: sizes, distributions, summaries, histograms, distinct texts, tokens, top-k.
 
 Every operator aggregates first and joins only aggregated tables; nothing uses
-an unpartitioned window.  Grouping keys (``split``, ``lang``...) are few, so the
-per-group tables are small; where a per-group table could be large (tokens of
-a split) the work is salted so one group never sits in one task.
+an unpartitioned window over rows.  Grouping keys (``split``, ``lang``...) are
+few, so per-group tables are small; where one could be large (the tokens of a
+split) a partial top-k runs map-side before the group is brought together.
 """
 
 from __future__ import annotations
@@ -181,12 +181,13 @@ def token_counts(df: DataFrame, text: str = "text", group: str | Sequence[str] |
 
 def top_k(counts: DataFrame, k: int, order: Sequence[Column], group: str | Sequence[str] | None = None,
           salt_col: str | None = None, salts: int = 64) -> DataFrame:
-    """Exact top ``k`` rows per group under a total ``order``, in two phases.
+    """Exact top ``k`` rows per group under a total ``order``; ``rank`` is 1-based.
 
-    Rows are first ranked inside (group, salt) buckets, where the salt is a hash
-    of ``salt_col``; only the best ``k`` of each bucket survive, so the final
-    per-group ranking sees at most ``k * salts`` rows however large the group is.
-    ``rank`` is 1-based.
+    ``row_number() <= k`` lets the optimizer put a partial window-group limit on
+    the map side, so every input partition sends at most ``k`` rows per group to
+    the final ranking, however large the group is.  ``salt_col`` adds an
+    explicit first phase over (group, hash salt) buckets, for sessions where that
+    optimization is switched off.
     """
     g = _as_list(group)
     if salt_col is None:
@@ -201,4 +202,4 @@ def top_k(counts: DataFrame, k: int, order: Sequence[Column], group: str | Seque
 
 def top_tokens(counts: DataFrame, k: int = fixed.TOP_TOKENS, group: str | Sequence[str] | None = None) -> DataFrame:
     """Most frequent tokens per group; ties by token (ascending) so the result is deterministic."""
-    return top_k(counts, k, [F.col("n").desc(), F.col("token").asc()], group, salt_col="token")
+    return top_k(counts, k, [F.col("n").desc(), F.col("token").asc()], group)

@@ -192,13 +192,14 @@ def merge_turns(df: DataFrame, key: str | Sequence[str], order: str | Sequence[s
     )
 
     def finish(p: DataFrame, parts: str = "_parts") -> DataFrame:
-        merged = p.select(
+        joined = strip_unicode(F.array_join(F.transform(parts, lambda x: x["_txt"]), " "))
+        # explode(filter(array(..))) drops blank runs with the text computed once.
+        return p.select(
             *keys, *[F.col("_start")[o].alias(o) for o in order], F.col("_spk").alias(speaker),
-            strip_unicode(F.array_join(F.transform(parts, lambda x: x["_txt"]), " ")).alias(text),
+            F.explode(F.filter(F.array(joined), lambda t: t != F.lit(""))).alias(text),
             F.transform(parts, lambda x: x["_uid"]).alias("utterance_ids"),
             F.col("_n").cast("bigint").alias("n_turns"),
             ((F.col("_n") == 1) & F.col("_first_ref")).alias("is_ref"))
-        return merged.where(F.col(text) != F.lit(""))
 
     if chunk is None:
         return finish(pieces)
