@@ -14,9 +14,10 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dialframe.session import ensure_checkpoint_dir
+from dialframe.session import ensure_checkpoint_dir, num_partitions
 
-DEFAULT_BUCKETS = 1 << 12
+MIN_BUCKETS = 64
+MAX_BUCKETS = 1 << 14
 
 
 def _as_list(x: str | Sequence[str]) -> list[str]:
@@ -24,13 +25,14 @@ def _as_list(x: str | Sequence[str]) -> list[str]:
 
 
 def with_global_index(df: DataFrame, order: str | Sequence[str], out: str = "idx",
-                      buckets: int = DEFAULT_BUCKETS, total: str | None = None,
+                      buckets: int | None = None, total: str | None = None,
                       checkpoint: bool = False) -> DataFrame:
     """Add a 0-based index in ``order`` (first column numeric; the rest break ties).
 
     Bucket boundaries are approximate quantiles of the first order column (one
     sketch pass, at most ``buckets - 1`` numbers reach the driver), so every
-    bucket holds about ``rows / buckets`` rows however the keys cluster.  A
+    bucket holds about ``rows / buckets`` rows however the keys cluster; by
+    default ``buckets`` is four per input split, between 64 and 16384.  A
     binary search (``Bucketizer``) assigns buckets; the per-bucket counts (at most
     ``buckets`` rows, which is what makes their broadcast safe) give running
     offsets, and ``row_number`` runs inside a bucket only.  ``total`` names an
@@ -44,6 +46,10 @@ def with_global_index(df: DataFrame, order: str | Sequence[str], out: str = "idx
     if checkpoint:
         ensure_checkpoint_dir(df.sparkSession)
         df = df.checkpoint(eager=True)
+    if buckets is None:
+        # Sized from the input's split count (a planning-time number, no job): a large
+        # input gets fine buckets, a small one a cheap sketch.
+        buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, 4 * num_partitions(df)))
     probs = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(df.approxQuantile(order[0], probs, 1.0 / (4 * buckets)))) if buckets > 1 else []
     splits = [float("-inf")] + [c for c in cuts if math.isfinite(c)] + [float("inf")]

@@ -44,7 +44,10 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     On a cluster the setting names a shared folder and is respected as is.  Only a
     local session without the setting (tests, bench) gets a fresh scratch folder.
     """
-    sc = spark.sparkContext
+    try:
+        sc = spark.sparkContext
+    except Exception:  # a Spark Connect session: the server owns the checkpoint dir
+        return spark.conf.get("spark.checkpoint.dir", None) or ""
     configured = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         if sc.getCheckpointDir() is None:
@@ -61,3 +64,18 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     sc.setCheckpointDir(path)
     spark.conf.set("spark.checkpoint.dir", path)
     return path
+
+
+def num_partitions(df, default: int = 1) -> int:
+    """Planned partition count of ``df`` (no job); ``default`` where it cannot be asked."""
+    try:
+        return df.rdd.getNumPartitions()
+    except Exception:
+        return default
+
+
+def default_parallelism(spark: SparkSession, default: int = 8) -> int:
+    try:
+        return spark.sparkContext.defaultParallelism
+    except Exception:
+        return default

@@ -101,8 +101,11 @@ def write_if_absent(df: DataFrame, path: str, fmt: str = "json") -> None:
 
 
 def _require_paths(spark: SparkSession, paths: Sequence[str]) -> None:
-    jvm = spark.sparkContext._jvm
-    conf = spark.sparkContext._jsc.hadoopConfiguration()
+    try:
+        jvm = spark.sparkContext._jvm
+        conf = spark.sparkContext._jsc.hadoopConfiguration()
+    except Exception:  # no JVM handle (Spark Connect): the read itself reports missing paths
+        return
     for p in paths:
         hp = jvm.org.apache.hadoop.fs.Path(p)
         if not hp.getFileSystem(conf).exists(hp):

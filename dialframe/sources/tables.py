@@ -17,6 +17,8 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from dialframe.session import default_parallelism, num_partitions
+
 
 def read_table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[str] | None = None,
                spread: bool = False) -> DataFrame:
@@ -30,8 +32,8 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[st
     df = spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
     df = df.select(*columns) if columns else df
     if spread:
-        want = spark.sparkContext.defaultParallelism
-        if df.rdd.getNumPartitions() < want:
+        want = default_parallelism(spark)
+        if num_partitions(df, want) < want:
             df = df.repartition(want)
     return df
 
