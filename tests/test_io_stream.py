@@ -152,3 +152,27 @@ def test_source_only_scoring_input(spark):
     from dialframe.operators.score import source_only
     df = spark.createDataFrame([("x", [1, 2, 3, 4], 2)], "id string, input_ids array<bigint>, n_source int")
     assert list(source_only(df, ["id"]).first()["input_ids"]) == [1, 2]
+
+
+def test_ingest_and_split_pruning(spark, src_dir):
+    from dialframe.sources.jsonio import ingest_examples, read_ingested
+    dest = tempfile.mkdtemp(prefix="dialframe-ing-", dir="/tmp") + "/examples"
+    ingest_examples(spark, src_dir, dest)
+    dev = read_ingested(spark, dest, ["dev"])
+    assert [r["id"] for r in dev.collect()] == ["t-train-000002"]
+    plan = dev._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(split" in plan and "dev" in plan
+
+
+def test_streaming_clean_of_utterances(spark):
+    import shutil
+    from dialframe.streaming.refine_stream import clean_utterance_stream
+    src = tempfile.mkdtemp(prefix="dialframe-us-", dir="/tmp")
+    spark.createDataFrame([(1, 0, "ㅇㅇ 좋아"), (1, 1, "^^"), (2, 0, "name1 왔어")],
+                          "conv_id long, turn long, text string").write.mode("overwrite").parquet(src + "/in")
+    stream = spark.readStream.schema("conv_id long, turn long, text string").parquet(src + "/in")
+    q = (clean_utterance_stream(stream).writeStream.format("memory").queryName("clean_stream_test")
+         .option("checkpointLocation", src + "/ckpt").trigger(availableNow=True).start())
+    q.awaitTermination(120)
+    got = sorted((r["conv_id"], r["turn"], r["text"]) for r in spark.sql("SELECT * FROM clean_stream_test").collect())
+    assert got == [(1, 0, "응 좋아"), (2, 0, "화자1 왔어")]
