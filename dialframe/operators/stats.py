@@ -64,14 +64,19 @@ def value_counts(df: DataFrame, key: str, group: str | Sequence[str] | None = No
 def distribution(df: DataFrame, key: str, group: str | Sequence[str] | None = None) -> DataFrame:
     """Count and percentage of every value of ``key``; percentage of all rows of the group.
 
-    The group total is a window sum over the aggregated counts (one row per
-    value of a categorical key), so the input is read once; the unrounded
-    percentage is returned (render ``%.2f`` at display).
+    Group totals are summed from the aggregated counts (a per-group aggregate,
+    or a scalar over partial sums without a group), so the input is read once
+    and no task ever holds all values of a key; the unrounded percentage is
+    returned (render ``%.2f`` at display).
     """
     g = _as_list(group)
     counts = value_counts(df, key, g)
-    total = F.sum("n").over(Window.partitionBy(*g))
-    return counts.select(*g, key, "n", (F.col("n") / total * F.lit(100.0)).alias("pct"))
+    if g:
+        totals = counts.groupBy(*g).agg(F.sum("n").alias("_total"))
+        j = counts.join(totals, g)
+    else:
+        j = counts.withColumn("_total", counts.select(F.sum("n")).scalar())
+    return j.select(*g, key, "n", (F.col("n") / F.col("_total") * F.lit(100.0)).alias("pct"))
 
 
 def fixed_key_distribution(df: DataFrame, key: str, keys: Sequence[str], group: str | Sequence[str] | None = None,
