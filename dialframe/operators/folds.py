@@ -24,6 +24,28 @@ def _as_list(x: str | Sequence[str]) -> list[str]:
     return [x] if isinstance(x, str) else list(x)
 
 
+def quantile_buckets(df: DataFrame, key: Column, out: str, buckets: int | None = None) -> DataFrame:
+    """Add ``out``: the approximate-quantile bucket of ``key`` (numeric), never decreasing in ``key``.
+
+    Every bucket holds about ``rows / buckets`` rows of the whole frame, so no
+    single group can put more than that in one bucket (only exact ties of the key
+    stay together).  One sketch pass; at most ``buckets - 1`` cut points reach the
+    driver; a binary search (``Bucketizer``) assigns the bucket.  Nulls get -1.
+    ``buckets`` defaults to four per input split, between 64 and 16384.
+    """
+    from pyspark.ml.feature import Bucketizer
+
+    if buckets is None:
+        buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, 4 * num_partitions(df)))
+    keyed = df.withColumn("_qk", key.cast("double"))
+    probs = [i / buckets for i in range(1, buckets)]
+    cuts = sorted(set(keyed.approxQuantile("_qk", probs, 1.0 / (4 * buckets)))) if buckets > 1 else []
+    splits = [float("-inf")] + [c for c in cuts if math.isfinite(c)] + [float("inf")]
+    keyed = Bucketizer(splits=splits, inputCol="_qk", outputCol="_qb", handleInvalid="keep").transform(keyed)
+    return keyed.withColumn(out, F.when(F.col("_qk").isNull(), F.lit(-1)).otherwise(F.col("_qb")).cast("bigint")
+                            ).drop("_qk", "_qb")
+
+
 def with_global_index(df: DataFrame, order: str | Sequence[str], out: str = "idx",
                       buckets: int | None = None, total: str | None = None,
                       checkpoint: bool = False) -> DataFrame:
@@ -40,24 +62,11 @@ def with_global_index(df: DataFrame, order: str | Sequence[str], out: str = "idx
     for the sketch, the counts and the numbering; ``checkpoint=True``
     materializes an expensive input once in the checkpoint dir.
     """
-    from pyspark.ml.feature import Bucketizer
-
     order = _as_list(order)
     if checkpoint:
         ensure_checkpoint_dir(df.sparkSession)
         df = df.checkpoint(eager=True)
-    if buckets is None:
-        # Sized from the input's split count (a planning-time number, no job): a large
-        # input gets fine buckets, a small one a cheap sketch.
-        buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, 4 * num_partitions(df)))
-    probs = [i / buckets for i in range(1, buckets)]
-    cuts = sorted(set(df.approxQuantile(order[0], probs, 1.0 / (4 * buckets)))) if buckets > 1 else []
-    splits = [float("-inf")] + [c for c in cuts if math.isfinite(c)] + [float("inf")]
-    keyed = df.withColumn("_k", F.col(order[0]).cast("double"))
-    keyed = Bucketizer(splits=splits, inputCol="_k", outputCol="_b", handleInvalid="keep").transform(keyed)
-    # Nulls sort first in ascending order: give them the first bucket.
-    keyed = keyed.withColumn("_bucket", F.when(F.col(order[0]).isNull(), F.lit(-1)).otherwise(
-        F.col("_b")).cast("bigint")).drop("_k", "_b")
+    keyed = quantile_buckets(df, F.col(order[0]), "_bucket", buckets)
     counts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     # At most `buckets` rows: one small ordered pass for the running offsets.
     offsets = counts.select(

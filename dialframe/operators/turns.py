@@ -148,7 +148,8 @@ def _chunk_column(order: list[str], chunk: Column | int | None) -> Column:
 
 def merge_turns(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str],
                 speaker: str = "speaker", text: str = "text", uid: str = "utterance_id",
-                is_ref: str = "is_ref", chunk: Column | int | None = DEFAULT_CHUNK_ROWS) -> DataFrame:
+                is_ref: str = "is_ref", chunk: Column | int | str | None = DEFAULT_CHUNK_ROWS,
+                chunk_key: Column | None = None) -> DataFrame:
     """Merge consecutive same-speaker rows of the long form (gaps and islands).
 
     ``df`` holds the surviving rows (empty texts already dropped), one per
@@ -160,7 +161,10 @@ def merge_turns(df: DataFrame, key: str | Sequence[str], order: str | Sequence[s
 
     ``chunk`` bounds the work per task: an ``int`` cuts the (integral) first order
     column into ranges of that many positions, a ``Column`` gives any expression
-    that never decreases along the order.  Runs are first built per (key, chunk)
+    that never decreases along the order, and ``"quantile"`` cuts the numeric
+    ``chunk_key`` (default: the first order column) at approximate quantiles of
+    the whole frame, so no chunk of any key holds more than about
+    ``rows / buckets`` rows.  Runs are first built per (key, chunk)
     with one window; the per-chunk pieces are then written once to the
     checkpoint directory (reliable, lineage cut) and runs that cross a chunk
     boundary are stitched from a table of at most two boundary pieces per chunk.
@@ -170,10 +174,16 @@ def merge_turns(df: DataFrame, key: str | Sequence[str], order: str | Sequence[s
     """
     keys = _as_list(key)
     order = _as_list(order)
+    if chunk == "quantile":
+        from dialframe.operators.folds import quantile_buckets
+        df = quantile_buckets(df, chunk_key if chunk_key is not None else F.col(order[0]), "_qchunk")
+        chunk_col = F.col("_qchunk")
+    else:
+        chunk_col = _chunk_column(order, chunk)
     rows = df.select(*keys, *order, F.col(speaker).alias("_spk"), F.col(text).cast("string").alias("_txt"),
                      F.col(uid).cast("string").alias("_uid"),
                      F.coalesce(F.col(is_ref).cast("boolean"), F.lit(False)).alias("_ref"),
-                     _chunk_column(order, chunk).alias("_chunk"))
+                     chunk_col.alias("_chunk"))
     w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     brk = ((F.row_number().over(w) == 1)
            | ~F.col("_spk").eqNullSafe(F.lag("_spk").over(w))

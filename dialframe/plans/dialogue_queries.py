@@ -11,9 +11,6 @@ from dialframe.plans.oracle_sql import CLEAN_STAGES, MERGE_STAGES, NOISE_VIEW
 from dialframe.plans.registry import register
 from dialframe.sources.tables import noise_utterances, read_table
 
-# A day of events per chunk: a user with a third of all events is still cut into
-# day-sized window partitions.
-EVENT_CHUNK_SECONDS = 86_400
 
 
 def refined_turns_df(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -57,9 +54,10 @@ FROM r GROUP BY user_id, run
 def merge_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "events", ["user_id", "ts", "event_id", "event_type", "props"])
     e = e.withColumn("is_ref", F.col("event_type") == F.lit("purchase"))
-    chunk = F.floor(F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(EVENT_CHUNK_SECONDS * 1_000_000))
-    m = merge_turns(e, "user_id", ["ts", "event_id"], speaker="event_type", text="props",
-                    uid="event_id", chunk=chunk)
+    # Chunks at quantiles of the event time over all users: a user holding a third of
+    # all events is cut into pieces of about rows / buckets events each.
+    m = merge_turns(e, "user_id", ["ts", "event_id"], speaker="event_type", text="props", uid="event_id",
+                    chunk="quantile", chunk_key=F.unix_micros(F.col("ts").cast("timestamp")))
     return m.select("user_id", F.col("event_id").alias("start_event_id"), "event_type", F.col("props").alias("text"),
                     F.array_join("utterance_ids", ",").alias("event_ids"), F.col("n_turns").alias("n_events"))
 

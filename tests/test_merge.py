@@ -88,3 +88,23 @@ def test_clean_and_drop_empty_single_chain(spark):
     plan = out._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("regexp_replace") == plan.count("regexp_replace")  # compiled
     assert "Filter" not in plan or plan.count("RegExpReplace") <= 8
+
+
+def test_quantile_chunks_do_not_change_result(spark):
+    import random
+    rnd = random.Random(3)
+    rows = []
+    for k in range(3):
+        for pos in range(400 if k == 0 else 40):   # key 0 is the hot one
+            rows.append((k, pos * 10 + k, 1 if (pos // rnd.choice([1, 3, 30])) % 2 == 0 else 2, f"t{pos}",
+                         f"{k}.{pos}", rnd.random() < 0.05))
+    df = spark.createDataFrame(rows, "k int, pos long, speaker int, text string, utterance_id string, is_ref boolean")
+
+    def norm(**kw):
+        return sorted((r["k"], r["pos"], r["text"], tuple(r["utterance_ids"]))
+                      for r in merge_turns(df, "k", "pos", **kw).collect())
+
+    assert norm(chunk="quantile") == norm(chunk=None)
+    from dialframe.operators.folds import quantile_buckets
+    sizes = quantile_buckets(df, F.col("pos"), "b", buckets=16).groupBy("b").count().collect()
+    assert max(r["count"] for r in sizes) <= 2 * 520 / 16 + 2
