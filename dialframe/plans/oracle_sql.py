@@ -7,6 +7,8 @@ capture groups.  The classes below mirror Java's ``(?U)`` definitions.
 
 from __future__ import annotations
 
+from dialframe.functions import fixed
+
 # Java (?U)\s: the Unicode White_Space property.
 WS = r"\t\n\x0B\f\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}"
 # Java (?U)\w: alphabetic, marks, decimal digits, connector punctuation, joiners.
@@ -55,11 +57,12 @@ def clean_sql(x: str) -> str:
     t = f"regexp_replace(regexp_replace({t}, {run}, '\\1응\\2', 'g'), {run}, '\\1응\\2', 'g')"
     t = f"regexp_replace({t}, '\\.{{4,}}', '...', 'g')"
     t = f"regexp_replace({t}, '\\?{{2,}}', '??', 'g')"
-    t = f"translate({t}, '~!><@_/-ᆢ:;()^', '')"
-    for stem in ("안녕", "반갑습"):
+    t = f"translate({t}, '{fixed.SPECIAL_CHARACTERS}', '')"
+    for stem in fixed.GREETING_STEMS:
         t = f"regexp_replace({t}, '(^|[^{WORD}]){stem}[{WORD}]*', '\\1', 'g')"
-    t = f"replace(replace({t}, 'name1', '화자1'), 'name2', '화자2')"
-    t = f"regexp_replace({t}, '[ㄱ-ㅎㅏ-ㅣ]+', '', 'g')"
+    for old, new in fixed.NAME_ALIASES:
+        t = f"replace({t}, '{old}', '{new}')"
+    t = f"regexp_replace({t}, '{fixed.JAMO_CLASS}+', '', 'g')"
     return t
 
 
