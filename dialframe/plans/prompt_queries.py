@@ -220,3 +220,47 @@ def kfold_roles(spark: SparkSession, sf_dir: str) -> DataFrame:
 def prompt_all_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _prompts(spark, sf_dir, list(VARIANTS)).select(
         "conv_id", "variant", F.col("user").alias("prompt"), "target", "label")
+
+
+def _id_arithmetic_scorer():
+    """Deterministic stand-in for a model: A/B/C logits from the source token ids."""
+    import numpy as np
+
+    def score(pdf):
+        out = np.zeros((len(pdf), 3))
+        for i, ids in enumerate(pdf["input_ids"]):
+            a = np.asarray(ids, dtype="int64")
+            if len(a):
+                out[i] = (a.sum() % 7, len(a) % 5, a[-1] % 3)
+        return out
+    return score
+
+
+@register("variant_vote", "Q9, E1, I1-I4, A13 end to end: 5 variants -> encode -> score -> vote", oracle=f"""
+WITH {_RAW_BLOCKS},
+p AS ({" UNION ALL ".join(
+    f"SELECT conv_id, {i} AS rank, "
+    + (f"concat({_lit(fixed.DEFAULT_SYSTEM_TEXT)}, chr(10), {_user_sql(n)}, chr(10))" if VARIANTS[n].system_text
+       else f"concat({_user_sql(n)}, chr(10))") + " AS src FROM x"
+    for i, n in enumerate(VARIANTS, start=1))}),
+enc AS (SELECT conv_id, rank, {_codepoints_sql('src')} AS ids FROM p),
+s AS (SELECT conv_id, rank, CAST(list_sum(ids) % 7 AS DOUBLE) AS a, CAST(len(ids) % 5 AS DOUBLE) AS b,
+             CAST(ids[-1] % 3 AS DOUBLE) AS c FROM enc),
+votes AS (SELECT conv_id, rank, concat('inference_', CASE WHEN a >= b AND a >= c THEN 1 WHEN b >= c THEN 2 ELSE 3 END)
+          AS output FROM s),
+per AS (SELECT conv_id, output, count(*) AS c, min(rank) AS r FROM votes GROUP BY conv_id, output),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY conv_id ORDER BY c DESC, r ASC) AS pos,
+                  CAST(sum(c) OVER (PARTITION BY conv_id) AS BIGINT) AS n_votes FROM per)
+SELECT conv_id, output, c AS votes, n_votes FROM ranked WHERE pos = 1""")
+def variant_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from dialframe.operators.score import predict_from_scores, score_batches, source_only
+    from dialframe.operators.vote import hard_vote
+
+    names = list(VARIANTS)
+    prompts = _prompts(spark, sf_dir, names)
+    enc = encode_examples(prompts, keep=("conv_id", "variant"))
+    scored = score_batches(source_only(enc, ["conv_id", "variant"]), _id_arithmetic_scorer, ["conv_id", "variant"])
+    preds = predict_from_scores(scored, ["s_a", "s_b", "s_c"], ["conv_id", "variant"])
+    rank = F.element_at(F.create_map(*[x for i, n in enumerate(names, start=1) for x in (F.lit(n), F.lit(i))]),
+                        F.col("variant"))
+    return hard_vote(preds.select("conv_id", "output", rank.alias("rank")), "conv_id", "output", "rank")
