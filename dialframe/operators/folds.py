@@ -14,7 +14,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from dialframe.session import ensure_checkpoint_dir, num_partitions
+from dialframe.session import materialize, num_partitions
 
 MIN_BUCKETS = 64
 MAX_BUCKETS = 1 << 14
@@ -64,8 +64,7 @@ def with_global_index(df: DataFrame, order: str | Sequence[str], out: str = "idx
     """
     order = _as_list(order)
     if checkpoint:
-        ensure_checkpoint_dir(df.sparkSession)
-        df = df.checkpoint(eager=True)
+        df = materialize(df, "index-input")
     keyed = quantile_buckets(df, F.col(order[0]), "_bucket", buckets)
     counts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     # At most `buckets` rows: one small ordered pass for the running offsets.

@@ -19,9 +19,11 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialframe.functions.text import DEFAULT_CLEAN, CleanConfig, clean_utterance, strip_unicode
-from dialframe.session import ensure_checkpoint_dir
+from dialframe.session import materialize
 
 DEFAULT_CHUNK_ROWS = 1 << 16
+# Links are (key, chunk, 2 structs): a million rows stay well inside a broadcast.
+LINK_BROADCAST_ROWS = 1_000_000
 
 
 def _as_list(x: str | Sequence[str]) -> list[str]:
@@ -165,9 +167,9 @@ def merge_turns(df: DataFrame, key: str | Sequence[str], order: str | Sequence[s
     ``chunk_key`` (default: the first order column) at approximate quantiles of
     the whole frame, so no chunk of any key holds more than about
     ``rows / buckets`` rows.  Runs are first built per (key, chunk)
-    with one window; the per-chunk pieces are then written once to the
-    checkpoint directory (reliable, lineage cut) and runs that cross a chunk
-    boundary are stitched from a table of at most two boundary pieces per chunk.
+    with one window; the per-chunk pieces are then written once as Parquet to
+    the checkpoint directory (lineage cut) and runs that cross a chunk boundary
+    are stitched from a table of at most two boundary pieces per chunk.
     ``chunk=None`` is the single-pass plan for keys known to be small: a whole
     key is one window partition and nothing is materialized.  The result does not
     depend on the chunking.
@@ -214,11 +216,11 @@ def merge_turns(df: DataFrame, key: str | Sequence[str], order: str | Sequence[s
     if chunk is None:
         return finish(pieces)
 
-    # Materialize the pieces once: the boundary table, the link join and the two
-    # output branches below all read them, and none recomputes scan + clean + window.
-    pieces = pieces.withColumn("_nrun", F.max("_run").over(Window.partitionBy(*keys, "_chunk")))
-    ensure_checkpoint_dir(pieces.sparkSession)
-    pieces = pieces.checkpoint(eager=True)
+    # Materialize the pieces once (Parquet under the checkpoint dir): the boundary
+    # table, the link join and the two output branches below all read them, none
+    # recomputes scan + clean + window, and the boundary step reads no text.
+    pieces = materialize(
+        pieces.withColumn("_nrun", F.max("_run").over(Window.partitionBy(*keys, "_chunk"))), "merge-pieces")
 
     # Boundary pieces only (first and last run of every chunk), without text.
     bounds = (pieces.select(*keys, "_chunk", "_run", "_spk", "_first_ref", "_last_ref")
@@ -240,7 +242,10 @@ def merge_turns(df: DataFrame, key: str | Sequence[str], order: str | Sequence[s
         F.max(F.when(F.col("_run") != 1, F.col("_run"))).alias("_rn"),
         F.max(F.when(F.col("_run") != 1, F.col("_head"))).alias("_hn"))
 
-    # Equi-join on exactly (key, chunk): the pieces keep their partitioning.
+    # One row per chunk with a crossing run: broadcast when its counted size allows,
+    # otherwise an equi-join on (key, chunk).  The count reads the small columns only.
+    if links.count() <= LINK_BROADCAST_ROWS:
+        links = F.broadcast(links)
     j = pieces.join(links, [*keys, "_chunk"], "left").withColumn(
         "_lhead", F.when(F.col("_run") == 1, F.col("_h1")).when(F.col("_run") == F.col("_rn"), F.col("_hn")))
 

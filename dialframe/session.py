@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 
 from pyspark.sql import SparkSession
 
@@ -79,3 +80,18 @@ def default_parallelism(spark: SparkSession, default: int = 8) -> int:
         return spark.sparkContext.defaultParallelism
     except Exception:
         return default
+
+
+def materialize(df, name: str):
+    """Write ``df`` once as Parquet under the checkpoint dir and return a reader of it.
+
+    Cuts the lineage like ``checkpoint()`` but in one job (a reliable RDD
+    checkpoint computes its input twice), and later readers prune columns.
+    """
+    spark = df.sparkSession
+    base = ensure_checkpoint_dir(spark)
+    if not base:  # no SparkContext (Spark Connect): let the server checkpoint
+        return df.checkpoint(eager=True)
+    path = f"{base.rstrip('/')}/dialframe-{name}-{uuid.uuid4().hex}"
+    df.write.mode("overwrite").parquet(path)
+    return spark.read.parquet(path)
