@@ -191,17 +191,22 @@ def merge_turns(df: DataFrame, key: str | Sequence[str], order: str | Sequence[s
            | ~F.col("_spk").eqNullSafe(F.lag("_spk").over(w))
            | F.col("_ref") | F.coalesce(F.lag("_ref").over(w), F.lit(False)))
     marked = rows.withColumn("_brk", brk.cast("int"))
-    marked = marked.withColumn("_run", F.sum("_brk").over(w.rowsBetween(Window.unboundedPreceding, 0)))
+    # Run number (running sum) and runs per chunk (whole-partition sum) come out of
+    # the same window operator: one sort.
+    marked = marked.select(
+        "*", F.sum("_brk").over(w.rowsBetween(Window.unboundedPreceding, 0)).alias("_run"),
+        F.sum("_brk").over(w.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)).alias("_nrun"))
 
     ord_struct = F.struct(*[F.col(o) for o in order])
+    # Only hash-friendly aggregates (collect_list, count, max of an int): no sort-based
+    # aggregation; speaker, start and reference flags are read off the sorted parts.
     pieces = marked.groupBy(*keys, "_chunk", "_run").agg(
-        F.min("_spk").alias("_spk"),
-        F.min(ord_struct).alias("_start"),
-        F.array_sort(F.collect_list(F.struct(ord_struct.alias("o"), "_txt", "_uid"))).alias("_parts"),
-        F.min_by("_ref", ord_struct).alias("_first_ref"),
-        F.max_by("_ref", ord_struct).alias("_last_ref"),
+        F.array_sort(F.collect_list(F.struct(ord_struct.alias("o"), "_txt", "_uid", "_ref", "_spk"))).alias("_parts"),
         F.count(F.lit(1)).alias("_n"),
-    )
+        F.max("_nrun").alias("_nrun"),
+    ).select(*keys, "_chunk", "_run", "_nrun", "_parts", "_n",
+             F.get("_parts", 0)["_spk"].alias("_spk"), F.get("_parts", 0)["o"].alias("_start"),
+             F.get("_parts", 0)["_ref"].alias("_first_ref"), F.element_at("_parts", -1)["_ref"].alias("_last_ref"))
 
     def finish(p: DataFrame, parts: str = "_parts") -> DataFrame:
         joined = strip_unicode(F.array_join(F.transform(parts, lambda x: x["_txt"]), " "))
@@ -219,8 +224,7 @@ def merge_turns(df: DataFrame, key: str | Sequence[str], order: str | Sequence[s
     # Materialize the pieces once (Parquet under the checkpoint dir): the boundary
     # table, the link join and the two output branches below all read them, none
     # recomputes scan + clean + window, and the boundary step reads no text.
-    pieces = materialize(
-        pieces.withColumn("_nrun", F.max("_run").over(Window.partitionBy(*keys, "_chunk"))), "merge-pieces")
+    pieces = materialize(pieces, "merge-pieces")
 
     # Boundary pieces only (first and last run of every chunk), without text.
     bounds = (pieces.select(*keys, "_chunk", "_run", "_spk", "_first_ref", "_last_ref")

@@ -94,4 +94,4 @@ def materialize(df, name: str):
         return df.checkpoint(eager=True)
     path = f"{base.rstrip('/')}/dialframe-{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    return spark.read.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
