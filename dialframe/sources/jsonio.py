@@ -117,21 +117,32 @@ def prediction_file_names(names: Sequence[str]) -> list[str]:
     return [n if n.endswith(".json") else f"{n}.json" for n in names]
 
 
+def _source_index(paths: Sequence[str]) -> Column:
+    """1-based position of the given path a row was read from (a file, or a directory of part files)."""
+    fp = F.col("_metadata.file_path")
+    idx = None
+    for i, p in enumerate(paths, start=1):
+        p = p.rstrip("/")
+        hit = fp.endswith(p) | fp.contains(p + "/")
+        idx = F.when(hit, F.lit(i)) if idx is None else idx.when(hit, F.lit(i))
+    return idx
+
+
 def read_prediction_sets(spark: SparkSession, base_dir: str, names: Sequence[str], multi_line: bool = True
                          ) -> DataFrame:
     """Prediction sets in recipe order: (id, output, rank, model) with rank 1 = first name.
 
     Missing files raise ``FileNotFoundError`` before any job runs.  One scan
-    reads all files; the rank comes from a literal map of the (few) file names.
+    reads all sets (files, or directories written by Spark); the rank comes from
+    the path a row was read from.
     """
     files = prediction_file_names(names)
     paths = [os.path.join(base_dir, f) for f in files]
     _require_paths(spark, paths)
     df = spark.read.schema(PREDICTION_READ_SCHEMA).option("multiLine", multi_line).json(paths)
-    ranks = F.create_map(*[x for i, f in enumerate(files, start=1) for x in (F.lit(f), F.lit(i))])
-    fname = F.col("_metadata.file_name")
-    return df.select("id", "output", F.element_at(ranks, fname).alias("rank"),
-                     F.regexp_replace(fname, r"\.json$", "").alias("model"))
+    rank = _source_index(paths)
+    model = F.element_at(F.array(*[F.lit(f[:-len(".json")]) for f in files]), rank)
+    return df.select("id", "output", rank.alias("rank"), model.alias("model"))
 
 
 def fold_prediction_paths(output: str, k: int) -> list[str]:
@@ -145,8 +156,7 @@ def read_fold_predictions(spark: SparkSession, output: str, k: int, multi_line:
     paths = fold_prediction_paths(output, k)
     _require_paths(spark, paths)
     df = spark.read.schema(PREDICTION_READ_SCHEMA).option("multiLine", multi_line).json(paths)
-    fold = F.regexp_extract(F.col("_metadata.file_name"), r"_fold_(\d+)\.json$", 1).cast("int")
-    return df.select("id", "output", fold.alias("rank"))
+    return df.select("id", "output", _source_index(paths).alias("rank"))
 
 
 def prediction_set_name(variant: str, model_id: str, method: str, lr: str, refined: bool) -> str:
@@ -161,3 +171,13 @@ def recipe_frame(spark: SparkSession) -> DataFrame:
     rows = [(r, v, ref, m, meth, lr, prediction_set_name(v, m, meth, lr, ref)) for r, v, ref, m, meth, lr in fixed.RECIPE]
     return spark.createDataFrame(rows, "rank int, variant string, refined boolean, model string, method string, "
                                        "lr string, name string")
+
+
+def write_fold_predictions(preds: DataFrame, output: str, k: int, fold: str = "fold",
+                           id_col: str = "id", label: str = "output") -> list[str]:
+    """Write one prediction set per fold to ``<output>_fold_<i>.json``, skipping sets that exist
+    (resume after an interruption).  The loop is over the k folds, each write a Spark job."""
+    paths = fold_prediction_paths(output, k)
+    for i, path in enumerate(paths, start=1):
+        write_if_absent(preds.where(F.col(fold) == i).select(id_col, label), path)
+    return paths

@@ -176,3 +176,15 @@ def test_streaming_clean_of_utterances(spark):
     q.awaitTermination(120)
     got = sorted((r["conv_id"], r["turn"], r["text"]) for r in spark.sql("SELECT * FROM clean_stream_test").collect())
     assert got == [(1, 0, "응 좋아"), (2, 0, "화자1 왔어")]
+
+
+def test_fold_prediction_sets_resume(spark):
+    from dialframe.sources.jsonio import write_fold_predictions
+    d = tempfile.mkdtemp(prefix="dialframe-fold-", dir="/tmp")
+    stem = os.path.join(d, "model.json")
+    first = spark.createDataFrame([("q0", "inference_1", 1), ("q0", "inference_2", 2)], "id string, output string, fold int")
+    write_fold_predictions(first, stem, 2)
+    second = spark.createDataFrame([("q0", "inference_3", 1), ("q0", "inference_3", 2)], "id string, output string, fold int")
+    write_fold_predictions(second, stem, 2)          # both folds exist: nothing is redone
+    got = sorted((r["rank"], r["output"]) for r in read_fold_predictions(spark, stem, 2, multi_line=False).collect())
+    assert got == [(1, "inference_1"), (2, "inference_2")]
