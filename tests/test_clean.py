@@ -37,3 +37,12 @@ def test_squeeze(spark):
     df = spark.createDataFrame([("ㅋ",), ("ㅋㅋㅋㅋ",), ("ㅎㅎㅎ하",), ("ㄷㄷㄷ",)], "t string")
     out = [r[0] for r in df.select(squeeze_jamo_runs(F.col("t"))).collect()]
     assert out == ["ㅋㅋ", "ㅋㅋ", "ㅎㅎ하", "ㄷㄷ"]
+
+
+def test_unicode_class_edges(spark):
+    # \s is the White_Space property (U+001C..U+001F are not in it), strip() also removes them;
+    # \w includes letter numbers, connector punctuation, join controls and other-alphabetic symbols.
+    cases = [("OK\x1c", ""), ("Ⅻ", "Ⅻ"), ("Ⓐ", "Ⓐ"), ("가\x1c", "가"), ("a‿b", "a‿b"), ("²", "")]
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, t string")
+    got = dict(df.select("i", clean_utterance("t").alias("c")).collect())
+    assert [got[i] for i in range(len(cases))] == [c[1] for c in cases]
