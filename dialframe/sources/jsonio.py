@@ -181,3 +181,10 @@ def write_fold_predictions(preds: DataFrame, output: str, k: int, fold: str = "f
     for i, path in enumerate(paths, start=1):
         write_if_absent(preds.where(F.col(fold) == i).select(id_col, label), path)
     return paths
+
+
+def id_sequence(id_col: Column | str) -> Column:
+    """The trailing number of an example id (``...-train-000042`` -> 42): the file order of the
+    examples of a split, usable as the numeric order key of the row index and K-fold."""
+    c = F.col(id_col) if isinstance(id_col, str) else id_col
+    return F.regexp_extract(c, r"(\d+)$", 1).try_cast("bigint")

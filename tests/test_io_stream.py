@@ -188,3 +188,20 @@ def test_fold_prediction_sets_resume(spark):
     write_fold_predictions(second, stem, 2)          # both folds exist: nothing is redone
     got = sorted((r["rank"], r["output"]) for r in read_fold_predictions(spark, stem, 2, multi_line=False).collect())
     assert got == [(1, "inference_1"), (2, "inference_2")]
+
+
+def test_cli_commands(spark, src_dir):
+    from dialframe.cli import main
+    from dialframe.sources.jsonio import id_sequence
+    out = tempfile.mkdtemp(prefix="dialframe-cli-", dir="/tmp")
+    main(["refine", src_dir, out + "/refined"], spark=spark)
+    assert len(glob.glob(out + "/refined/split=train/*.json")) >= 1
+    main(["eda", src_dir, out + "/eda"], spark=spark)
+    sizes = {r["split"]: int(r["n"]) for r in spark.read.option("header", True).csv(out + "/eda/split_sizes").collect()}
+    assert sizes == {"train": 1, "dev": 1, "train+dev": 2}
+    main(["prompts", src_dir, out + "/prompts", "--variant", "v1", "CustomRefInstructionDataset"], spark=spark)
+    enc = spark.read.parquet(out + "/prompts")
+    assert sorted(r["variant"] for r in enc.select("variant").distinct().collect()) == ["v1", "v4"]
+    assert enc.where("n_source > 0").count() == 4
+    ids = spark.createDataFrame([("x-dev-000042",), ("nope",)], "id string")
+    assert [r[0] for r in ids.select(id_sequence("id")).collect()] == [42, None]
