@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 
 from dialframe.functions import fixed
 from dialframe.operators.folds import with_global_index
+from dialframe.session import ship_package
 
 Encoder = Callable[[Column], Column]
 
@@ -35,7 +36,13 @@ def pandas_encoder(encode_batch: Callable[[list[str]], list[list[int]]]) -> Enco
         out = encode_batch([t if t is not None else "" for t in texts.tolist()])
         return pd.Series([list(map(int, ids)) for ids in out])
 
-    return lambda c: _encode(c)
+    def apply(c: Column) -> Column:
+        from pyspark.sql import SparkSession
+        active = SparkSession.getActiveSession()
+        if active is not None:
+            ship_package(active)
+        return _encode(c)
+    return apply
 
 
 @dataclass(frozen=True)

@@ -13,6 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialframe.operators.prompts import index_to_output
+from dialframe.session import ship_package
 
 # A scorer factory returns ``score(batch: pandas.DataFrame) -> numpy array (n, 3)``.
 ScorerFactory = Callable[[], Callable]
@@ -59,6 +60,7 @@ def score_batches(df: DataFrame, factory: ScorerFactory, keep: Sequence[str],
 
     The scorer is built once per Python worker and reused across batches and tasks.
     """
+    ship_package(df.sparkSession)
     fields = [f for f in df.schema.fields if f.name in keep]
     key_schema = key_types or ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
     schema = key_schema + ", " + ", ".join(f"{s} double" for s in out_scores)

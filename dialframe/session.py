@@ -95,3 +95,38 @@ def materialize(df, name: str):
     path = f"{base.rstrip('/')}/dialframe-{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_SHIPPED: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Make ``dialframe`` importable by the Python workers (once per application).
+
+    Python UDFs and ``mapInPandas`` functions are pickled by reference to their
+    module; the package is zipped and added with ``addPyFile`` (Spark's own file
+    distribution, as ``--py-files`` does), unless the workers can import it already.
+    """
+    import zipfile
+
+    try:
+        sc = spark.sparkContext
+        app = sc.applicationId
+    except Exception:  # Spark Connect: ship as an artifact
+        sc, app = None, "connect"
+    if app in _SHIPPED:
+        return
+    pkg = os.path.dirname(os.path.abspath(__file__))
+    fd, path = tempfile.mkstemp(prefix="dialframe-pkg-", suffix=".zip", dir="/tmp")
+    os.close(fd)
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for root, _dirs, files in os.walk(pkg):
+            for f in files:
+                if f.endswith(".py"):
+                    full = os.path.join(root, f)
+                    z.write(full, os.path.relpath(full, os.path.dirname(pkg)))
+    if sc is not None:
+        sc.addPyFile(path)
+    else:
+        spark.addArtifacts(path, pyfile=True)
+    _SHIPPED.add(app)
