@@ -283,11 +283,53 @@ def nest_turns(df: DataFrame, key: str | Sequence[str], order: str | Sequence[st
     return whole.select(*keys, F.transform("_items", lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(out))
 
 
+def merge_examples(examples: DataFrame, conversation: str = "conversation", reference_id: str = "reference_id",
+                   ids_are_arrays: bool = True) -> DataFrame:
+    """Merge runs in every example's conversation array, in time linear in its turns.
+
+    The run starts are found with O(1) neighbour lookups and the runs are slices
+    between consecutive starts.  Both arrays are staged as columns that the later
+    expressions reference several times, so the optimizer keeps them computed
+    once instead of inlining them into per-element lambdas.
+    """
+    c = F.col("_m_conv")
+    refs = F.col(reference_id)
+    n = F.size(c)
+
+    def first_id(u: Column) -> Column:
+        return F.get(u["utterance_id"], 0) if ids_are_arrays else u["utterance_id"]
+
+    def last_id(u: Column) -> Column:
+        return F.element_at(u["utterance_id"], -1) if ids_are_arrays else u["utterance_id"]
+
+    def is_start(i: Column) -> Column:
+        cur, prev = F.get(c, i), F.get(c, i - 1)
+        return ((i == 0) | ~cur["speaker"].eqNullSafe(prev["speaker"])
+                | F.coalesce(F.array_contains(refs, first_id(cur)), F.lit(False))
+                | F.coalesce(F.array_contains(refs, last_id(prev)), F.lit(False)))
+
+    staged = examples.withColumn("_m_conv", F.col(conversation))
+    staged = staged.withColumn("_m_starts", F.when(n > 0, F.filter(F.sequence(F.lit(0), n - 1), is_start))
+                               .otherwise(F.array().cast("array<int>")))
+    st = F.col("_m_starts")
+
+    def run(s: Column, k: Column) -> Column:
+        part = F.slice(c, s + 1, F.coalesce(F.get(st, k + 1), n) - s)
+        ids = (F.flatten(F.transform(part, lambda u: u["utterance_id"])) if ids_are_arrays
+               else F.transform(part, lambda u: u["utterance_id"]))
+        return F.struct(F.get(part, 0)["speaker"].alias("speaker"),
+                        strip_unicode(F.array_join(F.transform(part, lambda u: u["utterance"].cast("string")), " "))
+                        .alias("utterance"),
+                        ids.alias("utterance_id"))
+
+    merged = F.filter(F.transform(st, run), lambda u: u["utterance"] != F.lit(""))
+    return staged.withColumn(conversation, merged).drop("_m_conv", "_m_starts")
+
+
 def refine_examples(examples: DataFrame, cfg: CleanConfig = DEFAULT_CLEAN, ids_are_arrays: bool = True) -> DataFrame:
     """The refine job on nested examples: clean, drop empty, merge - all inside the row, no shuffle."""
-    conv = merge_conversation(clean_conversation(F.col("conversation"), cfg), F.col("reference_id"),
-                              ids_are_arrays=ids_are_arrays)
-    return examples.withColumn("conversation", conv)
+    cleaned = examples.withColumn("conversation", clean_conversation(F.col("conversation"), cfg))
+    return merge_examples(cleaned, ids_are_arrays=ids_are_arrays)
 
 
 def example_lengths(examples: DataFrame, keep: Sequence[str] = ("id", "split")) -> DataFrame:

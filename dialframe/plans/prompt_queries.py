@@ -9,7 +9,7 @@ from dialframe.functions import fixed
 from dialframe.operators.encode import encode_examples, pad_batches
 from dialframe.operators.folds import fold_roles, kfold
 from dialframe.operators.prompts import VARIANTS, build_prompts
-from dialframe.operators.turns import nest_turns, refine_conversation
+from dialframe.operators.turns import nest_turns, refine_examples
 from dialframe.plans.oracle_sql import CLEAN_STAGES, EXAMPLES_VIEW, MERGE_STAGES, NOISE_VIEW
 from dialframe.plans.registry import register
 from dialframe.sources.tables import example_head_columns, example_heads, noise_utterances, read_table
@@ -38,7 +38,7 @@ def examples_nested(spark: SparkSession, sf_dir: str, refined: bool = False) ->
                    .alias("reference_id"),
                    *example_head_columns(F.col("conv_id")))
     if refined:
-        ex = ex.withColumn("conversation", refine_conversation(F.col("conversation"), F.col("reference_id")))
+        ex = refine_examples(ex, ids_are_arrays=False)
     return ex
 
 

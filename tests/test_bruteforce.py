@@ -115,3 +115,18 @@ def test_votes_vs_python(spark):
                                "id string, output string, rank int")
     got = {r["id"]: r["output"] for r in hard_vote(df).collect()}
     assert got == {q: max(vs, key=vs.count) for q, vs in cases.items()}
+
+
+def test_staged_nested_merge_vs_python(spark):
+    from dialframe.operators.turns import merge_examples
+    cases = _random_cases(23, n_cases=120)
+    nested = spark.createDataFrame(
+        [(k, [{"speaker": s, "utterance": t, "utterance_id": [u]} for s, t, u in rows], refs)
+         for k, (rows, refs) in enumerate(cases)],
+        "k int, conversation array<struct<speaker:int,utterance:string,utterance_id:array<string>>>, "
+        "reference_id array<string>")
+    got = {r["k"]: [(u["speaker"], u["utterance"], list(u["utterance_id"])) for u in r["conversation"]]
+           for r in merge_examples(nested).collect()}
+    assert got == {k: py_merge(rows, set(refs)) for k, (rows, refs) in enumerate(cases)}
+    plan = merge_examples(nested)._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("filter(sequence(") == 1     # the run starts are computed once
