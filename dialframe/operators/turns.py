@@ -56,7 +56,9 @@ def merge_conversation(conversation: Column, reference_ids: Column, ids_are_arra
     utterance, and right after a reference utterance.  Texts of a run are joined
     with one space and stripped; ids are kept in order as ``array<string>``; a run
     whose text is blank is dropped.  One left fold over the array: the input
-    expression is evaluated once.
+    expression is evaluated once, but the fold copies the runs built so far at
+    every step (quadratic in the turns of one example); :func:`merge_examples`
+    is the linear DataFrame-level form.
     """
     run_t = "array<struct<speaker:{s},texts:array<string>,ids:array<string>>>"
 
@@ -283,6 +285,10 @@ def nest_turns(df: DataFrame, key: str | Sequence[str], order: str | Sequence[st
     return whole.select(*keys, F.transform("_items", lambda x: F.struct(*[x[f].alias(f) for f in fields])).alias(out))
 
 
+# ---------------------------------------------------------------------------
+# nested form, DataFrame level
+# ---------------------------------------------------------------------------
+
 def merge_examples(examples: DataFrame, conversation: str = "conversation", reference_id: str = "reference_id",
                    ids_are_arrays: bool = True) -> DataFrame:
     """Merge runs in every example's conversation array, in time linear in its turns.
