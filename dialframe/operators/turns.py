@@ -249,8 +249,12 @@ def merge_turns(df: DataFrame, key: str | Sequence[str], order: str | Sequence[s
         F.max(F.when(F.col("_run") != 1, F.col("_head"))).alias("_hn"))
 
     # One row per chunk with a crossing run: broadcast when its counted size allows,
-    # otherwise an equi-join on (key, chunk).  The count reads the small columns only.
-    if links.count() <= LINK_BROADCAST_ROWS:
+    # otherwise an equi-join on (key, chunk).  The count reads the small columns only;
+    # when no run crosses a chunk (the usual case) the pieces are the runs.
+    n_links = links.count()
+    if n_links == 0:
+        return finish(pieces)
+    if n_links <= LINK_BROADCAST_ROWS:
         links = F.broadcast(links)
     j = pieces.join(links, [*keys, "_chunk"], "left").withColumn(
         "_lhead", F.when(F.col("_run") == 1, F.col("_h1")).when(F.col("_run") == F.col("_rn"), F.col("_hn")))
