@@ -99,3 +99,26 @@ def reference_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     runs = refined_turns_df(spark, sf_dir).where(F.size("utterance_ids") == 1).select(
         "conv_id", "start_turn", "speaker", "text", F.get("utterance_ids", 0).alias("utterance_id"))
     return runs.join(refs, ["conv_id", "utterance_id"], "left_semi").select("conv_id", "start_turn", "speaker", "text")
+
+
+@register("merge_event_stream", "W1 with one key holding every row (skew: quantile chunks)", oracle="""
+WITH e AS (SELECT ts, event_id, event_type, props, event_type = 'purchase' AS is_ref FROM events),
+m AS (SELECT *, lag(event_type) OVER w AS pt, lag(is_ref) OVER w AS pr, row_number() OVER w AS rn
+      FROM e WINDOW w AS (ORDER BY ts, event_id)),
+b AS (SELECT *, CASE WHEN rn = 1 OR event_type <> pt OR is_ref OR pr THEN 1 ELSE 0 END AS brk FROM m),
+r AS (SELECT *, sum(brk) OVER (ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS run FROM b)
+SELECT arg_min(event_id, (ts, event_id)) AS start_event_id, min(event_type) AS event_type,
+       string_agg(props, ' ' ORDER BY ts, event_id) AS text,
+       string_agg(CAST(event_id AS VARCHAR), ',' ORDER BY ts, event_id) AS event_ids,
+       count(*) AS n_events
+FROM r GROUP BY run
+""")
+def merge_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
+    # All events form a single sequence: the one key holds every row, and the quantile
+    # chunks still cut it into pieces of about rows / buckets events for the window.
+    e = read_table(spark, sf_dir, "events", ["ts", "event_id", "event_type", "props"])
+    e = e.withColumn("stream", F.lit(0)).withColumn("is_ref", F.col("event_type") == F.lit("purchase"))
+    m = merge_turns(e, "stream", ["ts", "event_id"], speaker="event_type", text="props", uid="event_id",
+                    chunk="quantile", chunk_key=F.unix_micros(F.col("ts").cast("timestamp")))
+    return m.select(F.col("event_id").alias("start_event_id"), "event_type", F.col("props").alias("text"),
+                    F.array_join("utterance_ids", ",").alias("event_ids"), F.col("n_turns").alias("n_events"))
