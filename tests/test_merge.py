@@ -108,3 +108,13 @@ def test_quantile_chunks_do_not_change_result(spark):
     from dialframe.operators.folds import quantile_buckets
     sizes = quantile_buckets(df, F.col("pos"), "b", buckets=16).groupBy("b").count().collect()
     assert max(r["count"] for r in sizes) <= 2 * 520 / 16 + 2
+
+
+def test_quantile_chunks_bound_a_key_holding_every_row(spark):
+    from dialframe.operators.folds import quantile_buckets
+    ev = spark.read.parquet("/root/testdata/sf0.01/events.parquet").select("ts", "event_id")
+    n = ev.count()
+    b = quantile_buckets(ev, F.unix_micros(F.col("ts").cast("timestamp")), "chunk", buckets=64)
+    sizes = [r["count"] for r in b.groupBy("chunk").count().collect()]
+    assert len(sizes) >= 32 and sum(sizes) == n
+    assert max(sizes) <= 3 * n / 64        # about rows / buckets each, never the whole key
