@@ -46,3 +46,18 @@ def test_unicode_class_edges(spark):
     df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(cases)], "i int, t string")
     got = dict(df.select("i", clean_utterance("t").alias("c")).collect())
     assert [got[i] for i in range(len(cases))] == [c[1] for c in cases]
+
+
+def test_sql_functions_match_columns(spark):
+    from dialframe.functions.hangul import has_final_consonant
+    from dialframe.functions.sql_functions import register_sql_functions
+    from dialframe.operators.encode import code_points
+    names = register_sql_functions(spark)
+    assert "dialframe_clean" in names
+    df = spark.createDataFrame([(i, c[0]) for i, c in enumerate(CASES)], "i int, t string")
+    df.createOrReplaceTempView("clean_cases")
+    sql = spark.sql("SELECT i, dialframe_clean(t) AS c, dialframe_has_final_consonant(t) AS f, "
+                    "dialframe_code_points(t) AS p, dialframe_squeeze_jamo(t) AS q FROM clean_cases")
+    api = df.select("i", clean_utterance("t").alias("c"), has_final_consonant(F.col("t")).alias("f"),
+                    code_points(F.col("t")).alias("p"), squeeze_jamo_runs(F.col("t")).alias("q"))
+    assert sorted(map(tuple, sql.collect())) == sorted(map(tuple, api.collect()))
