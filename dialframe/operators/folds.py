@@ -36,7 +36,9 @@ def quantile_buckets(df: DataFrame, key: Column, out: str, buckets: int | None =
     from pyspark.ml.feature import Bucketizer
 
     if buckets is None:
-        buckets = min(MAX_BUCKETS, max(MIN_BUCKETS, 4 * num_partitions(df)))
+        buckets = max(MIN_BUCKETS, 4 * num_partitions(df))
+    # The cut points go to the driver and the per-bucket tables may be broadcast: cap them.
+    buckets = max(1, min(buckets, MAX_BUCKETS))
     keyed = df.withColumn("_qk", key.cast("double"))
     probs = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(keyed.approxQuantile("_qk", probs, 1.0 / (4 * buckets)))) if buckets > 1 else []
