@@ -54,8 +54,12 @@ def read_examples(spark: SparkSession, path: str | Sequence[str], multi_line: bo
     conv = F.transform("input.conversation", lambda u: F.struct(
         u["speaker"].alias("speaker"), u["utterance"].alias("utterance"),
         _ids_from_variant(u["utterance_id"]).alias("utterance_id")))
+    # Files written by this library sit in split=<name> directories (a partition column);
+    # the original layout names the split by the file stem.
+    split = (F.col("split") if "split" in raw.columns
+             else F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1))
     return raw.select(
-        "id", F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1).alias("split"),
+        "id", split.alias("split"),
         conv.alias("conversation"), F.col("input.reference_id").alias("reference_id"),
         F.col("input.category").alias("category"), F.col("input.inference_1").alias("inference_1"),
         F.col("input.inference_2").alias("inference_2"), F.col("input.inference_3").alias("inference_3"),

@@ -205,3 +205,15 @@ def test_cli_commands(spark, src_dir):
     assert enc.where("n_source > 0").count() == 4
     ids = spark.createDataFrame([("x-dev-000042",), ("nope",)], "id string")
     assert [r[0] for r in ids.select(id_sequence("id")).collect()] == [42, None]
+
+
+def test_cli_eda_on_refined_output(spark, src_dir):
+    from dialframe.cli import main
+    out = tempfile.mkdtemp(prefix="dialframe-cli2-", dir="/tmp")
+    main(["refine", src_dir, out + "/refined"], spark=spark)
+    main(["eda", out + "/refined", out + "/eda", "--json-lines"], spark=spark)
+    sizes = {r["split"]: int(r["n"]) for r in spark.read.option("header", True).csv(out + "/eda/split_sizes").collect()}
+    assert sizes == {"train": 1, "dev": 1, "train+dev": 2}
+    lens = {r["id"]: int(r["total_utterance_length"])
+            for r in spark.read.option("header", True).csv(out + "/eda/total_utterance_lengths").collect()}
+    assert lens["t-train-000001"] == len("응 좋아 진짜??") + len("화자1 최고")
