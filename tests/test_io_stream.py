@@ -217,3 +217,22 @@ def test_cli_eda_on_refined_output(spark, src_dir):
     lens = {r["id"]: int(r["total_utterance_length"])
             for r in spark.read.option("header", True).csv(out + "/eda/total_utterance_lengths").collect()}
     assert lens["t-train-000001"] == len("응 좋아 진짜??") + len("화자1 최고")
+
+
+def test_cli_vote(spark):
+    from dialframe.cli import main
+    d = tempfile.mkdtemp(prefix="dialframe-cli3-", dir="/tmp")
+    with open(os.path.join(d, "submission.json"), "w") as f:
+        json.dump([{"id": "q0", "output": ""}, {"id": "q1", "output": ""}], f)
+    for name, outs in {"a": ["inference_1", "inference_2"], "b": ["inference_2", "inference_3"],
+                       "c": ["inference_2", "inference_1"]}.items():
+        with open(os.path.join(d, f"{name}.json"), "w") as f:
+            json.dump([{"id": f"q{i}", "output": o} for i, o in enumerate(outs)], f)
+    main(["vote", "--submission", os.path.join(d, "submission.json"), "--output", d + "/final",
+          "--predictions-dir", d, "a", "b", "c"], spark=spark)
+    got = {r["id"]: r["output"] for r in spark.read.json(d + "/final").collect()}
+    # q0: 1,2,2 -> 2; q1: 2,3,1 -> all different, the first set wins
+    assert got == {"q0": "inference_2", "q1": "inference_2"}
+    with pytest.raises(ValueError):
+        main(["vote", "--submission", os.path.join(d, "submission.json"), "--output", d + "/x",
+              "--predictions-dir", d, "a"], spark=spark)
