@@ -152,13 +152,13 @@ def _chunk_column(order: list[str], chunk: Column | int | None) -> Column:
 
 def merge_turns(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str],
                 speaker: str = "speaker", text: str = "text", uid: str = "utterance_id",
-                is_ref: str = "is_ref", chunk: Column | int | str | None = DEFAULT_CHUNK_ROWS,
+                is_ref: str | None = "is_ref", chunk: Column | int | str | None = DEFAULT_CHUNK_ROWS,
                 chunk_key: Column | None = None) -> DataFrame:
     """Merge consecutive same-speaker rows of the long form (gaps and islands).
 
     ``df`` holds the surviving rows (empty texts already dropped), one per
     utterance.  A run starts at the first row of a key, on a speaker change, at a
-    reference row and right after one.  Output: ``key``, the ``order`` values of
+    reference row and right after one (``is_ref=None``: no reference rows).  Output: ``key``, the ``order`` values of
     the run's first row, ``speaker``, ``text`` (joined with one space, stripped),
     ``utterance_ids`` (array, in order), ``n_turns`` and ``is_ref`` (the run is a
     reference row; such a run is always a single row); blank runs are dropped.
@@ -186,7 +186,8 @@ def merge_turns(df: DataFrame, key: str | Sequence[str], order: str | Sequence[s
         chunk_col = _chunk_column(order, chunk)
     rows = df.select(*keys, *order, F.col(speaker).alias("_spk"), F.col(text).cast("string").alias("_txt"),
                      F.col(uid).cast("string").alias("_uid"),
-                     F.coalesce(F.col(is_ref).cast("boolean"), F.lit(False)).alias("_ref"),
+                     (F.coalesce(F.col(is_ref).cast("boolean"), F.lit(False)) if is_ref else F.lit(False))
+                     .alias("_ref"),
                      chunk_col.alias("_chunk"))
     w = Window.partitionBy(*keys, "_chunk").orderBy(*order)
     brk = ((F.row_number().over(w) == 1)

@@ -118,3 +118,10 @@ def test_quantile_chunks_bound_a_key_holding_every_row(spark):
     sizes = [r["count"] for r in b.groupBy("chunk").count().collect()]
     assert len(sizes) >= 32 and sum(sizes) == n
     assert max(sizes) <= 3 * n / 64        # about rows / buckets each, never the whole key
+
+
+def test_merge_without_reference_column(spark):
+    df = spark.createDataFrame([(1, 0, 1, "a", "u0"), (1, 1, 1, "b", "u1"), (1, 2, 2, "c", "u2")],
+                               "k int, pos int, speaker int, text string, utterance_id string")
+    got = [(r["text"], list(r["utterance_ids"])) for r in merge_turns(df, "k", "pos", is_ref=None).orderBy("pos").collect()]
+    assert got == [("a b", ["u0", "u1"]), ("c", ["u2"])]
