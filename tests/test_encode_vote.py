@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 from dialframe.functions.hangul import has_final_consonant, with_particle
 from dialframe.operators.encode import code_points, encode_examples, pad_batches, pandas_encoder
 from dialframe.operators.folds import fold_roles, kfold, with_global_index
-from dialframe.operators.prompts import gold_index, question_text
+from dialframe.operators.prompts import gold_index
 from dialframe.operators.score import argmax_first, predict_from_scores, score_batches, softmax
 from dialframe.operators.vote import accuracy, attach_predictions, hard_vote, validate_prediction_sets
 

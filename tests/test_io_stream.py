@@ -4,7 +4,6 @@ import os
 import tempfile
 
 import pytest
-from pyspark.sql import functions as F
 
 from dialframe.operators.prompts import build_prompts
 from dialframe.operators.turns import example_lengths, refine_examples
@@ -165,7 +164,6 @@ def test_ingest_and_split_pruning(spark, src_dir):
 
 
 def test_streaming_clean_of_utterances(spark):
-    import shutil
     from dialframe.streaming.refine_stream import clean_utterance_stream
     src = tempfile.mkdtemp(prefix="dialframe-us-", dir="/tmp")
     spark.createDataFrame([(1, 0, "ㅇㅇ 좋아"), (1, 1, "^^"), (2, 0, "name1 왔어")],
