@@ -178,6 +178,11 @@ def merge_turns(df: DataFrame, key: str | Sequence[str], order: str | Sequence[s
     """
     keys = _as_list(key)
     order = _as_list(order)
+    if isinstance(chunk, int) and not isinstance(chunk, bool):
+        kind = df.schema[order[0]].dataType.typeName()
+        if kind not in ("byte", "short", "integer", "long"):
+            raise ValueError(f"chunk={chunk} cuts an integral position, but {order[0]!r} is {kind}; "
+                             f"use chunk='quantile' (or a Column) for this order")
     if chunk == "quantile":
         from dialframe.operators.folds import quantile_buckets
         df = quantile_buckets(df, chunk_key if chunk_key is not None else F.col(order[0]), "_qchunk")

@@ -125,3 +125,10 @@ def test_merge_without_reference_column(spark):
                                "k int, pos int, speaker int, text string, utterance_id string")
     got = [(r["text"], list(r["utterance_ids"])) for r in merge_turns(df, "k", "pos", is_ref=None).orderBy("pos").collect()]
     assert got == [("a b", ["u0", "u1"]), ("c", ["u2"])]
+
+
+def test_integral_chunk_needs_integral_order(spark):
+    import pytest
+    df = spark.createDataFrame([(1, "2024-01-01 00:00:00", 1, "a", "u")], "k int, ts string, speaker int, text string, utterance_id string")
+    with pytest.raises(ValueError, match="quantile"):
+        merge_turns(df, "k", "ts", is_ref=None, chunk=10)
