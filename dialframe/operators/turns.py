@@ -142,6 +142,15 @@ def clean_and_drop_empty(df: DataFrame, text: str = "text", cfg: CleanConfig = D
     return df.select(*cols, cleaned.alias(out))
 
 
+def _one_chunk(df: DataFrame, position: str, chunk: int) -> bool:
+    """True when no position lies outside [0, chunk): every key then sits in one chunk.
+
+    A ``limit(1)`` probe whose filter reaches the scan (row-group statistics skip
+    almost everything), so the usual data takes the single-pass plan.
+    """
+    return df.where((F.col(position) >= chunk) | (F.col(position) < 0)).limit(1).count() == 0
+
+
 def _chunk_column(order: list[str], chunk: Column | int | None) -> Column:
     if isinstance(chunk, int):
         return F.floor(F.col(order[0]) / F.lit(chunk)).cast("bigint")
@@ -173,8 +182,9 @@ def merge_turns(df: DataFrame, key: str | Sequence[str], order: str | Sequence[s
     the checkpoint directory (lineage cut) and runs that cross a chunk boundary
     are stitched from a table of at most two boundary pieces per chunk.
     ``chunk=None`` is the single-pass plan for keys known to be small: a whole
-    key is one window partition and nothing is materialized.  The result does not
-    depend on the chunking.
+    key is one window partition and nothing is materialized; an ``int`` chunk
+    falls back to it when a probe finds no position past the first chunk.  The
+    result does not depend on the chunking.
     """
     keys = _as_list(key)
     order = _as_list(order)
@@ -183,6 +193,8 @@ def merge_turns(df: DataFrame, key: str | Sequence[str], order: str | Sequence[s
         if kind not in ("byte", "short", "integer", "long"):
             raise ValueError(f"chunk={chunk} cuts an integral position, but {order[0]!r} is {kind}; "
                              f"use chunk='quantile' (or a Column) for this order")
+        if _one_chunk(df, order[0], chunk):
+            chunk = None   # no key is long enough to be cut: single pass, nothing materialized
     if chunk == "quantile":
         from dialframe.operators.folds import quantile_buckets
         df = quantile_buckets(df, chunk_key if chunk_key is not None else F.col(order[0]), "_qchunk")
@@ -282,10 +294,17 @@ def nest_turns(df: DataFrame, key: str | Sequence[str], order: str | Sequence[st
 
     Two-level: rows are first collected per (key, chunk) - bounded groups, with
     map-side partial aggregation - and the sorted pieces are then concatenated
-    per key.  The output row holds the whole conversation by definition.
+    per key.  When a probe finds no position past the first chunk, one level
+    (one shuffle) does.  The output row holds the whole conversation by definition.
     """
     keys = _as_list(key)
     order = _as_list(order)
+    item_fields = [F.struct(*order).alias("_o"), *fields]
+    if isinstance(chunk, int) and _one_chunk(df, order[0], chunk):
+        # No key is long enough to be cut: one collect per key, one shuffle.
+        whole = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*item_fields))).alias("_items"))
+        return whole.select(*keys, F.transform("_items", lambda x: F.struct(*[x[f].alias(f) for f in fields]))
+                            .alias(out))
     chunk_col = _chunk_column(order, chunk)
     item = F.struct(F.struct(*order).alias("_o"), *fields)
     pieces = df.groupBy(*keys, chunk_col.alias("_chunk")).agg(F.array_sort(F.collect_list(item)).alias("_part"))
