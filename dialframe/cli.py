@@ -71,6 +71,15 @@ def cmd_prompts(spark: SparkSession, a: argparse.Namespace) -> None:
                             system_text=a.system_text, particle_mode=a.particle_mode)
     enc = encode_examples(prompts, keep=("id", "split", "variant", "system", "user"), mode=a.mode,
                           max_source_len=a.max_source_len)
+    if a.k_folds > 1:
+        from dialframe.operators.folds import kfold
+        from dialframe.sources.jsonio import id_sequence
+        # File order of the concatenated splits: train first, then dev, then the rest; within a
+        # split, the id's sequence number.  Every variant of an example lands in the same fold.
+        rank = F.when(F.col("split") == "train", 0).when(F.col("split") == "dev", 1).otherwise(2)
+        order = (rank.cast("bigint") * F.lit(10 ** 12) + id_sequence("id")).alias("_file_order")
+        folds = kfold(ex.select("id", "split", order), "_file_order", a.k_folds).select("id", "split", "fold")
+        enc = enc.join(folds, ["id", "split"])
     enc.write.mode("overwrite").partitionBy("split", "variant").parquet(a.out)
 
 
@@ -105,6 +114,7 @@ def build_parser() -> argparse.ArgumentParser:
     pr.add_argument("--eos", default="</s>")
     pr.add_argument("--system-text", default=None)
     pr.add_argument("--particle-mode", choices=["reference", "append"], default="reference")
+    pr.add_argument("--k-folds", type=int, default=1, help="add a 1-based fold column (contiguous, file order)")
     v = sub.add_parser("vote", help="hard vote over fold predictions or an ordered list of prediction sets")
     v.add_argument("--submission", required=True)
     v.add_argument("--output", required=True)

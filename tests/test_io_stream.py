@@ -201,6 +201,9 @@ def test_cli_commands(spark, src_dir):
     enc = spark.read.parquet(out + "/prompts")
     assert sorted(r["variant"] for r in enc.select("variant").distinct().collect()) == ["v1", "v4"]
     assert enc.where("n_source > 0").count() == 4
+    main(["prompts", src_dir, out + "/folds", "--variant", "v2", "--k-folds", "2"], spark=spark)
+    folds = {r["id"]: r["fold"] for r in spark.read.parquet(out + "/folds").collect()}
+    assert folds == {"t-train-000001": 1, "t-train-000002": 2}     # train before dev
     ids = spark.createDataFrame([("x-dev-000042",), ("nope",)], "id string")
     assert [r[0] for r in ids.select(id_sequence("id")).collect()] == [42, None]
 
