@@ -146,7 +146,9 @@ def _one_chunk(df: DataFrame, position: str, chunk: int) -> bool:
     """True when no position lies outside [0, chunk): every key then sits in one chunk.
 
     A ``limit(1)`` probe whose filter reaches the scan (row-group statistics skip
-    almost everything), so the usual data takes the single-pass plan.
+    almost everything), so the usual data takes the single-pass plan.  It is cheap
+    when the position is a stored column; a position computed late in the lineage
+    (after a generator) costs one pass over that lineage.
     """
     return df.where((F.col(position) >= chunk) | (F.col(position) < 0)).limit(1).count() == 0
 
