@@ -124,7 +124,8 @@ def histogram(df: DataFrame, value: str, step: int, group: str | Sequence[str] |
     """
     g = _as_list(group)
     v = F.col(value).cast("bigint")
-    raw = df.where(v.isNotNull()).groupBy(*g, F.floor(v / F.lit(step)).cast("bigint").alias("_rb")).agg(
+    # Values below the first edge (0) fall outside every bin, as with numpy's histogram.
+    raw = df.where(v >= 0).groupBy(*g, F.floor(v / F.lit(step)).cast("bigint").alias("_rb")).agg(
         F.count(F.lit(1)).alias("_n"), F.max(v).alias("_mx"))
     wg = Window.partitionBy(*g)
     wo = wg.orderBy("_rb")

@@ -56,3 +56,9 @@ def test_tokens_and_top_k(spark):
 def test_percent_text(spark):
     df = spark.createDataFrame([(12.5,), (100.0 / 3,)], "p double")
     assert [r[0] for r in df.select(percent_text("p")).collect()] == ["12.50%", "33.33%"]
+
+
+def test_histogram_ignores_negative_values(spark):
+    df = spark.createDataFrame([("g", -5), ("g", 3), ("g", 1), ("g", None)], "g string, v long")
+    # 1 and 3 remain: bins [0,1), [1,2), [2,3] with the top bin closed
+    assert [r["n"] for r in histogram(df, "v", 1, "g").orderBy("bin").collect()] == [0, 1, 1]
