@@ -55,10 +55,13 @@ def source_only(encoded: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 
 def score_batches(df: DataFrame, factory: ScorerFactory, keep: Sequence[str],
-                  out_scores: Sequence[str] = ("s_a", "s_b", "s_c"), key_types: str | None = None) -> DataFrame:
+                  out_scores: Sequence[str] = ("s_a", "s_b", "s_c"), key_types: str | None = None,
+                  batch_rows: int = 256) -> DataFrame:
     """Run ``factory()``'s scorer over Arrow batches of ``df``; returns ``keep`` + score columns.
 
-    The scorer is built once per Python worker and reused across batches and tasks.
+    The scorer is built once per Python worker and reused across batches and
+    tasks; it sees at most ``batch_rows`` rows per call, so the model's batch
+    memory stays bounded whatever the Arrow batch size.
     """
     ship_package(df.sparkSession)
     fields = [f for f in df.schema.fields if f.name in keep]
@@ -74,7 +77,9 @@ def score_batches(df: DataFrame, factory: ScorerFactory, keep: Sequence[str],
         if scorer is None:
             scorer = _SCORERS[fid] = factory()
         for pdf in batches:
-            s = np.asarray(scorer(pdf), dtype="float64").reshape(len(pdf), len(out_scores))
+            parts = [np.asarray(scorer(pdf.iloc[i:i + batch_rows]), dtype="float64").reshape(-1, len(out_scores))
+                     for i in range(0, len(pdf), batch_rows)]
+            s = np.concatenate(parts) if parts else np.zeros((0, len(out_scores)))
             out = pd.DataFrame({k: pdf[k] for k in keep})
             for i, name in enumerate(out_scores):
                 out[name] = s[:, i]

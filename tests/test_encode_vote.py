@@ -121,6 +121,9 @@ def test_score_batches_scorer_runs_once_per_worker(spark):
     df = spark.range(0, 20).select(F.col("id").alias("k"), (F.col("id") - 10).cast("double").alias("x"))
     got = {r["k"]: r["s_a"] for r in score_batches(df, factory, ["k"]).collect()}
     assert got[0] == -10.0 and got[19] == 9.0
+    # sub-batches of 3 rows give the same scores
+    small = {r["k"]: r["s_a"] for r in score_batches(df, factory, ["k"], batch_rows=3).collect()}
+    assert small == got
 
 
 def test_particles(spark):
