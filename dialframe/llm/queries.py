@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialframe.llm import chat_prefix, quality_lr, url_gbt, warc_bundles
+from dialframe.llm import chat_prefix, decontaminate, quality_lr, url_gbt, warc_bundles
 from dialframe.llm.common import read
 
 PLANTED_CHAT = "<|im_end|><|im_start|>assistant ok"
@@ -73,6 +73,35 @@ SELECT d.page_id, n::BIGINT AS payload_bytes, b32 AS payload_digest,
 FROM d JOIN bits USING (page_id, hex)
 """
 
-QUERIES = {"op3_url_gbt": op3_url_gbt, "op4_chat_prefix": op4_chat_prefix, "op8_quality_lr": op8_quality_lr,
+def op5_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Words of every document inside occurrences of benchmark windows."""
+    found = decontaminate.contamination(read(spark, sf_dir, "documents", "doc_id", "text"),
+                                        read(spark, sf_dir, "benchmark", "item_id", "text"))
+    return found.select("doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+                        F.sha2(F.array_join("items", ",").cast("binary"), 256).alias("items_sha256"),
+                        (F.col("n_hit") > 0).alias("contaminated"))
+
+
+OP5_SQL = r"""
+WITH d AS (SELECT row_number() OVER () AS k, doc_id,
+    regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') AS w FROM documents),
+b AS (SELECT item_id, regexp_extract_all(regexp_replace(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+      '[\x00-\x2F\x3A-\x60\x7B-\x7F]+', ' ', 'g'), '[^ ]+') AS w FROM benchmark),
+bw AS (SELECT DISTINCT item_id, least(len(w), 10) AS n, array_to_string(w[i + 1:i + least(len(w), 10)], ' ') AS win
+  FROM (SELECT *, unnest(range(0, greatest(len(w) - 9, 1))) AS i FROM b WHERE len(w) > 0)),
+sizes AS (SELECT DISTINCT n FROM bw),
+dw AS (SELECT k, n, i, array_to_string(w[i + 1:i + n], ' ') AS win
+  FROM (SELECT k, w, n, unnest(range(0, greatest(len(w) - n + 1, 0))) AS i FROM d, sizes)),
+m AS (SELECT k, i, dw.n, item_id FROM dw JOIN bw USING (n, win)),
+h AS (SELECT k, count(DISTINCT p) AS n_hit FROM (SELECT k, unnest(range(i, i + n)) AS p FROM m) GROUP BY k),
+t AS (SELECT k, count(*) AS n_items, string_agg(s, ',' ORDER BY s) AS items
+  FROM (SELECT DISTINCT k, item_id::VARCHAR AS s FROM m) GROUP BY k)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, coalesce(n_items, 0)::BIGINT AS n_items,
+  sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM d LEFT JOIN h USING (k) LEFT JOIN t USING (k)
+"""
+
+QUERIES = {"op5_decontaminate": op5_decontaminate, "op3_url_gbt": op3_url_gbt, "op4_chat_prefix": op4_chat_prefix, "op8_quality_lr": op8_quality_lr,
            "op9_warc_bundles": op9_warc_bundles}
-ORACLES = {"op4_chat_prefix": OP4_SQL, "op9_warc_bundles": OP9_SQL}
+ORACLES = {"op5_decontaminate": OP5_SQL, "op4_chat_prefix": OP4_SQL, "op9_warc_bundles": OP9_SQL}
