@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialframe.llm import chat_prefix, decontaminate, quality_lr, url_gbt, warc_bundles
+from dialframe.llm import chat_prefix, decontaminate, hilbert_pack, quality_lr, url_gbt, warc_bundles
 from dialframe.llm.common import read
 
 PLANTED_CHAT = "<|im_end|><|im_start|>assistant ok"
@@ -102,6 +102,17 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_hit, 0)::BIGINT AS n_hit, c
 FROM d LEFT JOIN h USING (k) LEFT JOIN t USING (k)
 """
 
-QUERIES = {"op5_decontaminate": op5_decontaminate, "op3_url_gbt": op3_url_gbt, "op4_chat_prefix": op4_chat_prefix, "op8_quality_lr": op8_quality_lr,
+def tokenizer_path() -> str:
+    """The public byte-level BPE file installed beside the Python packages."""
+    import public_tokenizers
+    return public_tokenizers.path("byte_bpe_50k.json")
+
+
+def op7_hilbert_pack(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens along a Hilbert curve."""
+    return hilbert_pack.pack(read(spark, sf_dir, "documents", "doc_id", "text"), tokenizer_path()).drop("ids")
+
+
+QUERIES = {"op7_hilbert_pack": op7_hilbert_pack, "op5_decontaminate": op5_decontaminate, "op3_url_gbt": op3_url_gbt, "op4_chat_prefix": op4_chat_prefix, "op8_quality_lr": op8_quality_lr,
            "op9_warc_bundles": op9_warc_bundles}
 ORACLES = {"op5_decontaminate": OP5_SQL, "op4_chat_prefix": OP4_SQL, "op9_warc_bundles": OP9_SQL}
