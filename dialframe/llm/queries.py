@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialframe.llm import chat_prefix, decontaminate, hilbert_pack, quality_lr, secret_crf, url_gbt, warc_bundles
+from dialframe.llm import chat_prefix, decontaminate, hilbert_pack, quality_lr, secret_crf, template_extract, url_gbt, warc_bundles
 from dialframe.llm.common import read
 
 PLANTED_CHAT = "<|im_end|><|im_start|>assistant ok"
@@ -126,6 +126,12 @@ def op10_secret_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
                         .alias("base_sha256"), secret_crf.span_text("spans").alias("spans"))
 
 
-QUERIES = {"op10_secret_crf": op10_secret_crf, "op7_hilbert_pack": op7_hilbert_pack, "op5_decontaminate": op5_decontaminate, "op3_url_gbt": op3_url_gbt, "op4_chat_prefix": op4_chat_prefix, "op8_quality_lr": op8_quality_lr,
+def op6_template_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Main text of every page."""
+    found = template_extract.extract(read(spark, sf_dir, "pages", "page_id", "url", "html"))
+    return found.withColumn("n_chars", F.length("text").cast("long"))
+
+
+QUERIES = {"op6_template_extract": op6_template_extract, "op10_secret_crf": op10_secret_crf, "op7_hilbert_pack": op7_hilbert_pack, "op5_decontaminate": op5_decontaminate, "op3_url_gbt": op3_url_gbt, "op4_chat_prefix": op4_chat_prefix, "op8_quality_lr": op8_quality_lr,
            "op9_warc_bundles": op9_warc_bundles}
 ORACLES = {"op5_decontaminate": OP5_SQL, "op4_chat_prefix": OP4_SQL, "op9_warc_bundles": OP9_SQL}
