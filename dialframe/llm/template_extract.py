@@ -32,7 +32,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialframe.llm.common import map_batches, materialize, pick, slices
@@ -70,9 +70,9 @@ _CLOSES = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "
            "th": ("td", "th"), "option": ("option",)}
 
 
-def host_of(url: str | None) -> str:
-    rest = (url or "").partition("://")[2]
-    return re.split(r"[/?#]", rest, maxsplit=1)[0].lower()
+def host_of(url: Column) -> Column:
+    """After the first ``://`` up to ``/``, ``?``, ``#`` or the end, in lower case; else empty."""
+    return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"(?s)^.*?://([^/?#]*)", 1))
 
 
 def _words(attributes: str) -> list[str]:
@@ -164,8 +164,8 @@ def _page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Per host and token, summed over a batch: pages, occurrence vector, mean place, and the slot's characters."""
     for b in slices(batches, "html"):
         table: dict[tuple[str, str], list] = {}
-        for page_id, url, page in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "html"))):
-            page, host = page or "", host_of(url)
+        for page_id, url, host, page in zip(*(b.column(c).to_pylist() for c in ("page_id", "url", "host", "html"))):
+            page = page or ""
             counts, first, links, chars = Counter({"": 1}), {"": -1}, Counter(), Counter()
             last = ""
             for i, (kind, path, text) in enumerate(events(page)):
@@ -228,7 +228,8 @@ def nest(tokens: list[dict], pages: int) -> list[list[str]]:
 
 def templates(pages: DataFrame) -> DataFrame:
     """host, classes (token lists), menus (tokens that open slots of links) of hosts with enough pages."""
-    found = map_batches(pages.select("page_id", "url", "html"), _page_tokens, _TOKENS)
+    found = map_batches(pages.select("page_id", "url", host_of(F.col("url")).alias("host"), "html"), _page_tokens,
+                        _TOKENS)
     tokens = materialize(found.groupBy("host", "token").agg(
         F.sum("pages").alias("pages"), F.sum("vector").alias("vector"), F.sum("place").alias("place"),
         F.sum("links").alias("links"), F.sum("chars").alias("chars")), "page-tokens")
@@ -298,9 +299,8 @@ def extract(pages: DataFrame, page_id: str = "page_id", url: str = "url", html:
     """
     rows = pick(pages, page_id=page_id, url=url, html=html)
     found = templates(rows).withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
-    rest = F.regexp_extract(F.coalesce("url", F.lit("")), r"(?s)^.*?://([^/?#]*)", 1)
     dealt = rows.withColumns({
-        "host": F.lower(rest), "salt": F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")})
+        "host": host_of(F.col("url")), "salt": F.pmod(F.xxhash64("page_id", "url"), F.lit(SALTS)).cast("int")})
     joined = dealt.join(found, ["host", "salt"], "left").select("page_id", "url", "html", "classes", "menus")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
