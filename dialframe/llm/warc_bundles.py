@@ -164,9 +164,8 @@ def write_bundles(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFram
     joined = ranked.join(plan.dropDuplicates(["page_id", "payload_digest"]),
                          [ranked["page_id"].eqNullSafe(plan["page_id"]),
                           ranked["payload_digest"] == plan["payload_digest"]], "left")
-    n = partitions_for(rows.sparkSession)
     dealt = (joined.select(ranked["page_id"], "url", "html", ranked["payload_digest"], "refers_to")
-             .repartition(n, "page_id", "url").sortWithinPartitions("page_id", "url", "payload_digest"))
+             .sortWithinPartitions("page_id", "url", "payload_digest"))
     pafs.FileSystem.from_uri(folder)[0].create_dir(pafs.FileSystem.from_uri(folder)[1], recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
