@@ -40,7 +40,7 @@ from dialframe.llm.common import map_batches, materialize, pick, slices
 MIN_PAGES = 3
 #: Share of a host's pages that must hold a token for it to be of the template.
 SUPPORT = 0.3
-MIN_CLASS = 3
+MIN_CLASS = 2
 LINK_SHARE = 0.5
 #: Tasks that a host's pages are dealt to when they meet its template.
 SALTS = 16
