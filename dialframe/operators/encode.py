@@ -74,11 +74,12 @@ def encode_examples(prompts: DataFrame, keep: Sequence[str] = ("id",), encoder:
     """
     if mode not in ("train", "eval"):
         raise ValueError(f"mode must be 'train' or 'eval', got {mode!r}")
-    src = prompts.select(*keep, "target", "label",
-                         encoder(template.render(F.col("system"), F.col("user"))).alias("_src"))
-    src = src.withColumn("n_source", F.size("_src"))
+    ids = encoder(template.render(F.col("system"), F.col("user")))
     if mode == "train" and max_source_len is not None:
-        src = src.where(F.col("n_source") <= max_source_len)
+        # explode(filter(array(ids))) drops over-long rows with the encoder in one projection; a filter on
+        # its size would be pushed below it and encode twice.
+        ids = F.explode(F.filter(F.array(ids), lambda x: F.size(x) <= max_source_len))
+    src = prompts.select(*keep, "target", "label", ids.alias("_src")).withColumn("n_source", F.size("_src"))
     tgt = encoder(F.col("target"))
     enc = src.withColumn("_tgt", tgt)
     return enc.select(
@@ -88,9 +89,13 @@ def encode_examples(prompts: DataFrame, keep: Sequence[str] = ("id",), encoder:
         "label")
 
 
-def length_filter(encoded: DataFrame, max_source_len: int) -> DataFrame:
-    """Keep examples whose source fits (strictly longer ones are dropped)."""
-    return encoded.where(F.col("n_source") <= max_source_len)
+def length_filter_report(prompts: DataFrame, max_source_len: int, by: Sequence[str] = ("variant",),
+                         encoder: Encoder = code_points, template: ChatTemplate = ChatTemplate()) -> DataFrame:
+    """Rows that the train-mode length filter keeps and drops, per ``by``: n_kept, n_dropped."""
+    size = F.size(encoder(template.render(F.col("system"), F.col("user"))))
+    return prompts.select(*by, size.alias("_n")).groupBy(*by).agg(
+        F.count_if(F.col("_n") <= max_source_len).alias("n_kept"),
+        F.count_if(F.col("_n") > max_source_len).alias("n_dropped"))
 
 
 def pad_batches(encoded: DataFrame, order: str | Sequence[str], batch_size: int, pad_id: int,
@@ -105,8 +110,7 @@ def pad_batches(encoded: DataFrame, order: str | Sequence[str], batch_size: int,
     """
     if mask_by not in ("value", "length"):
         raise ValueError(f"mask_by must be 'value' or 'length', got {mask_by!r}")
-    # The index reads its input twice; the encoded rows are computed once.
-    indexed = with_global_index(encoded, order, out="idx", checkpoint=True)
+    indexed = with_global_index(encoded, order, out="idx")
     batched = indexed.withColumn("batch", F.floor(F.col("idx") / F.lit(batch_size)).cast("bigint"))
     n = F.size("input_ids")
     width = F.max(n).over(Window.partitionBy("batch"))

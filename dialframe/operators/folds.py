@@ -1,9 +1,9 @@
 """Deterministic row index, K-fold assignment and train/validation views.
 
 The row index never uses a window without a partition (that funnels every row
-through one task).  Rows are cut into at most ``buckets`` quantile ranges of the
-order key; per-range counts (a table of bounded size) give each range its
-offset, and ``row_number`` runs inside a range only.
+through one task).  Rows are range-partitioned on the whole order tuple, with a
+row hash behind it so that equal or null keys spread too; per-partition counts
+give each range its offset, and ``row_number`` runs inside a range only.
 """
 
 from __future__ import annotations
@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from dialframe.session import materialize, num_partitions
 
 MIN_BUCKETS = 64
+# The cut points of the quantile sketch go to the driver: bound them.
 MAX_BUCKETS = 1 << 14
 
 
@@ -37,58 +38,74 @@ def quantile_buckets(df: DataFrame, key: Column, out: str, buckets: int | None =
 
     if buckets is None:
         buckets = max(MIN_BUCKETS, 4 * num_partitions(df))
-    # The cut points go to the driver and the per-bucket tables may be broadcast: cap them.
     buckets = max(1, min(buckets, MAX_BUCKETS))
     keyed = df.withColumn("_qk", key.cast("double"))
     probs = [i / buckets for i in range(1, buckets)]
     cuts = sorted(set(keyed.approxQuantile("_qk", probs, 1.0 / (4 * buckets)))) if buckets > 1 else []
     splits = [float("-inf")] + [c for c in cuts if math.isfinite(c)] + [float("inf")]
+    if len(splits) < 3:  # an empty frame, null keys only, or one bucket
+        return keyed.withColumn(out, F.when(F.col("_qk").isNull(), F.lit(-1)).otherwise(F.lit(0)).cast("bigint")
+                                ).drop("_qk")
     keyed = Bucketizer(splits=splits, inputCol="_qk", outputCol="_qb", handleInvalid="keep").transform(keyed)
     return keyed.withColumn(out, F.when(F.col("_qk").isNull(), F.lit(-1)).otherwise(F.col("_qb")).cast("bigint")
                             ).drop("_qk", "_qb")
 
 
-def with_global_index(df: DataFrame, order: str | Sequence[str], out: str = "idx",
-                      buckets: int | None = None, total: str | None = None,
-                      checkpoint: bool = False) -> DataFrame:
-    """Add a 0-based index in ``order`` (first column numeric; the rest break ties).
-
-    Bucket boundaries are approximate quantiles of the first order column (one
-    sketch pass, at most ``buckets - 1`` numbers reach the driver), so every
-    bucket holds about ``rows / buckets`` rows however the keys cluster; by
-    default ``buckets`` is four per input split, between 64 and 16384.  A
-    binary search (``Bucketizer``) assigns buckets; the per-bucket counts (at most
-    ``buckets`` rows, which is what makes their broadcast safe) give running
-    offsets, and ``row_number`` runs inside a bucket only.  ``total`` names an
-    optional column with the row count of the whole frame.  The input is read
-    for the sketch, the counts and the numbering; ``checkpoint=True``
-    materializes an expensive input once in the checkpoint dir.
+def _tie_hash(df: DataFrame) -> Column:
+    """Hash of the row's columns (maps and variants cannot be hashed)."""
+    return F.xxhash64(*[F.col(f"`{f.name}`") for f in df.schema.fields
+                        if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))])
+
+
+def with_global_index(df: DataFrame, order: str | Sequence[str], out: str = "idx", total: str | None = None,
+                      partitions: int | None = None) -> DataFrame:
+    """Add a 0-based index in ``order`` (any sortable columns, nulls first; ties by a hash of the row).
+
+    The rows are range-partitioned by the whole order tuple and the hash (one
+    sampling pass) and written once in the checkpoint folder, so that counting
+    and numbering see the same ranges and an expensive input is computed once.
+    Every range holds about ``rows / partitions`` rows however the keys cluster,
+    equal and null keys included; only rows equal in every column stay together.
+    The offsets are one row per range.  ``total`` names an optional column with
+    the row count of the whole frame.
     """
     order = _as_list(order)
-    if checkpoint:
-        df = materialize(df, "index-input")
-    keyed = quantile_buckets(df, F.col(order[0]), "_bucket", buckets)
-    counts = keyed.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
-    # At most `buckets` rows: one small ordered pass for the running offsets.
+    spark = df.sparkSession
+    n = partitions or max(num_partitions(df), int(spark.conf.get("spark.sql.shuffle.partitions")))
+    tied = df.withColumn("_tie", _tie_hash(df))
+    ranged = materialize(tied.repartitionByRange(n, *order, "_tie").withColumn("_bucket", F.spark_partition_id()),
+                         "index-ranges")
+    counts = ranged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
+    # At most `partitions` rows: one small ordered pass for the running offsets.
     offsets = counts.select(
         "_bucket",
         F.coalesce(F.sum("_n").over(Window.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)),
                    F.lit(0).cast("bigint")).alias("_offset"),
         F.sum("_n").over(Window.partitionBy()).alias("_total"))
-    joined = keyed.join(F.broadcast(offsets), "_bucket")
-    w = Window.partitionBy("_bucket").orderBy(*order)
+    joined = ranged.join(F.broadcast(offsets), "_bucket")
+    w = Window.partitionBy("_bucket").orderBy(*order, "_tie")
     res = joined.withColumn(out, (F.col("_offset") + F.row_number().over(w) - 1).cast("bigint"))
     if total:
         res = res.withColumnRenamed("_total", total)
-    return res.drop("_bucket", "_offset", "_total")
+    return res.select(*df.columns, out, *([total] if total else []))
 
 
-def kfold(df: DataFrame, order: str | Sequence[str], k: int, out: str = "fold") -> DataFrame:
+def kfold(df: DataFrame, order: str | Sequence[str], k: int, out: str = "fold",
+          by: str | Sequence[str] = ()) -> DataFrame:
     """Contiguous, unshuffled K-fold: with q = n div k and r = n mod k the first r folds
-    get q + 1 rows.  ``fold`` is 1-based (as in ``fold_1 .. fold_k``); k > n raises."""
+    get q + 1 rows.  ``fold`` is 1-based (as in ``fold_1 .. fold_k``); k > n raises.
+    ``by`` folds each of its groups on its own (e.g. per prompt variant)."""
     if k < 2:
         raise ValueError(f"k must be at least 2, got {k}")
-    idx = with_global_index(df, order, out="idx", total="_n_rows")
+    by = _as_list(by)
+    idx = with_global_index(df, [*by, *_as_list(order)], out="idx", total="_n_rows")
+    if by:
+        # Rows of a group are neighbours in the index: its first place and size, one row per group.
+        groups = idx.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by]).agg(
+            F.min("idx").alias("_first"), F.count(F.lit(1)).alias("_size"))
+        same = [idx[c].eqNullSafe(groups[f"_g_{c}"]) for c in by]
+        idx = idx.join(groups, same).withColumns(
+            {"idx": F.col("idx") - F.col("_first"), "_n_rows": F.col("_size")}).drop(*groups.columns)
     n = F.col("_n_rows")
     q = F.floor(n / F.lit(k)).cast("bigint")
     r = n - q * F.lit(k)
@@ -108,8 +125,3 @@ def fold_roles(folded: DataFrame, k: int, fold: str = "fold", out_round: str = "
     """
     return folded.select("*", F.explode(F.sequence(F.lit(1), F.lit(k))).alias(out_round)).withColumn(
         out_role, F.when(F.col(fold) == F.col(out_round), F.lit("validation")).otherwise(F.lit("train")))
-
-
-def fold_name(fold: Column | str) -> Column:
-    """``fold_<k>`` (1-based), the name of a fold's model and prediction set."""
-    return F.concat(F.lit("fold_"), (F.col(fold) if isinstance(fold, str) else fold).cast("string"))

@@ -11,7 +11,7 @@ example with a generator (``inline``) - no join.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -153,7 +153,7 @@ def index_to_output(idx: Column) -> Column:
     return F.concat(F.lit("inference_"), (idx + 1).cast("string"))
 
 
-def _variant_rows(names: Sequence[str]) -> Column:
+def _variant_rows(names: Sequence[str], system_text: Mapping[str, str]) -> Column:
     rows = []
     for n in names:
         v = variant(n)
@@ -161,19 +161,23 @@ def _variant_rows(names: Sequence[str]) -> Column:
             F.lit(v.name).alias("variant"), F.lit(v.subject).alias("_subject"), F.lit(v.lead).alias("_lead"),
             F.lit(v.particles[0]).alias("_pf"), F.lit(v.particles[1]).alias("_pn"), F.lit(v.tail).alias("_tail"),
             F.lit(v.conversation_label_sep).alias("_sep"), F.lit(v.instruction_first).alias("_instr_first"),
-            F.lit(v.system_text).cast("string").alias("system")))
+            F.lit(system_text.get(n, v.system_text)).cast("string").alias("system")))
     return F.array(*rows)
 
 
 def build_prompts(examples: DataFrame, variants: Sequence[str] = ("v1",), keep: Sequence[str] = ("id",),
                   eos_token: str = "</s>", particle_mode: str = "reference", ids_are_arrays: bool = False,
-                  system_text: str | None = None) -> DataFrame:
+                  system_text: str | Mapping[str, str] | None = None) -> DataFrame:
     """One row per example and variant: ``keep``, variant, system, user prompt, target, label.
 
-    ``system_text`` overrides every variant's system text (required for v5
-    messages, whose long system text is caller configuration).
+    ``system_text`` maps variant names to a system text of the caller's; a plain
+    string is that of every variant.  v5 has none of its own (its long system text
+    is caller configuration): its ``system`` stays null without one, and
+    :func:`to_messages` refuses such rows.
     """
     names = list(variants)
+    texts = ({n: system_text for n in names} if isinstance(system_text, str)
+             else {variant(k).name: v for k, v in (system_text or {}).items()})
     specs = [variant(n) for n in names]
     seps = sorted({v.conversation_label_sep for v in specs})
     # Blocks that do not depend on the variant are rendered once per example, before
@@ -183,7 +187,8 @@ def build_prompts(examples: DataFrame, variants: Sequence[str] = ("v1",), keep:
         *keep, "category", "output", "inference_1", "inference_2", "inference_3", *blocks,
         reference_block(F.col("conversation"), F.col("reference_id"), ids_are_arrays).alias("_refs"),
         option_block(F.col("inference_1"), F.col("inference_2"), F.col("inference_3")).alias("_opts"))
-    ex = ex.select("*", F.inline(_variant_rows(names)))
+    ex = ex.select("*", F.inline(_variant_rows([variant(n).name for n in names],
+                                                {variant(k).name: v for k, v in texts.items()})))
     conv = None
     for i, sep in enumerate(seps):
         conv = (F.when(F.col("_sep") == sep, F.col(f"_conv{i}")) if conv is None
@@ -193,15 +198,16 @@ def build_prompts(examples: DataFrame, variants: Sequence[str] = ("v1",), keep:
     refs, opts = F.col("_refs"), F.col("_opts")
     user = F.when(F.col("_instr_first"), F.concat_ws("\n\n", q, conv, refs, opts)).otherwise(
         F.concat_ws("\n\n", conv, refs, q, opts))
-    system = F.lit(system_text) if system_text is not None else F.col("system")
     return ex.select(
-        *keep, "variant", system.alias("system"), user.alias("user"),
+        *keep, "variant", "system", user.alias("user"),
         target_text(F.col("output"), F.col("inference_1"), F.col("inference_2"), F.col("inference_3"),
                     eos_token).alias("target"),
         gold_index(F.col("output")).alias("label"))
 
 
 def to_messages(system: Column, user: Column) -> Column:
-    """``array<struct<role, content>>``: system then user."""
-    return F.array(F.struct(F.lit("system").alias("role"), system.alias("content")),
+    """``array<struct<role, content>>``: system then user; a missing system text raises."""
+    given = F.coalesce(system, F.raise_error(F.lit("this variant has no system text: give one (system_text)")).cast(
+        "string"))
+    return F.array(F.struct(F.lit("system").alias("role"), given.alias("content")),
                    F.struct(F.lit("user").alias("role"), user.alias("content")))

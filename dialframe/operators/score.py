@@ -7,6 +7,7 @@ native expressions.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable, Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -18,7 +19,22 @@ from dialframe.session import ship_package
 # A scorer factory returns ``score(batch: pandas.DataFrame) -> numpy array (n, 3)``.
 ScorerFactory = Callable[[], Callable]
 
-_SCORERS: dict[int, Callable] = {}
+_SCORERS: dict[str, Callable] = {}
+MAX_SCORERS = 4
+
+
+def worker_scorer(name: str, factory: ScorerFactory) -> Callable:
+    """The scorer of that name in this Python process, built at first use.
+
+    Tasks call it on the imported module, whose state outlives a task, so a
+    reused worker builds each scorer once.  At most :data:`MAX_SCORERS` stay; the
+    one built first goes.
+    """
+    if name not in _SCORERS:
+        while len(_SCORERS) >= MAX_SCORERS:
+            del _SCORERS[next(iter(_SCORERS))]
+        _SCORERS[name] = factory()
+    return _SCORERS[name]
 
 
 def softmax(scores: Column) -> Column:
@@ -56,26 +72,27 @@ def source_only(encoded: DataFrame, keep: Sequence[str]) -> DataFrame:
 
 def score_batches(df: DataFrame, factory: ScorerFactory, keep: Sequence[str],
                   out_scores: Sequence[str] = ("s_a", "s_b", "s_c"), key_types: str | None = None,
-                  batch_rows: int = 256) -> DataFrame:
+                  batch_rows: int = 256, name: str | None = None) -> DataFrame:
     """Run ``factory()``'s scorer over Arrow batches of ``df``; returns ``keep`` + score columns.
 
     The scorer is built once per Python worker and reused across batches and
     tasks; it sees at most ``batch_rows`` rows per call, so the model's batch
-    memory stays bounded whatever the Arrow batch size.
+    memory stays bounded whatever the Arrow batch size.  ``name`` identifies the
+    scorer: give the same one to share it between calls, a new one for another
+    model; by default every call has its own.
     """
+    scorer_name = name or uuid.uuid4().hex
     ship_package(df.sparkSession)
     fields = [f for f in df.schema.fields if f.name in keep]
     key_schema = key_types or ", ".join(f"{f.name} {f.dataType.simpleString()}" for f in fields)
     schema = key_schema + ", " + ", ".join(f"{s} double" for s in out_scores)
-    fid = id(factory)
     keep = list(keep)
 
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pandas as pd
-        scorer = _SCORERS.get(fid)
-        if scorer is None:
-            scorer = _SCORERS[fid] = factory()
+        from dialframe.operators import score as shared  # the worker's module, not a copy in this closure
+        scorer = shared.worker_scorer(scorer_name, factory)
         for pdf in batches:
             parts = [np.asarray(scorer(pdf.iloc[i:i + batch_rows]), dtype="float64").reshape(-1, len(out_scores))
                      for i in range(0, len(pdf), batch_rows)]

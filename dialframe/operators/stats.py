@@ -39,14 +39,6 @@ def with_combined_split(df: DataFrame, split: str = "split", members: Sequence[s
     return df.select(*others, F.explode(expanded).alias(split))
 
 
-def union_splits(*frames: DataFrame) -> DataFrame:
-    """Concatenate splits by column name, duplicates kept (the train + dev file splice)."""
-    out = frames[0]
-    for f in frames[1:]:
-        out = out.unionByName(f)
-    return out
-
-
 def split_sizes(df: DataFrame, split: str = "split") -> DataFrame:
     """Rows per split."""
     return df.groupBy(split).agg(F.count(F.lit(1)).alias("n"))
@@ -154,26 +146,41 @@ def distinct_texts(df: DataFrame, text: str = "text", group: str | Sequence[str]
     return df.select(*_as_list(group), text).distinct()
 
 
-def normalise_tokens(tokens: Column, letters: Sequence[str] = fixed.SQUEEZED_JAMO, min_length: int = 2) -> Column:
-    """Squeeze jamo runs in every token and keep tokens of at least ``min_length`` code points."""
-    return F.filter(F.transform(tokens, lambda t: squeeze_jamo_runs(t, tuple(letters))),
-                    lambda t: F.length(t) >= min_length)
+def texts_with_groups(df: DataFrame, text: str = "text", group: str = "split", members: Sequence[str] = (),
+                      combined: str | None = None, out: str = "groups") -> DataFrame:
+    """One row per distinct text with the set of its groups (``array``), shuffled once by text.
+
+    Texts of any of ``members`` are also in the group ``combined`` (the train+dev
+    union), which costs an array element, not a second copy of the text.  A text
+    has at most as many elements as there are groups.
+    """
+    groups = F.collect_set(group)
+    if combined is not None:
+        extra = F.when(F.arrays_overlap(groups, F.array(*[F.lit(m) for m in members])), F.array(F.lit(combined)))
+        groups = F.concat(groups, F.coalesce(extra, F.array().cast("array<string>")))
+    return df.groupBy(text).agg(groups.alias(out))
 
 
 def token_counts(df: DataFrame, text: str = "text", group: str | Sequence[str] | None = None,
-                 distinct_first: bool = True, letters: Sequence[str] = fixed.SQUEEZED_JAMO) -> DataFrame:
+                 distinct_first: bool = True, letters: Sequence[str] = fixed.SQUEEZED_JAMO,
+                 groups: str | None = None) -> DataFrame:
     """Token frequencies: split on single spaces, squeeze jamo runs, drop tokens of length <= 1.
 
     With ``distinct_first`` every distinct text of a group counts once (the
-    word-cloud input is a set of texts).  Joining texts with a space and then
-    splitting equals splitting every text, so no text is ever concatenated.
-    Tokens are exploded first so the normalisation is a top-level (code
-    generated) expression, and the six squeezes only run on tokens holding one
-    of the letters.
+    word-cloud input is a set of texts).  ``groups`` names an array column of
+    distinct texts instead (:func:`texts_with_groups`): each text is tokenized once
+    and every token counts in each of its groups, as column ``group``.  Joining
+    texts with a space and then splitting equals splitting every text, so no text
+    is ever concatenated.  Tokens are exploded first so the normalisation is a
+    top-level (code generated) expression, and the six squeezes only run on tokens
+    holding one of the letters.
     """
     g = _as_list(group)
-    src = distinct_texts(df, text, g) if distinct_first else df.select(*g, text)
-    toks = src.select(*g, F.explode(split_on_space(F.col(text))).alias("_tok"))
+    if groups is not None:
+        src, carried = df, [groups]
+    else:
+        src, carried = distinct_texts(df, text, g) if distinct_first else df.select(*g, text), g
+    toks = src.select(*carried, F.explode(split_on_space(F.col(text))).alias("_tok"))
     # Squeezing never shortens a token below two code points when it holds one of the
     # letters and leaves other tokens unchanged, so the length rule is decided on the
     # raw token without any regex (a lone letter becomes a doubled one and is kept).
@@ -181,29 +188,26 @@ def token_counts(df: DataFrame, text: str = "text", group: str | Sequence[str] |
     keep = (F.length(tok) >= 2) | tok.isin(*letters)
     has_jamo = tok.rlike("[" + "".join(letters) + "]")
     norm = F.when(has_jamo, squeeze_jamo_runs(tok, tuple(letters))).otherwise(tok)
-    toks = toks.where(keep).select(*g, norm.alias("token"))
+    toks = toks.where(keep).select(*carried, norm.alias("token"))
+    if groups is not None:
+        name = _as_list(group)[0] if g else "group"
+        toks, g = toks.select(F.explode(groups).alias(name), "token"), [name]
     return toks.groupBy(*g, "token").agg(F.count(F.lit(1)).alias("n"))
 
 
-def top_k(counts: DataFrame, k: int, order: Sequence[Column], group: str | Sequence[str] | None = None,
-          salt_col: str | None = None, salts: int = 64) -> DataFrame:
+def top_k(counts: DataFrame, k: int, order: Sequence[Column], group: str | Sequence[str] | None = None) -> DataFrame:
     """Exact top ``k`` rows per group under a total ``order``; ``rank`` is 1-based.
 
-    ``row_number() <= k`` lets the optimizer put a partial window-group limit on
-    the map side, so every input partition sends at most ``k`` rows per group to
-    the final ranking, however large the group is.  ``salt_col`` adds an
-    explicit first phase over (group, hash salt) buckets, for sessions where that
-    optimization is switched off.
+    Per group, ``row_number() <= k`` lets the optimizer put a partial window-group
+    limit on the map side, so every input partition sends at most ``k`` rows per
+    group to the final ranking.  Without a group the ``k`` first rows are taken
+    before they are numbered.
     """
     g = _as_list(group)
-    if salt_col is None:
-        w = Window.partitionBy(*g).orderBy(*order) if g else Window.orderBy(*order)
-        return counts.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
-    salted = counts.withColumn("_salt", F.pmod(F.xxhash64(salt_col), F.lit(salts)))
-    w1 = Window.partitionBy(*g, "_salt").orderBy(*order)
-    local = salted.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= k).drop("_r", "_salt")
-    w2 = Window.partitionBy(*g).orderBy(*order)
-    return local.withColumn("rank", F.row_number().over(w2).cast("bigint")).where(F.col("rank") <= k)
+    if not g:
+        counts = counts.orderBy(*order).limit(k)
+    w = Window.partitionBy(*g).orderBy(*order) if g else Window.orderBy(*order)
+    return counts.withColumn("rank", F.row_number().over(w).cast("bigint")).where(F.col("rank") <= k)
 
 
 def top_tokens(counts: DataFrame, k: int = fixed.TOP_TOKENS, group: str | Sequence[str] | None = None) -> DataFrame:

@@ -22,8 +22,8 @@ from dialframe.functions.text import DEFAULT_CLEAN, CleanConfig, clean_utterance
 from dialframe.session import materialize
 
 DEFAULT_CHUNK_ROWS = 1 << 16
-# Links are (key, chunk, 2 structs): a million rows stay well inside a broadcast.
-LINK_BROADCAST_ROWS = 1_000_000
+# Rows of a key beyond which its sequence is cut into chunks.
+HOT_ROWS = 1 << 16
 
 
 def _as_list(x: str | Sequence[str]) -> list[str]:
@@ -100,28 +100,15 @@ def refine_conversation(conversation: Column, reference_ids: Column,
     return merge_conversation(clean_conversation(conversation, cfg), reference_ids, speaker_type=speaker_type)
 
 
-def reference_utterances(conversation: Column, reference_ids: Column) -> Column:
-    """Utterances (``utterance_id: string``) whose id is one of the references, in order."""
-    return F.filter(conversation, lambda u: F.coalesce(
-        F.array_contains(reference_ids, u["utterance_id"]), F.lit(False)))
-
-
-def reference_utterances_ids(conversation: Column, reference_ids: Column) -> Column:
-    """Same for ``utterance_id: array<string>``: only a single-id entry can match,
-    so a merged run never matches (as with list membership in the original)."""
-    return F.filter(conversation, lambda u: (F.size(u["utterance_id"]) == 1) & F.coalesce(
-        F.array_contains(reference_ids, F.get(u["utterance_id"], 0)), F.lit(False)))
-
-
 def turn_count(conversation: Column) -> Column:
     """Number of utterances of an example."""
     return F.size(conversation).cast("bigint")
 
 
 def total_characters(conversation: Column) -> Column:
-    """Sum of code-point lengths of the utterances of an example."""
-    return F.aggregate(conversation, F.lit(0).cast("bigint"),
-                       lambda acc, u: acc + F.length(u["utterance"].cast("string")).cast("bigint"))
+    """Sum of code-point lengths of the utterances of an example; a null utterance counts as ``None`` (4)."""
+    return F.aggregate(conversation, F.lit(0).cast("bigint"), lambda acc, u: acc + F.length(
+        F.coalesce(u["utterance"].cast("string"), F.lit("None"))).cast("bigint"))
 
 
 # ---------------------------------------------------------------------------
@@ -142,17 +129,6 @@ def clean_and_drop_empty(df: DataFrame, text: str = "text", cfg: CleanConfig = D
     return df.select(*cols, cleaned.alias(out))
 
 
-def _one_chunk(df: DataFrame, position: str, chunk: int) -> bool:
-    """True when no position lies outside [0, chunk): every key then sits in one chunk.
-
-    A ``limit(1)`` probe whose filter reaches the scan (row-group statistics skip
-    almost everything), so the usual data takes the single-pass plan.  It is cheap
-    when the position is a stored column; a position computed late in the lineage
-    (after a generator) costs one pass over that lineage.
-    """
-    return df.where((F.col(position) >= chunk) | (F.col(position) < 0)).limit(1).count() == 0
-
-
 def _chunk_column(order: list[str], chunk: Column | int | None) -> Column:
     if isinstance(chunk, int):
         return F.floor(F.col(order[0]) / F.lit(chunk)).cast("bigint")
@@ -161,10 +137,25 @@ def _chunk_column(order: list[str], chunk: Column | int | None) -> Column:
     return chunk.cast("bigint")
 
 
+def _split_hot(df: DataFrame, keys: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
+    """(rows of normal keys, rows of keys with more than ``hot_rows`` rows or None if there is no such key).
+
+    One aggregate over the key columns, partial before its shuffle; the table of
+    hot keys has at most ``rows / hot_rows`` rows.
+    """
+    hot = df.groupBy(*[F.col(k).alias(f"_hot_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_hot_n")).where(
+        F.col("_hot_n") > hot_rows)
+    hot = materialize(hot, "hot-keys")
+    if not hot.limit(1).count():
+        return df, None
+    same = [df[k].eqNullSafe(hot[f"_hot_{k}"]) for k in keys]
+    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
+
+
 def merge_turns(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str],
                 speaker: str = "speaker", text: str = "text", uid: str = "utterance_id",
                 is_ref: str | None = "is_ref", chunk: Column | int | str | None = DEFAULT_CHUNK_ROWS,
-                chunk_key: Column | None = None) -> DataFrame:
+                chunk_key: Column | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Merge consecutive same-speaker rows of the long form (gaps and islands).
 
     ``df`` holds the surviving rows (empty texts already dropped), one per
@@ -174,35 +165,47 @@ def merge_turns(df: DataFrame, key: str | Sequence[str], order: str | Sequence[s
     ``utterance_ids`` (array, in order), ``n_turns`` and ``is_ref`` (the run is a
     reference row; such a run is always a single row); blank runs are dropped.
 
-    ``chunk`` bounds the work per task: an ``int`` cuts the (integral) first order
-    column into ranges of that many positions, a ``Column`` gives any expression
-    that never decreases along the order, and ``"quantile"`` cuts the numeric
-    ``chunk_key`` (default: the first order column) at approximate quantiles of
-    the whole frame, so no chunk of any key holds more than about
-    ``rows / buckets`` rows.  Runs are first built per (key, chunk)
-    with one window; the per-chunk pieces are then written once as Parquet to
-    the checkpoint directory (lineage cut) and runs that cross a chunk boundary
-    are stitched from a table of at most two boundary pieces per chunk.
-    ``chunk=None`` is the single-pass plan for keys known to be small: a whole
-    key is one window partition and nothing is materialized; an ``int`` chunk
-    falls back to it when a probe finds no position past the first chunk.  The
-    result does not depend on the chunking.
+    Keys of at most ``hot_rows`` rows take one exchange: a whole key is one window
+    partition, nothing is materialized.  Only longer keys are cut: an ``int``
+    chunk cuts the (integral) first order column into ranges of that many
+    positions, and ``"quantile"`` cuts the numeric ``chunk_key`` (default: the
+    first order column) at approximate quantiles of the long keys' rows.  A
+    ``Column`` that never decreases along the order cuts every key, ``None`` none.
+
+    Runs of cut keys are first built per (key, chunk) with one window; the
+    pieces are written once as Parquet to the checkpoint directory (lineage cut)
+    and runs that cross a chunk boundary are stitched from a table of at most two
+    boundary pieces per chunk.  The result depends on neither setting.
     """
     keys = _as_list(key)
     order = _as_list(order)
-    if isinstance(chunk, int) and not isinstance(chunk, bool):
+    names = (speaker, text, uid, is_ref)
+    if chunk is None:
+        return _merge(df, keys, order, *names, None)
+    if isinstance(chunk, Column):
+        return _merge(df, keys, order, *names, chunk)
+    if chunk != "quantile":
         kind = df.schema[order[0]].dataType.typeName()
         if kind not in ("byte", "short", "integer", "long"):
             raise ValueError(f"chunk={chunk} cuts an integral position, but {order[0]!r} is {kind}; "
                              f"use chunk='quantile' (or a Column) for this order")
-        if _one_chunk(df, order[0], chunk):
-            chunk = None   # no key is long enough to be cut: single pass, nothing materialized
+    normal, hot = _split_hot(df, keys, hot_rows)
+    merged = _merge(normal, keys, order, *names, None)
+    if hot is None:
+        return merged
     if chunk == "quantile":
         from dialframe.operators.folds import quantile_buckets
-        df = quantile_buckets(df, chunk_key if chunk_key is not None else F.col(order[0]), "_qchunk")
-        chunk_col = F.col("_qchunk")
+        hot = quantile_buckets(hot, chunk_key if chunk_key is not None else F.col(order[0]), "_qchunk")
+        cut = F.col("_qchunk")
     else:
-        chunk_col = _chunk_column(order, chunk)
+        cut = F.floor(F.col(order[0]) / F.lit(chunk)).cast("bigint")
+    return merged.unionByName(_merge(hot, keys, order, *names, cut))
+
+
+def _merge(df: DataFrame, keys: list[str], order: list[str], speaker: str, text: str, uid: str, is_ref: str | None,
+           chunk: Column | None) -> DataFrame:
+    """:func:`merge_turns` with every key in one piece (``chunk=None``) or cut by ``chunk``."""
+    chunk_col = F.lit(0).cast("bigint") if chunk is None else chunk.cast("bigint")
     rows = df.select(*keys, *order, F.col(speaker).alias("_spk"), F.col(text).cast("string").alias("_txt"),
                      F.col(uid).cast("string").alias("_uid"),
                      (F.coalesce(F.col(is_ref).cast("boolean"), F.lit(False)) if is_ref else F.lit(False))
@@ -268,15 +271,9 @@ def merge_turns(df: DataFrame, key: str | Sequence[str], order: str | Sequence[s
         F.max(F.when(F.col("_run") != 1, F.col("_run"))).alias("_rn"),
         F.max(F.when(F.col("_run") != 1, F.col("_head"))).alias("_hn"))
 
-    # One row per chunk with a crossing run: broadcast when its counted size allows,
-    # otherwise an equi-join on (key, chunk).  The count reads the small columns only;
-    # when no run crosses a chunk (the usual case) the pieces are the runs.
-    n_links = links.count()
-    if n_links == 0:
-        return finish(pieces)
-    if n_links <= LINK_BROADCAST_ROWS:
-        links = F.broadcast(links)
-    j = pieces.join(links, [*keys, "_chunk"], "left").withColumn(
+    # One row per chunk with a crossing run, joined by key and chunk.
+    same = [pieces[c].eqNullSafe(links[c]) for c in (*keys, "_chunk")]
+    j = pieces.join(links, same, "left").drop(*[links[c] for c in (*keys, "_chunk")]).withColumn(
         "_lhead", F.when(F.col("_run") == 1, F.col("_h1")).when(F.col("_run") == F.col("_rn"), F.col("_hn")))
 
     direct = finish(j.where(F.col("_lhead").isNull()))
@@ -296,14 +293,13 @@ def nest_turns(df: DataFrame, key: str | Sequence[str], order: str | Sequence[st
 
     Two-level: rows are first collected per (key, chunk) - bounded groups, with
     map-side partial aggregation - and the sorted pieces are then concatenated
-    per key.  When a probe finds no position past the first chunk, one level
-    (one shuffle) does.  The output row holds the whole conversation by definition.
+    per key; ``chunk=None`` takes one level (one shuffle).  The output row holds
+    the whole conversation by definition, so chunks only spread the sorting.
     """
     keys = _as_list(key)
     order = _as_list(order)
     item_fields = [F.struct(*order).alias("_o"), *fields]
-    if isinstance(chunk, int) and _one_chunk(df, order[0], chunk):
-        # No key is long enough to be cut: one collect per key, one shuffle.
+    if chunk is None:
         whole = df.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct(*item_fields))).alias("_items"))
         return whole.select(*keys, F.transform("_items", lambda x: F.struct(*[x[f].alias(f) for f in fields]))
                             .alias(out))

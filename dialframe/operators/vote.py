@@ -57,15 +57,17 @@ def accuracy(pred: DataFrame, gold: DataFrame, id: str = "id", label: str = "out
                              (F.sum(ok) / F.count(F.lit(1))).alias("accuracy"))
 
 
-def check_prediction_sets(submission: DataFrame, preds: DataFrame, id: str = "id", model: str = "model") -> None:
+def check_prediction_sets(submission: DataFrame, preds: DataFrame, id: str = "id", model: str = "model",
+                          expected: Sequence[str] = ()) -> None:
     """Raise ``ValueError`` when a prediction set does not cover the submission exactly once per id.
 
-    One small job (the per-set summary has one row per set).
+    ``expected`` names the sets that must be there: one without any row has no
+    group of its own and would otherwise pass unseen.  One small job (the per-set
+    summary has one row per set).
     """
-    bad = (validate_prediction_sets(submission, preds, id, model)
-           .where((F.col("n_missing") > 0) | (F.col("n_extra") > 0) | (F.col("n_duplicate_ids") > 0))
-           .collect())
+    found = validate_prediction_sets(submission, preds, id, model).collect()
+    bad = [f"{r[model]}: {r['n_missing']} missing, {r['n_extra']} extra, {r['n_duplicate_ids']} duplicated ids"
+           for r in found if r["n_missing"] > 0 or r["n_extra"] > 0 or r["n_duplicate_ids"] > 0]
+    bad += [f"{m}: no rows" for m in expected if m not in {r[model] for r in found}]
     if bad:
-        detail = "; ".join(f"{r[model]}: {r['n_missing']} missing, {r['n_extra']} extra, "
-                           f"{r['n_duplicate_ids']} duplicated ids" for r in bad)
-        raise ValueError(f"prediction sets do not match the submission: {detail}")
+        raise ValueError(f"prediction sets do not match the submission: {'; '.join(bad)}")

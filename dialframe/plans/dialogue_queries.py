@@ -6,13 +6,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialframe.functions.text import clean_utterance, code_point_length
-from dialframe.operators.turns import clean_and_drop_empty, merge_turns
+from dialframe.operators.turns import (clean_and_drop_empty, merge_examples, merge_turns, total_characters,
+                                       turn_count)
 from dialframe.plans.oracle_sql import CLEAN_STAGES, MERGE_STAGES, NOISE_VIEW
 from dialframe.plans.registry import register
 from dialframe.sources.tables import noise_utterances, read_table
 
 
-
 def refined_turns_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean + drop empty + merge over the utterance view (the refine job)."""
     u = clean_and_drop_empty(noise_utterances(spark, sf_dir), "text")
@@ -54,8 +54,7 @@ FROM r GROUP BY user_id, run
 def merge_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "events", ["user_id", "ts", "event_id", "event_type", "props"])
     e = e.withColumn("is_ref", F.col("event_type") == F.lit("purchase"))
-    # Chunks at quantiles of the event time over all users: a user holding a third of
-    # all events is cut into pieces of about rows / buckets events each.
+    # Users of many events (a third of all, say) are cut at quantiles of the event time.
     m = merge_turns(e, "user_id", ["ts", "event_id"], speaker="event_type", text="props", uid="event_id",
                     chunk="quantile", chunk_key=F.unix_micros(F.col("ts").cast("timestamp")))
     return m.select("user_id", F.col("event_id").alias("start_event_id"), "event_type", F.col("props").alias("text"),
@@ -75,18 +74,38 @@ SELECT raw.conv_id, n_turns_raw, chars_raw,
 FROM raw LEFT JOIN ref ON raw.conv_id = ref.conv_id
 """)
 def dialogue_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raw = noise_utterances(spark, sf_dir).groupBy("conv_id").agg(
+    c_raw, c_ref = F.col("chars_raw"), F.col("chars_refined")
+    change = F.when(c_ref < c_raw, "shorter").when(c_ref == c_raw, "same").otherwise("longer")
+    return conversation_lengths(spark, sf_dir).withColumn("change", change)
+
+
+def raw_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id, n_turns_raw, chars_raw: no cleaning, one partial aggregate."""
+    return noise_utterances(spark, sf_dir).groupBy("conv_id").agg(
         F.count(F.lit(1)).alias("n_turns_raw"),
         F.sum(code_point_length(F.coalesce("text", F.lit("None")))).alias("chars_raw"))
-    ref = refined_turns_df(spark, sf_dir).groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("n_turns_refined"), F.sum(code_point_length("text")).alias("chars_refined"))
-    j = raw.join(ref, "conv_id", "left")
-    n_ref = F.coalesce("n_turns_refined", F.lit(0).cast("bigint"))
-    c_ref = F.coalesce("chars_refined", F.lit(0).cast("bigint"))
-    change = (F.when(c_ref < F.col("chars_raw"), "shorter").when(c_ref == F.col("chars_raw"), "same")
-              .otherwise("longer"))
-    return j.select("conv_id", "n_turns_raw", "chars_raw", n_ref.alias("n_turns_refined"),
-                    c_ref.alias("chars_refined"), change.alias("change"))
+
+
+def conversation_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """conv_id with turns and characters, raw and refined, from one scan and one exchange.
+
+    Rows are cleaned before the exchange, carry their raw form with them, and each
+    conversation is merged inside its row.
+    """
+    u = noise_utterances(spark, sf_dir).select("conv_id", F.struct(
+        "turn", "speaker", F.coalesce("text", F.lit("None")).alias("raw"),
+        clean_utterance(F.col("text")).alias("utterance"), "utterance_id", "is_ref").alias("u"))
+    rows = u.groupBy("conv_id").agg(F.array_sort(F.collect_list("u")).alias("items"))
+    raw = F.transform("items", lambda x: F.struct(x["raw"].alias("utterance")))
+    turn = F.transform(F.filter("items", lambda x: x["utterance"] != F.lit("")), lambda x: F.struct(
+        x["speaker"].alias("speaker"), x["utterance"].alias("utterance"), x["utterance_id"].alias("utterance_id")))
+    refs = F.transform(F.filter("items", lambda x: x["is_ref"]), lambda x: x["utterance_id"])
+    merged = merge_examples(rows.select("conv_id", raw.alias("raw"), turn.alias("conversation"),
+                                        refs.alias("reference_id")), ids_are_arrays=False)
+    return merged.select(
+        "conv_id", turn_count(F.col("raw")).alias("n_turns_raw"), total_characters(F.col("raw")).alias("chars_raw"),
+        turn_count(F.col("conversation")).alias("n_turns_refined"),
+        total_characters(F.col("conversation")).alias("chars_refined"))
 
 
 @register("reference_turns", "P5, J1 (left-semi join of runs on reference ids)", oracle=f"""
@@ -119,6 +138,6 @@ def merge_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "events", ["ts", "event_id", "event_type", "props"])
     e = e.withColumn("stream", F.lit(0)).withColumn("is_ref", F.col("event_type") == F.lit("purchase"))
     m = merge_turns(e, "stream", ["ts", "event_id"], speaker="event_type", text="props", uid="event_id",
-                    chunk="quantile", chunk_key=F.unix_micros(F.col("ts").cast("timestamp")))
+                    chunk="quantile", chunk_key=F.unix_micros(F.col("ts").cast("timestamp")), hot_rows=1_000)
     return m.select(F.col("event_id").alias("start_event_id"), "event_type", F.col("props").alias("text"),
                     F.array_join("utterance_ids", ",").alias("event_ids"), F.col("n_turns").alias("n_events"))

@@ -5,10 +5,9 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
 from dialframe.operators.vote import attach_predictions, check_prediction_sets, hard_vote
-from dialframe.sources.jsonio import read_fold_predictions, read_prediction_sets
+from dialframe.sources.jsonio import fold_name, prediction_file_names, read_fold_predictions, read_prediction_sets
 
 
 def ensemble(spark: SparkSession, submission: DataFrame, *, k_folds: int = 1, output: str | None = None,
@@ -22,13 +21,15 @@ def ensemble(spark: SparkSession, submission: DataFrame, *, k_folds: int = 1, ou
     if k_folds > 1:
         if not output:
             raise ValueError("k_folds > 1 needs the output path whose fold files are voted")
-        preds = read_fold_predictions(spark, output, k_folds).withColumn("model", F.col("rank"))
+        preds = read_fold_predictions(spark, output, k_folds)
+        models = [fold_name(i) for i in range(1, k_folds + 1)]
     elif len(names) > 1:
         if not base_dir:
             raise ValueError("a list of prediction sets needs base_dir")
         preds = read_prediction_sets(spark, base_dir, names)
+        models = [n[:-len(".json")] for n in prediction_file_names(names)]
     else:
         raise ValueError("ensemble needs k_folds > 1 or more than one prediction set")
     if validate:
-        check_prediction_sets(submission, preds.select("id", preds["model"].cast("string").alias("model")))
+        check_prediction_sets(submission, preds.select("id", "model"), expected=models)
     return attach_predictions(submission, hard_vote(preds.select("id", "output", "rank")))

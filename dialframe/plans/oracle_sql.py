@@ -17,19 +17,27 @@ WORD = r"\p{L}\p{Nl}\p{M}\p{Nd}\p{Pc}\x{200C}\x{200D}"
 STRIP = WS + r"\x{1C}-\x{1F}"
 
 NOISE_VIEW = """
-SELECT conv_id, turn, CAST(1 + (length(text) % 2) AS INTEGER) AS speaker,
-       concat(conv_id, '.', turn) AS utterance_id,
-       (conv_id + turn) % 5 = 3 AS is_ref,
-       CASE (conv_id * 3 + turn) % 8
+SELECT conv_id, 2 * turn + k AS turn,
+       CAST(1 + (length(text) % 2 + k * ((conv_id + turn) % 2)) % 2 AS INTEGER) AS speaker,
+       concat(conv_id, '.', 2 * turn + k) AS utterance_id,
+       (conv_id + 2 * turn + k) % 5 = 3 AS is_ref,
+       CASE WHEN k = 0 THEN concat(CASE (conv_id * 3 + turn) % 8
+         WHEN 1 THEN '안녕하세요 name1입니다~ '
+         WHEN 2 THEN '(웃음) 진짜????? '
+         WHEN 4 THEN 'name_2!  그래....... ㅠㅡㅠ '
+         WHEN 5 THEN 'ㅇㅋㅋ '
+         WHEN 6 THEN '저안녕 '
+         ELSE '' END, text)
+       ELSE CASE (conv_id * 3 + turn) % 8
          WHEN 0 THEN 'ㅇㅇ ㅇㅇ 조심해'
-         WHEN 1 THEN concat('안녕하세요 name1입니다~ ', text)
-         WHEN 2 THEN concat('(웃음) 진짜????? ', text)
+         WHEN 2 THEN 'ㅋㅋㅋㅋ ㅎㅎㅎ 웃겨 ㄱㄱㄱ'
          WHEN 3 THEN 'ㅋㄱㅋㄲㅋ'
-         WHEN 4 THEN concat('name_2!  그래....... ㅠㅡㅠ ', text)
+         WHEN 4 THEN '반갑습니당 저는 name2 ㅠㅠ'
          WHEN 5 THEN '^^ OK.'
-         WHEN 6 THEN concat('저안녕 ', text)
-         ELSE text END AS text
-FROM conversations
+         WHEN 6 THEN '네'
+         WHEN 7 THEN 'ㄴㄴ ㄷㄷㄷ ㅇㅇㅇ 그래 ㅎ'
+         END END AS text
+FROM conversations CROSS JOIN (VALUES (0), (1)) t(k)
 """
 
 EXAMPLES_VIEW = """

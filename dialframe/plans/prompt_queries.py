@@ -6,9 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialframe.functions import fixed
-from dialframe.operators.encode import encode_examples, pad_batches
-from dialframe.operators.folds import fold_roles, kfold
-from dialframe.operators.prompts import VARIANTS, build_prompts
+from dialframe.operators.encode import encode_examples, length_filter_report as filter_report, pad_batches
+from dialframe.operators.folds import fold_roles, kfold, with_global_index
+from dialframe.operators.prompts import VARIANTS, build_prompts, to_messages
 from dialframe.operators.turns import nest_turns, refine_examples
 from dialframe.plans.oracle_sql import CLEAN_STAGES, EXAMPLES_VIEW, MERGE_STAGES, NOISE_VIEW
 from dialframe.plans.registry import register
@@ -26,13 +26,13 @@ K_FOLDS = 5
 def examples_nested(spark: SparkSession, sf_dir: str, refined: bool = False) -> DataFrame:
     """One nested example per conversation, from a single scan of the utterance view.
 
-    The conversation array is nested once (two-level, chunked); reference ids and
+    The conversation array is nested once, with one exchange; reference ids and
     head fields come from the same row.  ``refined`` cleans and merges inside the
     row (higher-order functions, no shuffle); an example whose utterances all
     clean to empty keeps an empty conversation.
     """
     u = noise_utterances(spark, sf_dir).withColumnRenamed("text", "utterance")
-    ex = nest_turns(u, "conv_id", "turn", ["speaker", "utterance", "utterance_id", "is_ref"])
+    ex = nest_turns(u, "conv_id", "turn", ["speaker", "utterance", "utterance_id", "is_ref"], chunk=None)
     ex = ex.select("conv_id", "conversation",
                    F.transform(F.filter("conversation", lambda x: x["is_ref"]), lambda x: x["utterance_id"])
                    .alias("reference_id"),
@@ -83,7 +83,7 @@ _TARGET_SQL = ("CASE output WHEN 'inference_1' THEN concat('A. ', inference_1, "
 _LABEL_SQL = ("CASE output WHEN '' THEN NULL WHEN 'inference_1' THEN 0 WHEN 'inference_2' THEN 1 "
               "WHEN 'inference_3' THEN 2 END")
 
-_RAW_BLOCKS = f"""v AS ({NOISE_VIEW}), e AS ({EXAMPLES_VIEW}),
+_RAW_BLOCKS = f"""v AS (SELECT * REPLACE (coalesce(text, 'None') AS text) FROM ({NOISE_VIEW})), e AS ({EXAMPLES_VIEW}),
 c AS (SELECT conv_id,
         string_agg(CASE WHEN length(text) > 1 THEN concat(chr(10), '화자', speaker, ': ', text) END, ''
                    ORDER BY turn) AS lines,
@@ -189,6 +189,59 @@ def padded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.size(F.filter("attention_mask", lambda m: m)).alias("n_attended"))
 
 
+@register("length_filter_report", "F4 (kept and dropped rows per variant)", oracle=f"""WITH {_RAW_BLOCKS},
+p AS ({" UNION ALL ".join(
+    f"SELECT '{n}' AS variant, "
+    + (f"concat({_lit(fixed.DEFAULT_SYSTEM_TEXT)}, chr(10), {_user_sql(n)}, chr(10))" if VARIANTS[n].system_text
+       else f"concat({_user_sql(n)}, chr(10))") + " AS src FROM x" for n in VARIANTS)})
+SELECT variant, count(*) FILTER (length(src) <= {MAX_SOURCE_LEN}) AS n_kept,
+       count(*) FILTER (length(src) > {MAX_SOURCE_LEN}) AS n_dropped FROM p GROUP BY variant""")
+def length_filter_report(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_report(_prompts(spark, sf_dir, list(VARIANTS)), MAX_SOURCE_LEN)
+
+
+# A pad id that occurs as a real token: the letter A of every gold option "A. ".
+REAL_PAD_ID = 65
+
+
+@register("padded_arrays", "E8, R3 (ids, labels and mask, with a pad id that is a real token)", oracle=_ENCODED_SQL + f""",
+i AS (SELECT conv_id, list_concat(src, tgt) AS ids, list_concat(list_transform(src, lambda t: -100), tgt) AS labels,
+             row_number() OVER (ORDER BY conv_id) - 1 AS idx FROM s),
+w AS (SELECT *, max(len(ids)) OVER (PARTITION BY idx // {BATCH_SIZE}) - len(ids) AS pad FROM i),
+pd AS (SELECT *, list_concat(ids, list_transform(range(0, pad), lambda t: {REAL_PAD_ID})) AS padded,
+             list_concat(labels, list_transform(range(0, pad), lambda t: -100)) AS padded_labels FROM w)
+SELECT conv_id, array_to_string(padded, ' ') AS input_ids, array_to_string(padded_labels, ' ') AS labels,
+       array_to_string(list_transform(padded, lambda t: CASE WHEN t = {REAL_PAD_ID} THEN 0 ELSE 1 END), '') AS mask
+FROM pd""")
+def padded_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
+    enc = encode_examples(_prompts(spark, sf_dir, ["v1"]), keep=("conv_id",))
+    padded = pad_batches(enc.select("conv_id", "input_ids", "labels"), "conv_id", BATCH_SIZE, REAL_PAD_ID)
+    bits = F.transform("attention_mask", lambda m: m.cast("int"))
+    return padded.select("conv_id", F.array_join("input_ids", " ").alias("input_ids"),
+                         F.array_join("labels", " ").alias("labels"), F.array_join(bits, "").alias("mask"))
+
+
+V5_SYSTEM = "주어진 대화를 읽고 가장 알맞은 문장을 고르세요."
+
+
+@register("prompt_messages", "Q7 (messages, with a system text per variant)", oracle=f"WITH {_RAW_BLOCKS} " + " UNION ALL ".join(
+    f"SELECT conv_id, '{n}' AS variant, concat('system: ', {_lit(VARIANTS[n].system_text or V5_SYSTEM)}, chr(10), "
+    f"'user: ', {_user_sql(n)}) AS messages FROM x" for n in VARIANTS))
+def prompt_messages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ex = examples_nested(spark, sf_dir)
+    missing = {n: V5_SYSTEM for n, v in VARIANTS.items() if not v.system_text}
+    p = build_prompts(ex, list(VARIANTS), keep=("conv_id",), eos_token=EOS, system_text=missing)
+    lines = F.transform(to_messages(F.col("system"), F.col("user")), lambda m: F.concat_ws(": ", m["role"], m["content"]))
+    return p.select("conv_id", "variant", F.array_join(lines, "\n").alias("messages"))
+
+
+@register("event_index", "W2 on a string key with ties (row index)", oracle="""
+SELECT event_id, row_number() OVER (ORDER BY event_type, event_id) - 1 AS idx FROM events""")
+def event_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read_table(spark, sf_dir, "events", ["event_type", "event_id"])
+    return with_global_index(e, ["event_type", "event_id"]).select("event_id", "idx")
+
+
 @register("kfold_assignments", "W2, K1, K2 over orders", oracle=f"""
 WITH i AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) - 1 AS idx, count(*) OVER () AS n FROM orders),
 p AS (SELECT *, n // {K_FOLDS} AS q, n % {K_FOLDS} AS r FROM i)
@@ -227,11 +280,15 @@ def _id_arithmetic_scorer():
     import numpy as np
 
     def score(pdf):
+        sizes = pdf["input_ids"].map(len).to_numpy()
         out = np.zeros((len(pdf), 3))
-        for i, ids in enumerate(pdf["input_ids"]):
-            a = np.asarray(ids, dtype="int64")
-            if len(a):
-                out[i] = (a.sum() % 7, len(a) % 5, a[-1] % 3)
+        full = np.flatnonzero(sizes)
+        if len(full):
+            flat = np.concatenate(pdf["input_ids"].to_list()).astype("int64")
+            ends = np.cumsum(sizes)[full]
+            out[full, 0] = np.add.reduceat(flat, ends - sizes[full]) % 7
+            out[full, 1] = sizes[full] % 5
+            out[full, 2] = flat[ends - 1] % 3
         return out
     return score
 

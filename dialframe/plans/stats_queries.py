@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from dialframe.functions import fixed
 from dialframe.functions.text import code_point_length
 from dialframe.operators import stats
-from dialframe.plans.dialogue_queries import refined_turns_df
+from dialframe.plans.dialogue_queries import conversation_lengths, raw_lengths, refined_turns_df
 from dialframe.plans.oracle_sql import CLEAN_STAGES, EXAMPLES_VIEW, MERGE_STAGES, NOISE_VIEW
 from dialframe.plans.registry import register
 from dialframe.sources.tables import example_head_columns, example_heads, noise_utterances, read_table
@@ -65,28 +65,28 @@ def _examples_all(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.with_combined_split(example_heads(spark, sf_dir))
 
 
-def _lengths_long(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """conv_id, split, form (raw / refined), n_turns, chars: one row per example and form."""
-    raw = noise_utterances(spark, sf_dir).groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("r_turns"), F.sum(code_point_length(F.coalesce("text", F.lit("None")))).alias("r_chars"))
-    ref = refined_turns_df(spark, sf_dir).groupBy("conv_id").agg(
-        F.count(F.lit(1)).alias("f_turns"), F.sum(code_point_length("text")).alias("f_chars"))
-    per_conv = raw.join(ref, "conv_id", "left")
-    zero = F.lit(0).cast("bigint")
-    forms = F.array(
-        F.struct(F.lit("raw").alias("form"), F.col("r_turns").alias("n_turns"), F.col("r_chars").alias("chars")),
-        F.struct(F.lit("refined").alias("form"), F.coalesce("f_turns", zero).alias("n_turns"),
-                 F.coalesce("f_chars", zero).alias("chars")))
+def _lengths_long(spark: SparkSession, sf_dir: str, form: str | None = None) -> DataFrame:
+    """conv_id, split, form (raw / refined), n_turns, chars: one row per example and form.
+
+    Both forms come from one scan and one exchange by conversation; a single
+    ``form`` builds that branch only.
+    """
+    per_conv = raw_lengths(spark, sf_dir) if form == "raw" else conversation_lengths(spark, sf_dir)
+    rows = [F.struct(F.lit(f).alias("form"), F.col(f"n_turns_{f}").alias("n_turns"), F.col(f"chars_{f}").alias("chars"))
+            for f in ([form] if form else ("raw", "refined"))]
     # The head fields are functions of conv_id: no second scan for the example heads.
     split = example_head_columns(F.col("conv_id"))[-1]
-    heads = per_conv.select("conv_id", split, F.inline(forms))
-    return stats.with_combined_split(heads)
+    return stats.with_combined_split(per_conv.select("conv_id", split, F.inline(F.array(*rows))))
+
+
+def _texts_by_split(rows: DataFrame) -> DataFrame:
+    """Distinct texts with the splits of their examples (a function of conv_id: no join), train+dev included."""
+    split = example_head_columns(F.col("conv_id"))[-1]
+    return stats.texts_with_groups(rows.select("text", split), "text", "split", ("train", "dev"), "train+dev")
 
 
-def _utterances_by_split(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Refined utterance texts with the split of their example (a function of conv_id: no join)."""
-    runs = refined_turns_df(spark, sf_dir).select("conv_id", "text")
-    return stats.with_combined_split(runs.select("text", example_head_columns(F.col("conv_id"))[-1]))
+def _refined_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _texts_by_split(refined_turns_df(spark, sf_dir).select("conv_id", "text"))
 
 
 # Queries --------------------------------------------------------------------
@@ -150,7 +150,7 @@ def length_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {_E_ALL}, {_LENGTHS}, x AS (SELECT split, n_turns FROM lens WHERE form = 'raw')", "split", "n_turns",
     fixed.TURN_HISTOGRAM_STEP))
 def turn_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lens = _lengths_long(spark, sf_dir).where(F.col("form") == "raw")
+    lens = _lengths_long(spark, sf_dir, "raw")
     return stats.histogram(lens, "n_turns", fixed.TURN_HISTOGRAM_STEP, "split")
 
 
@@ -158,10 +158,24 @@ def turn_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
     f"WITH {_E_ALL}, {_LENGTHS}, x AS (SELECT split, chars FROM lens WHERE form = 'raw')", "split", "chars",
     fixed.CHAR_HISTOGRAM_STEP))
 def char_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
-    lens = _lengths_long(spark, sf_dir).where(F.col("form") == "raw")
+    lens = _lengths_long(spark, sf_dir, "raw")
     return stats.histogram(lens, "chars", fixed.CHAR_HISTOGRAM_STEP, "split")
 
 
+@register("refined_turn_histogram", "A8 (step 1, refined form)", oracle=_hist_sql(
+    f"WITH {_E_ALL}, {_LENGTHS}, x AS (SELECT split, n_turns FROM lens WHERE form = 'refined')", "split", "n_turns",
+    fixed.TURN_HISTOGRAM_STEP))
+def refined_turn_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.histogram(_lengths_long(spark, sf_dir, "refined"), "n_turns", fixed.TURN_HISTOGRAM_STEP, "split")
+
+
+@register("refined_char_histogram", "A8 (step 50, refined form)", oracle=_hist_sql(
+    f"WITH {_E_ALL}, {_LENGTHS}, x AS (SELECT split, chars FROM lens WHERE form = 'refined')", "split", "chars",
+    fixed.CHAR_HISTOGRAM_STEP))
+def refined_char_histogram(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.histogram(_lengths_long(spark, sf_dir, "refined"), "chars", fixed.CHAR_HISTOGRAM_STEP, "split")
+
+
 @register("document_char_histogram", "P4, A8 over documents", oracle=_hist_sql(
     "WITH x AS (SELECT lang, CAST(length(text) AS BIGINT) AS chars FROM documents WHERE text IS NOT NULL)",
     "lang", "chars", fixed.CHAR_HISTOGRAM_STEP))
@@ -182,16 +196,18 @@ def document_length_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
 @register("distinct_utterances", "A9, U3", oracle=f"""WITH {_E_ALL}, v AS ({NOISE_VIEW}), {CLEAN_STAGES}, {MERGE_STAGES}
 SELECT DISTINCT e.split, merged.text FROM merged JOIN e USING (conv_id)""")
 def distinct_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.distinct_texts(_utterances_by_split(spark, sf_dir), "text", "split")
+    return _refined_texts(spark, sf_dir).select(F.explode("groups").alias("split"), "text")
 
 
 @register("distinct_documents", "A9 over documents (counts)", oracle="""
 SELECT lang, count(*) AS n_rows, count(DISTINCT text) AS n_distinct FROM documents GROUP BY lang""")
 def distinct_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read_table(spark, sf_dir, "documents", ["lang", "text"])
-    per_text = docs.groupBy("lang", "text").agg(F.count(F.lit(1)).alias("_k"))
+    # Texts are only told apart: a 256-bit digest is the shuffle key, not the text.
+    digests = docs.select("lang", F.sha2(F.col("text").cast("binary"), 256).alias("digest"))
+    per_text = digests.groupBy("lang", "digest").agg(F.count(F.lit(1)).alias("_k"))
     return per_text.groupBy("lang").agg(F.sum("_k").alias("n_rows"),
-                                        F.count("text").alias("n_distinct"))
+                                        F.count("digest").alias("n_distinct"))
 
 
 @register("utterance_token_counts", "A10, N1-N7, F3 (refined utterances per split)", oracle=_tokens_sql(
@@ -199,15 +215,30 @@ def distinct_documents(spark: SparkSession, sf_dir: str) -> DataFrame:
     "x AS (SELECT e.split, merged.text FROM merged JOIN e USING (conv_id))", "split")
     + " SELECT split, token, n FROM counts")
 def utterance_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.token_counts(_utterances_by_split(spark, sf_dir), "text", "split")
+    return stats.token_counts(_refined_texts(spark, sf_dir), "text", "split", groups="groups")
 
 
 @register("top_utterance_tokens", "A11, O1", oracle=_tokens_sql(
     f"WITH {_E_ALL}, v AS ({NOISE_VIEW}), {CLEAN_STAGES}, {MERGE_STAGES}, "
     "x AS (SELECT e.split, merged.text FROM merged JOIN e USING (conv_id))", "split") + " " + _top_sql("split"))
 def top_utterance_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return stats.top_tokens(stats.token_counts(_utterances_by_split(spark, sf_dir), "text", "split"),
-                            fixed.TOP_TOKENS, "split")
+    counts = stats.token_counts(_refined_texts(spark, sf_dir), "text", "split", groups="groups")
+    return stats.top_tokens(counts, fixed.TOP_TOKENS, "split")
+
+
+@register("raw_token_counts", "A10, N1-N7, F3 on raw utterances with jamo runs", oracle=_tokens_sql(
+    f"WITH {_E_ALL}, v AS ({NOISE_VIEW}), "
+    "x AS (SELECT e.split, v.text FROM v JOIN e USING (conv_id) WHERE v.text IS NOT NULL)", "split")
+    + " SELECT split, token, n FROM counts")
+def raw_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = noise_utterances(spark, sf_dir).where(F.col("text").isNotNull()).select("conv_id", "text")
+    return stats.token_counts(_texts_by_split(rows), "text", "split", groups="groups")
+
+
+@register("output_counts", "A3 (every value, the blank one too)", oracle=f"""WITH {_E_ALL}
+SELECT split, output, count(*) AS n FROM e GROUP BY split, output""")
+def output_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.value_counts(_examples_all(spark, sf_dir), "output", "split")
 
 
 @register("document_token_counts", "A10, N1-N7, F3 over documents", oracle=_tokens_sql(

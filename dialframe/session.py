@@ -86,7 +86,9 @@ def materialize(df, name: str):
     """Write ``df`` once as Parquet under the checkpoint dir and return a reader of it.
 
     Cuts the lineage like ``checkpoint()`` but in one job (a reliable RDD
-    checkpoint computes its input twice), and later readers prune columns.
+    checkpoint computes its input twice), and later readers prune columns.  The
+    folder is deleted when the application ends (:func:`release_materialized`
+    deletes earlier); a result read after that must have been written elsewhere.
     """
     spark = df.sparkSession
     base = ensure_checkpoint_dir(spark)
@@ -94,9 +96,30 @@ def materialize(df, name: str):
         return df.checkpoint(eager=True)
     path = f"{base.rstrip('/')}/dialframe-{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
+    _delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
+def _file_system(spark: SparkSession, path: str):
+    hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hp
+
+
+def _delete_at_end(spark: SparkSession, path: str) -> None:
+    """Hadoop deletes the folder when the driver's JVM ends (stopped, failed or killed by a signal)."""
+    fs, hp = _file_system(spark, path)
+    fs.deleteOnExit(hp)
+
+
+def release_materialized(df) -> None:
+    """Delete the folders of :func:`materialize` that ``df`` reads, once its result is no longer needed."""
+    spark = df.sparkSession
+    for folder in sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()}):
+        if "/dialframe-" in folder:
+            fs, hp = _file_system(spark, folder)
+            fs.delete(hp, True)
+
+
 _SHIPPED: set[str] = set()
 
 

@@ -6,8 +6,10 @@
 * ``utterance_id`` is a string in raw data and a string *or* a list after
   merging; it is read as ``variant`` and normalised to ``array<string>``, and
   written back with singletons unwrapped.
-* Prediction sets are read in one multi-path scan; their order in the recipe
-  (or the fold number) becomes the ``rank`` column used by the vote.
+* A prediction set is a file with one JSON array, a JSON Lines file, or a folder
+  of JSON Lines written by Spark; its place in the recipe (or its fold number)
+  becomes the ``rank`` column used by the vote.
+* Broken input fails the read (``FAILFAST``) instead of giving null rows.
 """
 
 from __future__ import annotations
@@ -49,8 +51,8 @@ def read_examples(spark: SparkSession, path: str | Sequence[str], multi_line: bo
     utterance_id: array<string>>>``), reference_id, category, inference_1..3, output.
     """
     paths = [path] if isinstance(path, str) else list(path)
-    raw = (spark.read.schema(EXAMPLE_READ_SCHEMA).option("multiLine", multi_line).option("pathGlobFilter", "*.json")
-           .option("recursiveFileLookup", False).json(paths))
+    raw = (spark.read.schema(EXAMPLE_READ_SCHEMA).option("multiLine", multi_line).option("mode", "FAILFAST")
+           .option("pathGlobFilter", "*.json").option("recursiveFileLookup", False).json(paths))
     conv = F.transform("input.conversation", lambda u: F.struct(
         u["speaker"].alias("speaker"), u["utterance"].alias("utterance"),
         _ids_from_variant(u["utterance_id"]).alias("utterance_id")))
@@ -66,9 +68,9 @@ def read_examples(spark: SparkSession, path: str | Sequence[str], multi_line: bo
         F.coalesce(F.col("output"), F.lit("")).alias("output"))
 
 
-def ingest_examples(spark: SparkSession, src: str | Sequence[str], dest: str) -> None:
+def ingest_examples(spark: SparkSession, src: str | Sequence[str], dest: str, multi_line: bool = True) -> None:
     """Read the JSON files once and write Parquet partitioned by split (splittable, prunable)."""
-    read_examples(spark, src).write.mode("overwrite").partitionBy("split").parquet(dest)
+    read_examples(spark, src, multi_line).write.mode("overwrite").partitionBy("split").parquet(dest)
 
 
 def read_ingested(spark: SparkSession, path: str, splits: Sequence[str] | None = None) -> DataFrame:
@@ -100,20 +102,56 @@ def write_lengths_csv(df: DataFrame, path: str, id_col: str = "id", value: str =
 
 
 def write_if_absent(df: DataFrame, path: str, fmt: str = "json") -> None:
-    """Write unless the target exists (resume: a finished prediction set is not redone)."""
-    df.write.mode("ignore").format(fmt).save(path)
+    """Write unless the target is complete (resume: a finished prediction set is not redone).
 
-
-def _require_paths(spark: SparkSession, paths: Sequence[str]) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        conf = spark.sparkContext._jsc.hadoopConfiguration()
-    except Exception:  # no JVM handle (Spark Connect): the read itself reports missing paths
+    A file counts as complete; a folder does when the write that made it committed
+    (``_SUCCESS``), so what an interrupted job left behind is written again.
+    """
+    fs, hp = _hadoop(df.sparkSession, path)
+    if fs.exists(hp) and (fs.getFileStatus(hp).isFile() or fs.exists(_child(hp, "_SUCCESS"))):
         return
-    for p in paths:
-        hp = jvm.org.apache.hadoop.fs.Path(p)
-        if not hp.getFileSystem(conf).exists(hp):
-            raise FileNotFoundError(f"File not found: {p}")
+    df.write.mode("overwrite").format(fmt).save(path)
+
+
+def _hadoop(spark: SparkSession, path: str):
+    """(file system, path) of ``path`` through Hadoop, which qualifies relative names."""
+    hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hp
+
+
+def _child(hp, name: str):
+    return hp.suffix("/" + name)
+
+
+def _holds_array(spark: SparkSession, path: str) -> bool:
+    """Whether a prediction set is one JSON array (else JSON Lines); raises where there is none.
+
+    A folder is judged by its first data file that is not empty.
+    """
+    fs, hp = _hadoop(spark, path)
+    if not fs.exists(hp):
+        raise FileNotFoundError(f"File not found: {path}")
+    found = [hp]
+    if fs.getFileStatus(hp).isDirectory():
+        found = sorted((x.getPath() for x in fs.listStatus(hp) if x.isFile() and x.getLen() > 0
+                        and x.getPath().getName()[0] not in "_."), key=lambda p: p.toString())
+    for p in found[:1]:
+        stream = fs.open(p)
+        try:
+            byte = stream.read()
+            while byte in (0x20, 0x09, 0x0A, 0x0D, 0xEF, 0xBB, 0xBF):  # white space, byte order mark
+                byte = stream.read()
+            return byte == ord("[")
+        finally:
+            stream.close()
+    return False
+
+
+def read_predictions(spark: SparkSession, path: str) -> DataFrame:
+    """(id, output) of one prediction set, in either layout."""
+    array = _holds_array(spark, path)
+    return (spark.read.schema(PREDICTION_READ_SCHEMA).option("multiLine", array).option("mode", "FAILFAST").json(path)
+            .select("id", "output"))
 
 
 def prediction_file_names(names: Sequence[str]) -> list[str]:
@@ -121,46 +159,39 @@ def prediction_file_names(names: Sequence[str]) -> list[str]:
     return [n if n.endswith(".json") else f"{n}.json" for n in names]
 
 
-def _source_index(paths: Sequence[str]) -> Column:
-    """1-based position of the given path a row was read from (a file, or a directory of part files)."""
-    fp = F.col("_metadata.file_path")
-    idx = None
-    for i, p in enumerate(paths, start=1):
-        p = p.rstrip("/")
-        hit = fp.endswith(p) | fp.contains(p + "/")
-        idx = F.when(hit, F.lit(i)) if idx is None else idx.when(hit, F.lit(i))
-    return idx
+def _ranked(spark: SparkSession, paths: Sequence[str], models: Sequence[str]) -> DataFrame:
+    """The sets stacked, each with its 1-based place and its name (a union of as many scans as the caller lists)."""
+    parts = [read_predictions(spark, p).select("id", "output", F.lit(i).alias("rank"), F.lit(m).alias("model"))
+             for i, (p, m) in enumerate(zip(paths, models), start=1)]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
-def read_prediction_sets(spark: SparkSession, base_dir: str, names: Sequence[str], multi_line: bool = True
-                         ) -> DataFrame:
+def read_prediction_sets(spark: SparkSession, base_dir: str, names: Sequence[str]) -> DataFrame:
     """Prediction sets in recipe order: (id, output, rank, model) with rank 1 = first name.
 
-    Missing files raise ``FileNotFoundError`` before any job runs.  One scan
-    reads all sets (files, or directories written by Spark); the rank comes from
-    the path a row was read from.
+    Missing files raise ``FileNotFoundError`` before any job runs.
     """
     files = prediction_file_names(names)
-    paths = [os.path.join(base_dir, f) for f in files]
-    _require_paths(spark, paths)
-    df = spark.read.schema(PREDICTION_READ_SCHEMA).option("multiLine", multi_line).json(paths)
-    rank = _source_index(paths)
-    model = F.element_at(F.array(*[F.lit(f[:-len(".json")]) for f in files]), rank)
-    return df.select("id", "output", rank.alias("rank"), model.alias("model"))
+    return _ranked(spark, [os.path.join(base_dir, f) for f in files], [f[:-len(".json")] for f in files])
 
 
 def fold_prediction_paths(output: str, k: int) -> list[str]:
     """``<output without .json>_fold_<i>.json`` for i = 1..k."""
     stem = output.split(".json")[0]
-    return [f"{stem}_fold_{i}.json" for i in range(1, k + 1)]
+    return [f"{stem}_{fold_name(i)}.json" for i in range(1, k + 1)]
 
 
-def read_fold_predictions(spark: SparkSession, output: str, k: int, multi_line: bool = True) -> DataFrame:
-    """The k fold prediction sets of one model: (id, output, rank = fold number)."""
-    paths = fold_prediction_paths(output, k)
-    _require_paths(spark, paths)
-    df = spark.read.schema(PREDICTION_READ_SCHEMA).option("multiLine", multi_line).json(paths)
-    return df.select("id", "output", _source_index(paths).alias("rank"))
+def read_fold_predictions(spark: SparkSession, output: str, k: int) -> DataFrame:
+    """The k fold prediction sets of one model: (id, output, rank = fold number, model = ``fold_<i>``)."""
+    return _ranked(spark, fold_prediction_paths(output, k), [fold_name(i) for i in range(1, k + 1)])
+
+
+def fold_name(fold: int) -> str:
+    """``fold_<k>`` (1-based), the name of a fold's model and prediction set."""
+    return f"fold_{fold}"
 
 
 def prediction_set_name(variant: str, model_id: str, method: str, lr: str, refined: bool) -> str:

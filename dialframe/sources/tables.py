@@ -4,8 +4,9 @@ The driver tables carry no Korean text and never two equal roles in a row, so
 the dialogue operators are exercised through two deterministic views whose
 work grows with the tables:
 
-* ``noise_utterances``: every ``conversations`` row with a derived speaker,
-  utterance id, reference flag and injected Korean noise;
+* ``noise_utterances``: every ``conversations`` row, its whole text kept behind a
+  Korean prefix, and after it one row of Korean noise, with derived turn, speaker,
+  utterance id and reference flag;
 * ``example_heads``: one example per conversation with a category, three
   candidate sentences, a gold output and a split.
 """
@@ -38,36 +39,41 @@ def read_table(spark: SparkSession, sf_dir: str, name: str, columns: Sequence[st
     return df
 
 
-# FIXED VALUES: noise injected by the utterance view, by (conv_id * 3 + turn) % 8
-_NOISE_CASES = (
-    (0, None, "ㅇㅇ ㅇㅇ 조심해"),
-    (1, "안녕하세요 name1입니다~ ", None),
-    (2, "(웃음) 진짜????? ", None),
-    (3, None, "ㅋㄱㅋㄲㅋ"),
-    (4, "name_2!  그래....... ㅠㅡㅠ ", None),
-    (5, None, "^^ OK."),
-    (6, "저안녕 ", None),
+# FIXED VALUES: prefix of a text and noise row after it, by (conv_id * 3 + turn) % 8
+NOISE_CASES = (
+    ("", "ㅇㅇ ㅇㅇ 조심해"),
+    ("안녕하세요 name1입니다~ ", None),
+    ("(웃음) 진짜????? ", "ㅋㅋㅋㅋ ㅎㅎㅎ 웃겨 ㄱㄱㄱ"),
+    ("", "ㅋㄱㅋㄲㅋ"),
+    ("name_2!  그래....... ㅠㅡㅠ ", "반갑습니당 저는 name2 ㅠㅠ"),
+    ("ㅇㅋㅋ ", "^^ OK."),
+    ("저안녕 ", "네"),
+    ("", "ㄴㄴ ㄷㄷㄷ ㅇㅇㅇ 그래 ㅎ"),
 )
 
 
-def _noise_text(conv_id: Column, turn: Column, text: Column) -> Column:
-    sel = (conv_id * 3 + turn) % 8
-    out = None
-    for case, prefix, whole in _NOISE_CASES:
-        value = F.lit(whole) if whole is not None else F.concat(F.lit(prefix), text)
-        out = F.when(sel == case, value) if out is None else out.when(sel == case, value)
-    return out.otherwise(text)
-
-
 def noise_utterances(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``conversations`` as utterances: conv_id, turn, speaker, utterance_id, is_ref, text."""
+    """``conversations`` as utterances: conv_id, turn, speaker, utterance_id, is_ref, text.
+
+    Turn ``t`` gives the rows ``2 t`` (prefix and whole text) and ``2 t + 1`` (noise).
+    """
     c = read_table(spark, sf_dir, "conversations", ["conv_id", "turn", "text"], spread=True)
-    return c.select(
-        "conv_id", "turn",
-        (F.lit(1) + F.length("text") % 2).cast("int").alias("speaker"),
+    cases = F.array(*[F.struct(F.lit(p).alias("prefix"), F.lit(n).cast("string").alias("noise"))
+                      for p, n in NOISE_CASES])
+    case = F.get(cases, ((F.col("conv_id") * 3 + F.col("turn")) % 8).cast("int"))
+    staged = c.withColumn("case", case)
+    odd = F.length("text") % 2
+    rows = F.array(
+        F.struct((F.col("turn") * 2).alias("turn"), (odd + 1).cast("int").alias("speaker"),
+                 F.concat(F.col("case")["prefix"], F.col("text")).alias("text")),
+        F.struct((F.col("turn") * 2 + 1).alias("turn"),
+                 ((odd + (F.col("conv_id") + F.col("turn")) % 2) % 2 + 1).cast("int").alias("speaker"),
+                 F.col("case")["noise"].alias("text")))
+    u = staged.select("conv_id", F.inline(rows))
+    return u.select(
+        "conv_id", "turn", "speaker",
         F.concat_ws(".", F.col("conv_id").cast("string"), F.col("turn").cast("string")).alias("utterance_id"),
-        ((F.col("conv_id") + F.col("turn")) % 5 == 3).alias("is_ref"),
-        _noise_text(F.col("conv_id"), F.col("turn"), F.col("text")).alias("text"))
+        ((F.col("conv_id") + F.col("turn")) % 5 == 3).alias("is_ref"), "text")
 
 
 # FIXED VALUES: category by conv_id % 5, in this order
