@@ -7,7 +7,7 @@ job usually needs.
 
 __version__ = "0.1.0"
 
-from dialframe.functions.hangul import has_final_consonant, with_particle  # noqa: E402
+from dialframe.functions.hangul import has_final_consonant  # noqa: E402
 from dialframe.functions.text import CleanConfig, clean_utterance, squeeze_jamo_runs, strip_unicode  # noqa: E402
 from dialframe.operators.encode import (ChatTemplate, code_points, encode_examples, pad_batches,  # noqa: E402
                                         pandas_encoder)
@@ -24,7 +24,7 @@ from dialframe.sources.jsonio import (read_examples, read_prediction_sets, write
                                       write_lengths_csv)
 
 __all__ = [
-    "CleanConfig", "clean_utterance", "squeeze_jamo_runs", "strip_unicode", "has_final_consonant", "with_particle",
+    "CleanConfig", "clean_utterance", "squeeze_jamo_runs", "strip_unicode", "has_final_consonant",
     "clean_and_drop_empty", "merge_turns", "nest_turns", "merge_examples", "refine_examples", "example_lengths",
     "distribution", "fixed_key_distribution", "histogram", "length_summary", "token_counts", "top_tokens",
     "with_combined_split", "VARIANTS", "build_prompts", "to_messages", "ChatTemplate", "code_points",

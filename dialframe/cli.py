@@ -1,13 +1,15 @@
 """Command line: the dataset jobs as Spark jobs.
 
-    python -m dialframe refine  SRC OUT                 clean + merge every example file in SRC
-    python -m dialframe eda     SRC OUT [--json-lines]  statistics tables (CSV) per split
+    python -m dialframe ingest  SRC OUT                 example files once to Parquet, by split
+    python -m dialframe refine  SRC OUT                 clean + merge every example in SRC
+    python -m dialframe eda     SRC OUT                 statistics tables (CSV) per split
     python -m dialframe prompts SRC OUT --variant v1    prompts + encoded examples (Parquet)
     python -m dialframe vote    --submission F --output OUT (--k-folds K | --predictions-dir D NAME ...)
 
-SRC holds ``*.json`` files with one JSON array of examples each (split = file stem);
-``--json-lines`` reads refined output (JSON Lines), so statistics of raw and refined data
-come from the same command.
+SRC holds ``*.json`` files with one JSON array of examples each (split = file stem; one
+task per file); ``--json-lines`` reads refined output (JSON Lines), so statistics of raw and
+refined data come from the same command; ``--ingested`` reads the Parquet of ``ingest``,
+which is splittable and what large inputs should use.
 Every command runs on the session's master; outputs are directories written by Spark.
 """
 
@@ -17,7 +19,7 @@ import argparse
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialframe.functions import fixed
@@ -30,18 +32,34 @@ def _session() -> SparkSession:
     return spark
 
 
+def _examples(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """The examples of SRC in whichever layout the flags name."""
+    from dialframe.sources.jsonio import read_examples, read_ingested
+    if a.ingested:
+        return read_ingested(spark, a.src)
+    return read_examples(spark, a.src, multi_line=not a.json_lines)
+
+
+def cmd_ingest(spark: SparkSession, a: argparse.Namespace) -> None:
+    from dialframe.sources.jsonio import ingest_examples
+    ingest_examples(spark, a.src, a.out, multi_line=not a.json_lines)
+
+
 def cmd_refine(spark: SparkSession, a: argparse.Namespace) -> None:
     from dialframe.operators.turns import refine_examples
-    from dialframe.sources.jsonio import read_examples, write_examples_json
-    write_examples_json(refine_examples(read_examples(spark, a.src)), a.out)
+    from dialframe.sources.jsonio import write_examples_json
+    write_examples_json(refine_examples(_examples(spark, a)), a.out)
 
 
 def cmd_eda(spark: SparkSession, a: argparse.Namespace) -> None:
     from dialframe.operators import stats
     from dialframe.operators.turns import example_lengths, flatten_conversation
-    from dialframe.sources.jsonio import read_examples
+    from dialframe.session import materialize, release_materialized
 
-    ex = read_examples(spark, a.src, multi_line=not a.json_lines)
+    ex = _examples(spark, a)
+    if not a.ingested:
+        ex = materialize(ex, "eda-examples")  # nine tables follow: parse the JSON once
+    source = ex
     ex = stats.with_combined_split(ex)
     lens = example_lengths(ex)
     utt = flatten_conversation(ex, keep=("split",)).select("split", F.col("utterance").cast("string").alias("text"))
@@ -59,36 +77,40 @@ def cmd_eda(spark: SparkSession, a: argparse.Namespace) -> None:
     }
     for name, df in tables.items():
         df.write.mode("overwrite").option("header", True).csv(os.path.join(a.out, name))
+    if not a.ingested:
+        release_materialized(source)
+
+
+def _system_texts(values: Sequence[str]) -> dict[str, str]:
+    """``variant=text`` arguments as a mapping."""
+    pairs = [v.split("=", 1) for v in values]
+    if any(len(p) != 2 for p in pairs):
+        raise ValueError("--system-text takes variant=text")
+    return dict(pairs)
 
 
 def cmd_prompts(spark: SparkSession, a: argparse.Namespace) -> None:
-    from dialframe.operators.encode import encode_examples
+    from dialframe.operators.encode import encode_examples, train_folds
     from dialframe.operators.prompts import build_prompts
-    from dialframe.sources.jsonio import read_examples
 
-    ex = read_examples(spark, a.src, multi_line=not a.json_lines)
-    prompts = build_prompts(ex, a.variant, keep=("id", "split"), eos_token=a.eos, ids_are_arrays=True,
-                            system_text=a.system_text, particle_mode=a.particle_mode)
-    enc = encode_examples(prompts, keep=("id", "split", "variant", "system", "user"), mode=a.mode,
-                          max_source_len=a.max_source_len)
+    prompts = build_prompts(_examples(spark, a), a.variant, keep=("id", "split"), eos_token=a.eos,
+                            ids_are_arrays=True, system_text=_system_texts(a.system_text),
+                            particle_mode=a.particle_mode)
+    by = ["split", "variant"]
     if a.k_folds > 1:
-        from dialframe.operators.folds import kfold
-        from dialframe.sources.jsonio import id_sequence
-        # File order of the concatenated splits: train first, then dev, then the rest; within a
-        # split, the id's sequence number.  Every variant of an example lands in the same fold.
-        rank = F.when(F.col("split") == "train", 0).when(F.col("split") == "dev", 1).otherwise(2)
-        order = (rank.cast("bigint") * F.lit(10 ** 12) + id_sequence("id")).alias("_file_order")
-        folds = kfold(ex.select("id", "split", order), "_file_order", a.k_folds).select("id", "split", "fold")
-        enc = enc.join(folds, ["id", "split"])
-    enc.write.mode("overwrite").partitionBy("split", "variant").parquet(a.out)
+        # Folds of the train rows that the length filter leaves, before any array exists.
+        folds = train_folds(prompts, a.k_folds, a.max_source_len if a.mode == "train" else None)
+        prompts = prompts.join(folds, ["id", "split", "variant"], "left")
+        by.append("fold")
+    enc = encode_examples(prompts, keep=("id", "system", "user", *by), mode=a.mode, max_source_len=a.max_source_len)
+    enc.write.mode("overwrite").partitionBy(*by).parquet(a.out)
 
 
 def cmd_vote(spark: SparkSession, a: argparse.Namespace) -> None:
     from dialframe.plans.ensemble import ensemble
-    from dialframe.sources.jsonio import PREDICTION_READ_SCHEMA
+    from dialframe.sources.jsonio import read_predictions
 
-    sub = spark.read.schema(PREDICTION_READ_SCHEMA).option("multiLine", True).json(a.submission)
-    res = ensemble(spark, sub, k_folds=a.k_folds, output=a.fold_output, base_dir=a.predictions_dir,
+    res = ensemble(spark, read_predictions(spark, a.submission), k_folds=a.k_folds, output=a.fold_output, base_dir=a.predictions_dir,
                    names=a.names)
     res.write.mode("overwrite").json(a.output)
 
@@ -97,24 +119,23 @@ def build_parser() -> argparse.ArgumentParser:
     p = argparse.ArgumentParser(prog="dialframe", description=__doc__,
                                 formatter_class=argparse.RawDescriptionHelpFormatter)
     sub = p.add_subparsers(dest="cmd", required=True)
-    r = sub.add_parser("refine", help="clean and merge utterances of every example")
-    r.add_argument("src")
-    r.add_argument("out")
-    e = sub.add_parser("eda", help="statistics tables per split (train+dev included)")
-    e.add_argument("src")
-    e.add_argument("out")
-    e.add_argument("--json-lines", action="store_true", help="SRC holds JSON Lines (e.g. refined output)")
-    pr = sub.add_parser("prompts", help="prompts and encoded examples")
-    pr.add_argument("src")
-    pr.add_argument("out")
+    source = argparse.ArgumentParser(add_help=False)
+    source.add_argument("src")
+    source.add_argument("out")
+    layout = source.add_mutually_exclusive_group()
+    layout.add_argument("--json-lines", action="store_true", help="SRC holds JSON Lines (e.g. refined output)")
+    layout.add_argument("--ingested", action="store_true", help="SRC holds the Parquet that ingest wrote")
+    sub.add_parser("ingest", parents=[source], help="example files to Parquet, partitioned by split")
+    sub.add_parser("refine", parents=[source], help="clean and merge utterances of every example")
+    sub.add_parser("eda", parents=[source], help="statistics tables per split (train+dev included)")
+    pr = sub.add_parser("prompts", parents=[source], help="prompts and encoded examples")
     pr.add_argument("--variant", nargs="+", default=["v1"], help="v1..v5 or the dataset names of the recipe")
-    pr.add_argument("--json-lines", action="store_true")
     pr.add_argument("--mode", choices=["train", "eval"], default="eval")
     pr.add_argument("--max-source-len", type=int, default=None)
     pr.add_argument("--eos", default="</s>")
-    pr.add_argument("--system-text", default=None)
+    pr.add_argument("--system-text", action="append", default=[], metavar="VARIANT=TEXT")
     pr.add_argument("--particle-mode", choices=["reference", "append"], default="reference")
-    pr.add_argument("--k-folds", type=int, default=1, help="add a 1-based fold column (contiguous, file order)")
+    pr.add_argument("--k-folds", type=int, default=1, help="fold the train rows (1-based, contiguous, file order, per variant)")
     v = sub.add_parser("vote", help="hard vote over fold predictions or an ordered list of prediction sets")
     v.add_argument("--submission", required=True)
     v.add_argument("--output", required=True)
@@ -125,7 +146,7 @@ def build_parser() -> argparse.ArgumentParser:
     return p
 
 
-COMMANDS = {"refine": cmd_refine, "eda": cmd_eda, "prompts": cmd_prompts, "vote": cmd_vote}
+COMMANDS = {"ingest": cmd_ingest, "refine": cmd_refine, "eda": cmd_eda, "prompts": cmd_prompts, "vote": cmd_vote}
 
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> None:

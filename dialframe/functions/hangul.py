@@ -22,20 +22,3 @@ def has_final_consonant(s: Column) -> Column:
     floored ``%`` of the original tooling does; a truncating ``%`` would not.
     """
     return F.pmod(last_code_point(s) - F.lit(HANGUL_BASE), F.lit(FINALS)) > 0
-
-
-def with_particle(prefix: Column, subject: Column, with_final: str, without_final: str,
-                  mode: str = "reference") -> Column:
-    """``prefix`` + ``subject`` followed by the particle that fits the subject.
-
-    ``mode="reference"`` reproduces the original quirk: without a final consonant
-    the text built so far is *replaced* by the bare particle.  ``mode="append"``
-    is the corrected form that keeps the prefix.
-    """
-    head = F.concat(prefix, subject)
-    final = has_final_consonant(subject)
-    if mode == "reference":
-        return F.when(final, F.concat(head, F.lit(with_final))).otherwise(F.lit(without_final))
-    if mode == "append":
-        return F.concat(head, F.when(final, F.lit(with_final)).otherwise(F.lit(without_final)))
-    raise ValueError(f"unknown particle mode {mode!r}; expected 'reference' or 'append'")

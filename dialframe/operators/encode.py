@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialframe.functions import fixed
-from dialframe.operators.folds import with_global_index
+from dialframe.operators.folds import kfold, with_global_index
 from dialframe.session import ship_package
+from dialframe.sources.jsonio import id_sequence
 
 Encoder = Callable[[Column], Column]
 
@@ -98,6 +99,22 @@ def length_filter_report(prompts: DataFrame, max_source_len: int, by: Sequence[s
         F.count_if(F.col("_n") > max_source_len).alias("n_dropped"))
 
 
+def train_folds(prompts: DataFrame, k: int, max_source_len: int | None = None, train: str = "train",
+                encoder: Encoder = code_points, template: ChatTemplate = ChatTemplate()) -> DataFrame:
+    """(id, split, variant, fold) of the train rows that fit, folded per variant in file order.
+
+    File order is the trailing number of the id, then the id (ids without a number
+    come first, by their text).  Only ids and a length are shuffled.  Rows that
+    repeat an id share its fold.
+    """
+    rows = prompts.where(F.col("split") == train)
+    if max_source_len is not None:
+        size = F.size(encoder(template.render(F.col("system"), F.col("user"))))
+        rows = rows.select("id", "split", "variant", F.explode(F.filter(F.array(size), lambda n: n <= max_source_len)))
+    ids = rows.select("id", "split", "variant").distinct().withColumn("_seq", id_sequence("id"))
+    return kfold(ids, ["_seq", "id"], k, by="variant").select("id", "split", "variant", "fold")
+
+
 def pad_batches(encoded: DataFrame, order: str | Sequence[str], batch_size: int, pad_id: int,
                 mask_by: str = "value") -> DataFrame:
     """Cut examples into batches of ``batch_size`` in ``order`` and right-pad to the batch maximum.

@@ -103,7 +103,7 @@ def kfold(df: DataFrame, order: str | Sequence[str], k: int, out: str = "fold",
         # Rows of a group are neighbours in the index: its first place and size, one row per group.
         groups = idx.groupBy(*[F.col(c).alias(f"_g_{c}") for c in by]).agg(
             F.min("idx").alias("_first"), F.count(F.lit(1)).alias("_size"))
-        same = [idx[c].eqNullSafe(groups[f"_g_{c}"]) for c in by]
+        same = [F.col(c).eqNullSafe(F.col(f"_g_{c}")) for c in by]
         idx = idx.join(groups, same).withColumns(
             {"idx": F.col("idx") - F.col("_first"), "_n_rows": F.col("_size")}).drop(*groups.columns)
     n = F.col("_n_rows")

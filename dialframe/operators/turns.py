@@ -48,58 +48,6 @@ def clean_conversation(conversation: Column, cfg: CleanConfig = DEFAULT_CLEAN) -
     return F.filter(cleaned, lambda u: u["utterance"] != F.lit(""))
 
 
-def merge_conversation(conversation: Column, reference_ids: Column, ids_are_arrays: bool = False,
-                       speaker_type: str = "int") -> Column:
-    """Merge consecutive utterances of one speaker inside one conversation array.
-
-    A new run starts at the first utterance, on a speaker change, at a reference
-    utterance, and right after a reference utterance.  Texts of a run are joined
-    with one space and stripped; ids are kept in order as ``array<string>``; a run
-    whose text is blank is dropped.  One left fold over the array: the input
-    expression is evaluated once, but the fold copies the runs built so far at
-    every step (quadratic in the turns of one example); :func:`merge_examples`
-    is the linear DataFrame-level form.
-    """
-    run_t = "array<struct<speaker:{s},texts:array<string>,ids:array<string>>>"
-
-    def ids_of(u: Column) -> Column:
-        return u["utterance_id"] if ids_are_arrays else F.array(u["utterance_id"])
-
-    def is_ref(u: Column) -> Column:
-        first = F.get(u["utterance_id"], 0) if ids_are_arrays else u["utterance_id"]
-        return F.coalesce(F.array_contains(reference_ids, first), F.lit(False))
-
-    def step(acc: Column, u: Column) -> Column:
-        runs = acc["runs"]
-        n = F.size(runs)
-        last = F.get(runs, n - 1)
-        brk = (n == 0) | ~u["speaker"].eqNullSafe(last["speaker"]) | is_ref(u) | acc["prev_ref"]
-        new_run = F.struct(u["speaker"].alias("speaker"), F.array(u["utterance"].cast("string")).alias("texts"),
-                           ids_of(u).alias("ids"))
-        grown = F.struct(last["speaker"].alias("speaker"),
-                         F.concat(last["texts"], F.array(u["utterance"].cast("string"))).alias("texts"),
-                         F.concat(last["ids"], ids_of(u)).alias("ids"))
-        runs2 = F.when(brk, F.concat(runs, F.array(new_run))).otherwise(
-            F.concat(F.slice(runs, 1, F.greatest(n - 1, F.lit(0))), F.array(grown)))
-        last_ref = (F.get(u["utterance_id"], F.size(u["utterance_id"]) - 1) if ids_are_arrays
-                    else u["utterance_id"])
-        return F.struct(runs2.alias("runs"),
-                        F.coalesce(F.array_contains(reference_ids, last_ref), F.lit(False)).alias("prev_ref"))
-
-    zero = F.struct(F.array().cast(run_t.format(s=speaker_type)).alias("runs"), F.lit(False).alias("prev_ref"))
-    folded = F.aggregate(conversation, zero, step, lambda acc: acc["runs"])
-    merged = F.transform(folded, lambda r: F.struct(
-        r["speaker"].alias("speaker"), strip_unicode(F.array_join(r["texts"], " ")).alias("utterance"),
-        r["ids"].alias("utterance_id")))
-    return F.filter(merged, lambda u: u["utterance"] != F.lit(""))
-
-
-def refine_conversation(conversation: Column, reference_ids: Column,
-                        cfg: CleanConfig = DEFAULT_CLEAN, speaker_type: str = "int") -> Column:
-    """Clean, drop empty utterances, then merge runs (the refine step of one example)."""
-    return merge_conversation(clean_conversation(conversation, cfg), reference_ids, speaker_type=speaker_type)
-
-
 def turn_count(conversation: Column) -> Column:
     """Number of utterances of an example."""
     return F.size(conversation).cast("bigint")
@@ -148,7 +96,7 @@ def _split_hot(df: DataFrame, keys: list[str], hot_rows: int) -> tuple[DataFrame
     hot = materialize(hot, "hot-keys")
     if not hot.limit(1).count():
         return df, None
-    same = [df[k].eqNullSafe(hot[f"_hot_{k}"]) for k in keys]
+    same = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
     return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
 
 
@@ -272,8 +220,10 @@ def _merge(df: DataFrame, keys: list[str], order: list[str], speaker: str, text:
         F.max(F.when(F.col("_run") != 1, F.col("_head"))).alias("_hn"))
 
     # One row per chunk with a crossing run, joined by key and chunk.
-    same = [pieces[c].eqNullSafe(links[c]) for c in (*keys, "_chunk")]
-    j = pieces.join(links, same, "left").drop(*[links[c] for c in (*keys, "_chunk")]).withColumn(
+    by = [*keys, "_chunk"]
+    links = links.withColumnsRenamed({c: f"_link_{c}" for c in by})
+    same = [F.col(c).eqNullSafe(F.col(f"_link_{c}")) for c in by]
+    j = pieces.join(links, same, "left").drop(*[f"_link_{c}" for c in by]).withColumn(
         "_lhead", F.when(F.col("_run") == 1, F.col("_h1")).when(F.col("_run") == F.col("_rn"), F.col("_hn")))
 
     direct = finish(j.where(F.col("_lhead").isNull()))

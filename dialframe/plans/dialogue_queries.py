@@ -136,7 +136,8 @@ def merge_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
     # All events form a single sequence: the one key holds every row, and the quantile
     # chunks still cut it into pieces of about rows / buckets events for the window.
     e = read_table(spark, sf_dir, "events", ["ts", "event_id", "event_type", "props"])
-    e = e.withColumn("stream", F.lit(0)).withColumn("is_ref", F.col("event_type") == F.lit("purchase"))
+    # Not a literal: the optimizer would fold a constant key and send all rows to one task.
+    e = e.withColumn("stream", F.col("event_id") * 0).withColumn("is_ref", F.col("event_type") == F.lit("purchase"))
     m = merge_turns(e, "stream", ["ts", "event_id"], speaker="event_type", text="props", uid="event_id",
                     chunk="quantile", chunk_key=F.unix_micros(F.col("ts").cast("timestamp")), hot_rows=1_000)
     return m.select(F.col("event_id").alias("start_event_id"), "event_type", F.col("props").alias("text"),

@@ -20,7 +20,7 @@ from dialframe.sources.jsonio import EXAMPLE_READ_SCHEMA, _ids_from_variant, to_
 
 def read_example_stream(spark: SparkSession, path: str, max_files_per_trigger: int | None = None) -> DataFrame:
     """Examples as JSON Lines files arriving in ``path`` (one example per line)."""
-    r = spark.readStream.schema(EXAMPLE_READ_SCHEMA)
+    r = spark.readStream.schema(EXAMPLE_READ_SCHEMA).option("mode", "FAILFAST")
     if max_files_per_trigger:
         r = r.option("maxFilesPerTrigger", max_files_per_trigger)
     raw = r.json(path)

@@ -10,7 +10,7 @@ from collections import Counter
 from pyspark.sql import functions as F
 
 from dialframe.operators.stats import histogram, token_counts, top_tokens
-from dialframe.operators.turns import merge_conversation, merge_turns
+from dialframe.operators.turns import merge_examples, merge_turns
 from dialframe.operators.vote import hard_vote
 
 
@@ -44,15 +44,16 @@ def test_merge_long_and_nested_vs_python(spark):
     want = {k: py_merge(rows, set(refs)) for k, (rows, refs) in enumerate(cases)}
     for chunk in (None, 5):
         got = {}
-        for r in merge_turns(df, "k", "pos", chunk=chunk).orderBy("k", "pos").collect():
+        for r in merge_turns(df, "k", "pos", chunk=chunk, hot_rows=3).orderBy("k", "pos").collect():
             got.setdefault(r["k"], []).append((r["speaker"], r["text"], list(r["utterance_ids"])))
         assert got == want
     nested = spark.createDataFrame(
         [(k, [{"speaker": s, "utterance": t, "utterance_id": u} for s, t, u in rows], refs)
          for k, (rows, refs) in enumerate(cases)],
         "k int, conversation array<struct<speaker:int,utterance:string,utterance_id:string>>, refs array<string>")
-    got = {r["k"]: [(u["speaker"], u["utterance"], list(u["utterance_id"])) for u in r["m"]]
-           for r in nested.select("k", merge_conversation(F.col("conversation"), F.col("refs")).alias("m")).collect()}
+    merged = merge_examples(nested.withColumnRenamed("refs", "reference_id"), ids_are_arrays=False)
+    got = {r["k"]: [(u["speaker"], u["utterance"], list(u["utterance_id"])) for u in r["conversation"]]
+           for r in merged.collect()}
     assert got == want
 
 

@@ -3,7 +3,7 @@ import math
 import pytest
 from pyspark.sql import functions as F
 
-from dialframe.functions.hangul import has_final_consonant, with_particle
+from dialframe.functions.hangul import has_final_consonant
 from dialframe.operators.encode import code_points, encode_examples, pad_batches, pandas_encoder
 from dialframe.operators.folds import fold_roles, kfold, with_global_index
 from dialframe.operators.prompts import gold_index
@@ -59,12 +59,12 @@ def test_pandas_encoder_plugs_in(spark):
 
 def test_global_index_and_folds(spark):
     df = spark.range(0, 10).select((F.col("id") * 7 + 3).alias("key"))
-    idx = sorted((r["key"], r["idx"]) for r in with_global_index(df, "key", buckets=3).collect())
+    idx = sorted((r["key"], r["idx"]) for r in with_global_index(df, "key", partitions=3).collect())
     assert [i for _, i in idx] == list(range(10))
     # clustered keys (most of them in a narrow range) still get a dense, ordered index
     skew = spark.range(0, 2000).select(F.when(F.col("id") < 1900, F.col("id")).otherwise(F.col("id") * 1000000)
                                         .alias("key"))
-    got = [r["idx"] for r in with_global_index(skew, "key", buckets=16).orderBy("key").collect()]
+    got = [r["idx"] for r in with_global_index(skew, "key", partitions=16).orderBy("key").collect()]
     assert got == list(range(2000))
     folds = {r["key"]: r["fold"] for r in kfold(df, "key", 3).collect()}
     sizes = [sum(1 for v in folds.values() if v == f) for f in (1, 2, 3)]
@@ -131,9 +131,6 @@ def test_particles(spark):
     df = spark.createDataFrame([(c,) for c in cats], "c string")
     finals = [r[0] for r in df.select(has_final_consonant(F.col("c"))).collect()]
     assert finals == [True, True, False, False, True, True]   # ')' -> floored modulo 25 > 0
-    q = df.select(with_particle(F.lit("P "), F.col("c"), "으로", "로").alias("q"),
-                  with_particle(F.lit("P "), F.col("c"), "으로", "로", mode="append").alias("a")).collect()
-    assert q[2]["q"] == "로" and q[2]["a"] == "P 전제로" and q[0]["q"] == "P 원인으로"
 
 
 def test_gold_index_rejects_unknown(spark):
@@ -141,3 +138,78 @@ def test_gold_index_rejects_unknown(spark):
     assert [r[0] for r in df.select(gold_index(F.col("o"))).collect()] == [None, 2]
     with pytest.raises(Exception):
         spark.createDataFrame([("bogus",)], "o string").select(gold_index(F.col("o"))).collect()
+
+
+def test_index_on_string_null_and_tied_keys(spark):
+    rows = [(None, i) for i in range(900)] + [("b", i) for i in range(60)] + [("a" * (i % 5), i) for i in range(40)]
+    df = spark.createDataFrame(rows, "key string, n int")
+    first = with_global_index(df, "key", partitions=8).collect()
+    got = [r["key"] for r in sorted(first, key=lambda r: r["idx"])]
+    assert got == sorted((k for k, _ in rows), key=lambda k: (k is not None, k or ""))
+    assert sorted(r["idx"] for r in first) == list(range(1000))
+    again = with_global_index(df.repartition(5), "key", partitions=3).collect()
+    assert {(r["key"], r["n"]): r["idx"] for r in first} == {(r["key"], r["n"]): r["idx"] for r in again}
+    assert with_global_index(df.limit(0), "key").count() == 0 and kfold(df.limit(0), "key", 2).count() == 0
+
+
+def test_equal_keys_are_spread_over_ranges(spark):
+    from dialframe.operators import folds
+    df = spark.range(4000).select(F.lit(None).cast("string").alias("key"), F.col("id"))
+    sizes = {}
+    real = folds.materialize
+    try:
+        folds.materialize = lambda d, n: sizes.setdefault("df", real(d, n))
+        with_global_index(df, "key", partitions=8)
+    finally:
+        folds.materialize = real
+    counts = [r["count"] for r in sizes["df"].groupBy("_bucket").count().collect()]
+    assert len(counts) >= 6 and max(counts) < 1500
+
+
+def test_folds_per_group(spark):
+    df = spark.createDataFrame([(g, i) for g, n in (("x", 5), ("y", 7), (None, 2)) for i in range(n)], "g string, k long")
+    got = {}
+    for r in kfold(df, "k", 2, by="g").collect():
+        got.setdefault(r["g"], []).append((r["k"], r["idx"], r["fold"]))
+    assert {g: [f for *_, f in sorted(v)] for g, v in got.items()} == {
+        "x": [1, 1, 1, 2, 2], "y": [1, 1, 1, 1, 2, 2, 2], None: [1, 2]}
+    assert all([i for _, i, _ in sorted(v)] == list(range(len(v))) for v in got.values())
+
+
+def test_source_is_encoded_once(spark):
+    df = _prompts(spark, [("a", None, "ab", "x", None), ("b", None, "abc", "y", None)])
+    native = encode_examples(df, mode="train", max_source_len=3)._jdf.queryExecution().optimizedPlan().toString()
+    assert native.count("split(") == 2  # source and target
+    enc = pandas_encoder(lambda texts: [list(t.encode()) for t in texts])
+    plan = encode_examples(df, encoder=enc, mode="train", max_source_len=3)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("_encode(") == 2 * plan.count("ArrowEvalPython [") or plan.count("ArrowEvalPython") == 2
+
+
+def test_scorer_is_built_once_per_worker(spark, tmp_path):
+    """16 tasks: as many factory calls as worker processes; two scorers of one session do not mix."""
+    import os
+
+    def factory(tag, value):
+        def build():
+            with open(tmp_path / f"{tag}-{os.getpid()}", "a") as f:
+                f.write("x")
+            return lambda pdf: [[value, float(os.getpid()), 0.0]] * len(pdf)
+        return build
+
+    df = spark.range(160).repartition(16)
+    for _ in range(2):
+        one = score_batches(df, factory("one", 1.0), ["id"], name="one").collect()
+        two = score_batches(df, factory("two", 2.0), ["id"], name="two").collect()
+        assert {r.s_a for r in one} == {1.0} and {r.s_a for r in two} == {2.0}
+    for tag in ("one", "two"):
+        calls = [p.read_text() for p in tmp_path.glob(f"{tag}-*")]
+        assert calls and set(calls) == {"x"}
+
+
+def test_messages_need_a_system_text(spark):
+    from dialframe.operators.prompts import to_messages
+    df = spark.createDataFrame([("s", "u"), (None, "u")], "system string, user string")
+    rows = df.select(to_messages(F.col("system"), F.col("user")).alias("m"))
+    assert [x["content"] for x in rows.limit(1).first()["m"]] == ["s", "u"]
+    with pytest.raises(Exception, match="no system text"):
+        rows.collect()

@@ -184,7 +184,7 @@ def test_fold_prediction_sets_resume(spark):
     write_fold_predictions(first, stem, 2)
     second = spark.createDataFrame([("q0", "inference_3", 1), ("q0", "inference_3", 2)], "id string, output string, fold int")
     write_fold_predictions(second, stem, 2)          # both folds exist: nothing is redone
-    got = sorted((r["rank"], r["output"]) for r in read_fold_predictions(spark, stem, 2, multi_line=False).collect())
+    got = sorted((r["rank"], r["output"]) for r in read_fold_predictions(spark, stem, 2).collect())
     assert got == [(1, "inference_1"), (2, "inference_2")]
 
 
@@ -201,9 +201,6 @@ def test_cli_commands(spark, src_dir):
     enc = spark.read.parquet(out + "/prompts")
     assert sorted(r["variant"] for r in enc.select("variant").distinct().collect()) == ["v1", "v4"]
     assert enc.where("n_source > 0").count() == 4
-    main(["prompts", src_dir, out + "/folds", "--variant", "v2", "--k-folds", "2"], spark=spark)
-    folds = {r["id"]: r["fold"] for r in spark.read.parquet(out + "/folds").collect()}
-    assert folds == {"t-train-000001": 1, "t-train-000002": 2}     # train before dev
     ids = spark.createDataFrame([("x-dev-000042",), ("nope",)], "id string")
     assert [r[0] for r in ids.select(id_sequence("id")).collect()] == [42, None]
 
@@ -237,3 +234,119 @@ def test_cli_vote(spark):
     with pytest.raises(ValueError):
         main(["vote", "--submission", os.path.join(d, "submission.json"), "--output", d + "/x",
               "--predictions-dir", d, "a"], spark=spark)
+
+
+def _write_array(path, rows):
+    with open(path, "w", encoding="utf-8") as f:
+        json.dump(rows, f, ensure_ascii=False)
+
+
+def test_fold_round_trip_from_score_to_submission(spark, tmp_path, monkeypatch):
+    """score -> fold sets -> ensemble -> submission, from ``./dir`` and from a name with a space."""
+    from pyspark.sql import functions as F
+
+    from dialframe.operators.score import predict_from_scores, score_batches
+    from dialframe.plans.ensemble import ensemble
+    from dialframe.sources.jsonio import write_fold_predictions
+    monkeypatch.chdir(tmp_path)
+    ids = [f"q{i:02d}" for i in range(12)]
+    enc = spark.createDataFrame([(q, f, [i + f]) for i, q in enumerate(ids) for f in (1, 2, 3)],
+                                "id string, fold int, input_ids array<bigint>").repartition(5)
+
+    def factory():
+        def score(pdf):
+            return [[float(x[0] % 3 == 0), float(x[0] % 3 == 1), float(x[0] % 3 == 2)] for x in pdf["input_ids"]]
+        return score
+
+    preds = predict_from_scores(score_batches(enc, factory, ["id", "fold"]), ["s_a", "s_b", "s_c"], ["id", "fold"])
+    sub = spark.createDataFrame([(q, "") for q in ids], "id string, output string")
+    # The three folds of an id vote for three labels: fold 1 wins the tie.
+    want = {q: f"inference_{(i + 1) % 3 + 1}" for i, q in enumerate(ids)}
+    for name in (f"{tmp_path}/a b/model.json", f"{tmp_path}/./plain/model.json"):
+        paths = write_fold_predictions(preds.select("id", "output", "fold"), name, 3)
+        assert len(paths) == 3
+        got = {r["id"]: r["output"] for r in ensemble(spark, sub, k_folds=3, output=name).collect()}
+        assert got == want
+    base = f"{tmp_path}/./a b"
+    got = ensemble(spark, sub, base_dir=base, names=["model_fold_1", "model_fold_2.json", "model_fold_3"])
+    assert {r["id"]: r["output"] for r in got.collect()} == want
+    with pytest.raises(Exception, match="missing|no rows"):
+        write_fold_predictions(preds.select("id", "output", F.col("fold") + 1), f"{tmp_path}/late.json", 4)
+        ensemble(spark, sub, k_folds=4, output=f"{tmp_path}/late.json")
+
+
+def test_prefix_names_do_not_mix(spark, tmp_path):
+    for name, label in (("X", "inference_1"), ("Refined_X", "inference_2")):
+        _write_array(tmp_path / f"{name}.json", [{"id": "q0", "output": label}])
+    got = read_prediction_sets(spark, str(tmp_path), ["X", "Refined_X"]).collect()
+    assert {(r["rank"], r["model"], r["output"]) for r in got} == {(1, "X", "inference_1"), (2, "Refined_X", "inference_2")}
+
+
+def test_empty_set_and_broken_input_raise(spark, tmp_path):
+    from dialframe.plans.ensemble import ensemble
+    sub = spark.createDataFrame([("q0", "")], "id string, output string")
+    _write_array(tmp_path / "a.json", [{"id": "q0", "output": "inference_1"}])
+    _write_array(tmp_path / "empty.json", [])
+    with pytest.raises(ValueError, match="empty: no rows"):
+        ensemble(spark, sub, base_dir=str(tmp_path), names=["a", "empty"])
+    (tmp_path / "cut.json").write_text('[{"id": "q0", "output": "inf')
+    with pytest.raises(Exception):
+        read_prediction_sets(spark, str(tmp_path), ["a", "cut"]).collect()
+    (tmp_path / "ex").mkdir()
+    (tmp_path / "ex" / "train.json").write_text('[{"id": "x", "input": {"conversation": [{"speaker": "one"}]}}]')
+    with pytest.raises(Exception):
+        read_examples(spark, str(tmp_path / "ex")).collect()
+
+
+def test_interrupted_write_is_done_again(spark, tmp_path):
+    left = tmp_path / "p"
+    left.mkdir()
+    (left / "part-00000.json").write_text('{"id": "old", "output": "inference_1"}\n')
+    write_if_absent(spark.createDataFrame([("new", "inference_2")], "id string, output string"), str(left))
+    assert [r["id"] for r in spark.read.json(str(left)).collect()] == ["new"]
+
+
+def test_null_utterance_counts_as_its_printed_form(spark):
+    from dialframe.operators.turns import example_lengths
+    df = spark.createDataFrame([("x", "train", [("a", 1), (None, 2)])],
+                               "id string, split string, conversation array<struct<utterance:string,speaker:int>>")
+    assert example_lengths(df).first()["total_utterance_length"] == 5
+
+
+def test_cli_folds_train_rows_that_fit(spark, tmp_path):
+    """One over-long train row and one dev row get no fold; variants are folded on their own."""
+    from dialframe.cli import main
+
+    def example(i, text):
+        turn = {"speaker": 1, "utterance": text, "utterance_id": f"{i}.1"}
+        return {"id": i, "input": {"conversation": [turn], "reference_id": [f"{i}.1"], "category": "원인",
+                                   "inference_1": "가", "inference_2": "나", "inference_3": "다"},
+                "output": "inference_1"}
+
+    src = tmp_path / "src"
+    src.mkdir()
+    _write_array(src / "train.json", [example(f"t-{i:03d}", "긴" * (5000 if i == 2 else 10)) for i in range(5)])
+    _write_array(src / "dev.json", [example("d-000", "짧은 글")])
+    out = str(tmp_path / "out")
+    main(["ingest", str(src), out + "/ex"], spark=spark)
+    main(["prompts", out + "/ex", out + "/p", "--ingested", "--variant", "v1", "v2", "--mode", "train",
+          "--max-source-len", "2000", "--k-folds", "2"], spark=spark)
+    rows = spark.read.parquet(out + "/p").collect()
+    want = {"t-000": 1, "t-001": 1, "t-003": 2, "t-004": 2, "d-000": None}
+    for v in ("v1", "v2"):
+        assert {r["id"]: r["fold"] for r in rows if r["variant"] == v} == want
+    assert len(glob.glob(out + "/p/split=train/variant=v1/fold=2/*.parquet")) >= 1
+    main(["eda", out + "/ex", out + "/eda", "--ingested"], spark=spark)
+    sizes = {r["split"]: int(r["n"]) for r in spark.read.option("header", True).csv(out + "/eda/split_sizes").collect()}
+    assert sizes == {"train": 5, "dev": 1, "train+dev": 6}
+    main(["refine", out + "/ex", out + "/refined", "--ingested"], spark=spark)
+    assert read_examples(spark, out + "/refined/split=dev", multi_line=False).count() == 1
+
+
+def test_materialized_folders_are_released(spark):
+    from dialframe.session import materialize, release_materialized
+    df = materialize(spark.range(10), "release-test")
+    folder = df.inputFiles()[0].rsplit("/", 1)[0].removeprefix("file:").replace("///", "/")
+    assert os.path.isdir(folder)
+    release_materialized(df)
+    assert not os.path.exists(folder)

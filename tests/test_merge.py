@@ -1,8 +1,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from dialframe.operators.turns import (clean_and_drop_empty, merge_conversation, merge_turns,
-                                       refine_conversation)
+from dialframe.operators.turns import clean_and_drop_empty, merge_examples, merge_turns, refine_examples
 
 # (rows as (speaker, text, id), refs, expected [(speaker, text, [ids])]) derived by hand
 MERGE_CASES = [
@@ -30,7 +29,7 @@ def _expected(cases):
 @pytest.mark.parametrize("chunk", [None, 1, 2, 1 << 16])
 def test_merge_long_matches_fixture(spark, chunk):
     df = _long(spark, MERGE_CASES).where(F.col("text") != "")
-    out = merge_turns(df, "k", "pos", chunk=chunk).orderBy("k", "pos").collect()
+    out = merge_turns(df, "k", "pos", chunk=chunk, hot_rows=1).orderBy("k", "pos").collect()
     got = {}
     for r in out:
         got.setdefault(r["k"], []).append((r["speaker"], r["text"], list(r["utterance_ids"])))
@@ -43,7 +42,8 @@ def test_merge_nested_matches_fixture(spark):
     df = spark.createDataFrame(
         rows, "k int, conversation array<struct<speaker:int,utterance:string,utterance_id:string>>, refs array<string>")
     conv = F.filter("conversation", lambda u: u["utterance"] != "")
-    out = df.select("k", merge_conversation(conv, F.col("refs")).alias("m")).orderBy("k").collect()
+    nested = df.select("k", conv.alias("conversation"), F.col("refs").alias("reference_id"))
+    out = merge_examples(nested, ids_are_arrays=False).select("k", F.col("conversation").alias("m")).collect()
     for r in out:
         got = [(u["speaker"], u["utterance"], list(u["utterance_id"])) for u in r["m"]]
         assert got == _expected(MERGE_CASES)[r["k"]]
@@ -60,23 +60,57 @@ def test_chunking_does_not_change_result(spark):
             rows.append((k, pos, spk, f"t{pos}", f"{k}.{pos}", rnd.random() < 0.03))
     df = spark.createDataFrame(rows, "k int, pos int, speaker int, text string, utterance_id string, is_ref boolean")
 
-    def norm(chunk):
+    def norm(chunk, hot_rows=0):
         return sorted((r["k"], r["pos"], r["speaker"], r["text"], tuple(r["utterance_ids"]), r["n_turns"])
-                      for r in merge_turns(df, "k", "pos", chunk=chunk).collect())
+                      for r in merge_turns(df, "k", "pos", chunk=chunk, hot_rows=hot_rows).collect())
 
     base = norm(None)
     for c in (1, 3, 7, 64, 1000):
         assert norm(c) == base
 
 
+def test_hot_threshold_does_not_change_result(spark):
+    """Keys of 10, 100 and 1000 rows and a null key, cut or not by every threshold."""
+    rows = [(k, pos, 1 + pos // 7 % 2, f"t{pos}", f"{k}.{pos}", pos % 31 == 5)
+            for k, n in ((1, 10), (2, 100), (3, 1000), (None, 50)) for pos in range(n)]
+    df = spark.createDataFrame(rows, "k int, pos int, speaker int, text string, utterance_id string, is_ref boolean")
+
+    def norm(**kw):
+        return sorted((str(r["k"]), r["pos"], r["text"], tuple(r["utterance_ids"]), r["is_ref"])
+                      for r in merge_turns(df, "k", "pos", **kw).collect())
+
+    base = norm(chunk=None)
+    for hot_rows in (0, 20, 100, 999, 1000):
+        assert norm(chunk=16, hot_rows=hot_rows) == base
+        assert norm(chunk="quantile", hot_rows=hot_rows) == base
+
+
+def test_normal_keys_take_one_exchange(spark):
+    ev = spark.read.parquet("/root/testdata/sf0.01/events.parquet").withColumn("is_ref", F.lit(False))
+    out = merge_turns(ev, "user_id", ["ts", "event_id"], speaker="event_type", text="props", uid="event_id",
+                      chunk="quantile", chunk_key=F.unix_micros(F.col("ts").cast("timestamp")))
+    plan = out._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "merge-pieces" not in plan
+
+
+def test_empty_frames(spark):
+    schema = "k int, pos long, speaker int, text string, utterance_id string, is_ref boolean"
+    empty = spark.createDataFrame([], schema)
+    for kw in ({"chunk": "quantile"}, {"chunk": 5}, {"chunk": None}, {"chunk": "quantile", "hot_rows": 0}):
+        assert merge_turns(empty, "k", "pos", **kw).count() == 0
+    from dialframe.operators.folds import quantile_buckets
+    nulls = spark.createDataFrame([(None,), (None,)], "pos long")
+    assert [r.b for r in quantile_buckets(nulls, F.col("pos"), "b").collect()] == [-1, -1]
+
+
 def test_refine_nested_cleans_and_merges(spark):
     conv = [{"speaker": 2, "utterance": "ㅇㅇ 좋아", "utterance_id": "x.1"},
             {"speaker": 1, "utterance": "^^", "utterance_id": "x.2"},
             {"speaker": 2, "utterance": "진짜?????", "utterance_id": "x.3"},
             {"speaker": 2, "utterance": "name1 최고", "utterance_id": "x.4"}]
-    df = spark.createDataFrame([(conv, ["x.4"])],
-                               "conversation array<struct<speaker:int,utterance:string,utterance_id:string>>, r array<string>")
-    m = df.select(refine_conversation(F.col("conversation"), F.col("r")).alias("m")).first()["m"]
+    df = spark.createDataFrame([(conv, ["x.4"])], "conversation array<struct<speaker:int,utterance:string,"
+                               "utterance_id:string>>, reference_id array<string>")
+    m = refine_examples(df, ids_are_arrays=False).first()["conversation"]
     assert [(u["speaker"], u["utterance"], list(u["utterance_id"])) for u in m] == [
         (2, "응 좋아 진짜??", ["x.1", "x.3"]), (2, "화자1 최고", ["x.4"])]
 
@@ -104,7 +138,7 @@ def test_quantile_chunks_do_not_change_result(spark):
         return sorted((r["k"], r["pos"], r["text"], tuple(r["utterance_ids"]))
                       for r in merge_turns(df, "k", "pos", **kw).collect())
 
-    assert norm(chunk="quantile") == norm(chunk=None)
+    assert norm(chunk="quantile", hot_rows=50) == norm(chunk=None)
     from dialframe.operators.folds import quantile_buckets
     sizes = quantile_buckets(df, F.col("pos"), "b", buckets=16).groupBy("b").count().collect()
     assert max(r["count"] for r in sizes) <= 2 * 520 / 16 + 2
