@@ -27,7 +27,7 @@ from collections.abc import Iterator
 import numpy as np
 
 #: Elements that an operation holds in memory at once.
-BLOCK = 1 << 20
+BLOCK = 1 << 21
 #: Queue entries kept in memory before they go to disk.
 QUEUE_ENTRIES = 1 << 21
 SEPARATOR = 0xFF
@@ -50,10 +50,16 @@ class Disk:
         return os.path.join(self._folder.name, str(self._n))
 
     def array(self, n: int, dtype) -> np.ndarray:
-        """A zeroed array: in memory if it is no longer than a block, else a mapped file."""
+        """A zeroed array: in memory if it is no longer than a block, else a mapped file.
+
+        The file has no name from the start, so its space is free again as soon as the array is.
+        """
         if n <= BLOCK:
             return np.zeros(n, dtype)
-        return np.memmap(self.path(), dtype=dtype, mode="w+", shape=(n,))
+        path = self.path()
+        mapped = np.memmap(path, dtype=dtype, mode="w+", shape=(n,))
+        os.remove(path)
+        return mapped
 
 
 def _blocks(n: int) -> Iterator[slice]:

@@ -39,7 +39,7 @@ from dialframe.llm.induced_sort import repeated
 
 LENGTH = 200
 GRAM = 32
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 2 << 20
 #: Windows of a text that are looked at together.
 _STRETCH = 1 << 19
 _U = np.uint64
@@ -85,14 +85,15 @@ def segments(data: bytes, length: int = LENGTH) -> list[tuple[int, int, int]]:
     return out
 
 
-_SEGMENT = "doc_id long, text_key long, anchor long, digest long, start int, windows int"
+# place: first window << 16 | number of windows.
+_SEGMENT = "doc_id long, text_key long, anchor long, digest long, place long"
 
 
 def _segments(length: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         digest = xxhash.xxh3_64_intdigest
         for b in slices(batches, "text"):
-            cols: list[list] = [[] for _ in range(6)]
+            cols: list[list] = [[] for _ in range(5)]
             for doc, text in zip(b.column("doc_id").to_pylist(), b.column("text").to_pylist()):
                 data = _utf8(text)
                 found = segments(data, length)
@@ -103,13 +104,11 @@ def _segments(length: int):
                 cols[1] += [_text_key(data)] * len(found)
                 cols[2] += anchors
                 cols[3] += [digest(data[s:s + n + length - 1]) for s, n in zip(starts, counts)]
-                cols[4] += starts
-                cols[5] += counts
+                cols[4] += [s << 16 | n for s, n in zip(starts, counts)]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()),
-                 pa.array(np.array(cols[3], np.uint64).view(np.int64)), pa.array(cols[4], pa.int32()),
-                 pa.array(cols[5], pa.int32())],
-                names=["doc_id", "text_key", "anchor", "digest", "start", "windows"])
+                 pa.array(np.array(cols[3], np.uint64).view(np.int64)), pa.array(cols[4], pa.int64())],
+                names=["doc_id", "text_key", "anchor", "digest", "place"])
     return run
 
 
@@ -119,7 +118,7 @@ def _text_key(data: bytes) -> int:
 
 def _packed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Rows with their text as compressed bytes, so that shuffles of whole texts stay small."""
-    pack = zstandard.ZstdCompressor(level=1)
+    pack = zstandard.ZstdCompressor(level=3)
     for b in slices(batches, "text"):
         data = [_utf8(t) for t in b.column("text").to_pylist()]
         yield pa.RecordBatch.from_arrays(
@@ -135,8 +134,9 @@ def _cut_segments(length: int):
             rows = []
             for packed, wanted in zip(b.column("packed").to_pylist(), b.column("wanted").to_pylist()):
                 data = unpack.decompress(packed)
-                rows += [(w["anchor"], w["digest"], data[w["start"]:w["start"] + w["windows"] + length - 1])
-                         for w in wanted]
+                for w in wanted:
+                    start, windows = w["place"] >> 16, w["place"] & 0xFFFF
+                    rows.append((w["anchor"], w["digest"], data[start:start + windows + length - 1]))
             cols = list(zip(*rows)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.binary())],
@@ -195,9 +195,9 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame,
 
     # Anchors with unlike segments: one text of each is sorted.
     each = shared.where("not uniform").groupBy("anchor", "digest").agg(
-        F.count("*").alias("times"), F.min(F.struct("doc_id", "text_key", "start", "windows")).alias("at"))
+        F.count("*").alias("times"), F.min(F.struct("doc_id", "text_key", "place")).alias("at"))
     each = materialize(each, "suffix-distinct")
-    wanted = (each.select("at.doc_id", "at.text_key", F.struct("anchor", "digest", "at.start", "at.windows").alias("w"))
+    wanted = (each.select("at.doc_id", "at.text_key", F.struct("anchor", "digest", "at.place").alias("w"))
               .groupBy("doc_id", "text_key").agg(F.collect_list("w").alias("wanted")))
     texts = map_batches(docs, _packed, "doc_id long, text_key long, packed binary")
     one = texts.join(wanted, [texts["text_key"] == wanted["text_key"],
@@ -209,13 +209,15 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame,
     # A segment that occurs twice is repeated as a whole; repeated rows may have brought it twice.
     marks = each.where("times = 1").join(marks.dropDuplicates(["anchor", "digest"]), ["anchor", "digest"]).select(
         "anchor", "digest", "marks")
-    several = each.where("times > 1").select("anchor", "digest", F.array(F.lit(0), F.col("at.windows")).alias("marks"))
+    several = each.where("times > 1").select("anchor", "digest", F.array(F.lit(0), F.col("at.place").bitwiseAND(F.lit(0xFFFF)).cast("int")).alias("marks"))
     marks = marks.unionByName(several)
 
+    start = F.shiftright("place", 16).cast("int")
     whole = shared.where("uniform").select(
-        "doc_id", "text_key", F.array(F.col("start"), F.col("start") + F.col("windows")).alias("ranges"))
+        "doc_id", "text_key", F.array(start, start + F.col("place").bitwiseAND(F.lit(0xFFFF)).cast("int"))
+        .alias("ranges"))
     part = shared.where("not uniform").join(marks, ["anchor", "digest"]).select(
-        "doc_id", "text_key", F.transform("marks", lambda m: m + F.col("start")).alias("ranges"))
+        "doc_id", "text_key", F.transform("marks", lambda m: m + start).alias("ranges"))
     ranges = (whole.unionByName(part).groupBy("doc_id", "text_key")
               .agg(F.flatten(F.collect_list("ranges")).alias("ranges")))
     return ranges, texts
