@@ -209,7 +209,7 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, doc_id: s
         lifted = (more.join(as_label.withColumnsRenamed({"node": "a", "component": "la"}), "a", "left")
                   .join(as_label.withColumnsRenamed({"node": "b", "component": "lb"}), "b", "left")
                   .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
-        higher = connected_components(lifted).withColumnsRenamed({"node": "component", "component": "top"})
+        higher = connected_components(lifted).select(F.col("node").alias("component"), F.col("component").alias("top"))
         first = labels.unionByName(lifted.select(F.explode(F.array("a", "b")).alias("node"))
                                    .distinct().join(labels, "node", "left_anti")
                                    .withColumn("component", F.col("node")))

@@ -19,7 +19,6 @@ field and only base spans are returned; extra columns are ignored.
 
 from __future__ import annotations
 
-import math
 import re
 import zlib
 from collections import Counter
