@@ -16,7 +16,6 @@ table gives no piece; extra columns are ignored.
 from __future__ import annotations
 
 import os
-import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,30 +30,31 @@ from dialframe.llm.common import map_batches, materialize, partitions_for, pick,
 MAX_TOKENS = 2048
 END_ID = 1
 DIMS, BITS, BUCKETS = 4, 12, 256
-CACHE_CHUNKS = 200_000
+CACHE_CHUNKS = 400_000
 _LOADED: dict[str, "ChunkEncoder"] = {}
 
 
 class ChunkEncoder:
-    """Token ids of whole texts, as packed little-endian 32-bit ids.
+    """Token ids of whole texts, as packed little-endian ids of ``dtype``.
 
     A byte-level BPE with the usual pre-tokenizer never merges across a single
-    space or line feed between two other characters, so a text is encoded chunk
-    by chunk and each distinct chunk once; texts with other runs of white space
-    are encoded whole.  The cache holds two generations of some :data:`CACHE_CHUNKS` chunks.
+    space or line feed between two other characters, nor between a letter or
+    digit and punctuation other than an apostrophe.  So a text is encoded chunk by
+    chunk, and each distinct word once; texts with other runs of white space are
+    encoded whole.  The cache holds two generations of some
+    :data:`CACHE_CHUNKS` chunks.
     """
 
-    _whole = re.compile(r"\s\s|\A[^\S\n]|[^\S\n]\Z")
-
     def __init__(self, path: str):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
         self._tokenizer = Tokenizer.from_file(path)
         self._tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.dtype = np.dtype("<u2" if self._tokenizer.get_vocab_size(with_added_tokens=True) <= 1 << 16 else "<u4")
         self._young: dict[str, bytes] = {}
         self._old: dict[str, bytes] = {}
         (self._feed,) = self._tokenizer.encode("\n", add_special_tokens=False).ids
-        self._feed_ids = np.array([self._feed], "<u4").tobytes()
+        self._feed_ids = np.array([self._feed], self.dtype).tobytes()
 
     @classmethod
     def load(cls, path: str) -> "ChunkEncoder":
@@ -64,50 +64,63 @@ class ChunkEncoder:
         return _LOADED[path]
 
     def _whole_ids(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes()
-                for e in self._tokenizer.encode_batch(texts, add_special_tokens=False)]
+        return [np.array(e.ids, self.dtype).tobytes()
+                for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _line_ids(self, lines: list[str]) -> list[bytes]:
-        """Ids of texts without line feed, encoded as the lines of one text."""
+        """Ids of texts without white space but a first space, encoded as the lines of one text."""
         if not lines:
             return []
-        ids = np.array(self._tokenizer.encode("\n".join(lines), add_special_tokens=False).ids, "<u4")
-        return [x.tobytes() for x in np.split(ids[ids != self._feed],
-                                              np.flatnonzero(ids == self._feed) - np.arange(len(lines) - 1))]
+        (whole,) = self._tokenizer.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)
+        ids = np.array(whole.ids, self.dtype)
+        raw, size = ids.tobytes(), self.dtype.itemsize
+        cuts = (np.flatnonzero(ids == self._feed) * size).tolist()
+        return [raw[s:e] for s, e in zip([0, *(c + size for c in cuts)], [*cuts, len(raw)])]
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         """The cache with all of ``chunks`` in it; of two generations, the older one is dropped when the newer fills."""
         if len(self._young) > CACHE_CHUNKS:
             self._young, self._old = {}, self._young
         young, old = self._young, self._old
-        missing = []
+        parts, needed = [], set()
         for c in chunks.difference(young):
+            known = old.get(c)
+            if known is not None:
+                young[c] = known
+                continue
+            word = c.rstrip(_TAIL)
+            if word and len(word) < len(c) and word[-1].isalnum():
+                tail = "\0" + c[len(word):]
+                parts.append((c, word, tail))
+                needed.add(word)
+                needed.add(tail)
+            else:
+                needed.add(c)
+        missing = []
+        for c in needed.difference(young):
             known = old.get(c)
             if known is None:
                 missing.append(c)
             else:
                 young[c] = known
-        # A chunk is a word after a space, a line feed and a word, or (marked) a word at the start of a text.
-        if "\n" in missing:  # a text's last line feed
-            missing.remove("\n")
-            young["\n"] = self._feed_ids
+        # A chunk is a word after a space, a line feed and a word, or (marked) what follows neither.
         plain = [c[1:] if c[0] in "\0\n" else " " + c for c in missing]
         for c, ids in zip(missing, self._line_ids(plain)):
             young[c] = self._feed_ids + ids if c[0] == "\n" else ids
+        for c, word, tail in parts:
+            young[c] = young[word] + young[tail]
         return young
 
     def encode(self, texts: list[str]) -> list[bytes]:
         chunked, whole, seen = [], [], set()
         for i, t in enumerate(texts):
             parts = None
-            if "\0" in t or self._whole.search(t):
+            # As many words as single spaces and line feeds leave: no other white space, none at the ends.
+            if "\0" in t or len(t.split()) != t.count(" ") + t.count("\n") + 1:
                 whole.append(i)
             else:
                 parts = t.replace("\n", " \n").split(" ")
-                if parts[0]:
-                    parts[0] = "\0" + parts[0]
-                else:  # an empty text, or a line feed first
-                    del parts[0]
+                parts[0] = "\0" + parts[0]
                 seen.update(parts)
             chunked.append(parts)
         get = self._learn(seen).__getitem__
@@ -117,6 +130,10 @@ class ChunkEncoder:
         return out
 
 
+#: Punctuation that is split from a word's end.
+_TAIL = ".,;:!?*$%&#|)]}\"-_"
+
+
 def hilbert_keys(cells: np.ndarray, bits: int = BITS) -> np.ndarray:
     """Position along the Hilbert curve of integer points (rows of ``cells``), Skilling's transform."""
     x = cells.astype(np.int64).T.copy()
@@ -167,14 +184,14 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Data
     """doc_id, key, n_tokens and packed ids (end id included) of every (doc_id, text) row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder.load(tokenizer_path)
-        end = np.array([end_id], "<u4").tobytes()
-        for b in slices(batches, "text", 1_000_000):
+        end = np.array([end_id], encoder.dtype).tobytes()
+        for b in slices(batches, "text", 3_000_000):
             packed = [x + end for x in encoder.encode([t or "" for t in b.column("text").to_pylist()])]
-            ids = [np.frombuffer(x, "<u4") for x in packed]
-            small = [x.astype("<u2").tobytes() if x.max() < 1 << 16 else b"\0" + x.tobytes() for x in ids]
+            ids = [np.frombuffer(x, encoder.dtype) for x in packed]
+            stored = packed if encoder.dtype.itemsize == 2 else [b"\0" + x for x in packed]
             yield pa.RecordBatch.from_arrays(
                 [b.column("doc_id"), pa.array(hilbert_keys(document_cells(ids))),
-                 pa.array([len(x) for x in ids], pa.int64()), pa.array(small, pa.binary())],
+                 pa.array([len(x) for x in ids], pa.int64()), pa.array(stored, pa.binary())],
                 names=["doc_id", "key", "n_tokens", "ids"])
     return map_batches(docs, run, "doc_id long, key long, n_tokens long, ids binary")
 
