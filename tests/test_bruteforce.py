@@ -7,7 +7,6 @@ import math
 import random
 from collections import Counter
 
-from pyspark.sql import functions as F
 
 from dialframe.operators.stats import histogram, token_counts, top_tokens
 from dialframe.operators.turns import merge_examples, merge_turns
