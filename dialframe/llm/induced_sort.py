@@ -108,12 +108,20 @@ class Queues:
                 del rows
                 os.remove(name)
 
+        joined, at = [], 0
+        while at < len(parts):  # many small hand-overs are read as few blocks
+            end, size = at, 0
+            while end < len(parts) and (end == at or size + len(parts[end][0]) <= BLOCK):
+                size += len(parts[end][0])
+                end += 1
+            joined.append(tuple(np.concatenate(x) for x in zip(*parts[at:end])))
+            at = end
         if back:
-            yield from reversed(parts)
+            yield from reversed(joined)
             yield from from_file()
         else:
             yield from from_file()
-            yield from parts
+            yield from joined
 
     def holds(self, byte: int) -> bool:
         return bool(self._mem[byte]) or self._file[byte] is not None

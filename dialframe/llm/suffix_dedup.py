@@ -85,7 +85,7 @@ def segments(data: bytes, length: int = LENGTH) -> list[tuple[int, int, int]]:
     return out
 
 
-# place: first window << 16 | number of windows.
+# place: first window << 32 | equal segments in a row << 16 | windows of one.
 _SEGMENT = "doc_id long, text_key long, anchor long, digest long, place long"
 
 
@@ -99,12 +99,13 @@ def _segments(length: int):
                 found = segments(data, length)
                 if not found:
                     continue
-                anchors, starts, counts = zip(*found)
-                cols[0] += [doc] * len(found)
-                cols[1] += [_text_key(data)] * len(found)
+                rows = _in_a_row((a, digest(data[s:s + n + length - 1]), s, n) for a, s, n in found)
+                anchors, digests, places = zip(*rows)
+                cols[0] += [doc] * len(rows)
+                cols[1] += [_text_key(data)] * len(rows)
                 cols[2] += anchors
-                cols[3] += [digest(data[s:s + n + length - 1]) for s, n in zip(starts, counts)]
-                cols[4] += [s << 16 | n for s, n in zip(starts, counts)]
+                cols[3] += digests
+                cols[4] += places
             yield pa.RecordBatch.from_arrays(
                 [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int64()),
                  pa.array(np.array(cols[3], np.uint64).view(np.int64)), pa.array(cols[4], pa.int64())],
@@ -112,6 +113,30 @@ def _segments(length: int):
     return run
 
 
+def _in_a_row(found) -> list[tuple[int, int, int]]:
+    """(anchor, digest, place), equal segments that follow each other as one row.
+
+    A text that repeats a word for pages has one anchor at every repeat: without
+    this, such texts would put most of a table's rows on a few keys.
+    """
+    rows: list[list[int]] = []
+    for anchor, key, start, windows in found:
+        last = rows[-1] if rows else None
+        if last and last[:2] == [anchor, key] and last[3] == windows and last[4] < 0xFFFF:
+            last[4] += 1
+        else:
+            rows.append([anchor, key, start, windows, 1])
+    return [(a, k, s << 32 | r << 16 | n) for a, k, s, n, r in rows]
+
+
+def _start(place: int) -> int:
+    return place >> 32
+
+
+def _windows(place: int) -> int:
+    return place & 0xFFFF
+
+
 def _text_key(data: bytes) -> int:
     return xxhash.xxh3_64_intdigest(data) - (1 << 63)
 
@@ -135,7 +160,7 @@ def _cut_segments(length: int):
             for packed, wanted in zip(b.column("packed").to_pylist(), b.column("wanted").to_pylist()):
                 data = unpack.decompress(packed)
                 for w in wanted:
-                    start, windows = w["place"] >> 16, w["place"] & 0xFFFF
+                    start, windows = _start(w["place"]), _windows(w["place"])
                     rows.append((w["anchor"], w["digest"], data[start:start + windows + length - 1]))
             cols = list(zip(*rows)) or [(), (), ()]
             yield pa.RecordBatch.from_arrays(
@@ -188,14 +213,18 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame,
     # By anchor, all rows of one partition sorted; a frequent anchor is many small rows, spilled by the sort.
     by_anchor = "PARTITION BY anchor"
     shared = (found.repartition(partitions_for(spark), "anchor")
-              .selectExpr("*", f"count(*) OVER ({by_anchor}) AS times",
+              .selectExpr("*", f"sum(shiftright(place, 16) & 65535) OVER ({by_anchor}) AS times",
                           f"min(digest) OVER ({by_anchor}) = max(digest) OVER ({by_anchor}) AS uniform")
               .where("times > 1").drop("times"))
     shared = materialize(shared, "suffix-segments")
 
+    start = F.shiftright("place", 32).cast("int")
+    repeats = F.shiftright("place", 16).bitwiseAND(F.lit(0xFFFF)).cast("int")
+    windows = F.col("place").bitwiseAND(F.lit(0xFFFF)).cast("int")
+
     # Anchors with unlike segments: one text of each is sorted.
     each = shared.where("not uniform").groupBy("anchor", "digest").agg(
-        F.count("*").alias("times"), F.min(F.struct("doc_id", "text_key", "place")).alias("at"))
+        F.sum(repeats).alias("times"), F.min(F.struct("doc_id", "text_key", "place")).alias("at"))
     each = materialize(each, "suffix-distinct")
     wanted = (each.select("at.doc_id", "at.text_key", F.struct("anchor", "digest", "at.place").alias("w"))
               .groupBy("doc_id", "text_key").agg(F.collect_list("w").alias("wanted")))
@@ -212,12 +241,12 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame,
     several = each.where("times > 1").select("anchor", "digest", F.array(F.lit(0), F.col("at.place").bitwiseAND(F.lit(0xFFFF)).cast("int")).alias("marks"))
     marks = marks.unionByName(several)
 
-    start = F.shiftright("place", 16).cast("int")
     whole = shared.where("uniform").select(
-        "doc_id", "text_key", F.array(start, start + F.col("place").bitwiseAND(F.lit(0xFFFF)).cast("int"))
-        .alias("ranges"))
+        "doc_id", "text_key", F.array(start, start + repeats * windows).alias("ranges"))
+    moved = F.flatten(F.transform(F.sequence(F.lit(0), repeats - 1), lambda k: F.transform(
+        "marks", lambda m: m + start + k * windows)))
     part = shared.where("not uniform").join(marks, ["anchor", "digest"]).select(
-        "doc_id", "text_key", F.transform("marks", lambda m: m + start).alias("ranges"))
+        "doc_id", "text_key", moved.alias("ranges"))
     ranges = (whole.unionByName(part).groupBy("doc_id", "text_key")
               .agg(F.flatten(F.collect_list("ranges")).alias("ranges")))
     return ranges, texts
