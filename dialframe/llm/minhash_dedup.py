@@ -8,14 +8,17 @@ rank j + 1 cannot win where rank j or less has, a document stops at the first
 rank by which all its places are filled, after a few ranks for long texts.
 
 Bands of the signature give candidate buckets.  Documents with equal sets are
-one node.  In each bucket all nodes are held against its smallest (a star, not
-all pairs); components are formed; then nodes that share a bucket but not a
-component are held against each other, so every candidate pair is decided or
-already joined.  Links are confirmed on full sets.  Components grow by
-large-star / small-star rounds.
+one node.  In each bucket all nodes are held against one that a hash picks (a
+star, not all pairs, with another centre in each band); components are formed;
+then nodes that share a bucket but not a component are held against each other,
+so every candidate pair is decided or already joined.  Links are confirmed on
+full sets.  Components grow by large-star / small-star rounds.
 
-With 24 bands of 5 a pair at the threshold of 0.85 is missed with probability
-(1 - 0.85^5)^24, below 1e-6.
+A candidate pair must also pass a bound on the signature itself, kept as two
+bits a place: more mismatches than six standard deviations above those of a pair
+at the threshold rule it out before it costs a row.  With 24 bands of 5 a pair
+at the threshold of 0.85 is missed with probability (1 - 0.85^5)^24 by the
+bands and about 1e-9 by the bound, below 1e-6 together.
 
 Defined results: a text without words has an empty set and links with nothing;
 fewer than five words make one shingle; rows with the same id are one document;
@@ -100,21 +103,45 @@ def band_keys(best: np.ndarray, bands: int = BANDS, rows: int = ROWS) -> np.ndar
     return key.view(np.int64)
 
 
-_SKETCH = "doc_id long, n_shingles long, set_key string, bands array<long>"
+def two_bits(best: np.ndarray) -> np.ndarray:
+    """Two bits of each place, 32 places to a long: the sketch that pairs are bounded by."""
+    bits = _mix(best) & _U(3)
+    wide = -(-bits.shape[1] // 32) * 32
+    bits = np.pad(bits, ((0, 0), (0, wide - bits.shape[1]))).reshape(len(best), -1, 32)
+    return (bits << (_U(2) * np.arange(32, dtype=np.uint64))).sum(2, dtype=np.uint64).view(np.int64)
+
+
+def most_mismatches(percent: int, places: int = BANDS * ROWS) -> int:
+    """Mismatching places of the sketch that a pair at the threshold stays below (six standard deviations)."""
+    p = 0.75 * (1 - percent / 100)
+    return int(np.ceil(places * p + 6 * (places * p * (1 - p)) ** 0.5))
+
+
+def _mismatches(x: str, y: str, longs: int = -(-BANDS * ROWS // 32)) -> str:
+    """SQL: places where the sketches in the array columns x and y differ."""
+    parts = (f"bit_count(({x}[{i}] ^ {y}[{i}] | shiftrightunsigned({x}[{i}] ^ {y}[{i}], 1)) & {0x5555555555555555}L)"
+             for i in range(longs))
+    return "(" + " + ".join(parts) + ")"
+
+
+_SKETCH = "doc_id long, n_shingles long, set_key string, bands array<long>, bits array<long>"
 
 
 def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in slices(batches, "text", 1_000_000):
         sets = [shingle_set(t) for t in b.column("text").to_pylist()]
         full = [i for i, s in enumerate(sets) if len(s)]
-        keys = band_keys(signatures([sets[i] for i in full]))
+        best = signatures([sets[i] for i in full])
+        keys, sketch = band_keys(best), two_bits(best)
         bands: list = [None] * len(sets)
+        bits: list = [None] * len(sets)
         for row, i in enumerate(full):
-            bands[i] = keys[row]
+            bands[i], bits[i] = keys[row], sketch[row]
         digest = [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets]
         yield pa.RecordBatch.from_arrays(
             [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.string()),
-             pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "n_shingles", "set_key", "bands"])
+             pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+            names=["doc_id", "n_shingles", "set_key", "bands", "bits"])
 
 
 def _verify(percent: int):
@@ -167,20 +194,23 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, doc_id: s
     known = sketch.where("doc_id is not null and set_key is not null")
     # One node per distinct set: exact copies cost one row each from here on.
     nodes = known.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"),
-                                         F.first("bands").alias("bands"))
-    buckets = nodes.select("node", "n", F.posexplode("bands").alias("band", "key"))
-    shared = buckets.groupBy("band", "key").agg(F.count("*").alias("size"), F.min("node").alias("centre"))
+                                         F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+    buckets = nodes.select("node", "n", "bits", F.posexplode("bands").alias("band", "key"))
+    shared = buckets.groupBy("band", "key").agg(F.count("*").alias("size"), F.min_by(
+        F.struct("node", "n", "bits"), F.struct(F.xxhash64("node", "band"), "node")).alias("centre"))
     crowded = materialize(buckets.join(shared.where("size > 1"), ["band", "key"])
-                          .select("band", "key", "node", "n", "centre"), "minhash-buckets")
-    fits = F.expr(f"100 * least(n, n_other) >= {percent} * greatest(n, n_other)")
-    sizes = crowded.select("node", "n").distinct()
+                          .select("band", "key", "node", "n", "bits", "centre"), "minhash-buckets")
+    # What a pair needs by its set sizes and sketches alone, before its sets are compared.
+    fits = F.expr(f"100 * least(n, n_other) >= {percent} * greatest(n, n_other) AND "
+                  f"{_mismatches('bits', 'bits_other')} <= {most_mismatches(percent)}")
     texts = materialize(rows.join(crowded.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
                         .dropDuplicates(["doc_id"]), "minhash-texts")
 
-    # Round 1: each node against its buckets' smallest.
-    star = crowded.where("node != centre").select(F.col("centre").alias("a"), F.col("node").alias("b"), "n").distinct()
-    star = (star.join(sizes.select(F.col("node").alias("a"), F.col("n").alias("n_other")), "a")
-            .where(fits).select("a", "b").distinct())
+    # Round 1: each node against the centres of its buckets.
+    star = crowded.where("node != centre.node").select(
+        F.col("centre.node").alias("a"), F.col("node").alias("b"), "n", "bits",
+        F.col("centre.n").alias("n_other"), F.col("centre.bits").alias("bits_other"))
+    star = star.where(fits).select("a", "b").distinct()
     links = materialize(verify(star, texts, percent), "minhash-links")
     # The same id under several sets is one document.
     same = known.join(nodes.select("set_key", "node"), "set_key").where("doc_id != node").select(
@@ -191,13 +221,14 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, doc_id: s
 
     # Round 2: nodes of one bucket that are still in different components.
     label = F.coalesce("component", "node").alias("label")
-    held = crowded.join(labels, "node", "left").select("band", "key", "node", "n", label)
+    held = crowded.join(labels, "node", "left").select("band", "key", "node", "n", "bits", label)
     mixed = (held.groupBy("band", "key", "label").agg(F.count("*").alias("size"))
              .groupBy("band", "key").agg(F.max_by("label", F.struct("size", "label")).alias("most"),
                                          F.count("*").alias("labels")).where("labels > 1"))
     held = materialize(held.join(mixed.drop("labels"), ["band", "key"]), "minhash-mixed")
     others = held.where("label != most").select(
-        "band", "key", F.col("node").alias("a"), F.col("n").alias("n_other"), F.col("label").alias("label_a"))
+        "band", "key", F.col("node").alias("a"), F.col("n").alias("n_other"), F.col("bits").alias("bits_other"),
+        F.col("label").alias("label_a"))
     cross = (others.join(held.withColumnRenamed("node", "b"), ["band", "key"])
              .where((F.col("label") != F.col("label_a")) & ((F.col("label") == F.col("most")) | (F.col("a") < F.col("b")))
                     & fits)

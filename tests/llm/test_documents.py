@@ -120,6 +120,18 @@ def test_stars_split_over_tasks_lose_no_link(docs, monkeypatch):
     assert rows_of(got, *got.columns) == brute_near(fixtures.texts())
 
 
+def test_drifting_chain_needs_the_second_round(spark):
+    """Links between nodes that no star centre links: components of round 1 are joined in round 2."""
+    rows, words = [], fixtures.words(11, 200, 5000)
+    for k in range(40):
+        rows.append((1000 - k if k % 2 else k, " ".join(words)))
+        for j in range(3):
+            words[(k * 13 + j) % 200] = f"k{k}j{j}"
+    docs = fixtures.documents(spark, rows)
+    got = minhash_dedup.near_duplicates(docs)
+    assert rows_of(got, *got.columns) == brute_near(rows)
+
+
 def test_superminhash_is_the_sequential_algorithm():
     """Signatures with early stop equal those of the element-by-element definition."""
     places = 16
@@ -147,6 +159,22 @@ def test_signature_estimates_similarity():
     assert abs((x == y).mean() - 1700 / 2300) < 0.05
 
 
+def test_sketch_bound_keeps_pairs_at_the_threshold(spark):
+    """Mismatches of two-bit sketches, as SQL counts them, stay under the bound for similar pairs only."""
+    bound, rows = minhash_dedup.most_mismatches(85), []
+    for k in range(60):
+        a = np.arange(1 + 5000 * k, 601 + 5000 * k, dtype=np.uint64)
+        for shift in (0, 48, 400):  # similarity 1, 0.852 and 0.2
+            best = minhash_dedup.signatures([minhash_dedup._mix(a), minhash_dedup._mix(a + np.uint64(shift))])
+            x, y = minhash_dedup.two_bits(best)
+            want = sum((int(p) >> 2 * i & 3) != (int(q) >> 2 * i & 3) for p, q in zip(x, y) for i in range(32))
+            rows.append((shift, x.tolist(), y.tolist(), want))
+    df = spark.createDataFrame(rows, "shift int, x array<long>, y array<long>, want int")
+    got = df.selectExpr("shift", "want", f"{minhash_dedup._mismatches('x', 'y')} AS n").collect()
+    assert all(r.n == r.want for r in got)
+    assert all(r.n <= bound for r in got if r["shift"] < 400) and all(r.n > bound for r in got if r["shift"] == 400)
+
+
 def test_connected_components(spark):
     edges = [(i, i + 1) for i in range(1, 60)] + [(100, 300), (300, 200), (200, 100), (7, 7), (None, 5), (500, 499)]
     got = dict(components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect())
@@ -238,7 +266,7 @@ def test_chunk_encoder_equals_the_tokenizer(monkeypatch):
            "a　b c", "a\0b c", "\0", "\na b", "<|endoftext|> x", "x\r\ny", "日本 語", "a b"]
     own = hilbert_pack.ChunkEncoder(tokenizer_path())
     for group in (odd, [t or "" for _, t in fixtures.texts()], odd[::-1]):
-        assert own.encode(group) == [np.array(e.ids, "<u4").tobytes()
+        assert own.encode(group) == [np.array(e.ids, own.dtype).tobytes()
                                      for e in plain.encode_batch(group, add_special_tokens=False)]
 
 
