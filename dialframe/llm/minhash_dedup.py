@@ -127,21 +127,23 @@ def _mismatches(x: str, y: str, longs: int = -(-BANDS * ROWS // 32)) -> str:
 _SKETCH = "doc_id long, n_shingles long, set_key string, bands array<long>, bits array<long>"
 
 
-def _sketch(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in slices(batches, "text", 1_000_000):
-        sets = [shingle_set(t) for t in b.column("text").to_pylist()]
-        full = [i for i, s in enumerate(sets) if len(s)]
-        best = signatures([sets[i] for i in full])
-        keys, sketch = band_keys(best), two_bits(best)
-        bands: list = [None] * len(sets)
-        bits: list = [None] * len(sets)
-        for row, i in enumerate(full):
-            bands[i], bits[i] = keys[row], sketch[row]
-        digest = [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets]
-        yield pa.RecordBatch.from_arrays(
-            [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.string()),
-             pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
-            names=["doc_id", "n_shingles", "set_key", "bands", "bits"])
+def _sketch(n_bands: int, band_rows: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text", 1_000_000):
+            sets = [shingle_set(t) for t in b.column("text").to_pylist()]
+            full = [i for i, s in enumerate(sets) if len(s)]
+            best = signatures([sets[i] for i in full], n_bands * band_rows)
+            keys, sketch = band_keys(best, n_bands, band_rows), two_bits(best)
+            bands: list = [None] * len(sets)
+            bits: list = [None] * len(sets)
+            for row, i in enumerate(full):
+                bands[i], bits[i] = keys[row], sketch[row]
+            digest = [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets]
+            yield pa.RecordBatch.from_arrays(
+                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.string()),
+                 pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
+                names=["doc_id", "n_shingles", "set_key", "bands", "bits"])
+    return run
 
 
 def _verify(percent: int):
@@ -187,10 +189,13 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int = THRESHOLD_PERCENT)
 
 
 def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, doc_id: str = "doc_id",
-                    text: str = "text") -> DataFrame:
-    """Per row: doc_id, n_shingles, component_id (smallest id reachable), kept (doc_id = component_id)."""
+                    text: str = "text", n_bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
+    """Per row: doc_id, n_shingles, component_id (smallest id reachable), kept (doc_id = component_id).
+
+    A pair at a similarity of s is missed by the bands with probability (1 - s^band_rows)^n_bands.
+    """
     rows = pick(docs, doc_id=doc_id, text=text)
-    sketch = materialize(map_batches(rows, _sketch, _SKETCH), "minhash-sketch")
+    sketch = materialize(map_batches(rows, _sketch(n_bands, band_rows), _SKETCH), "minhash-sketch")
     known = sketch.where("doc_id is not null and set_key is not null")
     # One node per distinct set: exact copies cost one row each from here on.
     nodes = known.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"),
@@ -201,8 +206,9 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, doc_id: s
     crowded = materialize(buckets.join(shared.where("size > 1"), ["band", "key"])
                           .select("band", "key", "node", "n", "bits", "centre"), "minhash-buckets")
     # What a pair needs by its set sizes and sketches alone, before its sets are compared.
+    places = n_bands * band_rows
     fits = F.expr(f"100 * least(n, n_other) >= {percent} * greatest(n, n_other) AND "
-                  f"{_mismatches('bits', 'bits_other')} <= {most_mismatches(percent)}")
+                  f"{_mismatches('bits', 'bits_other', -(-places // 32))} <= {most_mismatches(percent, places)}")
     texts = materialize(rows.join(crowded.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
                         .dropDuplicates(["doc_id"]), "minhash-texts")
 

@@ -106,3 +106,23 @@ def test_empty_documents(spark, tmp_path):
         docs.write.parquet(str(tmp_path / name))
         docs = spark.read.parquet(str(tmp_path / name))
         assert docs.count() == 0
+
+
+def test_near_dedup_links_pairs_from_080(spark):
+    """Pairs from 0.80 up to 0.85 are linked and one row of each stays; pairs just under 0.80 stay whole."""
+    rows, similar = [], {}
+    for k in range(24):
+        head, tail = fixtures.words(3000 + k, 124, 4000), fixtures.words(4000 + k, 30, 4000)
+        # Of 120 shingles each the pair shares 120 - m, that is (120 - m) / (120 + m).
+        m = (10, 12, 13, 14)[k % 4]
+        rows += [(1000 + 2 * k, " ".join(head)), (1001 + 2 * k, " ".join(head[m:] + tail[:m]))]
+        similar[1001 + 2 * k] = (120 - m) / (120 + m)
+    assert {round(s, 3) for s in similar.values()} == {0.846, 0.818, 0.805, 0.791}
+    left = {i for i, _ in texts(corpus_pipeline.near_dedup(spark, fixtures.documents(spark, rows), SF_SMALL))}
+    assert left == {i for i, _ in rows if similar.get(i, 0) < 0.8}
+    assert left == {row[0] for row in brute_near(rows, 80) if row[3]}
+
+
+def test_near_dedup_of_the_corpus_is_the_brute_force_at_080(steps):
+    want = {row[0] for row in brute_near(texts(steps["quality"]), 80) if row[3]}
+    assert {d for d, _ in texts(steps["near_dedup"])} == want
