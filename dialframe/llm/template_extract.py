@@ -7,10 +7,12 @@ are compared by a sum of per-page hashes, so that they are built from partial
 sums and no host's pages ever meet in one task.  Classes whose tokens keep one
 order, and that lie in one gap of a larger class, nest into the host's template.
 
-What lies between two template tokens is a slot.  Slots inside menus, headers,
-footers, sidebars, notices, adverts, forms, scripts, styles and comments are
-left out, as are slots outside the article that are mostly links on the host's
-pages; the text of the remaining ones is the page's main text.  No text is
+What lies between two template tokens is a slot.  A link slot whose block is
+mostly links over the host's pages is a menu and goes, inside the article too;
+a link in a sentence is part of a block of words and stays.  After that slots
+inside menus, headers, footers, sidebars, notices, adverts, forms, scripts,
+styles and comments are left out by their tags, as is what lies outside the
+article; the text of the remaining ones is the page's main text.  No text is
 dropped for being repeated, so equal articles on one host all stay.
 
 A page whose host has fewer than :data:`MIN_PAGES` pages, or that breaks the
@@ -152,6 +154,38 @@ def in_article(path: str) -> bool:
     return any(step.split(".")[0] in ARTICLE for step in path.split("/"))
 
 
+def _in_link(path: str) -> bool:
+    return any(step.split(".")[0] == "a" for step in path.split("/"))
+
+
+def _block(path: str) -> str:
+    """The path up to its last element that is a block."""
+    while path and path.rpartition("/")[2].split(".")[0] not in BLOCK:
+        path = path.rpartition("/")[0]
+    return path
+
+
+def _slot_block(t: str) -> str:
+    """The block that the text behind a token lies in."""
+    return _block(t[1:].rpartition("/")[0] if t.startswith("/") else t)
+
+
+def menu_slots(tokens: list[dict]) -> list[str]:
+    """Tokens whose slots are mostly links, in blocks that are mostly links over all pages of the host.
+
+    A heading that links to its own article is no menu.
+    """
+    links, chars = Counter(), Counter()
+    for t in tokens:
+        block = _slot_block(t["token"])
+        links[block] += t["links"]
+        chars[block] += t["chars"]
+    menus = {b for b in chars if links[b] >= LINK_SHARE * chars[b]
+             and not re.fullmatch("h[1-6]", b.rpartition("/")[2].split(".")[0])}
+    return sorted(t["token"] for t in tokens if t["chars"] and t["links"] >= LINK_SHARE * t["chars"]
+                  and _slot_block(t["token"]) in menus)
+
+
 def _number(text: str) -> int:
     data = text.encode("utf-8", "surrogatepass")
     return (zlib.crc32(data) << 31) ^ zlib.crc32(data[::-1] + b"~")
@@ -172,7 +206,7 @@ def _page_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 if kind == "text":
                     size = len(text.strip())
                     chars[last] += size
-                    if any(s.split(".")[0] == "a" for s in path.split("/")):
+                    if _in_link(path):
                         links[last] += size
                 else:
                     last = token(kind, path)
@@ -245,8 +279,7 @@ def templates(pages: DataFrame) -> DataFrame:
             classes, menus = [], []
             for n, rows in zip(b.column("n").to_pylist(), b.column("tokens").to_pylist()):
                 classes.append(nest(rows, n))
-                menus.append(sorted(r["token"] for r in rows
-                                    if r["chars"] and r["links"] >= LINK_SHARE * r["chars"]))
+                menus.append(menu_slots(rows))
             yield pa.RecordBatch.from_arrays(
                 [b.column("host"), pa.array(classes, pa.list_(pa.list_(pa.string()))),
                  pa.array(menus, pa.list_(pa.string()))], names=["host", "classes", "menus"])
@@ -282,9 +315,9 @@ def main_text(page: str | None, classes: list[list[str]] | None = None, menus: l
             elif name == "br":
                 blocks[-1].append(" ")
             continue
-        if left_out(path) or article and not in_article(path):
+        if slot in link_slots and _in_link(path):
             continue
-        if not in_article(path) and slot in link_slots:
+        if left_out(path) or article and not in_article(path):
             continue
         blocks[-1].append(text)
     joined = (" ".join(htmllib.unescape("".join(b)).split()) for b in blocks)

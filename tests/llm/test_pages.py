@@ -118,6 +118,17 @@ def test_link_slots_outside_the_article_go(spark):
     assert {r.text for r in template_extract.extract(pages(spark, rows)).collect()} == {f"text {i}" for i in range(5)}
 
 
+def test_template_decides_inside_the_article(spark):
+    """A list of links without a telling tag or class goes by the host's template; links in headings and sentences stay."""
+    page = ("<body><{0}><h1><a href=0>Head {1}</a></h1><p>words {1} and <a href=1>a link</a> and some more words</p>"
+            "<ul><li><a href=2>older</a></li><li><a href=3>newer</a></li></ul><p>end {1}</p></{0}></body>")
+    want = "Head {0}\nwords {0} and a link and some more words\n{1}end {0}"
+    rows = [(i, f"http://{tag}.com/{i}", page.format(tag, i)) for tag in ("article", "main", "div") for i in range(5)]
+    assert {template_extract.main_text(h) for _, _, h in rows} == {want.format(i, "older\nnewer\n") for i in range(5)}
+    got = template_extract.extract(pages(spark, rows)).collect()
+    assert Counter((r.page_id, r.text) for r in got) == Counter((i, want.format(i, "")) for i, _, _ in rows)
+
+
 def test_extraction_query_equals_plain_cut(spark):
     got = {r.page_id: r for r in entry.queries()["op6_template_extract"](spark, SF_CHECK).collect()}
     for r in spark.read.parquet(f"{SF_CHECK}/pages.parquet").collect():
