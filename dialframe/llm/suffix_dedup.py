@@ -6,15 +6,17 @@ Shards are cut so that equal windows (``length`` bytes) always meet: each window
 has an anchor, its ``GRAM``-byte string of smallest hash, which equal windows
 share.  Windows with one anchor occurrence form a segment of text.
 
-1. One pass finds all segments: anchor, digest, place.  Only these small rows are
-   shuffled, by anchor; anchors that occur once cannot be in a repeated window.
+1. One pass finds all segments: anchor, digest, place.  Occurrences are summed per
+   anchor, from partial sums; anchors that occur once cannot be in a repeated window.
 2. Equal segments are merged before anything else moves: all windows of a segment
    that occurs twice are repeated.  Where all segments of an anchor are equal,
    nothing is left to sort.
 3. The distinct segments of the other anchors are fetched from the texts and
    dealt into shards by anchor.  A task cuts its rows into shards of some
-   :data:`SHARD_BYTES`, between anchors only, and sorts each; an anchor with more
-   text than that is one shard, on disk.
+   :data:`SHARD_BYTES`, between anchors only, and sorts each.  An anchor with more
+   than :data:`ANCHOR_BYTES` of distinct segments (the edge of a passage that many
+   documents share) is not sorted: its windows are counted by a 128-bit digest,
+   with partial counts, so that no task holds the anchor.
 4. Marked windows go back to every document that holds the segment, and the
    documents are cut.
 
@@ -36,10 +38,13 @@ from pyspark.sql import functions as F
 
 from dialframe.llm.common import map_batches, materialize, partitions_for, pick, slices
 from dialframe.llm.induced_sort import repeated
+from dialframe.session import release_materialized
 
 LENGTH = 200
 GRAM = 32
 SHARD_BYTES = 2 << 20
+#: Distinct text of one anchor that is still sorted in one shard.
+ANCHOR_BYTES = 2 << 20
 #: Windows of a text that are looked at together.
 _STRETCH = 1 << 19
 _U = np.uint64
@@ -169,6 +174,24 @@ def _cut_segments(length: int):
     return run
 
 
+def _cut_windows(length: int):
+    """The windows of the wanted segments of each text, by their digest."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        unpack, digest = zstandard.ZstdDecompressor(), xxhash.xxh3_128_digest
+        for b in slices(batches, "packed"):
+            for packed, wanted in zip(b.column("packed").to_pylist(), b.column("wanted").to_pylist()):
+                data = unpack.decompress(packed)
+                for some in range(0, len(wanted), 256):
+                    rows = [(w["anchor"], w["digest"], i, digest(data[s + i:s + i + length]))
+                            for w in wanted[some:some + 256] for s in (_start(w["place"]),)
+                            for i in range(_windows(w["place"]))]
+                    cols = list(zip(*rows)) or [(), (), (), ()]
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(cols[0], pa.int64()), pa.array(cols[1], pa.int64()), pa.array(cols[2], pa.int32()),
+                         pa.array(cols[3], pa.binary())], names=["anchor", "digest", "window", "key"])
+    return run
+
+
 def _runs(flags: np.ndarray) -> list[int]:
     """Flat [start, end) pairs of the set flags."""
     edges = np.flatnonzero(np.diff(np.concatenate([[0], flags.astype(np.int8), [0]])))
@@ -209,14 +232,13 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame,
     ``ranges`` holds (first, end) window starts; a window covers ``length`` bytes.
     """
     spark = docs.sparkSession
-    found = map_batches(docs, _segments(length), _SEGMENT)
-    # By anchor, all rows of one partition sorted; a frequent anchor is many small rows, spilled by the sort.
-    by_anchor = "PARTITION BY anchor"
-    shared = (found.repartition(partitions_for(spark), "anchor")
-              .selectExpr("*", f"sum(shiftright(place, 16) & 65535) OVER ({by_anchor}) AS times",
-                          f"min(digest) OVER ({by_anchor}) = max(digest) OVER ({by_anchor}) AS uniform")
-              .where("times > 1").drop("times"))
-    shared = materialize(shared, "suffix-segments")
+    found = materialize(map_batches(docs, _segments(length), _SEGMENT), "suffix-found")
+    # Partial sums per anchor: a frequent one is a row per task before it is shuffled; a skewed join may be split.
+    sums = (found.groupBy("anchor").agg(F.expr("sum(shiftright(place, 16) & 65535)").alias("times"),
+                                        F.expr("min(digest) = max(digest)").alias("uniform"))
+            .where("times > 1").drop("times"))
+    shared = materialize(found.join(sums, "anchor").select(*found.columns, "uniform"), "suffix-segments")
+    release_materialized(found)
 
     start = F.shiftright("place", 32).cast("int")
     repeats = F.shiftright("place", 16).bitwiseAND(F.lit(0xFFFF)).cast("int")
@@ -226,15 +248,30 @@ def repeated_windows(docs: DataFrame, length: int = LENGTH) -> tuple[DataFrame,
     each = shared.where("not uniform").groupBy("anchor", "digest").agg(
         F.sum(repeats).alias("times"), F.min(F.struct("doc_id", "text_key", "place")).alias("at"))
     each = materialize(each, "suffix-distinct")
-    wanted = (each.select("at.doc_id", "at.text_key", F.struct("anchor", "digest", "at.place").alias("w"))
-              .groupBy("doc_id", "text_key").agg(F.collect_list("w").alias("wanted")))
+    # One row per ANCHOR_BYTES of distinct text at most.
+    size = F.col("at.place").bitwiseAND(F.lit(0xFFFF)) + (length - 1)
+    heavy = materialize(each.groupBy("anchor").agg(F.sum(size).alias("size"))
+                        .where(F.col("size") > ANCHOR_BYTES).select("anchor"), "suffix-heavy")
     texts = map_batches(docs, _packed, "doc_id long, text_key long, packed binary")
-    one = texts.join(wanted, [texts["text_key"] == wanted["text_key"],
-                              texts["doc_id"].eqNullSafe(wanted["doc_id"])])
-    bits = map_batches(one.select("packed", "wanted"), _cut_segments(length),
+
+    def fetched(some: DataFrame) -> DataFrame:
+        wanted = (some.select("at.doc_id", "at.text_key", F.struct("anchor", "digest", "at.place").alias("w"))
+                  .groupBy("doc_id", "text_key").agg(F.collect_list("w").alias("wanted")))
+        return texts.join(wanted, [texts["text_key"] == wanted["text_key"],
+                                   texts["doc_id"].eqNullSafe(wanted["doc_id"])]).select("packed", "wanted")
+
+    bits = map_batches(fetched(each.join(F.broadcast(heavy), "anchor", "left_anti")), _cut_segments(length),
                        "anchor long, digest long, bytes binary")
     dealt = bits.repartition(partitions_for(spark), "anchor").sortWithinPartitions("anchor", "digest")
     marks = map_batches(dealt, _sort_shards(length), "anchor long, digest long, marks array<int>")
+    if heavy.limit(1).count():
+        windows_of = materialize(map_batches(
+            fetched(each.join(F.broadcast(heavy), "anchor", "left_semi")), _cut_windows(length),
+            "anchor long, digest long, window int, key binary"), "suffix-windows")
+        again = windows_of.groupBy("anchor", "key").agg(F.count("*").alias("n")).where("n > 1").drop("n")
+        marks = marks.unionByName(
+            windows_of.join(again, ["anchor", "key"], "left_semi").groupBy("anchor", "digest")
+            .agg(F.flatten(F.collect_list(F.array("window", F.col("window") + 1))).alias("marks")))
     # A segment that occurs twice is repeated as a whole; repeated rows may have brought it twice.
     marks = each.where("times = 1").join(marks.dropDuplicates(["anchor", "digest"]), ["anchor", "digest"]).select(
         "anchor", "digest", "marks")

@@ -79,6 +79,32 @@ def test_shards_do_not_change_the_result(docs, monkeypatch):
 
 # ---- op2: near duplicates
 
+def test_a_hot_anchor_is_not_dealt_to_one_task(spark, monkeypatch):
+    """The edges of a common passage have a distinct segment per document; no shard gets all of them."""
+    passage = " ".join(fixtures.words(5, 80))
+    rows = [(k, " ".join(fixtures.words(7000 + k, 40)) + " " + passage[k % 3:] + " " + " ".join(fixtures.words(8000 + k, 40)))
+            for k in range(60)]
+    docs, sorted_ = fixtures.documents(spark, rows), []
+    map_batches = suffix_dedup.map_batches
+
+    def watched(df, fn, schema):
+        if "bytes" in df.columns:
+            sorted_.append(df)
+        return map_batches(df, fn, schema)
+
+    monkeypatch.setattr(suffix_dedup, "map_batches", watched)
+    monkeypatch.setattr(suffix_dedup, "ANCHOR_BYTES", 4000, raising=False)
+    got = suffix_dedup.digest(suffix_dedup.dedup_substrings(docs))
+    sizes = [r["sum(size)"] for df in sorted_ for r in
+             df.selectExpr("anchor", "length(bytes) AS size").groupBy("anchor").sum("size").collect()]
+    assert max(sizes, default=0) <= 4000
+    assert rows_of(got, *got.columns) == brute_dedup(rows, 200)
+    for most in (0, 1 << 40):  # all anchors by windows; none
+        monkeypatch.setattr(suffix_dedup, "ANCHOR_BYTES", most)
+        odd = suffix_dedup.digest(suffix_dedup.dedup_substrings(fixtures.documents(spark)))
+        assert rows_of(odd, *odd.columns) == brute_dedup(fixtures.texts(), 200)
+
+
 def brute_near(rows, percent=85):
     sets = defaultdict(set)
     for k, (i, t) in enumerate(rows):
