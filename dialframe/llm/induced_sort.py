@@ -9,9 +9,10 @@ queues carry (position, common prefix with the one before) and go to disk when
 they outgrow their memory; common prefixes are handed on as one more than the
 least between two sources.
 
-The seeds are sorted by recursion on names: a seed's substring up to the next
-seed gets a rank, and each level names pairs of the level before, until all
-names differ or cover the match length.  Sorting of names goes through disk too.
+The seeds are sorted by prefix doubling, not by recursion: a seed's substring up
+to the next seed gets a rank, and each round names pairs of the round before, until
+all names differ or cover the match length; common prefixes of seeds are read from
+the text.  Sorting of names goes through disk too, beyond a block.
 
 Suffixes are ordered by their first ``length`` bytes only; equal ones keep any
 order, and common prefixes are cut at ``length``.  All arrays as long as the
