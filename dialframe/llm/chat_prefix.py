@@ -88,33 +88,46 @@ def prefix_targets(stream: DataFrame) -> DataFrame:
             .drop("_header"))
 
 
-def expand_examples(examples: DataFrame) -> DataFrame:
-    """Written-out examples, one row per assistant turn: conv_id, context_turns, context, target.
+def write_out(examples: DataFrame) -> DataFrame:
+    """The stream's turns with the written-out example of each assistant turn: context, target and mask.
 
-    Grows with the square of a conversation's turns by definition.
+    ``mask`` is the trainable span of context and target joined.  All three are
+    null where the turn makes no example.  Grows with the square of a
+    conversation's turns by definition.
     """
     before = Window.partitionBy("conv_id").orderBy("ordinal").rowsBetween(Window.unboundedPreceding, -1)
-    whole = F.concat_ws("", F.collect_list("piece").over(before))
-    return (examples.withColumn("_before", whole).where(F.col("target_start").isNotNull())
-            .select("conv_id", "context_turns",
-                    F.concat("_before", F.substring(F.col("piece"), F.lit(1),
-                                                    (F.col("target_start") - F.col("piece_start")).cast("int"))
-                             ).alias("context"),
-                    F.substring(F.col("piece"), (F.col("target_start") - F.col("piece_start") + 1).cast("int"),
-                                F.col("target_chars").cast("int")).alias("target")))
+    is_example = F.col("target_start").isNotNull()
+    header = (F.col("target_start") - F.col("piece_start")).cast("int")
+    return (examples.withColumn("_before", F.collect_list("piece").over(before))
+            .withColumns({
+                "context": F.when(is_example, F.concat(F.concat_ws("", "_before"),
+                                                       F.substring(F.col("piece"), F.lit(1), header))),
+                "target": F.when(is_example, F.substring(F.col("piece"), header + 1,
+                                                         F.col("target_chars").cast("int")))})
+            .withColumn("mask", F.when(is_example, F.struct(
+                F.length("context").alias("start"), (F.length("context") + F.length("target")).alias("end"))))
+            .drop("_before"))
+
+
+def expand_examples(examples: DataFrame) -> DataFrame:
+    """Written-out examples, one row per assistant turn: conv_id, context_turns, context, target."""
+    return (write_out(examples).where(F.col("target_start").isNotNull())
+            .select("conv_id", "context_turns", "context", "target"))
 
 
 def read_back(examples: DataFrame) -> DataFrame:
-    """Per conversation, what the formatted output says: turns, trainable text and sizes."""
-    reply = F.when(F.col("target_start").isNotNull(), unescape(F.substring(
-        F.col("piece"), (F.col("target_start") - F.col("piece_start") + 1).cast("int"),
-        F.col("target_chars").cast("int"))))
+    """Per conversation, what the formatted output says: turns, trainable text and sizes.
+
+    Trainable text and ``expanded_chars`` are those of the written-out examples.
+    """
+    examples = write_out(examples).withColumn("example", F.concat("context", "target"))
+    reply = unescape(F.substring(F.col("example"), F.col("mask.start") + 1, F.col("mask.end") - F.col("mask.start")))
     turns = F.array_sort(F.collect_list(F.struct("ordinal", "role", "text", reply.alias("reply"))))
     grouped = examples.groupBy("conv_id").agg(
         F.count("*").alias("n_turns"), turns.alias("turns"),
         F.sum(F.length("piece").cast("long")).alias("formatted_chars"),
-        F.count("target_start").alias("n_examples"),
-        F.coalesce(F.sum(F.col("context_chars") + F.col("target_chars")), F.lit(0)).alias("expanded_chars"))
+        F.count("example").alias("n_examples"),
+        F.coalesce(F.sum(F.length("example").cast("long")), F.lit(0)).alias("expanded_chars"))
     all_turns = F.concat_ws("", F.transform("turns", lambda t: F.concat(t["role"], F.lit("\n"), t["text"],
                                                                         F.lit("\n"))))
     loss = F.concat_ws("", F.transform("turns", lambda t: t["reply"]))

@@ -3,6 +3,7 @@
 import hashlib
 
 import pytest
+from pyspark.sql import functions as F
 
 import __spark_entry__ as entry
 from dialframe.llm import chat_prefix as cp
@@ -63,3 +64,12 @@ def test_query_matches_oracle(spark):
     assert res.get("match"), res
     assert "type_mismatch" not in res, res
     assert entry.queries()["op4_chat_prefix"](spark, SF_CHECK).where("conv_id = -1 and n_turns = 2").count() == 1
+
+
+def test_read_back_reads_the_written_out_examples(examples):
+    """Sizes and trainable text come from the examples, not from the offsets kept beside them."""
+    want = cp.read_back(examples).collect()
+    got = cp.read_back(examples.withColumn("context_chars", F.lit(-1).cast("long"))).collect()
+    assert sorted(map(repr, got)) == sorted(map(repr, want))
+    sizes = cp.expand_examples(examples).groupBy("conv_id").agg(F.sum(F.length("context") + F.length("target")).alias("n"))
+    assert {r.conv_id: r.n for r in sizes.collect()} == {r.conv_id: r.expanded_chars for r in want if r.n_examples}
