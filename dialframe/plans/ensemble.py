@@ -2,12 +2,36 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from dialframe.operators.score import predict_from_scores, score_folds
 from dialframe.operators.vote import attach_predictions, check_prediction_sets, hard_vote
-from dialframe.sources.jsonio import fold_name, prediction_file_names, read_fold_predictions, read_prediction_sets
+from dialframe.sources.jsonio import (fold_name, fold_prediction_paths, prediction_file_names, read_fold_predictions,
+                                      read_prediction_sets, unfinished_folds, write_fold_predictions)
+
+SCORES = ("s_a", "s_b", "s_c")
+
+
+def predict_folds(examples: DataFrame, factory: Callable[[int], Callable], output: str, k: int, id_col: str = "id",
+                  batch_rows: int = 256, name: str | None = None) -> list[str]:
+    """Score ``examples`` with the model of every unfinished fold and write one prediction set per fold.
+
+    ``factory(fold)`` builds the scorer of a fold (1..k).  Rows of finished folds are
+    not scored; the rows of all others are scored in one pass, each once per fold, by
+    one partitioned write, and every fold is then published on its own.  Returns the
+    paths of all k sets.
+    """
+    spark = examples.sparkSession
+    folds = unfinished_folds(spark, output, k)
+    if folds:
+        scored = score_folds(examples, factory, folds, [id_col], SCORES, batch_rows=batch_rows, name=name)
+        preds = predict_from_scores(scored, SCORES, [id_col, "fold"]).select(
+            F.col(id_col).alias("id"), "output", "fold")
+        write_fold_predictions(preds, output, k)
+    return fold_prediction_paths(output, k)
 
 
 def ensemble(spark: SparkSession, submission: DataFrame, *, k_folds: int = 1, output: str | None = None,

@@ -7,7 +7,10 @@ from pyspark.sql import functions as F
 
 from dialframe.operators import vote
 from dialframe.operators.score import predict_from_scores, score_batches
+from dialframe.plans.ensemble import ensemble, predict_folds
 from dialframe.plans.registry import register
+from dialframe.session import scratch_folder
+from dialframe.sources.jsonio import read_fold_predictions
 from dialframe.sources.tables import read_table
 
 N_MODELS = 11
@@ -130,10 +133,52 @@ def _first_three_scorer():
     return score
 
 
-@register("batch_scores", "I1, I2, I3 (scorer in mapInPandas, Arrow batches)",
+@register("batch_scores", "I1, I2 (scorer in mapInPandas, Arrow batches)",
           oracle=f"""WITH {_SCORES_SQL}
 SELECT vec_id, CAST(pred AS INTEGER) AS pred, concat('inference_', pred + 1) AS output FROM p""")
 def batch_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
     scored = score_batches(e, _first_three_scorer, ["vec_id"])
     return predict_from_scores(scored, ["s_a", "s_b", "s_c"], ["vec_id"]).select("vec_id", "pred", "output")
+
+
+def _fold_scorer(fold: int):
+    """Deterministic stand-in for the model of a fold: three embedding values from place ``fold`` on are the logits."""
+    import numpy as np
+
+    def score(pdf):
+        return np.stack([np.asarray(v[fold:fold + 3], dtype="float64") for v in pdf["embedding"]]) if len(pdf) else \
+            np.zeros((0, 3))
+    return score
+
+
+def _scored_folds(spark: SparkSession, sf_dir: str) -> str:
+    """Every embedding scored by the model of each fold; the name whose fold files hold the predictions."""
+    e = read_table(spark, sf_dir, "embeddings", ["vec_id", "embedding"])
+    output = f"{scratch_folder(spark, 'fold-scores')}/model.json"
+    predict_folds(e, _fold_scorer, output, N_FOLDS, id_col="vec_id")
+    return output
+
+
+_FOLD_SCORES_SQL = f"""s AS (SELECT vec_id, f, embedding[f + 1] AS a, embedding[f + 2] AS b, embedding[f + 3] AS c
+      FROM embeddings, range(1, {N_FOLDS + 1}) r(f)),
+votes AS (SELECT vec_id, f AS rank, CASE WHEN a >= b AND a >= c THEN 'inference_1' WHEN b >= c THEN 'inference_2'
+          ELSE 'inference_3' END AS output FROM s)"""
+
+
+@register("fold_scores", "I3, S6, S7, S9 (a model per fold, one scoring pass, one prediction set per fold, read back)",
+          oracle=f"""WITH {_FOLD_SCORES_SQL}
+SELECT vec_id, CAST(rank AS INTEGER) AS rank, concat('fold_', rank) AS model, output FROM votes""")
+def fold_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = read_fold_predictions(spark, _scored_folds(spark, sf_dir), N_FOLDS)
+    return found.select(F.col("id").cast("bigint").alias("vec_id"), "rank", "model", "output")
+
+
+@register("fold_submission", "I3, J9, A12, J7, I5 (fold sets scored, written, checked, voted and attached)",
+          oracle=f"""WITH {_FOLD_SCORES_SQL}, {_WINNER_SQL}
+SELECT e.vec_id, w.output FROM embeddings e LEFT JOIN winner w USING (vec_id)""")
+def fold_submission(spark: SparkSession, sf_dir: str) -> DataFrame:
+    submission = read_table(spark, sf_dir, "embeddings", ["vec_id"]).select(
+        F.col("vec_id").cast("string").alias("id"), F.lit("").alias("output"))
+    voted = ensemble(spark, submission, k_folds=N_FOLDS, output=_scored_folds(spark, sf_dir))
+    return voted.select(F.col("id").cast("bigint").alias("vec_id"), "output")

@@ -96,18 +96,26 @@ def materialize(df, name: str):
         return df.checkpoint(eager=True)
     path = f"{base.rstrip('/')}/dialframe-{name}-{uuid.uuid4().hex}"
     df.write.mode("overwrite").parquet(path)
-    _delete_at_end(spark, path)
+    delete_at_end(spark, path)
     return spark.read.schema(df.schema).parquet(path)
 
 
-def _file_system(spark: SparkSession, path: str):
+def scratch_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name under ``spark.checkpoint.dir``, deleted when the application ends."""
+    path = f"{ensure_checkpoint_dir(spark).rstrip('/')}/dialframe-{name}-{uuid.uuid4().hex}"
+    delete_at_end(spark, path)
+    return path
+
+
+def file_system(spark: SparkSession, path: str):
+    """(file system, path) of ``path`` through Hadoop, which qualifies relative names."""
     hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     return hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hp
 
 
-def _delete_at_end(spark: SparkSession, path: str) -> None:
+def delete_at_end(spark: SparkSession, path: str) -> None:
     """Hadoop deletes the folder when the driver's JVM ends (stopped, failed or killed by a signal)."""
-    fs, hp = _file_system(spark, path)
+    fs, hp = file_system(spark, path)
     fs.deleteOnExit(hp)
 
 
@@ -116,7 +124,7 @@ def release_materialized(df) -> None:
     spark = df.sparkSession
     for folder in sorted({f.rsplit("/", 1)[0] for f in df.inputFiles()}):
         if "/dialframe-" in folder:
-            fs, hp = _file_system(spark, folder)
+            fs, hp = file_system(spark, folder)
             fs.delete(hp, True)
 
 

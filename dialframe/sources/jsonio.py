@@ -21,6 +21,8 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialframe.functions import fixed
+from dialframe.session import file_system
+from dialframe.sources.commit import incomplete, write_if_absent, write_parts_if_absent
 
 EXAMPLE_READ_SCHEMA = (
     "id string, input struct<conversation: array<struct<speaker:int, utterance:string, utterance_id:variant>>, "
@@ -101,34 +103,12 @@ def write_lengths_csv(df: DataFrame, path: str, id_col: str = "id", value: str =
     df.select(id_col, value).write.mode(mode).option("header", True).csv(path)
 
 
-def write_if_absent(df: DataFrame, path: str, fmt: str = "json") -> None:
-    """Write unless the target is complete (resume: a finished prediction set is not redone).
-
-    A file counts as complete; a folder does when the write that made it committed
-    (``_SUCCESS``), so what an interrupted job left behind is written again.
-    """
-    fs, hp = _hadoop(df.sparkSession, path)
-    if fs.exists(hp) and (fs.getFileStatus(hp).isFile() or fs.exists(_child(hp, "_SUCCESS"))):
-        return
-    df.write.mode("overwrite").format(fmt).save(path)
-
-
-def _hadoop(spark: SparkSession, path: str):
-    """(file system, path) of ``path`` through Hadoop, which qualifies relative names."""
-    hp = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    return hp.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()), hp
-
-
-def _child(hp, name: str):
-    return hp.suffix("/" + name)
-
-
 def _holds_array(spark: SparkSession, path: str) -> bool:
     """Whether a prediction set is one JSON array (else JSON Lines); raises where there is none.
 
     A folder is judged by its first data file that is not empty.
     """
-    fs, hp = _hadoop(spark, path)
+    fs, hp = file_system(spark, path)
     if not fs.exists(hp):
         raise FileNotFoundError(f"File not found: {path}")
     found = [hp]
@@ -208,13 +188,21 @@ def recipe_frame(spark: SparkSession) -> DataFrame:
                                        "lr string, name string")
 
 
+def unfinished_folds(spark: SparkSession, output: str, k: int) -> list[int]:
+    """The folds of 1..k whose prediction set is not complete (resume after an interruption)."""
+    return incomplete(spark, fold_prediction_paths(output, k))
+
+
 def write_fold_predictions(preds: DataFrame, output: str, k: int, fold: str = "fold",
                            id_col: str = "id", label: str = "output") -> list[str]:
-    """Write one prediction set per fold to ``<output>_fold_<i>.json``, skipping sets that exist
-    (resume after an interruption).  The loop is over the k folds, each write a Spark job."""
+    """Write the prediction sets of the unfinished folds to ``<output>_fold_<i>.json`` in one pass over ``preds``.
+
+    Sets that are complete stay.  Each new set is staged and published on its own, so
+    an interruption leaves whole sets only.
+    """
     paths = fold_prediction_paths(output, k)
-    for i, path in enumerate(paths, start=1):
-        write_if_absent(preds.where(F.col(fold) == i).select(id_col, label), path)
+    rows = preds.select(F.col(fold).cast("int").alias("fold"), id_col, label)
+    write_parts_if_absent(rows, "fold", dict(enumerate(paths, start=1)))
     return paths
 
 
