@@ -6,10 +6,10 @@
     python -m dialframe prompts SRC OUT --variant v1    prompts + encoded examples (Parquet)
     python -m dialframe vote    --submission F --output OUT (--k-folds K | --predictions-dir D NAME ...)
 
-SRC holds ``*.json`` files with one JSON array of examples each (split = file stem; one
-task per file); ``--json-lines`` reads refined output (JSON Lines), so statistics of raw and
-refined data come from the same command; ``--ingested`` reads the Parquet of ``ingest``,
-which is splittable and what large inputs should use.
+SRC holds ``*.json`` files with one JSON array of examples each (split = file stem);
+``--json-lines`` reads refined output (JSON Lines), so statistics of raw and refined data
+come from the same command.  Both are read in byte ranges.  ``--ingested`` reads the Parquet
+of ``ingest``, which several commands can share.
 Every command runs on the session's master; outputs are directories written by Spark.
 """
 
@@ -93,7 +93,9 @@ def cmd_prompts(spark: SparkSession, a: argparse.Namespace) -> None:
     from dialframe.operators.encode import encode_examples, train_folds
     from dialframe.operators.prompts import build_prompts
 
-    prompts = build_prompts(_examples(spark, a), a.variant, keep=("id", "split"), eos_token=a.eos,
+    examples = _examples(spark, a)
+    places = [c for c in ("position",) if c in examples.columns]
+    prompts = build_prompts(examples, a.variant, keep=("id", "split", *places), eos_token=a.eos,
                             ids_are_arrays=True, system_text=_system_texts(a.system_text),
                             particle_mode=a.particle_mode)
     by = ["split", "variant"]

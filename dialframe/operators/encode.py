@@ -103,15 +103,19 @@ def train_folds(prompts: DataFrame, k: int, max_source_len: int | None = None, t
                 encoder: Encoder = code_points, template: ChatTemplate = ChatTemplate()) -> DataFrame:
     """(id, split, variant, fold) of the train rows that fit, folded per variant in file order.
 
-    File order is the trailing number of the id, then the id (ids without a number
-    come first, by their text).  Only ids and a length are shuffled.  Rows that
-    repeat an id share its fold.
+    File order is the column ``position`` (an example's place in its file).  A frame
+    without it is ordered by the trailing number of the id, then the id (ids without
+    a number come first, by their text).  Only ids and numbers are shuffled.  Rows
+    that repeat an id share its fold, by their first place.
     """
     rows = prompts.where(F.col("split") == train)
+    order = F.col("position") if "position" in prompts.columns else id_sequence("id")
+    rows = rows.withColumn("_seq", order)
     if max_source_len is not None:
         size = F.size(encoder(template.render(F.col("system"), F.col("user"))))
-        rows = rows.select("id", "split", "variant", F.explode(F.filter(F.array(size), lambda n: n <= max_source_len)))
-    ids = rows.select("id", "split", "variant").distinct().withColumn("_seq", id_sequence("id"))
+        rows = rows.select("id", "split", "variant", "_seq",
+                           F.explode(F.filter(F.array(size), lambda n: n <= max_source_len)))
+    ids = rows.groupBy("id", "split", "variant").agg(F.min("_seq").alias("_seq"))
     return kfold(ids, ["_seq", "id"], k, by="variant").select("id", "split", "variant", "fold")
 
 

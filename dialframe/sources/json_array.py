@@ -230,8 +230,7 @@ def read_line_records(spark: SparkSession, paths: str | Sequence[str], glob: str
         "file", (F.col("_row") + F.col("shift")).alias("position"), F.col("value").alias("text"))
 
 
-def parse_records(records: DataFrame, schema: str) -> DataFrame:
-    """(file, position, and the fields of ``schema``) of the records' text; broken text fails the read."""
-    value = F.from_json("text", F.lit(schema) if not schema.lstrip().startswith("struct<") else schema,
-                        {"mode": "FAILFAST"})
-    return records.select("file", "position", value.alias("_v")).select("file", "position", "_v.*")
+def parse_records(records: DataFrame, schema: str, keep: Sequence[str] = ("file", "position")) -> DataFrame:
+    """``keep`` and the fields of ``schema`` of the records' text; broken text fails the read."""
+    value = F.from_json("text", schema, {"mode": "FAILFAST"})
+    return records.select(*keep, value.alias("_v")).select(*keep, "_v.*")

@@ -1,8 +1,11 @@
 """File sources and sinks: example JSON, refined JSON, length CSV, prediction sets.
 
 * Examples arrive as UTF-8 files holding one JSON array each (``*.json`` in a
-  directory, split = file stem).  A multi-line JSON file is one task, so large
-  inputs are ingested once to Parquet partitioned by split and read from there.
+  directory, split = file stem).  They are read in byte ranges, so one large file is
+  many tasks; Parquet partitioned by split is the faster form for repeated use.
+* ``position`` is an example's place in its file (array), or in its split's files by
+  name (JSON Lines); it is kept at ingest and in refined output, and is the file order
+  that folds go by.
 * ``utterance_id`` is a string in raw data and a string *or* a list after
   merging; it is read as ``variant`` and normalised to ``array<string>``, and
   written back with singletons unwrapped.
@@ -23,6 +26,7 @@ from pyspark.sql import functions as F
 from dialframe.functions import fixed
 from dialframe.session import file_system
 from dialframe.sources.commit import incomplete, write_if_absent, write_parts_if_absent
+from dialframe.sources.json_array import parse_records, read_array_records, read_line_records
 
 EXAMPLE_READ_SCHEMA = (
     "id string, input struct<conversation: array<struct<speaker:int, utterance:string, utterance_id:variant>>, "
@@ -46,28 +50,34 @@ def _ids_to_variant(ids: Column) -> Column:
 def read_examples(spark: SparkSession, path: str | Sequence[str], multi_line: bool = True) -> DataFrame:
     """Every ``*.json`` (not recursive) under ``path``: one row per example, split from the file name.
 
-    ``multi_line=True`` reads files that each hold one JSON array (one task per
-    file); ``False`` reads JSON Lines (splittable), e.g. the refined output.
+    ``multi_line=True`` reads files that each hold one JSON array; ``False`` reads
+    JSON Lines, e.g. the refined output.  Both are read in byte ranges.
 
     Columns: id, split, conversation (``array<struct<speaker, utterance,
-    utterance_id: array<string>>>``), reference_id, category, inference_1..3, output.
+    utterance_id: array<string>>>``), reference_id, category, inference_1..3, output, position.
     """
-    paths = [path] if isinstance(path, str) else list(path)
-    raw = (spark.read.schema(EXAMPLE_READ_SCHEMA).option("multiLine", multi_line).option("mode", "FAILFAST")
-           .option("pathGlobFilter", "*.json").option("recursiveFileLookup", False).json(paths))
+    if multi_line:
+        raw = parse_records(read_array_records(spark, path), EXAMPLE_READ_SCHEMA)
+        place = F.col("position")
+    else:
+        raw = parse_records(read_line_records(spark, path).withColumnRenamed("position", "line"),
+                            f"{EXAMPLE_READ_SCHEMA}, position long", keep=("file", "line"))
+        place = F.coalesce("position", "line")  # refined output names the place that the example came from
     conv = F.transform("input.conversation", lambda u: F.struct(
         u["speaker"].alias("speaker"), u["utterance"].alias("utterance"),
         _ids_from_variant(u["utterance_id"]).alias("utterance_id")))
-    # Files written by this library sit in split=<name> directories (a partition column);
-    # the original layout names the split by the file stem.
-    split = (F.col("split") if "split" in raw.columns
-             else F.regexp_extract(F.col("_metadata.file_name"), r"^(.*)\.json$", 1))
+    # Files written by this library sit in split=<name> directories; the original layout names
+    # the split by the file stem.
+    file = F.url_decode(F.replace("file", F.lit("+"), F.lit("%2B")))
+    folder = F.regexp_extract("file", r"/split=([^/]*)/[^/]*$", 1)
+    split = F.when(folder != "", F.url_decode(F.url_decode(F.replace(folder, F.lit("+"), F.lit("%2B"))))).otherwise(
+        F.regexp_extract(file, r"([^/]*)\.json$", 1))
     return raw.select(
         "id", split.alias("split"),
         conv.alias("conversation"), F.col("input.reference_id").alias("reference_id"),
         F.col("input.category").alias("category"), F.col("input.inference_1").alias("inference_1"),
         F.col("input.inference_2").alias("inference_2"), F.col("input.inference_3").alias("inference_3"),
-        F.coalesce(F.col("output"), F.lit("")).alias("output"))
+        F.coalesce(F.col("output"), F.lit("")).alias("output"), place.alias("position"))
 
 
 def ingest_examples(spark: SparkSession, src: str | Sequence[str], dest: str, multi_line: bool = True) -> None:
@@ -82,14 +92,14 @@ def read_ingested(spark: SparkSession, path: str, splits: Sequence[str] | None =
 
 
 def to_example_json_columns(df: DataFrame) -> DataFrame:
-    """Back to the file layout: ``id``, ``input`` struct, ``output`` (ids unwrapped when single)."""
+    """Back to the file layout: ``id``, ``input`` struct, ``output`` (ids unwrapped when single), ``position`` if known."""
     conv = F.transform("conversation", lambda u: F.struct(
         u["speaker"].alias("speaker"), u["utterance"].alias("utterance"),
         _ids_to_variant(u["utterance_id"]).alias("utterance_id")))
     inp = F.struct(conv.alias("conversation"), F.col("reference_id").alias("reference_id"),
                    F.col("category").alias("category"), F.col("inference_1").alias("inference_1"),
                    F.col("inference_2").alias("inference_2"), F.col("inference_3").alias("inference_3"))
-    return df.select("id", inp.alias("input"), "output", "split")
+    return df.select("id", inp.alias("input"), "output", "split", *[c for c in ("position",) if c in df.columns])
 
 
 def write_examples_json(df: DataFrame, path: str, mode: str = "overwrite") -> None:

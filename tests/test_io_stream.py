@@ -271,7 +271,7 @@ def test_fold_round_trip_from_score_to_submission(spark, tmp_path, monkeypatch):
     got = ensemble(spark, sub, base_dir=base, names=["model_fold_1", "model_fold_2.json", "model_fold_3"])
     assert {r["id"]: r["output"] for r in got.collect()} == want
     with pytest.raises(Exception, match="missing|no rows"):
-        write_fold_predictions(preds.select("id", "output", F.col("fold") + 1), f"{tmp_path}/late.json", 4)
+        write_fold_predictions(preds.select("id", "output", (F.col("fold") + 1).alias("fold")), f"{tmp_path}/late.json", 4)
         ensemble(spark, sub, k_folds=4, output=f"{tmp_path}/late.json")
 
 
@@ -350,3 +350,31 @@ def test_materialized_folders_are_released(spark):
     assert os.path.isdir(folder)
     release_materialized(df)
     assert not os.path.exists(folder)
+
+
+def test_folds_go_by_place_in_the_file(spark, tmp_path):
+    """Ids without a number, in no order: the folds are those of the file, from arrays, Parquet and refined output."""
+    from dialframe.cli import main
+    names = ["pear", "apple", "fig", "kiwi", "date", "lime", "plum"]
+    src, out = tmp_path / "src", str(tmp_path)
+    src.mkdir()
+    rows = [_example(0, [(1, "오늘 비 와", f"{n}.1")], [f"{n}.1"]) | {"id": n} for n in names]
+    _write_array(src / "train.json", rows)
+    _write_array(src / "dev.json", rows[:2])
+    want = dict(zip(names, [1, 1, 1, 2, 2, 3, 3]))
+    main(["ingest", str(src), out + "/ex"], spark=spark)
+    main(["refine", out + "/ex", out + "/refined", "--ingested"], spark=spark)
+    for place, flags in ((str(src), []), (out + "/ex", ["--ingested"]), (out + "/refined", ["--json-lines"])):
+        main(["prompts", place, out + "/p", *flags, "--variant", "v1", "v2", "--k-folds", "3"], spark=spark)
+        got = spark.read.parquet(out + "/p").where("split = 'train'").collect()
+        assert {(r["id"], r["variant"]): r["fold"] for r in got} == {
+            (n, v): f for n, f in want.items() for v in ("v1", "v2")}
+
+
+def test_positions_of_examples(spark, src_dir):
+    got = {(r["split"], r["id"]): r["position"] for r in read_examples(spark, src_dir).collect()}
+    assert got == {("train", "t-train-000001"): 0, ("dev", "t-train-000002"): 0}
+    odd = os.path.join(src_dir, "a +b%41.json")
+    _write_array(odd, EXAMPLES)
+    got = {(r["split"], r["id"]): r["position"] for r in read_examples(spark, odd).collect()}
+    assert got == {("a +b%41", "t-train-000001"): 0, ("a +b%41", "t-train-000002"): 1}
