@@ -89,8 +89,13 @@ def fixed_key_distribution(df: DataFrame, key: str, keys: Sequence[str], group:
 
 
 def percent_text(pct: Column | str) -> Column:
-    """Display text of a percentage, two decimals and a percent sign (e.g. ``12.50%``)."""
-    return F.format_string("%.2f%%", F.col(pct) if isinstance(pct, str) else pct)
+    """Display text of a percentage, two decimals and a percent sign (e.g. ``12.50%``).
+
+    Half-way values go to the even digit, as printing a double does elsewhere
+    (0.125 is ``0.12%``); ``format_string`` would round them up.
+    """
+    value = F.col(pct) if isinstance(pct, str) else pct
+    return F.concat(F.call_function("format_number", value.cast("double"), F.lit("0.00")), F.lit("%"))
 
 
 # ---------------------------------------------------------------------------

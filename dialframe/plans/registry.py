@@ -33,5 +33,5 @@ def register(name: str, operators: str, oracle: str | None = None):
 
 def all_queries() -> dict[str, Query]:
     # Importing the modules registers their queries.
-    from dialframe.plans import dialogue_queries, stats_queries, prompt_queries, vote_queries  # noqa: F401
+    from dialframe.plans import dialogue_queries, stats_queries, prompt_queries, vote_queries, file_queries  # noqa: F401
     return dict(_QUERIES)

@@ -231,6 +231,10 @@ def read_line_records(spark: SparkSession, paths: str | Sequence[str], glob: str
 
 
 def parse_records(records: DataFrame, schema: str, keep: Sequence[str] = ("file", "position")) -> DataFrame:
-    """``keep`` and the fields of ``schema`` of the records' text; broken text fails the read."""
-    value = F.from_json("text", schema, {"mode": "FAILFAST"})
+    """``keep`` and the fields of ``schema`` of the records' text; broken text fails the read.
+
+    The generator keeps conditions on the fields above the parser: they would be pushed
+    into it and parse every record again, those that are no records included.
+    """
+    value = F.explode(F.array(F.from_json("text", schema, {"mode": "FAILFAST"})))
     return records.select(*keep, value.alias("_v")).select(*keep, "_v.*")

@@ -18,13 +18,13 @@
 from __future__ import annotations
 
 import os
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialframe.functions import fixed
-from dialframe.session import file_system
+from dialframe.session import file_system, ship_package
 from dialframe.sources.commit import incomplete, write_if_absent, write_parts_if_absent
 from dialframe.sources.json_array import parse_records, read_array_records, read_line_records
 
@@ -47,7 +47,8 @@ def _ids_to_variant(ids: Column) -> Column:
         F.to_variant_object(ids))
 
 
-def read_examples(spark: SparkSession, path: str | Sequence[str], multi_line: bool = True) -> DataFrame:
+def read_examples(spark: SparkSession, path: str | Sequence[str], multi_line: bool = True,
+                  glob: str = "*.json") -> DataFrame:
     """Every ``*.json`` (not recursive) under ``path``: one row per example, split from the file name.
 
     ``multi_line=True`` reads files that each hold one JSON array; ``False`` reads
@@ -57,10 +58,10 @@ def read_examples(spark: SparkSession, path: str | Sequence[str], multi_line: bo
     utterance_id: array<string>>>``), reference_id, category, inference_1..3, output, position.
     """
     if multi_line:
-        raw = parse_records(read_array_records(spark, path), EXAMPLE_READ_SCHEMA)
+        raw = parse_records(read_array_records(spark, path, glob), EXAMPLE_READ_SCHEMA)
         place = F.col("position")
     else:
-        raw = parse_records(read_line_records(spark, path).withColumnRenamed("position", "line"),
+        raw = parse_records(read_line_records(spark, path, glob).withColumnRenamed("position", "line"),
                             f"{EXAMPLE_READ_SCHEMA}, position long", keep=("file", "line"))
         place = F.coalesce("position", "line")  # refined output names the place that the example came from
     conv = F.transform("input.conversation", lambda u: F.struct(
@@ -107,6 +108,34 @@ def write_examples_json(df: DataFrame, path: str, mode: str = "overwrite") -> No
     to_example_json_columns(df).write.mode(mode).partitionBy("split").json(path)
 
 
+def write_examples_array(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """One directory per split, every file in it one JSON array (``read_examples(..., glob="*.txt")``).
+
+    A task numbers the lines of each split as they pass, brackets and commas among
+    them, and sorts them by split and number into its files: no row leaves its task.
+    """
+    ship_package(df.sparkSession)
+    rows = to_example_json_columns(df)
+    lines = rows.select("split", F.to_json(F.struct(*[c for c in rows.columns if c != "split"])).alias("value"))
+
+    def bracket(batches: Iterator) -> Iterator:
+        import pyarrow as pa
+        names, seen = ["split", "number", "value"], {}
+        for batch in batches:
+            splits, numbers, values = batch.column("split").to_pylist(), [], []
+            for s, v in zip(splits, batch.column("value").to_pylist()):
+                numbers.append(seen.get(s, 0))
+                values.append(("," if numbers[-1] else "[") + v)
+                seen[s] = numbers[-1] + 1
+            yield pa.RecordBatch.from_arrays([batch.column("split"), pa.array(numbers, pa.int64()),
+                                              pa.array(values, pa.string())], names)
+        yield pa.RecordBatch.from_arrays([pa.array(list(seen), pa.string()), pa.array(list(seen.values()), pa.int64()),
+                                          pa.array(["]"] * len(seen), pa.string())], names)
+
+    out = lines.mapInArrow(bracket, "split string, number long, value string").sortWithinPartitions("split", "number")
+    out.select("value", "split").write.mode(mode).partitionBy("split").text(path)
+
+
 def write_lengths_csv(df: DataFrame, path: str, id_col: str = "id", value: str = "total_utterance_length",
                       mode: str = "overwrite") -> None:
     """``id,total_utterance_length`` with a header."""
@@ -203,6 +232,15 @@ def unfinished_folds(spark: SparkSession, output: str, k: int) -> list[int]:
     return incomplete(spark, fold_prediction_paths(output, k))
 
 
+def write_prediction_sets(preds: DataFrame, base_dir: str, names: Sequence[str], rank: str = "rank",
+                          id_col: str = "id", label: str = "output") -> list[str]:
+    """Write the sets of a recipe in one pass: ``rank`` 1 goes to the first name, and so on; complete sets stay."""
+    paths = [os.path.join(base_dir, f) for f in prediction_file_names(names)]
+    rows = preds.select(F.col(rank).cast("int").alias("rank"), F.col(id_col).alias("id"), F.col(label).alias("output"))
+    write_parts_if_absent(rows, "rank", dict(enumerate(paths, start=1)))
+    return paths
+
+
 def write_fold_predictions(preds: DataFrame, output: str, k: int, fold: str = "fold",
                            id_col: str = "id", label: str = "output") -> list[str]:
     """Write the prediction sets of the unfinished folds to ``<output>_fold_<i>.json`` in one pass over ``preds``.

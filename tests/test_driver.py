@@ -13,8 +13,8 @@ NAMES = sorted(all_queries())
 GLOBAL_AGG = {"role_distribution", "validate_predictions"}
 # Queries on the row index: its offsets, one row per range, are summed in one partition.
 INDEXED = {"padded_batches", "padded_arrays", "kfold_assignments", "kfold_roles", "event_index"}
-# The scorer plug-in is the one place Python runs (mapInPandas).
-PYTHON_BOUNDARY = {"batch_scores", "variant_vote"}
+# Python runs in the scorer plug-in (mapInPandas) and where byte ranges of a JSON array are put together.
+PYTHON_BOUNDARY = {"batch_scores", "variant_vote", "example_files"}
 
 
 @pytest.fixture(scope="module")

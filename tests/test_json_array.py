@@ -119,3 +119,27 @@ def test_lines_keep_their_place(spark, tmp_path, ranges, size):
         assert x.pop("position") == len(got.setdefault(folder, []))
         got[folder].append(x)
     assert got == want
+
+
+def test_conditions_stay_above_the_parser(spark, tmp_path):
+    (tmp_path / "f.json").write_text(json.dumps([{"id": "a", "tags": ["x"]}, {"id": "b", "tags": []}]))
+    df = parse_records(read_array_records(spark, str(tmp_path)), SCHEMA).select("id", F.explode("tags")).where("id > ''")
+    assert [tuple(r) for r in df.collect()] == [("a", "x")]
+    plan = df._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("from_json(") == 1
+
+
+def test_array_sink_writes_arrays(spark, tmp_path):
+    from dialframe.sources.jsonio import read_examples, write_examples_array
+    turn = "conversation array<struct<speaker:int,utterance:string,utterance_id:array<string>>>"
+    rows = [(f"q{i}", "train" if i % 3 else "dev", [(1, "}]\n\"", ["u"]), (2, None, ["v", "w"])], ["u"], "원인", "a", "b",
+             None, "") for i in range(40)]
+    df = spark.createDataFrame(rows, f"id string, split string, {turn}, reference_id array<string>, category string, "
+                                     "inference_1 string, inference_2 string, inference_3 string, output string")
+    write_examples_array(df.repartition(3), str(tmp_path / "x"))
+    files = list((tmp_path / "x").glob("split=*/*.txt"))
+    found = [json.loads(f.read_text()) for f in files]
+    assert len(files) == 6 and sum(map(len, found)) == 40
+    assert found[0][0]["input"]["conversation"][1]["utterance_id"] == ["v", "w"]
+    back = read_examples(spark, str(tmp_path / "x"), glob="*.txt")
+    assert sorted(map(str, back.drop("position").collect())) == sorted(map(str, df.select(back.drop("position").columns).collect()))
