@@ -21,6 +21,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -112,24 +113,35 @@ class ChunkEncoder:
         return young
 
     def encode(self, texts: list[str]) -> list[bytes]:
-        chunked, whole, seen = [], [], set()
-        for i, t in enumerate(texts):
-            parts = None
-            # As many words as single spaces and line feeds leave: no other white space, none at the ends.
-            if "\0" in t or len(t.split()) != t.count(" ") + t.count("\n") + 1:
-                whole.append(i)
-            else:
-                parts = t.replace("\n", " \n").split(" ")
-                parts[0] = "\0" + parts[0]
-                seen.update(parts)
-            chunked.append(parts)
-        get = self._learn(seen).__getitem__
-        out = [b"".join(map(get, parts)) if parts is not None else b"" for parts in chunked]
+        """Packed ids of every text; the chunks of all texts are looked up once each."""
+        out = [b""] * len(texts)
+        column = pa.array(texts, pa.large_string())
+        odd = pc.match_substring_regex(column, _ODD_SPACE).to_numpy(zero_copy_only=False)
+        whole, plain = np.flatnonzero(odd).tolist(), np.flatnonzero(~odd).tolist()
         for i, ids in zip(whole, self._whole_ids([texts[i] for i in whole])):
             out[i] = ids
+        if not plain:
+            return out
+        chunks = pc.split_pattern(pa.array(["\0" + texts[i].replace("\n", " \n") for i in plain], pa.large_string()), " ")
+        coded = pc.dictionary_encode(chunks.values)
+        names, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
+        known = list(map(self._learn(set(names)).__getitem__, names))
+        ids = np.frombuffer(b"".join(known), self.dtype)
+        sizes = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
+        # The ids of every chunk in a row: its place in `ids` and those after it.
+        n = sizes[codes]
+        ends = np.cumsum(n)
+        stream = ids[np.repeat((np.cumsum(sizes) - sizes)[codes] - (ends - n), n) + np.arange(ends[-1])]
+        bounds = np.append(0, ends)[chunks.offsets.to_numpy()]
+        for i, a, b in zip(plain, bounds.tolist(), bounds[1:].tolist()):
+            out[i] = stream[a:b].tobytes()
         return out
 
 
+#: Texts that are encoded whole: empty, with a zero byte, or with white space other than
+#: single spaces and line feeds between two other characters.
+_ODD_SPACE = (r"[\x00\t\x0b\x0c\r\x1c-\x1f\x{85}\x{a0}\x{1680}\x{2000}-\x{200a}\x{2028}\x{2029}\x{202f}\x{205f}"
+              r"\x{3000}]|[ \n][ \n]|^[ \n]|[ \n]$|^$")
 #: Punctuation that is split from a word's end.
 _TAIL = ".,;:!?*$%&#|)]}\"-_"
 

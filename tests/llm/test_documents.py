@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import random
 import re
 import zlib
 from collections import Counter, defaultdict
@@ -448,3 +449,18 @@ def test_secret_query_counts_equal_plain_patterns(spark):
         assert got[doc].n_assign + got[doc].n_access + got[doc].n_hex == len(spans)
         assert set(said.split(",")) - {""} <= set(got[doc].spans.split(","))
     assert sum(r.n_hex for r in got.values()) > 0
+
+
+def test_chunked_ids_are_the_tokenizers_on_any_white_space():
+    import numpy as np
+    from tokenizers import Tokenizer
+    path = tokenizer_path()
+    own, plain = hilbert_pack.ChunkEncoder(path), Tokenizer.from_file(path)
+    plain.encode_special_tokens = True
+    r = random.Random(8)
+    pieces = [" ", "  ", "\t", "\n", "\r", "\x0b", "\x1c", "\x85", "\xa0", "\u2003", "\x00", "word", "a", "10", "The", "é", "日本",
+              "😀", ".", ",", ":", "'s", "'", "-", "_", "<|im_end|>", "\u200b", "\ufeff"]
+    made = ["Total  due:\t10 EUR", "Price:  10\xa0EUR", "a  b\tc", "", " ", "\n", " a", "a\n", "a b\nc"]
+    made += ["".join(r.choice(pieces) for _ in range(r.randint(0, 14))) for _ in range(4000)]
+    for text, got in zip(made, own.encode(made)):
+        assert np.frombuffer(got, own.dtype).tolist() == plain.encode(text, add_special_tokens=False).ids, repr(text)
