@@ -19,11 +19,15 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialframe.functions.text import DEFAULT_CLEAN, CleanConfig, clean_utterance, strip_unicode
-from dialframe.session import materialize
+from dialframe.session import materialize, num_partitions
 
 DEFAULT_CHUNK_ROWS = 1 << 16
 # Rows of a key beyond which its sequence is cut into chunks.
 HOT_ROWS = 1 << 16
+# An input of so many bytes on disk is one task's work whatever its keys.
+ONE_TASK_BYTES = 64 << 20
+# Chunk summaries that are combined in one row of the tree over a long key's chunks.
+FAN_OUT = 64
 
 
 def _as_list(x: str | Sequence[str]) -> list[str]:
@@ -85,25 +89,42 @@ def _chunk_column(order: list[str], chunk: Column | int | None) -> Column:
     return chunk.cast("bigint")
 
 
-def _split_hot(df: DataFrame, keys: list[str], hot_rows: int) -> tuple[DataFrame, DataFrame | None]:
-    """(rows of normal keys, rows of keys with more than ``hot_rows`` rows or None if there is no such key).
+def _small(df: DataFrame) -> bool:
+    """Whether all that ``df`` reads (from file sizes, no job) is one task's input."""
+    try:
+        leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+        sizes = [int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size())]
+    except AttributeError:  # Spark Connect
+        return False
+    return sum(sizes) <= ONE_TASK_BYTES
 
-    One aggregate over the key columns, partial before its shuffle; the table of
-    hot keys has at most ``rows / hot_rows`` rows.
+
+def _split_hot(df: DataFrame, keys: list[str], hot_rows: int, counted: DataFrame
+               ) -> tuple[DataFrame | None, DataFrame | None, int]:
+    """(rows of normal keys, rows of keys with more than ``hot_rows`` rows, how many those are); None: no such rows.
+
+    One aggregate over the key columns of ``counted``, partial before its shuffle.  The
+    table of hot keys is only made where both kinds exist; it has at most
+    ``rows / hot_rows`` rows.
     """
-    hot = df.groupBy(*[F.col(k).alias(f"_hot_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_hot_n")).where(
-        F.col("_hot_n") > hot_rows)
-    hot = materialize(hot, "hot-keys")
-    if not hot.limit(1).count():
-        return df, None
+    counts = counted.groupBy(*[F.col(k).alias(f"_hot_{k}") for k in keys]).agg(F.count(F.lit(1)).alias("_hot_n"))
+    is_hot = F.col("_hot_n") > hot_rows
+    found = counts.agg(F.count_if(is_hot).alias("hot"), F.count_if(~is_hot).alias("normal"),
+                       F.sum(F.when(is_hot, F.col("_hot_n"))).alias("rows")).first()
+    if not found["hot"]:
+        return df, None, 0
+    if not found["normal"]:
+        return None, df, found["rows"]
+    hot = materialize(counts.where(is_hot), "hot-keys")
     same = [F.col(k).eqNullSafe(F.col(f"_hot_{k}")) for k in keys]
-    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi")
+    return df.join(hot, same, "left_anti"), df.join(hot, same, "left_semi"), found["rows"]
 
 
 def merge_turns(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str],
                 speaker: str = "speaker", text: str = "text", uid: str = "utterance_id",
                 is_ref: str | None = "is_ref", chunk: Column | int | str | None = DEFAULT_CHUNK_ROWS,
-                chunk_key: Column | None = None, hot_rows: int = HOT_ROWS) -> DataFrame:
+                chunk_key: Column | None = None, hot_rows: int = HOT_ROWS, counted: DataFrame | None = None,
+                chunk_rows: int = DEFAULT_CHUNK_ROWS) -> DataFrame:
     """Merge consecutive same-speaker rows of the long form (gaps and islands).
 
     ``df`` holds the surviving rows (empty texts already dropped), one per
@@ -116,14 +137,20 @@ def merge_turns(df: DataFrame, key: str | Sequence[str], order: str | Sequence[s
     Keys of at most ``hot_rows`` rows take one exchange: a whole key is one window
     partition, nothing is materialized.  Only longer keys are cut: an ``int``
     chunk cuts the (integral) first order column into ranges of that many
-    positions, and ``"quantile"`` cuts the numeric ``chunk_key`` (default: the
-    first order column) at approximate quantiles of the long keys' rows.  A
-    ``Column`` that never decreases along the order cuts every key, ``None`` none.
+    positions, and ``"quantile"`` range-partitions the long keys' rows by key,
+    ``chunk_key`` (if given; it must not decrease along the order) and order into chunks of
+    about ``chunk_rows`` rows.  A ``Column`` that never decreases along the order
+    cuts every key, ``None`` none.
+
+    Long keys are found by a count over ``counted``, rows that hold at least those of ``df`` (default:
+    ``df``; the rows before an expensive cleaning spare a second one).  With the default
+    ``hot_rows``, an input whose file sizes fit one task is not counted: no key can be too long.
 
     Runs of cut keys are first built per (key, chunk) with one window; the
-    pieces are written once as Parquet to the checkpoint directory (lineage cut)
-    and runs that cross a chunk boundary are stitched from a table of at most two
-    boundary pieces per chunk.  The result depends on neither setting.
+    pieces are written once as Parquet to the checkpoint directory (lineage cut).
+    What crosses a chunk border is found from one summary per chunk; summaries are
+    combined :data:`FAN_OUT` at a time, level by level.  The result depends on none
+    of these settings.
     """
     keys = _as_list(key)
     order = _as_list(order)
@@ -137,17 +164,73 @@ def merge_turns(df: DataFrame, key: str | Sequence[str], order: str | Sequence[s
         if kind not in ("byte", "short", "integer", "long"):
             raise ValueError(f"chunk={chunk} cuts an integral position, but {order[0]!r} is {kind}; "
                              f"use chunk='quantile' (or a Column) for this order")
-    normal, hot = _split_hot(df, keys, hot_rows)
-    merged = _merge(normal, keys, order, *names, None)
+    counted = df if counted is None else counted
+    if hot_rows >= HOT_ROWS and _small(counted):
+        return _merge(df, keys, order, *names, None)
+    normal, hot, n_hot = _split_hot(df, keys, hot_rows, counted)
     if hot is None:
-        return merged
+        return _merge(normal, keys, order, *names, None)
     if chunk == "quantile":
-        from dialframe.operators.folds import quantile_buckets
-        hot = quantile_buckets(hot, chunk_key if chunk_key is not None else F.col(order[0]), "_qchunk")
+        n = max(num_partitions(hot), -(-n_hot // chunk_rows))
+        by = [*keys, *([chunk_key] if chunk_key is not None else []), *order]
+        hot = hot.repartitionByRange(n, *by).withColumn("_qchunk", F.spark_partition_id())
         cut = F.col("_qchunk")
     else:
         cut = F.floor(F.col(order[0]) / F.lit(chunk)).cast("bigint")
-    return merged.unionByName(_merge(hot, keys, order, *names, cut))
+    merged = _merge(hot, keys, order, *names, cut)
+    return merged if normal is None else _merge(normal, keys, order, *names, None).unionByName(merged)
+
+
+# ---- what crosses chunk borders
+
+def _joined(a: Column, b: Column) -> Column:
+    """Summary of two neighbouring ranges; associative.
+
+    A summary holds the speaker and reference flag of a range's first and last run (fs, fr,
+    ls, lr), whether the range is one run (one), and the place where its last run begins (head).
+    """
+    on = a["ls"].eqNullSafe(b["fs"]) & ~a["lr"] & ~b["fr"]
+    through = b["one"] & on
+    return F.struct(a["fs"].alias("fs"), a["fr"].alias("fr"), b["ls"].alias("ls"), b["lr"].alias("lr"),
+                    (a["one"] & through).alias("one"),
+                    F.when(through, a["head"]).otherwise(b["head"]).alias("head"))
+
+
+def _states_before(summaries: DataFrame, keys: list[str], top: int) -> DataFrame:
+    """(keys, _idx, before): the summary of all chunks of the key before each one, null for the first.
+
+    ``summaries`` has (keys, _idx, s) with ``_idx`` from 0 to ``top``.  Up the tree, groups of :data:`FAN_OUT` neighbours are
+    combined until one is left per key; down again, every group hands its children what stands
+    before them.  A row holds at most :data:`FAN_OUT` summaries on every level.
+    """
+    # With more than one level the summaries are read on the way up and on the way down.
+    levels, level = [], summaries if top < FAN_OUT else materialize(summaries, "merge-chunks")
+    while True:
+        kids = level.groupBy(*keys, F.floor(F.col("_idx") / FAN_OUT).cast("bigint").alias("_group")).agg(
+            F.array_sort(F.collect_list(F.struct("_idx", "s"))).alias("kids"))
+        levels.append(kids)
+        top //= FAN_OUT
+        if top == 0:
+            break
+        level = materialize(kids.select(*keys, F.col("_group").alias("_idx"), F.aggregate(
+            F.slice("kids", 2, FAN_OUT), F.get("kids", 0)["s"], lambda a, x: _joined(a, x["s"])).alias("s")), "merge-level")
+    kind = summaries.schema["s"].dataType.simpleString()
+    before = None
+    for kids in reversed(levels):
+        if before is None:
+            rows = kids.withColumn("before", F.lit(None).cast(kind))
+        else:
+            up = before.withColumnsRenamed({**{k: f"_up_{k}" for k in keys}, "_idx": "_up_idx"})
+            same = [F.col(k).eqNullSafe(F.col(f"_up_{k}")) for k in keys] + [F.col("_group") == F.col("_up_idx")]
+            rows = kids.join(up, same).select(*keys, "_group", "kids", "before")
+        item = f"struct<_idx:bigint,before:{kind}>"
+        start = F.struct(F.col("before").alias("now"), F.array().cast(f"array<{item}>").alias("out"))
+        scan = F.aggregate("kids", start, lambda a, x: F.struct(
+            F.when(a["now"].isNull(), x["s"]).otherwise(_joined(a["now"], x["s"])).cast(kind).alias("now"),
+            F.array_append(a["out"], F.struct(x["_idx"].alias("_idx"), a["now"].alias("before")).cast(item)).alias("out")),
+            lambda a: a["out"])
+        before = rows.select(*keys, F.inline(scan))
+    return before
 
 
 def _merge(df: DataFrame, keys: list[str], order: list[str], speaker: str, text: str, uid: str, is_ref: str | None,
@@ -199,42 +282,32 @@ def _merge(df: DataFrame, keys: list[str], order: list[str], speaker: str, text:
     # recomputes scan + clean + window, and the boundary step reads no text.
     pieces = materialize(pieces, "merge-pieces")
 
-    # Boundary pieces only (first and last run of every chunk), without text.
-    bounds = (pieces.select(*keys, "_chunk", "_run", "_spk", "_first_ref", "_last_ref")
-              .where((F.col("_run") == 1) | (F.col("_run") == F.col("_nrun"))))
-    wb = Window.partitionBy(*keys).orderBy("_chunk", "_run")
-    cont = ((F.col("_run") == 1) & F.lag("_chunk").over(wb).isNotNull()
-            & F.col("_spk").eqNullSafe(F.lag("_spk").over(wb))
-            & ~F.coalesce(F.lag("_last_ref").over(wb), F.lit(True)) & ~F.col("_first_ref"))
-    bounds = bounds.withColumn("_cont", cont)
-    # The head of a run is its first piece: the latest piece at or before that does
-    # not continue an earlier one.  A piece is linked when it continues or is continued.
-    head = F.max(F.when(~F.col("_cont"), F.struct(F.col("_chunk").alias("c"), F.col("_run").alias("r")))).over(
-        wb.rowsBetween(Window.unboundedPreceding, 0))
-    bounds = bounds.withColumn("_head", head).withColumn(
-        "_linked", F.col("_cont") | F.coalesce(F.lead("_cont").over(wb), F.lit(False)))
-    # At most two linked pieces per chunk (its first and its last run): one row per chunk.
-    links = bounds.where("_linked").groupBy(*keys, "_chunk").agg(
-        F.max(F.when(F.col("_run") == 1, F.col("_head"))).alias("_h1"),
-        F.max(F.when(F.col("_run") != 1, F.col("_run"))).alias("_rn"),
-        F.max(F.when(F.col("_run") != 1, F.col("_head"))).alias("_hn"))
-
-    # One row per chunk with a crossing run, joined by key and chunk.
-    by = [*keys, "_chunk"]
-    links = links.withColumnsRenamed({c: f"_link_{c}" for c in by})
-    same = [F.col(c).eqNullSafe(F.col(f"_link_{c}")) for c in by]
-    j = pieces.join(links, same, "left").drop(*[f"_link_{c}" for c in by]).withColumn(
-        "_lhead", F.when(F.col("_run") == 1, F.col("_h1")).when(F.col("_run") == F.col("_rn"), F.col("_hn")))
-
-    direct = finish(j.where(F.col("_lhead").isNull()))
-    stitched = j.where(F.col("_lhead").isNotNull()).groupBy(*keys, "_lhead").agg(
+    # First and last run of every chunk; all others are whole.
+    edge = (F.col("_run") == 1) | (F.col("_run") == F.col("_nrun"))
+    least, most = (x or 0 for x in pieces.agg(F.min("_chunk"), F.max("_chunk")).first())
+    idx = (F.col("_chunk") - F.lit(least)).alias("_idx")
+    chunks = pieces.where(edge).groupBy(*keys, "_chunk").agg(
+        F.min_by(F.struct("_spk", "_first_ref"), "_run").alias("f"),
+        F.max_by(F.struct("_spk", "_last_ref", "_run"), "_run").alias("l"))
+    summaries = chunks.select(*keys, idx, F.struct(
+        F.col("f._spk").alias("fs"), F.col("f._first_ref").alias("fr"), F.col("l._spk").alias("ls"),
+        F.col("l._last_ref").alias("lr"), (F.col("l._run") == 1).alias("one"),
+        F.struct(F.col("_chunk").alias("c"), F.col("l._run").alias("r")).alias("head")).alias("s"))
+    before = _states_before(summaries, keys, most - least).withColumnsRenamed({k: f"_link_{k}" for k in [*keys, "_idx"]})
+    same = [F.col(k).eqNullSafe(F.col(f"_link_{k}")) for k in [*keys, "_idx"]]
+    edges = pieces.where(edge).withColumn("_idx", idx).join(before, same)
+    goes_on = ((F.col("_run") == 1) & F.col("before").isNotNull() & F.col("_spk").eqNullSafe(F.col("before.ls"))
+               & ~F.col("before.lr") & ~F.col("_first_ref"))
+    own = F.struct(F.col("_chunk").alias("c"), F.col("_run").alias("r"))
+    stitched = edges.withColumn("_head", F.when(goes_on, F.col("before.head")).otherwise(own)).groupBy(
+        *keys, "_head").agg(
         F.min("_spk").alias("_spk"),
         F.min("_start").alias("_start"),
         F.flatten(F.transform(F.array_sort(F.collect_list(F.struct("_chunk", "_parts"))),
                               lambda x: x["_parts"])).alias("_parts"),
         F.sum("_n").alias("_n"),
         F.min_by("_first_ref", "_chunk").alias("_first_ref"))
-    return direct.unionByName(finish(stitched))
+    return finish(pieces.where(~edge)).unionByName(finish(stitched))
 
 
 def nest_turns(df: DataFrame, key: str | Sequence[str], order: str | Sequence[str], fields: Sequence[str],

@@ -15,8 +15,10 @@ from dialframe.sources.tables import noise_utterances, read_table
 
 def refined_turns_df(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Clean + drop empty + merge over the utterance view (the refine job)."""
-    u = clean_and_drop_empty(noise_utterances(spark, sf_dir), "text")
-    return merge_turns(u, "conv_id", "turn").withColumnRenamed("turn", "start_turn")
+    raw = noise_utterances(spark, sf_dir)
+    # Long conversations are found by the raw rows: their texts are cleaned once.
+    return merge_turns(clean_and_drop_empty(raw, "text"), "conv_id", "turn", counted=raw).withColumnRenamed(
+        "turn", "start_turn")
 
 
 @register("clean_text", "C0-C12", oracle=f"""
@@ -54,9 +56,9 @@ FROM r GROUP BY user_id, run
 def merge_events(spark: SparkSession, sf_dir: str) -> DataFrame:
     e = read_table(spark, sf_dir, "events", ["user_id", "ts", "event_id", "event_type", "props"])
     e = e.withColumn("is_ref", F.col("event_type") == F.lit("purchase"))
-    # Users of many events (a third of all, say) are cut at quantiles of the event time.
+    # Users of many events (a third of all, say) are cut into ranges of their order.
     m = merge_turns(e, "user_id", ["ts", "event_id"], speaker="event_type", text="props", uid="event_id",
-                    chunk="quantile", chunk_key=F.unix_micros(F.col("ts").cast("timestamp")))
+                    chunk="quantile")
     return m.select("user_id", F.col("event_id").alias("start_event_id"), "event_type", F.col("props").alias("text"),
                     F.array_join("utterance_ids", ",").alias("event_ids"), F.col("n_turns").alias("n_events"))
 
@@ -120,7 +122,7 @@ def reference_turns(spark: SparkSession, sf_dir: str) -> DataFrame:
     return runs.join(refs, ["conv_id", "utterance_id"], "left_semi").select("conv_id", "start_turn", "speaker", "text")
 
 
-@register("merge_event_stream", "W1 with one key holding every row (skew: quantile chunks)", oracle="""
+@register("merge_event_stream", "W1 with one key holding every row (skew: chunks by ranges of the order)", oracle="""
 WITH e AS (SELECT ts, event_id, event_type, props, event_type = 'purchase' AS is_ref FROM events),
 m AS (SELECT *, lag(event_type) OVER w AS pt, lag(is_ref) OVER w AS pr, row_number() OVER w AS rn
       FROM e WINDOW w AS (ORDER BY ts, event_id)),
@@ -133,12 +135,12 @@ SELECT arg_min(event_id, (ts, event_id)) AS start_event_id, min(event_type) AS e
 FROM r GROUP BY run
 """)
 def merge_event_stream(spark: SparkSession, sf_dir: str) -> DataFrame:
-    # All events form a single sequence: the one key holds every row, and the quantile
-    # chunks still cut it into pieces of about rows / buckets events for the window.
+    # All events form a single sequence: the one key holds every row, and ranges of the
+    # order still cut it into chunks for the window.
     e = read_table(spark, sf_dir, "events", ["ts", "event_id", "event_type", "props"])
     # Not a literal: the optimizer would fold a constant key and send all rows to one task.
     e = e.withColumn("stream", F.col("event_id") * 0).withColumn("is_ref", F.col("event_type") == F.lit("purchase"))
     m = merge_turns(e, "stream", ["ts", "event_id"], speaker="event_type", text="props", uid="event_id",
-                    chunk="quantile", chunk_key=F.unix_micros(F.col("ts").cast("timestamp")), hot_rows=1_000)
+                    chunk="quantile", hot_rows=1_000)
     return m.select(F.col("event_id").alias("start_event_id"), "event_type", F.col("props").alias("text"),
                     F.array_join("utterance_ids", ",").alias("event_ids"), F.col("n_turns").alias("n_events"))

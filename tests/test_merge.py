@@ -166,3 +166,56 @@ def test_integral_chunk_needs_integral_order(spark):
     df = spark.createDataFrame([(1, "2024-01-01 00:00:00", 1, "a", "u")], "k int, ts string, speaker int, text string, utterance_id string")
     with pytest.raises(ValueError, match="quantile"):
         merge_turns(df, "k", "ts", is_ref=None, chunk=10)
+
+
+@pytest.mark.parametrize("fan_out", [2, 3, 64])
+def test_borders_of_many_chunks_meet_in_a_tree(spark, monkeypatch, fan_out):
+    """1,500 rows in chunks of one and of seven rows; long runs, reference rows and gaps cross many chunks."""
+    import random
+    from dialframe.operators import turns
+    monkeypatch.setattr(turns, "FAN_OUT", fan_out)
+    r, rows = random.Random(fan_out), []
+    for key, n in (("a", 1500), ("b", 40), (None, 90)):
+        pos = -20
+        for _ in range(n):
+            pos += r.choice([1, 1, 1, 30])
+            rows.append((key, pos, 1 if key == "b" or 200 < pos < 900 else r.choice([1, 2]), f"t{pos}", f"u{pos}",
+                         r.random() < 0.02))
+    df = spark.createDataFrame(rows, "k string, pos long, speaker int, text string, utterance_id string, is_ref boolean")
+
+    def norm(**kw):
+        return sorted(((x["k"] or "", x["pos"], x["speaker"], x["text"], tuple(x["utterance_ids"]), x["n_turns"], x["is_ref"])
+                       for x in merge_turns(df, "k", "pos", **kw).collect()))
+
+    base = norm(chunk=None)
+    for kw in (dict(chunk=1), dict(chunk=7), dict(chunk="quantile", chunk_rows=40)):
+        assert norm(hot_rows=0, **kw) == base
+    assert norm(chunk=5, hot_rows=100) == base  # one key is cut, the others are not
+
+
+def test_long_keys_are_found_without_cleaning(spark):
+    """A small input starts no job while its plan is built; a count goes over the rows given for it."""
+    from dialframe.sources.tables import noise_utterances
+    from tests.conftest import SF_CHECK
+    view = noise_utterances(spark, SF_CHECK)
+    spark.sparkContext.setJobGroup("planning", "planning")
+    merge_turns(clean_and_drop_empty(view, "text"), "conv_id", "turn", counted=view)
+    assert list(spark.sparkContext.statusTracker().getJobIdsForGroup("planning")) == []
+    spark.sparkContext._jsc.clearJobGroup()
+    raw = spark.createDataFrame([("k", i, 1, "x", f"u{i}", False) for i in range(30)],
+                                "k string, pos long, speaker int, text string, utterance_id string, is_ref boolean")
+    out = merge_turns(raw.where("pos < 20"), "k", "pos", chunk=4, hot_rows=25, counted=raw)
+    assert out.first()["n_turns"] == 20
+
+
+def test_event_stream_in_a_thousand_chunks(spark):
+    from tests.conftest import SF_CHECK
+    ev = spark.read.parquet(f"{SF_CHECK}/events.parquet").withColumn("k", F.lit("all"))
+    kw = dict(speaker="event_type", text="props", uid="event_id", is_ref=None)
+    whole = merge_turns(ev, "k", ["ts", "event_id"], chunk=None, **kw)
+    n = ev.count()
+    # Cut by position of the id, which the order here is.
+    cut = merge_turns(ev, "k", ["event_id"], chunk=max(1, n // 1000), hot_rows=10, **kw)
+    want = merge_turns(ev, "k", ["event_id"], chunk=None, **kw)
+    assert cut.exceptAll(want).count() == 0 and cut.count() == want.count() > 1000
+    assert whole.count() > 1000
