@@ -19,7 +19,7 @@ import argparse
 import os
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from dialframe.functions import fixed
@@ -91,7 +91,8 @@ def _system_texts(values: Sequence[str]) -> dict[str, str]:
 
 def cmd_prompts(spark: SparkSession, a: argparse.Namespace) -> None:
     from dialframe.operators.encode import encode_examples, train_folds
-    from dialframe.operators.prompts import build_prompts
+    from dialframe.operators.prompts import build_prompts, variant
+    from dialframe.session import materialize, release_materialized
 
     examples = _examples(spark, a)
     places = [c for c in ("position",) if c in examples.columns]
@@ -99,13 +100,24 @@ def cmd_prompts(spark: SparkSession, a: argparse.Namespace) -> None:
                             ids_are_arrays=True, system_text=_system_texts(a.system_text),
                             particle_mode=a.particle_mode)
     by = ["split", "variant"]
+    filtered = a.mode == "train" and a.max_source_len is not None
+    counts = Observation("length filter") if filtered else None
+    enc = encode_examples(prompts, keep=("id", "system", "user", *by, *places), mode=a.mode,
+                          max_source_len=a.max_source_len, observation=counts)
+    source = None
     if a.k_folds > 1:
-        # Folds of the train rows that the length filter leaves, before any array exists.
-        folds = train_folds(prompts, a.k_folds, a.max_source_len if a.mode == "train" else None)
-        prompts = prompts.join(folds, ["id", "split", "variant"], "left")
+        # Every source is encoded once: the rows that the length filter left are written, then folded.
+        source = enc = materialize(enc, "encoded")
+        enc = enc.join(train_folds(enc, a.k_folds), ["id", "split", "variant"], "left")
         by.append("fold")
-    enc = encode_examples(prompts, keep=("id", "system", "user", *by), mode=a.mode, max_source_len=a.max_source_len)
-    enc.write.mode("overwrite").partitionBy(*by).parquet(a.out)
+    enc.drop(*places).write.mode("overwrite").partitionBy(*by).parquet(a.out)
+    if source is not None:
+        release_materialized(source)
+    if counts is not None:
+        found = counts.get
+        print(f"length filter: {found['n_dropped']} of {found['n_dropped'] + found['n_kept']} examples dropped")
+        for v in dict.fromkeys(variant(x).name for x in a.variant):
+            print(f"  {v}: {found[f'n_dropped_{v}']} dropped, {found[f'n_kept_{v}']} kept")
 
 
 def cmd_vote(spark: SparkSession, a: argparse.Namespace) -> None:

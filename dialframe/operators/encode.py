@@ -12,12 +12,13 @@ from collections.abc import Callable, Sequence
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, Observation, Window
 from pyspark.sql import functions as F
 
 from dialframe.functions import fixed
-from dialframe.operators.folds import kfold, with_global_index
-from dialframe.session import ship_package
+from dialframe.operators.folds import kfold, number_rows, with_row_key
+from dialframe.operators.prompts import VARIANTS
+from dialframe.session import num_partitions, ship_package
 from dialframe.sources.jsonio import id_sequence
 
 Encoder = Callable[[Column], Column]
@@ -67,20 +68,32 @@ class ChatTemplate:
 
 def encode_examples(prompts: DataFrame, keep: Sequence[str] = ("id",), encoder: Encoder = code_points,
                     template: ChatTemplate = ChatTemplate(), mode: str = "eval",
-                    max_source_len: int | None = None) -> DataFrame:
+                    max_source_len: int | None = None, observation: Observation | None = None) -> DataFrame:
     """Encode source and target; ``input_ids`` = source ++ target, ``labels`` = -100 per source token ++ target.
 
     In ``train`` mode examples whose *source* is longer than ``max_source_len``
     are dropped before the target is encoded (the target is not counted).
+    ``observation`` then receives ``n_kept`` and ``n_dropped``, and both per variant
+    (``n_kept_v1``) if the prompts have that column among ``keep``, when the result is
+    written: the rows are counted as they are encoded, in the same pass.
     """
     if mode not in ("train", "eval"):
         raise ValueError(f"mode must be 'train' or 'eval', got {mode!r}")
-    ids = encoder(template.render(F.col("system"), F.col("user")))
-    if mode == "train" and max_source_len is not None:
-        # explode(filter(array(ids))) drops over-long rows with the encoder in one projection; a filter on
-        # its size would be pushed below it and encode twice.
-        ids = F.explode(F.filter(F.array(ids), lambda x: F.size(x) <= max_source_len))
+    if observation is not None and (mode != "train" or max_source_len is None):
+        raise ValueError("an observation counts what a length filter drops: it needs mode='train' and max_source_len")
+    # A generator: a condition on its size would be pushed below a projection and encode twice.
+    ids = F.explode(F.array(encoder(template.render(F.col("system"), F.col("user")))))
     src = prompts.select(*keep, "target", "label", ids.alias("_src")).withColumn("n_source", F.size("_src"))
+    if mode == "train" and max_source_len is not None:
+        fits = F.col("n_source") <= max_source_len
+        if observation is not None:
+            groups = {"": F.lit(True)}
+            if "variant" in keep:
+                groups |= {f"_{v}": F.col("variant") == v for v in VARIANTS}
+            src = src.observe(observation, *[F.count_if(cond & which).alias(f"n_{name}{suffix}")
+                                             for suffix, which in groups.items()
+                                             for name, cond in (("kept", fits), ("dropped", ~fits))])
+        src = src.where(fits)
     tgt = encoder(F.col("target"))
     enc = src.withColumn("_tgt", tgt)
     return enc.select(
@@ -120,30 +133,37 @@ def train_folds(prompts: DataFrame, k: int, max_source_len: int | None = None, t
 
 
 def pad_batches(encoded: DataFrame, order: str | Sequence[str], batch_size: int, pad_id: int,
-                mask_by: str = "value") -> DataFrame:
+                mask_by: str = "value", unique: bool = False) -> DataFrame:
     """Cut examples into batches of ``batch_size`` in ``order`` and right-pad to the batch maximum.
 
     ``input_ids`` are padded with ``pad_id``, ``labels`` with -100.  The attention
     mask is ``input_ids != pad_id`` with ``mask_by="value"`` (so a real token equal
     to the pad id is masked too, as in the original collator) or marks the
-    unpadded prefix with ``mask_by="length"``.  The batch window is bounded by
-    ``batch_size`` rows.
+    unpadded prefix with ``mask_by="length"``.
+
+    Only the order and the length of an example are numbered, batched and compared
+    (a batch window holds ``batch_size`` rows); the arrays are written once and meet
+    their batch and width in one join.  ``unique=True`` says that the order has no ties.
     """
     if mask_by not in ("value", "length"):
         raise ValueError(f"mask_by must be 'value' or 'length', got {mask_by!r}")
-    indexed = with_global_index(encoded, order, out="idx")
-    batched = indexed.withColumn("batch", F.floor(F.col("idx") / F.lit(batch_size)).cast("bigint"))
-    n = F.size("input_ids")
-    width = F.max(n).over(Window.partitionBy("batch"))
-    batched = batched.withColumn("batch_len", width).withColumn("_len", n)
-    n = F.col("_len")
-    pad = F.col("batch_len") - n
+    order = [order] if isinstance(order, str) else list(order)
+    parts = max(num_partitions(encoded), int(encoded.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    rows = with_row_key(encoded, order, unique)
+    narrow = rows.select(*dict.fromkeys([*order, "_tie", "_row"]), F.size("input_ids").alias("_len"))
+    index = number_rows(narrow, [*order, "_tie"], "idx", None, parts).withColumn(
+        "batch", F.floor(F.col("idx") / F.lit(batch_size)).cast("bigint"))
+    index = index.select("_row", "idx", "batch", "_len",
+                         F.max("_len").over(Window.partitionBy("batch")).alias("batch_len"))
+    batched = rows.join(index, "_row")
+    pad = F.col("batch_len") - F.col("_len")
     ids = F.concat("input_ids", F.array_repeat(F.lit(pad_id).cast("bigint"), pad))
     labels = F.concat("labels", F.array_repeat(F.lit(fixed.IGNORE_INDEX).cast("bigint"), pad))
     if mask_by == "value":
         mask = F.transform(ids, lambda x: x != F.lit(pad_id))
     else:
-        mask = F.transform(F.sequence(F.lit(0), F.col("batch_len") - 1), lambda i: i < n)
+        mask = F.transform(F.sequence(F.lit(0), F.col("batch_len") - 1), lambda i: i < F.col("_len"))
     # One projection: every expression sees the unpadded arrays.
-    others = [c for c in batched.columns if c not in ("input_ids", "labels", "_len")]
-    return batched.select(*others, ids.alias("input_ids"), labels.alias("labels"), mask.alias("attention_mask"))
+    others = [c for c in encoded.columns if c not in ("input_ids", "labels")]
+    return batched.select(*others, "idx", "batch", "batch_len", ids.alias("input_ids"), labels.alias("labels"),
+                          mask.alias("attention_mask"))

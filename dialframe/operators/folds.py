@@ -1,9 +1,10 @@
 """Deterministic row index, K-fold assignment and train/validation views.
 
 The row index never uses a window without a partition (that funnels every row
-through one task).  Rows are range-partitioned on the whole order tuple, with a
+through one task).  The order columns are range-partitioned as a whole tuple, with a
 row hash behind it so that equal or null keys spread too; per-partition counts
-give each range its offset, and ``row_number`` runs inside a range only.
+give each range its offset, and ``row_number`` runs inside a range only.  Wide rows
+stay out of it: the index is joined back to them.
 """
 
 from __future__ import annotations
@@ -57,23 +58,20 @@ def _tie_hash(df: DataFrame) -> Column:
                         if not any(k in f.dataType.simpleString() for k in ("map<", "variant"))])
 
 
-def with_global_index(df: DataFrame, order: str | Sequence[str], out: str = "idx", total: str | None = None,
-                      partitions: int | None = None) -> DataFrame:
-    """Add a 0-based index in ``order`` (any sortable columns, nulls first; ties by a hash of the row).
+def _narrow(df: DataFrame, order: Sequence[str]) -> bool:
+    """Whether the columns beside the order are a few numbers, which cost less to shuffle than to join back."""
+    rest = [f.dataType.typeName() for f in df.schema.fields if f.name not in order]
+    return len(rest) <= 4 and all(t in ("byte", "short", "integer", "long", "float", "double", "boolean", "date",
+                                        "timestamp", "timestamp_ntz") for t in rest)
+
+
+def number_rows(df: DataFrame, order: Sequence[str], out: str, total: str | None, partitions: int) -> DataFrame:
+    """:func:`with_global_index` of narrow rows whose order decides every tie that matters.
 
-    The rows are range-partitioned by the whole order tuple and the hash (one
-    sampling pass) and written once in the checkpoint folder, so that counting
-    and numbering see the same ranges and an expensive input is computed once.
-    Every range holds about ``rows / partitions`` rows however the keys cluster,
-    equal and null keys included; only rows equal in every column stay together.
-    The offsets are one row per range.  ``total`` names an optional column with
-    the row count of the whole frame.
+    The rows are range-partitioned by the order and written once in the checkpoint
+    folder, so that counting and numbering see the same ranges.  The offsets are one row per range.
     """
-    order = _as_list(order)
-    spark = df.sparkSession
-    n = partitions or max(num_partitions(df), int(spark.conf.get("spark.sql.shuffle.partitions")))
-    tied = df.withColumn("_tie", _tie_hash(df))
-    ranged = materialize(tied.repartitionByRange(n, *order, "_tie").withColumn("_bucket", F.spark_partition_id()),
+    ranged = materialize(df.repartitionByRange(partitions, *order).withColumn("_bucket", F.spark_partition_id()),
                          "index-ranges")
     counts = ranged.groupBy("_bucket").agg(F.count(F.lit(1)).alias("_n"))
     # At most `partitions` rows: one small ordered pass for the running offsets.
@@ -83,13 +81,42 @@ def with_global_index(df: DataFrame, order: str | Sequence[str], out: str = "idx
                    F.lit(0).cast("bigint")).alias("_offset"),
         F.sum("_n").over(Window.partitionBy()).alias("_total"))
     joined = ranged.join(F.broadcast(offsets), "_bucket")
-    w = Window.partitionBy("_bucket").orderBy(*order, "_tie")
+    w = Window.partitionBy("_bucket").orderBy(*order)
     res = joined.withColumn(out, (F.col("_offset") + F.row_number().over(w) - 1).cast("bigint"))
     if total:
         res = res.withColumnRenamed("_total", total)
     return res.select(*df.columns, out, *([total] if total else []))
 
 
+def with_row_key(df: DataFrame, order: Sequence[str], unique: bool) -> DataFrame:
+    """``df`` written once, with a row number of no meaning (``_row``) and a hash that breaks ties (``_tie``)."""
+    tie = F.lit(0).cast("bigint") if unique else _tie_hash(df)
+    return materialize(df.withColumn("_tie", tie).withColumn("_row", F.monotonically_increasing_id()), "index-rows")
+
+
+def with_global_index(df: DataFrame, order: str | Sequence[str], out: str = "idx", total: str | None = None,
+                      partitions: int | None = None, unique: bool = False) -> DataFrame:
+    """Add a 0-based index in ``order`` (any sortable columns, nulls first; ties by a hash of the row).
+
+    Only the order columns, the hash and a row number are shuffled and numbered; the
+    index is then joined back to the rows, which are written once and shuffled at most once.  (Rows
+    of a few numbers beside the order are numbered as they are.)  Every range holds
+    about ``rows / partitions`` rows however the keys cluster, equal and null keys
+    included.  ``unique=True`` says that the order has no ties: the rows are not hashed.
+    ``total`` names an optional column with the row count of the whole frame.
+    """
+    order = _as_list(order)
+    n = partitions or max(num_partitions(df), int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    if _narrow(df, order):
+        tied = df if unique else df.withColumn("_tie", _tie_hash(df))
+        by = order if unique else [*order, "_tie"]
+        return number_rows(tied, by, out, total, n).select(*df.columns, out, *([total] if total else []))
+    rows = with_row_key(df, order, unique)
+    index = number_rows(rows.select(*dict.fromkeys([*order, "_tie", "_row"])), [*order, "_tie"], out, total, n)
+    found = index.select("_row", out, *([total] if total else []))
+    return rows.join(found, "_row").select(*df.columns, out, *([total] if total else []))
+
+
 def kfold(df: DataFrame, order: str | Sequence[str], k: int, out: str = "fold",
           by: str | Sequence[str] = ()) -> DataFrame:
     """Contiguous, unshuffled K-fold: with q = n div k and r = n mod k the first r folds

@@ -182,7 +182,8 @@ SELECT conv_id, idx, batch, CAST(batch_len AS INTEGER) AS batch_len, CAST(batch_
        CAST(n AS INTEGER) AS n_attended FROM w""")
 def padded_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     enc = encode_examples(_prompts(spark, sf_dir, ["v1"]), keep=("conv_id",))
-    padded = pad_batches(enc.select("conv_id", "input_ids", "labels"), "conv_id", BATCH_SIZE, PAD_ID)
+    padded = pad_batches(enc.select("conv_id", "input_ids", "labels"), "conv_id", BATCH_SIZE, PAD_ID,
+                         unique=True)
     return padded.select(
         "conv_id", "idx", "batch", "batch_len",
         F.size(F.filter("attention_mask", lambda m: ~m)).alias("n_pad"),
@@ -215,7 +216,8 @@ SELECT conv_id, array_to_string(padded, ' ') AS input_ids, array_to_string(padde
 FROM pd""")
 def padded_arrays(spark: SparkSession, sf_dir: str) -> DataFrame:
     enc = encode_examples(_prompts(spark, sf_dir, ["v1"]), keep=("conv_id",))
-    padded = pad_batches(enc.select("conv_id", "input_ids", "labels"), "conv_id", BATCH_SIZE, REAL_PAD_ID)
+    padded = pad_batches(enc.select("conv_id", "input_ids", "labels"), "conv_id", BATCH_SIZE, REAL_PAD_ID,
+                         unique=True)
     bits = F.transform("attention_mask", lambda m: m.cast("int"))
     return padded.select("conv_id", F.array_join("input_ids", " ").alias("input_ids"),
                          F.array_join("labels", " ").alias("labels"), F.array_join(bits, "").alias("mask"))

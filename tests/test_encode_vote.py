@@ -213,3 +213,67 @@ def test_messages_need_a_system_text(spark):
     assert [x["content"] for x in rows.limit(1).first()["m"]] == ["s", "u"]
     with pytest.raises(Exception, match="no system text"):
         rows.collect()
+
+
+def test_arrays_are_shuffled_once_for_padding(spark):
+    """Numbers are ranked and batched; the arrays only meet them in the join."""
+    df = spark.range(200).select(F.col("id").alias("k"), F.array_repeat("id", (F.col("id") % 7 + 1).cast("int")).alias("input_ids"))
+    df = df.withColumn("labels", F.col("input_ids"))
+    out = pad_batches(df, "k", 8, 0, unique=True)
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("Join") == 2 and "xxhash64" not in plan       # offsets to ranges, widths to rows
+    bare = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", -1)
+    try:
+        lines = pad_batches(df, "k", 8, 0, unique=True)._jdf.queryExecution().executedPlan().toString().split("\n")
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", bare)
+    with_arrays = [i for i, x in enumerate(lines) if "Exchange hashpartitioning(_row" in x]
+    assert len(with_arrays) == 2 and sum("Exchange" in x for x in lines) <= 7
+    got = sorted((r["k"], r["batch"], r["batch_len"], len(r["input_ids"]), len(r["attention_mask"])) for r in out.collect())
+    for k, batch, width, n, m in got:
+        assert batch == k // 8 and n == m == width == max(i % 7 + 1 for i in range(batch * 8, min(200, batch * 8 + 8)))
+
+
+def test_wide_rows_are_numbered_by_their_order_alone(spark):
+    rows = [(f"k{i % 50:02d}", "text " * 20 + str(i), [i]) for i in range(300)]
+    df = spark.createDataFrame(rows, "key string, text string, ids array<int>")
+    got = with_global_index(df, "key", total="n", partitions=5).collect()
+    assert sorted(r["idx"] for r in got) == list(range(300)) and {r["n"] for r in got} == {300}
+    assert [r["key"] for r in sorted(got, key=lambda r: r["idx"])] == sorted(k for k, _, _ in rows)
+    again = with_global_index(df.repartition(3), "key", partitions=2).collect()
+    assert {r["text"]: r["idx"] for r in got} == {r["text"]: r["idx"] for r in again}
+
+
+def test_dropped_rows_are_counted_as_they_are_encoded(spark, tmp_path, capsys):
+    import json
+    from pyspark.sql import Observation
+    from dialframe.cli import main
+    calls = spark.sparkContext.accumulator(0)
+
+    def counted(texts):
+        calls.add(len(texts))
+        return [[ord(c) for c in t] for t in texts]
+
+    rows = [("a", "s", "x" * n, "t", 0, v) for n in (5, 50, 500) for v in ("v1", "v4")]
+    df = spark.createDataFrame(rows, "id string, system string, user string, target string, label int, variant string")
+    seen = Observation()
+    enc = encode_examples(df, ("id", "variant"), pandas_encoder(counted), mode="train", max_source_len=100, observation=seen)
+    assert len(enc.collect()) == 4 and calls.value == 6 + 4           # every source once, the targets that are left
+    assert (seen.get["n_kept"], seen.get["n_dropped"], seen.get["n_dropped_v1"], seen.get["n_kept_v4"]) == (4, 2, 1, 2)
+    with pytest.raises(ValueError):
+        encode_examples(df, ("id",), observation=Observation())
+
+    def example(i, n):
+        return {"id": i, "input": {"conversation": [{"speaker": 1, "utterance": "글" * n, "utterance_id": "u"}], "reference_id": ["u"],
+                                   "category": "원인", "inference_1": "가", "inference_2": "나", "inference_3": "다"},
+                "output": "inference_1"}
+
+    (tmp_path / "src").mkdir()
+    (tmp_path / "src" / "train.json").write_text(json.dumps([example(f"t{i}", 3000 if i == 1 else 9) for i in range(5)]))
+    for flags in ([], ["--k-folds", "2"]):
+        main(["prompts", str(tmp_path / "src"), str(tmp_path / "out"), "--variant", "v1", "v2", "--mode", "train",
+              "--max-source-len", "1500", *flags], spark=spark)
+        said = capsys.readouterr().out
+        assert "2 of 10 examples dropped" in said and "v2: 1 dropped, 4 kept" in said
+        assert spark.read.parquet(str(tmp_path / "out")).count() == 8
