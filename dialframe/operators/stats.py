@@ -98,6 +98,10 @@ def percent_text(pct: Column | str) -> Column:
     return F.concat(F.call_function("format_number", value.cast("double"), F.lit("0.00")), F.lit("%"))
 
 
+# Empty bins that one row stands for on the way.
+GAP_BINS = 1 << 12
+
+
 # ---------------------------------------------------------------------------
 # summaries and histograms (A5, A6, A7, A8)
 # ---------------------------------------------------------------------------
@@ -115,9 +119,10 @@ def histogram(df: DataFrame, value: str, step: int, group: str | Sequence[str] |
 
     ``nbins = ceil(max / step)`` (at least 1); the last bin is closed, so the
     maximum lands in it; empty bins are present with 0.  One linear chain over
-    the input: values are counted per raw bin (a small table), every raw bin then
-    also emits the empty bins up to the next one (``lead`` over the raw bins of
-    its group), and a last aggregate clamps the top bin.
+    the input: values are counted per bin (a small table, clamped to the last bin), and every bin then
+    also emits the empty bins up to the next one (``lead`` over the bins of its
+    group).  A gap becomes rows of at most :data:`GAP_BINS` bins before it becomes
+    bins, so a far outlier makes many rows, not one long array.
     """
     g = _as_list(group)
     v = F.col(value).cast("bigint")
@@ -125,21 +130,24 @@ def histogram(df: DataFrame, value: str, step: int, group: str | Sequence[str] |
     raw = df.where(v >= 0).groupBy(*g, F.floor(v / F.lit(step)).cast("bigint").alias("_rb")).agg(
         F.count(F.lit(1)).alias("_n"), F.max(v).alias("_mx"))
     wg = Window.partitionBy(*g)
-    wo = wg.orderBy("_rb")
     nb = F.greatest(F.ceil(F.max("_mx").over(wg) / F.lit(step)).cast("bigint"), F.lit(1).cast("bigint"))
-    raw = raw.select(*g, "_rb", "_n", nb.alias("_nb"),
-                     F.lead("_rb").over(wo).alias("_next"), F.row_number().over(wo).alias("_first"))
-    # Bins this raw bin stands for: itself (with its count) and the empty bins after it up to the
-    # next raw bin (or to the last bin); the first raw bin of a group also covers the bins before it.
+    # The maximum of a whole number of steps has a raw bin of its own, which belongs to the last one.
+    # (Grouped by the window's own partitions: no further exchange.)
+    raw = raw.select(*g, "_rb", "_n", (nb - 1).alias("_last"))
+    raw = raw.groupBy(*g, F.least("_rb", "_last").alias("_rb"), "_last").agg(F.sum("_n").alias("_n"))
+    wo = wg.orderBy("_rb")
+    # A bin stands for itself (with its count) and the empty bins after it up to the next one (or
+    # the last); the first one of a group also for the bins before it.
+    raw = raw.select(*g, "_rb", "_n", F.coalesce(F.lead("_rb").over(wo) - 1, "_last").alias("_stop"),
+                     F.row_number().over(wo).alias("_first"))
     start = F.when(F.col("_first") == 1, F.lit(0).cast("bigint")).otherwise(F.col("_rb"))
-    stop = F.coalesce(F.col("_next") - 1, F.col("_nb") - 1)
-    stop = F.greatest(stop, F.col("_rb"))
-    cells = F.transform(F.sequence(start, stop), lambda b: F.struct(
-        b.alias("_b"), F.when(b == F.col("_rb"), F.col("_n")).otherwise(F.lit(0).cast("bigint")).alias("_c")))
-    exploded = raw.select(*g, "_nb", F.inline(cells))
-    out = exploded.groupBy(*g, F.least(F.col("_b"), F.col("_nb") - 1).alias("bin")).agg(F.sum("_c").alias("n"))
-    return out.select(*g, "bin", (F.col("bin") * step).alias("bin_start"), ((F.col("bin") + 1) * step).alias("bin_end"),
-                      "n")
+    spans = raw.select(*g, "_rb", "_n", "_stop", F.explode(F.sequence(start, "_stop", F.lit(GAP_BINS).cast("bigint")))
+                       .alias("_from"))
+    bins = spans.select(*g, "_rb", "_n", F.explode(F.sequence(
+        "_from", F.least(F.col("_from") + (GAP_BINS - 1), F.col("_stop")))).alias("bin"))
+    n = F.when(F.col("bin") == F.col("_rb"), F.col("_n")).otherwise(F.lit(0).cast("bigint"))
+    return bins.select(*g, "bin", (F.col("bin") * step).alias("bin_start"), ((F.col("bin") + 1) * step).alias("bin_end"),
+                       n.alias("n"))
 
 
 # ---------------------------------------------------------------------------

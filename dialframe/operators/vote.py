@@ -71,3 +71,48 @@ def check_prediction_sets(submission: DataFrame, preds: DataFrame, id: str = "id
     bad += [f"{m}: no rows" for m in expected if m not in {r[model] for r in found}]
     if bad:
         raise ValueError(f"prediction sets do not match the submission: {'; '.join(bad)}")
+
+
+def vote_with_coverage(submission: DataFrame, preds: DataFrame, n_sets: int, id: str = "id", label: str = "output",
+                       rank: str = "rank") -> DataFrame:
+    """:func:`hard_vote` that also counts, in its own aggregates, how often each set names each id.
+
+    ``rank`` runs from 1 to ``n_sets``.  Output: one row per id of the predictions or the
+    submission with ``label``, ``votes``, ``n_votes``, ``asked`` (in the submission) and
+    ``set_1 .. set_n``, the rows that a set has for the id.
+    """
+    sets = [f"set_{r}" for r in range(1, n_sets + 1)]
+    per_label = preds.groupBy(id, label).agg(
+        F.count(F.lit(1)).alias("_c"), F.min(rank).alias("_r"),
+        *[F.count_if(F.col(rank) == r).alias(c) for r, c in enumerate(sets, start=1)])
+    key = F.struct(F.col("_c"), (-F.col("_r")).alias("_nr"))
+    per_id = per_label.groupBy(id).agg(
+        F.max_by(label, key).alias(label), F.max("_c").alias("votes"), F.sum("_c").alias("n_votes"),
+        *[F.sum(c).alias(c) for c in sets])
+    asked = submission.select(id).distinct().withColumn("asked", F.lit(True))
+    full = per_id.join(asked, id, "full_outer")
+    return full.select(id, label, "votes", "n_votes", F.coalesce("asked", F.lit(False)).alias("asked"),
+                       *[F.coalesce(c, F.lit(0).cast("bigint")).alias(c) for c in sets])
+
+
+def check_coverage(covered: DataFrame, names: Sequence[str]) -> None:
+    """Raise ``ValueError`` unless every set of :func:`vote_with_coverage` names each asked id exactly once.
+
+    ``names`` are the sets' names by rank.  One aggregate of ``covered`` (one row).
+    """
+    tests = []
+    for r in range(1, len(names) + 1):
+        c = F.col(f"set_{r}")
+        tests += [F.coalesce(F.sum(c), F.lit(0)).alias(f"rows_{r}"),
+                  F.count_if(F.col("asked") & (c == 0)).alias(f"missing_{r}"),
+                  F.count_if(~F.col("asked") & (c > 0)).alias(f"extra_{r}"), F.count_if(c > 1).alias(f"double_{r}")]
+    found = covered.agg(*tests).first()
+    bad = []
+    for r, name in enumerate(names, start=1):
+        missing, extra, double = (found[f"{k}_{r}"] for k in ("missing", "extra", "double"))
+        if not found[f"rows_{r}"]:
+            bad.append(f"{name}: no rows")
+        elif missing or extra or double:
+            bad.append(f"{name}: {missing} missing, {extra} extra, {double} duplicated ids")
+    if bad:
+        raise ValueError(f"prediction sets do not match the submission: {'; '.join(bad)}")

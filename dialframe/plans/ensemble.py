@@ -8,7 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from dialframe.operators.score import predict_from_scores, score_folds
-from dialframe.operators.vote import attach_predictions, check_prediction_sets, hard_vote
+from dialframe.operators.vote import attach_predictions, check_coverage, hard_vote, vote_with_coverage
+from dialframe.session import materialize
 from dialframe.sources.jsonio import (fold_name, fold_prediction_paths, prediction_file_names, read_fold_predictions,
                                       read_prediction_sets, unfinished_folds, write_fold_predictions)
 
@@ -54,6 +55,9 @@ def ensemble(spark: SparkSession, submission: DataFrame, *, k_folds: int = 1, ou
         models = [n[:-len(".json")] for n in prediction_file_names(names)]
     else:
         raise ValueError("ensemble needs k_folds > 1 or more than one prediction set")
-    if validate:
-        check_prediction_sets(submission, preds.select("id", "model"), expected=models)
-    return attach_predictions(submission, hard_vote(preds.select("id", "output", "rank")))
+    if not validate:
+        return attach_predictions(submission, hard_vote(preds.select("id", "output", "rank")))
+    # Coverage is counted by the vote's own aggregates and kept with the winners: every set is read once.
+    covered = materialize(vote_with_coverage(submission, preds, len(models)), "vote")
+    check_coverage(covered, models)
+    return attach_predictions(submission, covered.where("asked"))

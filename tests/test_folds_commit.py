@@ -166,3 +166,21 @@ def test_a_complete_target_is_not_computed(spark, tmp_path):
     boom = spark.range(1).select(F.raise_error(F.lit("computed")).cast("long").alias("id"))
     assert not write_if_absent(boom, str(target))
     assert commit.write_parts_if_absent(boom.withColumn("fold", F.lit(1)), "fold", {1: str(target)}) == []
+
+
+def test_a_checked_vote_reads_every_set_once(spark, tmp_path, monkeypatch):
+    from dialframe.plans import ensemble as plan
+    votes = {"a": [1, 2, 3], "b": [3, 2, 2], "c": [3, 1, 1]}
+    for name, labels in votes.items():
+        Path(tmp_path, f"{name}.json").write_text(json.dumps([{"id": f"q{i}", "output": f"inference_{x}"}
+                                                              for i, x in enumerate(labels)]))
+    sub = spark.createDataFrame([(f"q{i}", "") for i in range(3)], "id string, output string")
+    seen, real = [], plan.materialize
+    monkeypatch.setattr(plan, "materialize", lambda d, n: seen.append(d) or real(d, n))
+    out = ensemble(spark, sub, base_dir=str(tmp_path), names=["a", "b", "c"])
+    assert {r["id"]: r["output"] for r in out.collect()} == {"q0": "inference_3", "q1": "inference_2", "q2": "inference_3"}
+    assert len(seen) == 1 and seen[0]._jdf.queryExecution().executedPlan().toString().count("FileScan json") == 3
+    assert "FileScan json" not in out._jdf.queryExecution().executedPlan().toString()
+    Path(tmp_path, "d.json").write_text(json.dumps([{"id": f"q{i}", "output": "inference_1"} for i in (0, 0, 1, 7)]))
+    with pytest.raises(ValueError, match="d: 1 missing, 1 extra, 1 duplicated ids"):
+        ensemble(spark, sub, base_dir=str(tmp_path), names=["a", "d"])

@@ -62,3 +62,41 @@ def test_histogram_ignores_negative_values(spark):
     df = spark.createDataFrame([("g", -5), ("g", 3), ("g", 1), ("g", None)], "g string, v long")
     # 1 and 3 remain: bins [0,1), [1,2), [2,3] with the top bin closed
     assert [r["n"] for r in histogram(df, "v", 1, "g").orderBy("bin").collect()] == [0, 1, 1]
+
+
+def test_percentages_print_half_way_values_to_the_even_digit(spark):
+    values = [0.125, 0.375, 2.675, 100.0, 0.0, 12.345, 1 / 3, 33.335, 0.005]
+    df = spark.createDataFrame([(v,) for v in values], "p double")
+    assert [r[0] for r in df.select(percent_text("p")).collect()] == ["%.2f%%" % v for v in values]
+
+
+def test_a_far_outlier_makes_rows_not_one_array(spark):
+    from dialframe.operators import stats
+    df = spark.createDataFrame([("a", 3), ("a", 10**9), ("b", 100), ("b", 7), ("b", 50), ("c", 0)], "g string, v long")
+    out = histogram(df, "v", 50, "g")
+    per = {r["g"]: (r["n_bins"], r["n"], r["top"]) for r in out.groupBy("g").agg(
+        F.count("*").alias("n_bins"), F.sum("n").alias("n"), F.max("bin").alias("top")).collect()}
+    assert per == {"a": (20_000_000, 2, 19_999_999), "b": (2, 3, 1), "c": (1, 1, 0)}
+    got = sorted((r["g"], r["bin"], r["n"]) for r in out.where("n > 0 or g <> 'a'").collect())
+    assert got == [("a", 0, 1), ("a", 19_999_999, 1), ("b", 0, 1), ("b", 1, 2), ("c", 0, 1)]
+    assert stats.GAP_BINS == 4096
+
+
+def test_histograms_equal_numpy(spark, monkeypatch):
+    import random
+    import numpy as np
+    from dialframe.operators import stats
+    monkeypatch.setattr(stats, "GAP_BINS", 3)
+    r, rows = random.Random(4), []
+    for g in range(60):
+        rows += [(g, r.choice([0, 1, 5, 10, 19, 20, 40, 41, 200, r.randint(0, 300)])) for _ in range(r.randint(1, 6))]
+    df = spark.createDataFrame(rows, "g int, v long")
+    for step in (1, 10, 20):
+        got = {}
+        for x in histogram(df, "v", step, "g").collect():
+            got.setdefault(x["g"], {})[x["bin"]] = x["n"]
+        for g in range(60):
+            v = [y for k, y in rows if k == g]
+            bins = max(1, -(-max(v) // step))
+            want = np.histogram(v, [step * i for i in range(bins + 1)])[0].tolist()
+            assert [got[g][i] for i in sorted(got[g])] == want, (g, step, v)
