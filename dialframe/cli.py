@@ -4,12 +4,16 @@
     python -m dialframe refine  SRC OUT                 clean + merge every example in SRC
     python -m dialframe eda     SRC OUT                 statistics tables (CSV) per split
     python -m dialframe prompts SRC OUT --variant v1    prompts + encoded examples (Parquet)
-    python -m dialframe vote    --submission F --output OUT (--k-folds K | --predictions-dir D NAME ...)
+    python -m dialframe score   ENC OUT --scorer m:f    score encoded examples to a prediction set (or one per fold)
+    python -m dialframe pad     ENC OUT --batch-size N  padded batches of encoded examples (Parquet)
+    python -m dialframe vote    --submission F --output OUT (--k-folds K | --predictions-dir D (NAME ... | --recipe))
 
 SRC holds ``*.json`` files with one JSON array of examples each (split = file stem);
 ``--json-lines`` reads refined output (JSON Lines), so statistics of raw and refined data
 come from the same command.  Both are read in byte ranges.  ``--ingested`` reads the Parquet
 of ``ingest``, which several commands can share.
+ENC is the Parquet that ``prompts`` writes; ``--split`` and ``--variant`` choose its rows.  A scorer
+is named ``module:function``: the function builds it (with ``--k-folds`` it is given the fold).
 Every command runs on the session's master; outputs are directories written by Spark.
 """
 
@@ -110,7 +114,7 @@ def cmd_prompts(spark: SparkSession, a: argparse.Namespace) -> None:
         source = enc = materialize(enc, "encoded")
         enc = enc.join(train_folds(enc, a.k_folds), ["id", "split", "variant"], "left")
         by.append("fold")
-    enc.drop(*places).write.mode("overwrite").partitionBy(*by).parquet(a.out)
+    enc.write.mode("overwrite").partitionBy(*by).parquet(a.out)
     if source is not None:
         release_materialized(source)
     if counts is not None:
@@ -120,12 +124,53 @@ def cmd_prompts(spark: SparkSession, a: argparse.Namespace) -> None:
             print(f"  {v}: {found[f'n_dropped_{v}']} dropped, {found[f'n_kept_{v}']} kept")
 
 
+def _encoded(spark: SparkSession, a: argparse.Namespace) -> DataFrame:
+    """Rows of the encoded examples that the flags choose."""
+    enc = spark.read.parquet(a.src)
+    for name in ("split", "variant"):
+        value = getattr(a, name)
+        if value is not None:
+            enc = enc.where(F.col(name) == value)
+    return enc
+
+
+def _named(reference: str):
+    """The object that ``module:name`` names."""
+    import importlib
+    module, _, name = reference.partition(":")
+    if not name:
+        raise ValueError(f"--scorer takes module:function, got {reference!r}")
+    return getattr(importlib.import_module(module), name)
+
+
+def cmd_score(spark: SparkSession, a: argparse.Namespace) -> None:
+    from dialframe.operators.score import predict_from_scores, score_batches, source_only
+    from dialframe.plans.ensemble import SCORES, predict_folds
+    from dialframe.sources.jsonio import write_if_absent
+
+    rows, factory = source_only(_encoded(spark, a), ["id"]), _named(a.scorer)
+    if a.k_folds > 1:
+        predict_folds(rows, factory, a.out, a.k_folds, batch_rows=a.batch_rows)
+        return
+    scored = score_batches(rows, factory, ["id"], SCORES, batch_rows=a.batch_rows)
+    write_if_absent(predict_from_scores(scored, SCORES, ["id"]).select("id", "output"), a.out)
+
+
+def cmd_pad(spark: SparkSession, a: argparse.Namespace) -> None:
+    from dialframe.operators.encode import pad_batches
+
+    enc = _encoded(spark, a)
+    order = [c for c in ("split", "variant", "position", "id") if c in enc.columns]
+    pad_batches(enc, order, a.batch_size, a.pad_id, a.mask_by).write.mode("overwrite").parquet(a.out)
+
+
 def cmd_vote(spark: SparkSession, a: argparse.Namespace) -> None:
     from dialframe.plans.ensemble import ensemble
-    from dialframe.sources.jsonio import read_predictions
+    from dialframe.sources.jsonio import read_predictions, recipe_names
 
+    names = recipe_names() if a.recipe else a.names
     res = ensemble(spark, read_predictions(spark, a.submission), k_folds=a.k_folds, output=a.fold_output, base_dir=a.predictions_dir,
-                   names=a.names)
+                   names=names)
     res.write.mode("overwrite").json(a.output)
 
 
@@ -150,17 +195,32 @@ def build_parser() -> argparse.ArgumentParser:
     pr.add_argument("--system-text", action="append", default=[], metavar="VARIANT=TEXT")
     pr.add_argument("--particle-mode", choices=["reference", "append"], default="reference")
     pr.add_argument("--k-folds", type=int, default=1, help="fold the train rows (1-based, contiguous, file order, per variant)")
+    chosen = argparse.ArgumentParser(add_help=False)
+    chosen.add_argument("src")
+    chosen.add_argument("out")
+    chosen.add_argument("--split", default=None)
+    chosen.add_argument("--variant", default=None)
+    sc = sub.add_parser("score", parents=[chosen], help="score encoded examples to prediction sets")
+    sc.add_argument("--scorer", required=True, metavar="MODULE:FUNCTION")
+    sc.add_argument("--k-folds", type=int, default=1, help="a model per fold; finished folds are not scored again")
+    sc.add_argument("--batch-rows", type=int, default=256)
+    pa = sub.add_parser("pad", parents=[chosen], help="padded batches in file order")
+    pa.add_argument("--batch-size", type=int, required=True)
+    pa.add_argument("--pad-id", type=int, default=0)
+    pa.add_argument("--mask-by", choices=["value", "length"], default="value")
     v = sub.add_parser("vote", help="hard vote over fold predictions or an ordered list of prediction sets")
     v.add_argument("--submission", required=True)
     v.add_argument("--output", required=True)
     v.add_argument("--k-folds", type=int, default=1)
     v.add_argument("--fold-output", default=None, help="path whose _fold_<k>.json files are voted")
     v.add_argument("--predictions-dir", default=None)
+    v.add_argument("--recipe", action="store_true", help="vote the sets of the recipe, in its order")
     v.add_argument("names", nargs="*", help="prediction sets in vote order (earliest wins ties)")
     return p
 
 
-COMMANDS = {"ingest": cmd_ingest, "refine": cmd_refine, "eda": cmd_eda, "prompts": cmd_prompts, "vote": cmd_vote}
+COMMANDS = {"ingest": cmd_ingest, "refine": cmd_refine, "eda": cmd_eda, "prompts": cmd_prompts, "score": cmd_score,
+            "pad": cmd_pad, "vote": cmd_vote}
 
 
 def main(argv: Sequence[str] | None = None, spark: SparkSession | None = None) -> None:

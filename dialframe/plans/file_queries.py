@@ -5,7 +5,6 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from dialframe.functions import fixed
 from dialframe.operators import stats, vote
 from dialframe.operators.folds import fold_roles, kfold
 from dialframe.operators.turns import example_lengths, flatten_conversation, refine_examples
@@ -14,8 +13,8 @@ from dialframe.plans.prompt_queries import examples_nested
 from dialframe.plans.registry import register
 from dialframe.plans.vote_queries import N_MODELS, _VOTES_SQL, model_votes
 from dialframe.session import scratch_folder
-from dialframe.sources.jsonio import (ingest_examples, prediction_set_name, read_examples, read_ingested,
-                                      read_prediction_sets, write_examples_array, write_examples_json,
+from dialframe.sources.jsonio import (ingest_examples, read_examples, read_ingested,
+                                      read_prediction_sets, recipe_names, write_examples_array, write_examples_json,
                                       write_lengths_csv, write_prediction_sets)
 from dialframe.sources.tables import read_table
 
@@ -83,11 +82,7 @@ def length_files(spark: SparkSession, sf_dir: str) -> DataFrame:
             .withColumnRenamed("id", "conv_id"))
 
 
-def _recipe_names() -> list[str]:
-    return [prediction_set_name(v, m, method, lr, refined) for _, v, refined, m, method, lr in fixed.RECIPE]
-
-
-_NAMES_SQL = ", ".join(f"({i}, '{n}')" for i, n in enumerate(_recipe_names()))
+_NAMES_SQL = ", ".join(f"({i}, '{n}')" for i, n in enumerate(recipe_names()))
 
 
 @register("recipe_vote", "S6, S8, S10, U2, A13 (the recipe's prediction sets written in one pass, read in order, voted)",
@@ -97,7 +92,7 @@ per AS (SELECT vec_id, output, count(*) AS c, min(rank) AS r FROM votes GROUP BY
 w AS (SELECT *, row_number() OVER (PARTITION BY vec_id ORDER BY c DESC, r) AS pos FROM per)
 SELECT vec_id, output, c AS votes, model AS first_model FROM w JOIN names ON names.rank = w.r WHERE pos = 1""")
 def recipe_vote(spark: SparkSession, sf_dir: str) -> DataFrame:
-    base, names = scratch_folder(spark, "recipe-sets"), _recipe_names()
+    base, names = scratch_folder(spark, "recipe-sets"), recipe_names()
     assert len(names) == N_MODELS
     write_prediction_sets(model_votes(spark, sf_dir).withColumn("rank", F.col("rank") + 1), base, names, id_col="vec_id")
     sets = read_prediction_sets(spark, base, names)

@@ -220,6 +220,11 @@ def prediction_set_name(variant: str, model_id: str, method: str, lr: str, refin
     return f"{fixed.REFINED_PREFIX if refined else ''}{dataset}-{base}-{method}_{lr}"
 
 
+def recipe_names() -> list[str]:
+    """The prediction-set names of the ensemble recipe, in vote order."""
+    return [prediction_set_name(v, m, method, lr, refined) for _, v, refined, m, method, lr in fixed.RECIPE]
+
+
 def recipe_frame(spark: SparkSession) -> DataFrame:
     """The ensemble recipe as a small dimension table with the derived prediction-set names."""
     rows = [(r, v, ref, m, meth, lr, prediction_set_name(v, m, meth, lr, ref)) for r, v, ref, m, meth, lr in fixed.RECIPE]

@@ -378,3 +378,36 @@ def test_positions_of_examples(spark, src_dir):
     _write_array(odd, EXAMPLES)
     got = {(r["split"], r["id"]): r["position"] for r in read_examples(spark, odd).collect()}
     assert got == {("a +b%41", "t-train-000001"): 0, ("a +b%41", "t-train-000002"): 1}
+
+
+def test_cli_from_files_to_submission(spark, tmp_path):
+    """prompts -> score (one model, a model per fold) -> vote; prompts -> pad; the recipe's sets by name."""
+    from dialframe.cli import main
+    from dialframe.sources.jsonio import recipe_names
+    src, out = tmp_path / "src", str(tmp_path)
+    src.mkdir()
+    rows = [_example(0, [(1, "비" * (i + 1), "u")], ["u"], "") | {"id": f"n{9 - i}"} for i in range(7)]
+    _write_array(src / "test.json", rows)
+    _write_array(src / "train.json", rows[:2])
+    _write_array(tmp_path / "submission.json", [{"id": r["id"], "output": ""} for r in rows])
+    main(["prompts", str(src), out + "/enc", "--variant", "v1", "v2"], spark=spark)
+    enc = spark.read.parquet(out + "/enc").where("split = 'test' and variant = 'v2'")
+    size = {r["id"]: r["n_source"] for r in enc.collect()}
+    chosen = ["--split", "test", "--variant", "v2"]
+    main(["score", out + "/enc", out + "/one.json", "--scorer", "tests.scorers:by_length", *chosen], spark=spark)
+    got = {r["id"]: r["output"] for r in spark.read.json(out + "/one.json").collect()}
+    assert got == {i: f"inference_{n % 3 + 1}" for i, n in size.items()}
+    main(["score", out + "/enc", out + "/m.json", "--scorer", "tests.scorers:by_fold", "--k-folds", "3", *chosen], spark=spark)
+    main(["vote", "--submission", out + "/submission.json", "--output", out + "/final", "--k-folds", "3",
+          "--fold-output", out + "/m.json"], spark=spark)
+    got = {r["id"]: r["output"] for r in spark.read.json(out + "/final").collect()}
+    assert got == {i: f"inference_{(n + 1) % 3 + 1}" for i, n in size.items()}  # three labels: fold 1 wins
+    main(["pad", out + "/enc", out + "/padded", "--batch-size", "3", *chosen], spark=spark)
+    got = sorted((r["idx"], r["id"], r["batch"], len(r["input_ids"])) for r in spark.read.parquet(out + "/padded").collect())
+    assert [(i, d, b) for i, d, b, _ in got] == [(k, f"n{9 - k}", k // 3) for k in range(7)]
+    assert all(n == max(m for _, _, c, m in got if c == b) for _, _, b, n in got)
+    for name in recipe_names():
+        _write_array(tmp_path / f"{name}.json", [{"id": r["id"], "output": "inference_2"} for r in rows])
+    main(["vote", "--submission", out + "/submission.json", "--output", out + "/recipe", "--predictions-dir", out,
+          "--recipe"], spark=spark)
+    assert {r["output"] for r in spark.read.json(out + "/recipe").collect()} == {"inference_2"}
