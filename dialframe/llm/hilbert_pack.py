@@ -32,6 +32,8 @@ MAX_TOKENS = 2048
 END_ID = 1
 DIMS, BITS, BUCKETS = 4, 12, 256
 CACHE_CHUNKS = 400_000
+#: Missing chunks that the tokenizer is given in one text.
+LINES_AT_ONCE = 4096
 _LOADED: dict[str, "ChunkEncoder"] = {}
 
 
@@ -69,14 +71,19 @@ class ChunkEncoder:
                 for e in self._tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
     def _line_ids(self, lines: list[str]) -> list[bytes]:
-        """Ids of texts without white space but a first space, encoded as the lines of one text."""
-        if not lines:
-            return []
-        (whole,) = self._tokenizer.encode_batch_fast(["\n".join(lines)], add_special_tokens=False)
-        ids = np.array(whole.ids, self.dtype)
-        raw, size = ids.tobytes(), self.dtype.itemsize
-        cuts = (np.flatnonzero(ids == self._feed) * size).tolist()
-        return [raw[s:e] for s, e in zip([0, *(c + size for c in cuts)], [*cuts, len(raw)])]
+        """Ids of texts without white space but a first space, encoded as the lines of one text.
+
+        The tokenizer keeps some hundred bytes for each token of a text, so that text is short.
+        """
+        out: list[bytes] = []
+        for at in range(0, len(lines), LINES_AT_ONCE):
+            (whole,) = self._tokenizer.encode_batch_fast(["\n".join(lines[at:at + LINES_AT_ONCE])],
+                                                         add_special_tokens=False)
+            ids = np.array(whole.ids, self.dtype)
+            raw, size = ids.tobytes(), self.dtype.itemsize
+            cuts = (np.flatnonzero(ids == self._feed) * size).tolist()
+            out += [raw[s:e] for s, e in zip([0, *(c + size for c in cuts)], [*cuts, len(raw)])]
+        return out
 
     def _learn(self, chunks: set[str]) -> dict[str, bytes]:
         """The cache with all of ``chunks`` in it; of two generations, the older one is dropped when the newer fills."""
