@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from dialframe.functions import fixed
 from dialframe.functions.text import split_on_space, squeeze_jamo_runs
+from dialframe.session import materialize
 
 
 def _as_list(x: str | Sequence[str] | None) -> list[str]:
@@ -98,6 +99,12 @@ def percent_text(pct: Column | str) -> Column:
     return F.concat(F.call_function("format_number", value.cast("double"), F.lit("0.00")), F.lit("%"))
 
 
+# Tokens that a summary keeps in one task and group, and candidates up to which they are sent to every task.
+TRACKED_TOKENS = 10_000
+BROADCAST_TOKENS = 1_000_000
+# A frequent-items sketch with a map of m slots errs by at most 3.5 / m of what it has seen, m is at least
+# tracked / 0.75, and a token is named if its count exceeds twice that error.
+SUMMARY_ERROR = 2 * 3.5 * 0.75
 # Empty bins that one row stands for on the way.
 GAP_BINS = 1 << 12
 
@@ -174,10 +181,10 @@ def texts_with_groups(df: DataFrame, text: str = "text", group: str = "split", m
     return df.groupBy(text).agg(groups.alias(out))
 
 
-def token_counts(df: DataFrame, text: str = "text", group: str | Sequence[str] | None = None,
-                 distinct_first: bool = True, letters: Sequence[str] = fixed.SQUEEZED_JAMO,
-                 groups: str | None = None) -> DataFrame:
-    """Token frequencies: split on single spaces, squeeze jamo runs, drop tokens of length <= 1.
+def token_rows(df: DataFrame, text: str = "text", group: str | Sequence[str] | None = None,
+               distinct_first: bool = True, letters: Sequence[str] = fixed.SQUEEZED_JAMO,
+               groups: str | None = None) -> DataFrame:
+    """One row (``group``, ``token``) per token: split on single spaces, squeeze jamo runs, drop tokens of length <= 1.
 
     With ``distinct_first`` every distinct text of a group counts once (the
     word-cloud input is a set of texts).  ``groups`` names an array column of
@@ -203,9 +210,61 @@ def token_counts(df: DataFrame, text: str = "text", group: str | Sequence[str] |
     norm = F.when(has_jamo, squeeze_jamo_runs(tok, tuple(letters))).otherwise(tok)
     toks = toks.where(keep).select(*carried, norm.alias("token"))
     if groups is not None:
-        name = _as_list(group)[0] if g else "group"
-        toks, g = toks.select(F.explode(groups).alias(name), "token"), [name]
-    return toks.groupBy(*g, "token").agg(F.count(F.lit(1)).alias("n"))
+        name = g[0] if g else "group"
+        toks = toks.select(F.explode(groups).alias(name), "token")
+    return toks
+
+
+def token_counts(df: DataFrame, text: str = "text", group: str | Sequence[str] | None = None,
+                 distinct_first: bool = True, letters: Sequence[str] = fixed.SQUEEZED_JAMO,
+                 groups: str | None = None) -> DataFrame:
+    """Frequencies of the tokens of :func:`token_rows` per group."""
+    toks = token_rows(df, text, group, distinct_first, letters, groups)
+    return toks.groupBy(*toks.columns).agg(F.count(F.lit(1)).alias("n"))
+
+
+def frequent_tokens(df: DataFrame, k: int, text: str = "text", group: str | Sequence[str] | None = None,
+                    tracked: int = TRACKED_TOKENS) -> DataFrame:
+    """:func:`top_tokens` of the distinct texts without a table of the whole vocabulary; the same exact rows.
+
+    A mergeable summary per group (``approx_top_k``, at most ``tracked`` tokens in each task)
+    names candidates; their counts are then taken exactly.  A token that is no candidate occurs at most
+    ``SUMMARY_ERROR * tokens / tracked`` times, so a group whose k-th count is above
+    that bound is proven; the vocabulary of any other group (few texts, or a flat
+    distribution) is counted whole.  Shuffled are the distinct texts, a summary per task and
+    group, and the candidates' partial counts.  Three small jobs run here.
+    """
+    g = _as_list(group)
+    toks = token_rows(materialize(distinct_texts(df, text, g), "token-texts"), text, g, distinct_first=False)
+    summary = toks.groupBy(*g).agg(F.count(F.lit(1)).alias("_total"), F.call_function(
+        "approx_top_k", F.col("token"), F.lit(tracked), F.lit(tracked)).alias("_items"))
+    summary = materialize(summary, "token-summary")
+    items = summary.select(*g, F.inline("_items")).select(*g, F.col("item").alias("token"))
+
+    def only(rows: DataFrame, keys: DataFrame, columns: list[str], how: str = "left_semi") -> DataFrame:
+        named = keys.select(*[F.col(c).alias(f"_k_{c}") for c in columns])
+        return rows.join(named, [F.col(c).eqNullSafe(F.col(f"_k_{c}")) for c in columns], how)
+
+    if items.count() <= BROADCAST_TOKENS:  # a checked size; else the join's own choice
+        items = F.broadcast(items)
+    by = [*g, "token"]
+    counts = only(toks, items, by).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    top = materialize(top_tokens(counts, k, g or None), "token-top")
+    bound = F.col("_total") * SUMMARY_ERROR / tracked
+    if not g:  # one group: its total and its k rows
+        total, found = summary.first()["_total"], [r["n"] for r in top.select("n").collect()]
+        error = total * SUMMARY_ERROR / tracked
+        if error < 1 or len(found) == k and min(found) > error:
+            return top
+        return top_tokens(toks.groupBy("token").agg(F.count(F.lit(1)).alias("n")), k)
+    least = top.groupBy(*[F.col(c).alias(f"_l_{c}") for c in g]).agg(F.count(F.lit(1)).alias("_rows"), F.min("n").alias("_least"))
+    checked = summary.select(*g, "_total").join(least, [F.col(c).eqNullSafe(F.col(f"_l_{c}")) for c in g], "left")
+    proven = (bound < 1) | (F.col("_rows") == k) & (F.col("_least") > bound)
+    open_groups = materialize(checked.where(~F.coalesce(proven, F.lit(False))).select(*g), "token-open")
+    if not open_groups.limit(1).count():
+        return top
+    whole = only(toks, open_groups, g).groupBy(*by).agg(F.count(F.lit(1)).alias("n"))
+    return only(top, open_groups, g, "left_anti").unionByName(top_tokens(whole, k, g))
 
 
 def top_k(counts: DataFrame, k: int, order: Sequence[Column], group: str | Sequence[str] | None = None) -> DataFrame:

@@ -247,6 +247,12 @@ def document_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return stats.token_counts(read_table(spark, sf_dir, "documents", ["lang", "text"]), "text", "lang")
 
 
+@register("frequent_document_tokens", "A11, O1 over documents, by mergeable summaries and an exact recount",
+          oracle=_tokens_sql("WITH x AS (SELECT lang, text FROM documents)", "lang") + " " + _top_sql("lang"))
+def frequent_document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return stats.frequent_tokens(read_table(spark, sf_dir, "documents", ["lang", "text"]), fixed.TOP_TOKENS, "text", "lang")
+
+
 @register("top_document_tokens", "A11, O1 over documents", oracle=_tokens_sql(
     "WITH x AS (SELECT lang, text FROM documents)", "lang") + " " + _top_sql("lang"))
 def top_document_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -100,3 +100,31 @@ def test_histograms_equal_numpy(spark, monkeypatch):
             bins = max(1, -(-max(v) // step))
             want = np.histogram(v, [step * i for i in range(bins + 1)])[0].tolist()
             assert [got[g][i] for i in sorted(got[g])] == want, (g, step, v)
+
+
+def test_frequent_tokens_equal_the_whole_count(spark, monkeypatch):
+    """A long-tailed group is proven by the summary's bound; a flat one is counted whole."""
+    import random
+    from dialframe.operators import stats
+    r, rows = random.Random(2), []
+    for i in range(400):
+        rows.append(("zipf", " ".join(f"w{int(r.paretovariate(0.6))}" for _ in range(60))))
+        rows.append(("flat", " ".join(f"f{r.randint(0, 20000)}" for _ in range(60))))
+    rows += [(None, "aa bb aa"), (None, None), ("one", "x yy"), ("zipf", rows[0][1])]
+    df = spark.createDataFrame(rows, "g string, text string").repartition(4)
+    names, real = [], stats.materialize
+    monkeypatch.setattr(stats, "materialize", lambda d, n: names.append((n, real(d, n))) or names[-1][1])
+    got = stats.frequent_tokens(df, 5, "text", "g", tracked=500)
+    want = top_tokens(token_counts(df, "text", "g"), 5, "g")
+    key = lambda d: sorted(((x["g"] or "", x["rank"], x["token"], x["n"]) for x in d.collect()))
+    assert key(got) == key(want)
+    made = dict(names)
+    assert [x["g"] for x in made["token-open"].collect()] == ["flat"]
+    # Shuffled for the proven group: its candidates, fewer than its vocabulary.
+    held = made["token-summary"].where("g = 'zipf'").select(F.size("_items")).first()[0]
+    assert held <= 500 < token_counts(df.where("g = 'zipf'"), "text", "g").count()
+    for tracked in (500, 40):
+        got = stats.frequent_tokens(df.where("g = 'zipf'"), 5, "text", tracked=tracked).collect()
+        assert [(x["token"], x["n"], x["rank"]) for x in sorted(got, key=lambda x: x["rank"])] == [
+            (t, n, k) for _, k, t, n in key(want) if _ == "zipf"]
+    assert stats.frequent_tokens(df.where("g = 'none'"), 5, "text", "g").count() == 0
