@@ -32,6 +32,8 @@ from dialframe.llm.common import map_batches, pick, slices
 
 DIMS = 1 << 16
 MAX_TRAIN_ROWS = 3_000
+#: Text whose n-grams a task holds at a time: some 200 bytes of arrays for each of its characters.
+SLICE_BYTES = 500_000
 #: Rows are kept from this calibrated probability on; below one half, so that doubtful short texts stay.
 THRESHOLD = 0.3
 WORD = re.compile("[^\x20\x09-\x0D]+")
@@ -165,7 +167,7 @@ def _platt(margin: np.ndarray, y: np.ndarray) -> tuple[float, float]:
 
 def _train_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Labelled texts as sparse rows: the n-gram ids and counts as packed bytes."""
-    for b in slices(batches, "text"):
+    for b in slices(batches, "text", SLICE_BYTES):
         texts = [t or "" for t in b.column("text").to_pylist()]
         row, gram = ngram_ids(texts)
         ids, cnt = [], []
@@ -225,7 +227,7 @@ def score(docs: DataFrame, model: QualityModel | None, threshold: float = THRESH
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = shared.value
-        for b in slices(batches, "text"):
+        for b in slices(batches, "text", SLICE_BYTES):
             texts = b.column("text").to_pylist()
             base = list(zip(*[base_counts(t) for t in texts])) or [()] * 5
             words, repeated = np.array(base[0], np.int64), np.array(base[4], np.int64)
