@@ -204,7 +204,7 @@ def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> Data
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = ChunkEncoder.load(tokenizer_path)
         end = np.array([end_id], encoder.dtype).tobytes()
-        for b in slices(batches, "text", 3_000_000):
+        for b in slices(batches, "text", 2_000_000):
             packed = [x + end for x in encoder.encode([t or "" for t in b.column("text").to_pylist()])]
             ids = [np.frombuffer(x, encoder.dtype) for x in packed]
             stored = packed if encoder.dtype.itemsize == 2 else [b"\0" + x for x in packed]
