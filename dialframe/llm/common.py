@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import uuid
 from collections.abc import Iterator
 
@@ -51,6 +53,15 @@ def slices(batches: Iterator[pa.RecordBatch], text: str, most: int = 2_000_000)
             yield batch.slice(start)
 
 
+def give_back_memory() -> None:
+    """Return to the system what earlier tasks of this worker have freed."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc only
+    if trim is not None:
+        trim(0)
+
+
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name under ``spark.checkpoint.dir``, which driver and executors share."""
     return f"{ensure_checkpoint_dir(spark).rstrip('/')}/dialframe-{name}-{uuid.uuid4().hex}"

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialframe.llm.common import map_batches, materialize, partitions_for, pick, slices
+from dialframe.llm.common import give_back_memory, map_batches, materialize, partitions_for, pick, slices
 
 MAX_TOKENS = 2048
 END_ID = 1
@@ -202,6 +202,7 @@ def document_cells(ids: list[np.ndarray]) -> np.ndarray:
 def tokenize(docs: DataFrame, tokenizer_path: str, end_id: int = END_ID) -> DataFrame:
     """doc_id, key, n_tokens and packed ids (end id included) of every (doc_id, text) row."""
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        give_back_memory()
         encoder = ChunkEncoder.load(tokenizer_path)
         end = np.array([end_id], encoder.dtype).tobytes()
         for b in slices(batches, "text", 2_000_000):
