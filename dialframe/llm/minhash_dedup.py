@@ -7,18 +7,22 @@ an element are correlated, which lowers the variance of the estimate; and since
 rank j + 1 cannot win where rank j or less has, a document stops at the first
 rank by which all its places are filled, after a few ranks for long texts.
 
-Bands of the signature give candidate buckets.  Documents with equal sets are
-one node.  In each bucket all nodes are held against one that a hash picks (a
-star, not all pairs, with another centre in each band); components are formed;
-then nodes that share a bucket but not a component are held against each other,
-so every candidate pair is decided or already joined.  Links are confirmed on
-full sets.  Components grow by large-star / small-star rounds.
-
-A candidate pair must also pass a bound on the signature itself, kept as two
-bits a place: more mismatches than six standard deviations above those of a pair
-at the threshold rule it out before it costs a row.  With 24 bands of 5 a pair
-at the threshold of 0.85 is missed with probability (1 - 0.85^5)^24 by the
-bands and about 1e-9 by the bound, below 1e-6 together.
+Bands of the signature give candidate buckets.  Each distinct set is one node, so
+exact copies cost one row each, and an id with several texts has a node for each,
+linked with one another.  For a few rounds each node is held against one centre of
+its buckets (the node that a hash of the round puts first among those of another
+component), so a round verifies and links at most one pair per node, and copies
+that share all their buckets share one centre; components are formed after each
+round.  Then nodes that share a bucket but not a component are held against each
+other, each pair in the first band that it shares, so every candidate pair is
+decided or already joined.  Links are confirmed on full sets.  Components grow by
+large-star / small-star rounds.
+
+A candidate pair must also pass a bound on the signature itself, kept as two bits
+a place: as many mismatches as a pair at the threshold reaches with probability
+below 1e-6 rule it out before it costs a row.  With 24 bands of 5 a pair at the
+threshold of 0.85 is missed with probability (1 - 0.85^5)^24 by the bands, below
+2e-6 with the bound.
 
 Defined results: a text without words has an empty set and links with nothing;
 fewer than five words make one shingle; rows with the same id are one document;
@@ -29,11 +33,12 @@ an empty table gives no row; extra columns are ignored.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from math import comb
 
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from dialframe.llm.common import map_batches, materialize, partitions_for, pick, slices
@@ -44,6 +49,10 @@ BANDS, ROWS = 24, 5
 THRESHOLD_PERCENT = 85
 #: Members of one star that a task verifies; larger stars go to several.
 STAR_ROWS = 512
+#: Rounds of one centre per node before the remaining pairs.
+STAR_ROUNDS = 3
+#: Probability that the sketch bound rules out a pair at the threshold.
+MISSED = 1e-6
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 _U = np.uint64
 
@@ -112,9 +121,14 @@ def two_bits(best: np.ndarray) -> np.ndarray:
 
 
 def most_mismatches(percent: int, places: int = BANDS * ROWS) -> int:
-    """Mismatching places of the sketch that a pair at the threshold stays below (six standard deviations)."""
+    """Mismatching places of the sketch that a pair at the threshold passes with probability below :data:`MISSED`."""
     p = 0.75 * (1 - percent / 100)
-    return int(np.ceil(places * p + 6 * (places * p * (1 - p)) ** 0.5))
+    tail = 1.0
+    for k in range(places + 1):
+        tail -= comb(places, k) * p ** k * (1 - p) ** (places - k)
+        if tail < MISSED:
+            return k
+    return places
 
 
 def _mismatches(x: str, y: str, longs: int = -(-BANDS * ROWS // 32)) -> str:
@@ -124,7 +138,7 @@ def _mismatches(x: str, y: str, longs: int = -(-BANDS * ROWS // 32)) -> str:
     return "(" + " + ".join(parts) + ")"
 
 
-_SKETCH = "doc_id long, n_shingles long, set_key string, bands array<long>, bits array<long>"
+_SKETCH = "doc_id long, text_hash long, n_shingles long, set_key string, bands array<long>, bits array<long>"
 
 
 def _sketch(n_bands: int, band_rows: int):
@@ -140,9 +154,10 @@ def _sketch(n_bands: int, band_rows: int):
                 bands[i], bits[i] = keys[row], sketch[row]
             digest = [xxhash.xxh3_128_hexdigest(s.tobytes()) if len(s) else None for s in sets]
             yield pa.RecordBatch.from_arrays(
-                [b.column("doc_id"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digest, pa.string()),
-                 pa.array(bands, pa.list_(pa.int64())), pa.array(bits, pa.list_(pa.int64()))],
-                names=["doc_id", "n_shingles", "set_key", "bands", "bits"])
+                [b.column("doc_id"), b.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()),
+                 pa.array(digest, pa.string()), pa.array(bands, pa.list_(pa.int64())),
+                 pa.array(bits, pa.list_(pa.int64()))],
+                names=["doc_id", "text_hash", "n_shingles", "set_key", "bands", "bits"])
     return run
 
 
@@ -152,8 +167,8 @@ def _verify(percent: int):
         star, centre = None, np.zeros(0, np.uint64)
         for b in slices(batches, "text"):
             left, right = [], []
-            for a, salt, member, doc, text in zip(*(b.column(c).to_pylist() for c in
-                                                    ("a", "salt", "member", "doc_id", "text"))):
+            for a, salt, member, node, text in zip(*(b.column(c).to_pylist() for c in
+                                                     ("a", "salt", "member", "node", "text"))):
                 own = shingle_set(text)
                 if not member:
                     star, centre = (a, salt), own
@@ -161,7 +176,7 @@ def _verify(percent: int):
                     both = len(np.intersect1d(centre, own, assume_unique=True))
                     if 100 * both >= percent * (len(centre) + len(own) - both):
                         left.append(a)
-                        right.append(doc)
+                        right.append(node)
                 else:
                     raise ValueError(f"star {a} has no centre")
             yield pa.RecordBatch.from_arrays([pa.array(left, pa.int64()), pa.array(right, pa.int64())],
@@ -170,7 +185,7 @@ def _verify(percent: int):
 
 
 def verify(pairs: DataFrame, texts: DataFrame, percent: int = THRESHOLD_PERCENT) -> DataFrame:
-    """The pairs (a, b) whose full sets are as similar as asked; ``texts`` has one (doc_id, text) row per node.
+    """The pairs (a, b) whose full sets are as similar as asked; ``texts`` has one (node, text) row per node.
 
     A star around ``a`` is dealt to one task per :data:`STAR_ROWS` members, and a
     task holds two sets at a time.
@@ -178,85 +193,121 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int = THRESHOLD_PERCENT)
     sizes = pairs.groupBy("a").agg(F.ceil(F.count("*") / STAR_ROWS).cast("int").alias("salts"))
     members = pairs.join(sizes, "a").select(
         "a", F.pmod(F.xxhash64("b"), F.col("salts")).cast("int").alias("salt"), F.lit(1).alias("member"),
-        F.col("b").alias("doc_id"))
+        F.col("b").alias("node"))
     centres = sizes.select("a", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("salt"),
-                           F.lit(0).alias("member"), F.col("a").alias("doc_id"))
-    rows = members.unionByName(centres).join(texts, "doc_id")
-    dealt = (rows.select("a", "salt", "member", "doc_id", "text")
+                           F.lit(0).alias("member"), F.col("a").alias("node"))
+    rows = members.unionByName(centres).join(texts, "node")
+    dealt = (rows.select("a", "salt", "member", "node", "text")
              .repartition(partitions_for(rows.sparkSession), "a", "salt")
              .sortWithinPartitions("a", "salt", "member"))
     return map_batches(dealt, _verify(percent), "a long, b long")
 
 
+def _lift(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+    """Components (node, component) after further links between nodes; those of ``labels`` are nodes of the new ones."""
+    if labels is None:
+        return connected_components(links)
+    lifted = materialize(
+        links.join(labels.withColumnsRenamed({"node": "a", "component": "la"}), "a", "left")
+        .join(labels.withColumnsRenamed({"node": "b", "component": "lb"}), "b", "left")
+        .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")), "minhash-lifted")
+    higher = connected_components(lifted).select(F.col("node").alias("component"), F.col("component").alias("top"))
+    first = labels.unionByName(lifted.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+                               .join(labels, "node", "left_anti").withColumn("component", F.col("node")))
+    return materialize(first.join(higher, "component", "left").select(
+        "node", F.coalesce("top", "component").alias("component")), "minhash-labels")
+
+
+def _mixed(crowded: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """The bucket rows with the labels of their nodes, of buckets whose nodes have several."""
+    if labels is None:
+        return crowded.withColumn("label", F.col("node"))
+    held = (crowded.drop("label").join(labels, "node", "left")
+            .withColumn("label", F.coalesce("component", "node")).drop("component"))
+    several = (held.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi"))
+               .where("lo != hi").select("band", "key"))
+    return materialize(held.join(several, ["band", "key"], "left_semi"), "minhash-mixed")
+
+
+def _one_centre_each(held: DataFrame, fits: Column, turn: int) -> DataFrame:
+    """(a, b): for each node b the first centre, by a hash of the round, that it could be linked with.
+
+    The centre of a bucket is its first node by that hash.
+    """
+    place = F.xxhash64("node", F.lit(turn))
+    centres = held.groupBy("band", "key").agg(
+        F.min_by(F.struct("node", "n", "bits", "label"), F.struct(place, "node")).alias("centre"))
+    pairs = held.join(centres, ["band", "key"]).where("label != centre.label").select(
+        F.col("centre.node").alias("a"), F.col("node").alias("b"), "n", "bits",
+        F.col("centre.n").alias("n_other"), F.col("centre.bits").alias("bits_other")).where(fits)
+    return pairs.groupBy("b").agg(F.min_by("a", F.struct(F.xxhash64("a", F.lit(turn)), "a")).alias("a"))
+
+
 def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, doc_id: str = "doc_id",
                     text: str = "text", n_bands: int = BANDS, band_rows: int = ROWS) -> DataFrame:
     """Per row: doc_id, n_shingles, component_id (smallest id reachable), kept (doc_id = component_id).
 
     A pair at a similarity of s is missed by the bands with probability (1 - s^band_rows)^n_bands.
     """
-    rows = pick(docs, doc_id=doc_id, text=text)
+    # The hash tells the texts of one id apart.
+    rows = pick(docs, doc_id=doc_id, text=text).withColumn("text_hash", F.xxhash64("text"))
     sketch = materialize(map_batches(rows, _sketch(n_bands, band_rows), _SKETCH), "minhash-sketch")
     known = sketch.where("doc_id is not null and set_key is not null")
-    # One node per distinct set: exact copies cost one row each from here on.
-    nodes = known.groupBy("set_key").agg(F.min("doc_id").alias("node"), F.first("n_shingles").alias("n"),
-                                         F.first("bands").alias("bands"), F.first("bits").alias("bits"))
+    # One node per distinct set, numbered once: the numbers are those of the written table.
+    nodes = materialize(
+        known.groupBy("set_key").agg(F.min(F.struct("doc_id", "text_hash")).alias("owner"),
+                                     F.first("n_shingles").alias("n"), F.first("bands").alias("bands"),
+                                     F.first("bits").alias("bits"))
+        .select(F.monotonically_increasing_id().alias("node"), "set_key", "owner.*", "n", "bands", "bits"),
+        "minhash-nodes")
     buckets = nodes.select("node", "n", "bits", F.posexplode("bands").alias("band", "key"))
-    shared = buckets.groupBy("band", "key").agg(F.count("*").alias("size"), F.min_by(
-        F.struct("node", "n", "bits"), F.struct(F.xxhash64("node", "band"), "node")).alias("centre"))
-    crowded = materialize(buckets.join(shared.where("size > 1"), ["band", "key"])
-                          .select("band", "key", "node", "n", "bits", "centre"), "minhash-buckets")
+    shared = buckets.groupBy("band", "key").agg(F.count("*").alias("size")).where("size > 1")
+    crowded = materialize(buckets.join(shared.select("band", "key"), ["band", "key"], "left_semi"), "minhash-buckets")
     # What a pair needs by its set sizes and sketches alone, before its sets are compared.
     places = n_bands * band_rows
     fits = F.expr(f"100 * least(n, n_other) >= {percent} * greatest(n, n_other) AND "
                   f"{_mismatches('bits', 'bits_other', -(-places // 32))} <= {most_mismatches(percent, places)}")
-    texts = materialize(rows.join(crowded.select(F.col("node").alias("doc_id")).distinct(), "doc_id", "left_semi")
-                        .dropDuplicates(["doc_id"]), "minhash-texts")
+    owners = nodes.join(crowded.select("node").distinct(), "node", "left_semi").select("node", "doc_id", "text_hash")
+    texts = materialize(rows.join(owners, ["doc_id", "text_hash"]).select("node", "text").dropDuplicates(["node"]),
+                        "minhash-texts")
 
-    # Round 1: each node against the centres of its buckets.
-    star = crowded.where("node != centre.node").select(
-        F.col("centre.node").alias("a"), F.col("node").alias("b"), "n", "bits",
-        F.col("centre.n").alias("n_other"), F.col("centre.bits").alias("bits_other"))
-    star = star.where(fits).select("a", "b").distinct()
-    links = materialize(verify(star, texts, percent), "minhash-links")
     # The same id under several sets is one document.
-    same = known.join(nodes.select("set_key", "node"), "set_key").where("doc_id != node").select(
-        F.col("node").alias("a"), F.col("doc_id").alias("b"))
-    twice = same.join(nodes.select(F.col("node").alias("b")).distinct(), "b").select("a", "b").distinct()
-    links = links.unionByName(twice)
-    labels = connected_components(links)
-
-    # Round 2: nodes of one bucket that are still in different components.
-    label = F.coalesce("component", "node").alias("label")
-    held = crowded.join(labels, "node", "left").select("band", "key", "node", "n", "bits", label)
-    mixed = (held.groupBy("band", "key", "label").agg(F.count("*").alias("size"))
-             .groupBy("band", "key").agg(F.max_by("label", F.struct("size", "label")).alias("most"),
-                                         F.count("*").alias("labels")).where("labels > 1"))
-    held = materialize(held.join(mixed.drop("labels"), ["band", "key"]), "minhash-mixed")
+    several = (known.groupBy("doc_id").agg(F.min("set_key").alias("lo"), F.max("set_key").alias("hi"))
+               .where("lo != hi").select("doc_id", "lo"))
+    named = nodes.select("set_key", "node")
+    links = (known.select("doc_id", "set_key").join(several, "doc_id").where("set_key != lo").select("lo", "set_key")
+             .distinct().join(named.withColumnsRenamed({"set_key": "lo", "node": "a"}), "lo")
+             .join(named.withColumnRenamed("node", "b"), "set_key").select("a", "b"))
+
+    # A few rounds: each node against one centre of its buckets.
+    labels, held = None, crowded
+    for turn in range(STAR_ROUNDS):
+        held = _mixed(held, labels)
+        found = verify(_one_centre_each(held, fits, turn), texts, percent)
+        labels = _lift(labels, materialize(found if turn else found.unionByName(links), "minhash-links"))
+
+    # Then nodes of one bucket that are still in different components.
+    held = _mixed(held, labels)
+    most = (held.groupBy("band", "key", "label").agg(F.count("*").alias("size"))
+            .groupBy("band", "key").agg(F.max_by("label", F.struct("size", "label")).alias("most")))
+    held = held.join(most, ["band", "key"]).join(nodes.select("node", "bands"), "node")
+    held = materialize(held, "minhash-open")
     others = held.where("label != most").select(
         "band", "key", F.col("node").alias("a"), F.col("n").alias("n_other"), F.col("bits").alias("bits_other"),
-        F.col("label").alias("label_a"))
+        F.col("label").alias("label_a"), F.col("bands").alias("bands_other"))
+    first_band = F.expr("NOT exists(slice(zip_with(bands, bands_other, (x, y) -> x = y), 1, band), z -> z)")
     cross = (others.join(held.withColumnRenamed("node", "b"), ["band", "key"])
              .where((F.col("label") != F.col("label_a")) & ((F.col("label") == F.col("most")) | (F.col("a") < F.col("b")))
-                    & fits)
+                    & fits & first_band)
              .select("a", "b").distinct())
-    more = materialize(verify(cross, texts, percent), "minhash-more")
-    if more.limit(1).count():
-        # Components of the first round are nodes of the second.
-        as_label = labels.select("node", "component")
-        lifted = (more.join(as_label.withColumnsRenamed({"node": "a", "component": "la"}), "a", "left")
-                  .join(as_label.withColumnsRenamed({"node": "b", "component": "lb"}), "b", "left")
-                  .select(F.coalesce("la", "a").alias("a"), F.coalesce("lb", "b").alias("b")))
-        higher = connected_components(lifted).select(F.col("node").alias("component"), F.col("component").alias("top"))
-        first = labels.unionByName(lifted.select(F.explode(F.array("a", "b")).alias("node"))
-                                   .distinct().join(labels, "node", "left_anti")
-                                   .withColumn("component", F.col("node")))
-        labels = first.join(higher, "component", "left").select(
-            "node", F.coalesce("top", "component").alias("component"))
-
-    named = (nodes.select("set_key", "node").join(labels, "node", "left")
-             .select("set_key", F.coalesce("component", "node").alias("component")))
-    # An id of several rows has the component of any of its sets; they are linked above.
+    labels = _lift(labels, materialize(verify(cross, texts, percent), "minhash-more"))
+
+    # A component is named by the smallest id of its nodes.
+    member = nodes.select("set_key", "doc_id", "node").join(labels, "node", "left").select(
+        "set_key", "doc_id", F.coalesce("component", "node").alias("component"))
+    least = member.groupBy("component").agg(F.min("doc_id").alias("least"))
+    named = member.select("set_key", "component").join(least, "component").select("set_key", "least")
     found = sketch.join(named, "set_key", "left").withColumn(
-        "component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id")))
+        "component_id", F.when(F.col("doc_id").isNotNull(), F.coalesce("least", "doc_id")))
     return found.select("doc_id", "n_shingles", "component_id",
                         F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)).alias("kept"))

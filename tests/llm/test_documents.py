@@ -159,6 +159,24 @@ def test_drifting_chain_needs_the_second_round(spark):
     assert rows_of(got, *got.columns) == brute_near(rows)
 
 
+def test_one_id_with_two_texts_links_both(spark):
+    """Each text of an id is verified; what either is near to belongs to the id's component."""
+    a, b = (" ".join(fixtures.words(k, 200, 3000)) for k in (81, 82))
+    rows = [(5, a), (5, b), (6, a + " more"), (7, b + " more"), (8, b + " more"), (9, b), (4, " ".join(fixtures.words(83, 90)))]
+    got = minhash_dedup.near_duplicates(fixtures.documents(spark, rows))
+    assert {(r.doc_id, r.component_id) for r in got.collect()} == {(4, 4), (5, 5), (6, 5), (7, 5), (8, 5), (9, 5)}
+    low = [(5, a), (5, b), (3, b + " more"), (6, a + " more")]
+    got = minhash_dedup.near_duplicates(fixtures.documents(spark, low))
+    assert {(r.doc_id, r.component_id, r.kept) for r in got.collect()} == {(5, 3, False), (3, 3, True), (6, 3, False)}
+
+
+def test_pairs_after_the_star_rounds_find_all_links(docs, monkeypatch):
+    """One round links little; the remaining pairs, each in its first shared band, give the rest."""
+    monkeypatch.setattr(minhash_dedup, "STAR_ROUNDS", 1)
+    got = minhash_dedup.near_duplicates(docs)
+    assert rows_of(got, *got.columns) == brute_near(fixtures.texts())
+
+
 def test_superminhash_is_the_sequential_algorithm():
     """Signatures with early stop equal those of the element-by-element definition."""
     places = 16
