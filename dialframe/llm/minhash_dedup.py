@@ -12,11 +12,11 @@ exact copies cost one row each, and an id with several texts has a node for each
 linked with one another.  For a few rounds each node is held against one centre of
 its buckets (the node that a hash of the round puts first among those of another
 component), so a round verifies and links at most one pair per node, and copies
-that share all their buckets share one centre; components are formed after each
-round.  Then nodes that share a bucket but not a component are held against each
-other, each pair in the first band that it shares, so every candidate pair is
-decided or already joined.  Links are confirmed on full sets.  Components grow by
-large-star / small-star rounds.
+that share all their buckets share one centre; components follow.  Then nodes that
+share a bucket but not a component are paired by a prefix filter on their sets, so
+every candidate pair is decided or already joined, and copies of one base that are
+all just below the threshold cost no pairs.  Links are confirmed on full sets.
+Components grow by large-star / small-star rounds.
 
 A candidate pair must also pass a bound on the signature itself, kept as two bits
 a place: as many mismatches as a pair at the threshold reaches with probability
@@ -50,7 +50,9 @@ THRESHOLD_PERCENT = 85
 #: Members of one star that a task verifies; larger stars go to several.
 STAR_ROWS = 512
 #: Rounds of one centre per node before the remaining pairs.
-STAR_ROUNDS = 3
+STAR_ROUNDS = 2
+#: Cells that shingles are counted in for the order of the prefix filter.
+ORDER_CELLS = 1 << 18
 #: Probability that the sketch bound rules out a pair at the threshold.
 MISSED = 1e-6
 _LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
@@ -203,10 +205,8 @@ def verify(pairs: DataFrame, texts: DataFrame, percent: int = THRESHOLD_PERCENT)
     return map_batches(dealt, _verify(percent), "a long, b long")
 
 
-def _lift(labels: DataFrame | None, links: DataFrame) -> DataFrame:
+def _lift(labels: DataFrame, links: DataFrame) -> DataFrame:
     """Components (node, component) after further links between nodes; those of ``labels`` are nodes of the new ones."""
-    if labels is None:
-        return connected_components(links)
     lifted = materialize(
         links.join(labels.withColumnsRenamed({"node": "a", "component": "la"}), "a", "left")
         .join(labels.withColumnsRenamed({"node": "b", "component": "lb"}), "b", "left")
@@ -214,8 +214,77 @@ def _lift(labels: DataFrame | None, links: DataFrame) -> DataFrame:
     higher = connected_components(lifted).select(F.col("node").alias("component"), F.col("component").alias("top"))
     first = labels.unionByName(lifted.select(F.explode(F.array("a", "b")).alias("node")).distinct()
                                .join(labels, "node", "left_anti").withColumn("component", F.col("node")))
-    return materialize(first.join(higher, "component", "left").select(
-        "node", F.coalesce("top", "component").alias("component")), "minhash-labels")
+    return first.join(higher, "component", "left").select("node", F.coalesce("top", "component").alias("component"))
+
+
+def _token_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Shingles of a task's texts, counted by the low bits of their hash."""
+    counts = np.zeros(ORDER_CELLS, np.int64)
+    for b in slices(batches, "text"):
+        found = [shingle_set(t) for t in b.column("text").to_pylist()]
+        cells = np.concatenate(found) & _U(ORDER_CELLS - 1) if found else np.zeros(0, np.uint64)
+        counts += np.bincount(cells.astype(np.int64), minlength=ORDER_CELLS)
+    cell = np.flatnonzero(counts)
+    yield pa.RecordBatch.from_arrays([pa.array(cell), pa.array(counts[cell])], names=["cell", "count"])
+
+
+def _prefixes(percent: int, counts: np.ndarray):
+    """The rarest shingles of each text that a similar set cannot all lack, with their places."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in slices(batches, "text"):
+            of, tokens, places, short = [], [], [], []
+            for i, text in enumerate(b.column("text").to_pylist()):
+                own = shingle_set(text)
+                n = len(own)
+                probe, index = n + (-percent * n // 100) + 1, n + (-2 * percent * n // (100 + percent)) + 1
+                own = own[np.lexsort((own, counts[(own & _U(ORDER_CELLS - 1)).astype(np.int64)]))][:probe]
+                of.append(np.full(len(own), i))
+                tokens.append(own.view(np.int64))
+                places.append(np.arange(1, len(own) + 1))
+                short.append(np.arange(len(own)) < index)
+            if of:
+                kept = b.select(["node", "n", "bits", "label", "small"]).take(pa.array(np.concatenate(of)))
+                yield pa.RecordBatch.from_arrays(
+                    [*kept.columns, *(pa.array(np.concatenate(c)) for c in (tokens, places, short))],
+                    names=["node", "n", "bits", "label", "small", "token", "place", "short"])
+    return run
+
+
+def _similar_pairs(held: DataFrame, texts: DataFrame, fits: Column, percent: int) -> DataFrame:
+    """(a, b): pairs of open nodes with unlike labels that may be linked, by a prefix filter on their sets.
+
+    Shingles are ordered by how often the cell of their hash occurs in the open
+    nodes (:data:`ORDER_CELLS` counts in all).  Of a similar pair the smaller set's short
+    prefix and the other's prefix share a shingle, whatever the order; the places
+    of the first shared one bound the overlap.  Copies that differ from a common
+    base, each in its own way, begin with what is their own and meet nowhere.
+    """
+    # A node of the most frequent label in all its buckets needs no pair with another such node.
+    most = (held.groupBy("band", "key", "label").agg(F.count("*").alias("size"))
+            .groupBy("band", "key").agg(F.max_by("label", F.struct("size", "label")).alias("most")))
+    open_ = (held.join(most, ["band", "key"]).groupBy("node")
+             .agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("label").alias("label"),
+                  F.max(F.col("label") != F.col("most")).alias("small")))
+    rows = materialize(open_.join(texts, "node"), "minhash-open")
+    cells = (map_batches(rows.select("text"), _token_counts, "cell long, count long")
+             .groupBy("cell").agg(F.sum("count").alias("count")).toArrow())
+    counts = np.zeros(ORDER_CELLS, np.int64)
+    counts[cells.column("cell").to_numpy()] = cells.column("count").to_numpy()
+    prefix = materialize(map_batches(
+        rows, _prefixes(percent, counts), "node long, n long, bits array<long>, label long, small boolean, token long, "
+        "place long, short boolean"), "minhash-prefixes")
+    index = prefix.where("short").select("token", F.col("node").alias("a"), F.col("n").alias("n_other"),
+                                         F.col("bits").alias("bits_other"), F.col("label").alias("label_a"),
+                                         F.col("place").alias("place_a"), F.col("small").alias("small_a"))
+    probe = prefix.withColumnRenamed("node", "b")
+    wanted = F.expr(f"label != label_a AND (n_other < n OR n_other = n AND a < b) AND "
+                    f"(1 + least(n - place, n_other - place_a)) * {100 + percent} >= {percent} * (n + n_other)")
+
+    def pairs(x: DataFrame, y: DataFrame) -> DataFrame:
+        return x.join(y, "token").where(wanted & fits).select("a", "b")
+
+    return pairs(index.where("small_a"), probe).unionByName(
+        pairs(index.where("not small_a"), probe.where("small"))).distinct()
 
 
 def _mixed(crowded: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -279,28 +348,19 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, doc_id: s
              .distinct().join(named.withColumnsRenamed({"set_key": "lo", "node": "a"}), "lo")
              .join(named.withColumnRenamed("node", "b"), "set_key").select("a", "b"))
 
-    # A few rounds: each node against one centre of its buckets.
+    # A few rounds: each node against one centre of its buckets.  Between them a node's label is its centre.
     labels, held = None, crowded
     for turn in range(STAR_ROUNDS):
         held = _mixed(held, labels)
-        found = verify(_one_centre_each(held, fits, turn), texts, percent)
-        labels = _lift(labels, materialize(found if turn else found.unionByName(links), "minhash-links"))
+        found = materialize(verify(_one_centre_each(held, fits, turn), texts, percent), "minhash-links")
+        links = links.unionByName(found)
+        labels = found.select(F.col("b").alias("node"), F.col("a").alias("component"))
+    labels = connected_components(links)
 
     # Then nodes of one bucket that are still in different components.
     held = _mixed(held, labels)
-    most = (held.groupBy("band", "key", "label").agg(F.count("*").alias("size"))
-            .groupBy("band", "key").agg(F.max_by("label", F.struct("size", "label")).alias("most")))
-    held = held.join(most, ["band", "key"]).join(nodes.select("node", "bands"), "node")
-    held = materialize(held, "minhash-open")
-    others = held.where("label != most").select(
-        "band", "key", F.col("node").alias("a"), F.col("n").alias("n_other"), F.col("bits").alias("bits_other"),
-        F.col("label").alias("label_a"), F.col("bands").alias("bands_other"))
-    first_band = F.expr("NOT exists(slice(zip_with(bands, bands_other, (x, y) -> x = y), 1, band), z -> z)")
-    cross = (others.join(held.withColumnRenamed("node", "b"), ["band", "key"])
-             .where((F.col("label") != F.col("label_a")) & ((F.col("label") == F.col("most")) | (F.col("a") < F.col("b")))
-                    & fits & first_band)
-             .select("a", "b").distinct())
-    labels = _lift(labels, materialize(verify(cross, texts, percent), "minhash-more"))
+    cross = _similar_pairs(held, texts, fits, percent)
+    labels = materialize(_lift(labels, verify(cross, texts, percent)), "minhash-labels")
 
     # A component is named by the smallest id of its nodes.
     member = nodes.select("set_key", "doc_id", "node").join(labels, "node", "left").select(
