@@ -29,7 +29,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialframe.llm.common import map_batches, materialize, partitions_for, pick, shared_folder, slices
+from dialframe.llm.common import map_batches, materialize, partitions_for, pick, slices
+from dialframe.session import scratch_folder
 
 FRAME_BYTES = 256 << 10
 BUNDLE_BYTES = 64 << 20
@@ -40,6 +41,12 @@ RECORDS = ("page_id long, url string, record_type string, payload_bytes long, pa
            "refers_to long, payload binary")
 
 
+def file_system(folder: str) -> tuple[pafs.FileSystem, str]:
+    """(file system, path) of a folder's URI; Hadoop's names of S3 (``s3a``, ``s3n``) are S3."""
+    scheme, mark, rest = folder.partition("://")
+    return pafs.FileSystem.from_uri(f"s3://{rest}" if mark and scheme in ("s3a", "s3n") else folder)
+
+
 def sha1_base32(payload: bytes) -> str:
     return base64.b32encode(hashlib.sha1(payload).digest()).decode()
 
@@ -166,10 +173,11 @@ def write_bundles(pages: DataFrame, folder: str, min_bytes: int = 0) -> DataFram
                           ranked["payload_digest"] == plan["payload_digest"]], "left")
     dealt = (joined.select(ranked["page_id"], "url", "html", ranked["payload_digest"], "refers_to")
              .sortWithinPartitions("page_id", "url", "payload_digest"))
-    pafs.FileSystem.from_uri(folder)[0].create_dir(pafs.FileSystem.from_uri(folder)[1], recursive=True)
+    fs, path = file_system(folder)
+    fs.create_dir(path, recursive=True)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fs, path = pafs.FileSystem.from_uri(folder)
+        fs, path = file_system(folder)
         task = TaskContext.get()
         part, attempt, writer, k = task.partitionId(), task.taskAttemptId(), None, 0
         for b in slices(batches, "html"):
@@ -210,7 +218,7 @@ def read_seek_table(stream, size: int) -> list[tuple[int, int]]:
 def read_record(folder: str, entry) -> dict:
     """One record by its index row, decompressing its frame only."""
     import zstandard
-    fs, path = pafs.FileSystem.from_uri(folder)
+    fs, path = file_system(folder)
     with fs.open_input_file(f"{path}/{entry['bundle']}") as f:
         f.seek(entry["frame_offset"])
         frame = zstandard.ZstdDecompressor().decompress(f.read(entry["frame_bytes"]))
@@ -218,14 +226,17 @@ def read_record(folder: str, entry) -> dict:
 
 
 def read_bundles(index: DataFrame, folder: str) -> DataFrame:
-    """Every record of the bundles that ``index`` names, read frame by frame through the seek table."""
+    """Every record of the bundles that ``index`` names, read frame by frame through the seek table.
+
+    Bundles are dealt to tasks one by one, by count and not by the bytes of their names.
+    """
     names = [x.strip().split(" ")[0] for x in RECORDS.split(",")]
     kinds = {"long": pa.int64(), "string": pa.string(), "binary": pa.binary()}
     types = [kinds[x.strip().split(" ")[1]] for x in RECORDS.split(",")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import zstandard
-        fs, path = pafs.FileSystem.from_uri(folder)
+        fs, path = file_system(folder)
         unpack = zstandard.ZstdDecompressor()
         for b in batches:
             for name in b.column("bundle").to_pylist():
@@ -244,10 +255,10 @@ def read_bundles(index: DataFrame, folder: str) -> DataFrame:
                         yield pa.RecordBatch.from_arrays(
                             [pa.array([r[n] for r in rows], t) for n, t in zip(names, types)], names=names)
 
-    bundles = index.select("bundle").distinct().repartition(partitions_for(index.sparkSession), "bundle")
+    bundles = index.select("bundle").distinct().repartition(partitions_for(index.sparkSession))
     return map_batches(bundles, run, RECORDS)
 
 
 def archive_folder(spark) -> str:
-    """A new folder for archives under the shared checkpoint folder."""
-    return shared_folder(spark, "warc")
+    """A new folder for archives under the shared checkpoint folder, deleted when the application ends."""
+    return scratch_folder(spark, "warc")

@@ -195,3 +195,16 @@ def test_archive_query_matches_oracle(spark):
     res = compare(spark, duck(SF_CHECK), "op9_warc_bundles", SF_CHECK)
     assert res.get("match"), res
     assert "type_mismatch" not in res, res
+
+
+def test_bundles_are_read_by_many_tasks(spark):
+    """Every bundle goes to a task of its own while there are tasks enough."""
+    from pyspark.sql import functions as F
+    rows = [(i, f"http://h.com/{i}", f"<p>page {i}</p>") for i in range(64)]
+    folder = warc_bundles.archive_folder(spark)
+    index = warc_bundles.write_bundles(pages(spark, rows).repartition(6), folder)
+    bundles = index.select("bundle").distinct().count()
+    found = warc_bundles.read_bundles(index, folder)
+    tasks = found.select(F.spark_partition_id().alias("task")).distinct().count()
+    assert bundles > 1 and tasks >= min(bundles, int(spark.conf.get("spark.sql.shuffle.partitions")))
+    assert found.count() == 64
