@@ -13,9 +13,11 @@ linked with one another.  For a few rounds each node is held against one centre
 its buckets (the node that a hash of the round puts first among those of another
 component), so a round verifies and links at most one pair per node, and copies
 that share all their buckets share one centre; components follow.  Then nodes that
-share a bucket but not a component are paired by a prefix filter on their sets, so
-every candidate pair is decided or already joined, and copies of one base that are
-all just below the threshold cost no pairs.  Links are confirmed on full sets.
+share a bucket but not a component meet by the rarest shingles of their sets (a
+prefix filter): in further rounds with central nodes of a shingle, more of them each
+time, and what is still in different components pair by pair, so every candidate
+pair is decided or already joined, and copies of one base that are all just below
+the threshold cost no pairs.  Links are confirmed on full sets.
 Components grow by large-star / small-star rounds.
 
 A candidate pair must also pass a bound on the signature itself, kept as two bits
@@ -38,7 +40,7 @@ from math import comb
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from dialframe.llm.common import map_batches, materialize, partitions_for, pick, slices
@@ -51,6 +53,9 @@ THRESHOLD_PERCENT = 85
 STAR_ROWS = 512
 #: Rounds of one centre per node before the remaining pairs.
 STAR_ROUNDS = 2
+#: Rounds of centres per node, by the shingles of its prefix: centres of a shingle, and those that a
+#: node is held against.  Fewer nodes are left each time, and those need more.
+TOKEN_ROUNDS = ((1, 4), (8, 16), (64, 64))
 #: Cells that shingles are counted in for the order of the prefix filter.
 ORDER_CELLS = 1 << 18
 #: Probability that the sketch bound rules out a pair at the threshold.
@@ -243,48 +248,94 @@ def _prefixes(percent: int, counts: np.ndarray):
                 places.append(np.arange(1, len(own) + 1))
                 short.append(np.arange(len(own)) < index)
             if of:
-                kept = b.select(["node", "n", "bits", "label", "small"]).take(pa.array(np.concatenate(of)))
+                kept = b.select(["node", "n", "bits"]).take(pa.array(np.concatenate(of)))
                 yield pa.RecordBatch.from_arrays(
                     [*kept.columns, *(pa.array(np.concatenate(c)) for c in (tokens, places, short))],
-                    names=["node", "n", "bits", "label", "small", "token", "place", "short"])
+                    names=["node", "n", "bits", "token", "place", "short"])
     return run
 
 
-def _similar_pairs(held: DataFrame, texts: DataFrame, fits: Column, percent: int) -> DataFrame:
-    """(a, b): pairs of open nodes with unlike labels that may be linked, by a prefix filter on their sets.
+def _prefix_rows(held: DataFrame, texts: DataFrame, percent: int) -> DataFrame:
+    """A row per open node and shingle of its prefix.
 
     Shingles are ordered by how often the cell of their hash occurs in the open
-    nodes (:data:`ORDER_CELLS` counts in all).  Of a similar pair the smaller set's short
-    prefix and the other's prefix share a shingle, whatever the order; the places
-    of the first shared one bound the overlap.  Copies that differ from a common
+    nodes (:data:`ORDER_CELLS` counts in all).  Copies that differ from a common
     base, each in its own way, begin with what is their own and meet nowhere.
     """
-    # A node of the most frequent label in all its buckets needs no pair with another such node.
-    most = (held.groupBy("band", "key", "label").agg(F.count("*").alias("size"))
-            .groupBy("band", "key").agg(F.max_by("label", F.struct("size", "label")).alias("most")))
-    open_ = (held.join(most, ["band", "key"]).groupBy("node")
-             .agg(F.first("n").alias("n"), F.first("bits").alias("bits"), F.first("label").alias("label"),
-                  F.max(F.col("label") != F.col("most")).alias("small")))
-    rows = materialize(open_.join(texts, "node"), "minhash-open")
+    rows = materialize(held.select("node", "n", "bits").dropDuplicates(["node"]).join(texts, "node"), "minhash-open")
     cells = (map_batches(rows.select("text"), _token_counts, "cell long, count long")
              .groupBy("cell").agg(F.sum("count").alias("count")).toArrow())
     counts = np.zeros(ORDER_CELLS, np.int64)
     counts[cells.column("cell").to_numpy()] = cells.column("count").to_numpy()
-    prefix = materialize(map_batches(
-        rows, _prefixes(percent, counts), "node long, n long, bits array<long>, label long, small boolean, token long, "
-        "place long, short boolean"), "minhash-prefixes")
-    index = prefix.where("short").select("token", F.col("node").alias("a"), F.col("n").alias("n_other"),
-                                         F.col("bits").alias("bits_other"), F.col("label").alias("label_a"),
-                                         F.col("place").alias("place_a"), F.col("small").alias("small_a"))
-    probe = prefix.withColumnRenamed("node", "b")
-    wanted = F.expr(f"label != label_a AND (n_other < n OR n_other = n AND a < b) AND "
-                    f"(1 + least(n - place, n_other - place_a)) * {100 + percent} >= {percent} * (n + n_other)")
+    return materialize(map_batches(
+        rows, _prefixes(percent, counts), "node long, n long, bits array<long>, token long, place long, short boolean"),
+        "minhash-prefixes")
+
+
+def _mixed_tokens(prefix: DataFrame, labels: DataFrame) -> DataFrame:
+    """The prefix rows of shingles whose nodes have several labels; ``minor`` where another label is more frequent."""
+    held = (prefix.drop("label", "minor").join(labels, "node", "left")
+            .withColumn("label", F.coalesce("component", "node")).drop("component"))
+    several = (held.groupBy("token", "label").agg(F.count("*").alias("size")).groupBy("token")
+               .agg(F.max_by("label", F.struct("size", "label")).alias("most"), F.count("*").alias("labels"))
+               .where("labels > 1").select("token", "most"))
+    return materialize(held.join(several, "token").withColumn("minor", F.col("label") != F.col("most")).drop("most"),
+                       "minhash-mixed-tokens")
+
+
+def _nearest_centres(held: DataFrame, fits: Column, mismatches: Column, percent: int, turn: int,
+                     slots: int, most: int) -> DataFrame:
+    """(a, b): for each node b up to ``most`` centres of its shingles, by the mismatches of their sketches.
+
+    A hash deals the nodes of a shingle into ``slots``.  The centre of a slot is its
+    node nearest to a pivot, which a hash of the round picks: of copies that differ
+    from a common base, each in its own way, that is one near the base, and so near to most others.
+    """
+    order = F.xxhash64("node", F.lit(turn))
+    pivots = held.groupBy("token").agg(
+        F.min_by(F.struct("node", "bits"), F.struct(order, "node")).alias("pivot"))
+    far = (held.join(pivots, "token").where("node != pivot.node").withColumn("bits_other", F.col("pivot.bits"))
+           .withColumn("apart", mismatches).drop("pivot", "bits_other"))
+    slot = F.pmod(F.xxhash64("node", F.lit(turn), F.lit("slot")), F.lit(slots)).alias("slot")
+    centres = far.groupBy("token", slot).agg(
+        F.min_by(F.struct("node", "n", "bits", "label", "place"), F.struct("apart", order, "node")).alias("centre"))
+    pairs = held.join(centres, "token").where("label != centre.label").select(
+        F.col("centre.node").alias("a"), F.col("node").alias("b"), "n", "bits", "place", F.col("centre.n").alias("n_other"),
+        F.col("centre.bits").alias("bits_other"), F.col("centre.place").alias("place_a"))
+    near = (pairs.where(F.expr(_room(percent)) & fits).withColumn("apart", mismatches)
+            .groupBy("b", "a").agg(F.min("apart").alias("apart")))
+    first = Window.partitionBy("b").orderBy("apart", F.xxhash64("a", F.lit(turn)), "a")
+    return near.withColumn("nth", F.row_number().over(first)).where(f"nth <= {most}").select("a", "b")
+
+
+def _room(percent: int) -> str:
+    """SQL: the places of a pair's first shared shingle leave room for the overlap that a link needs."""
+    return (f"(1 + least(n - place, n_other - place_a)) * {100 + percent} >= {percent} * (n + n_other)")
+
+
+def _similar_pairs(held: DataFrame, fits: Column, percent: int) -> DataFrame:
+    """(a, b): pairs of open nodes with unlike labels that may be linked, by a prefix filter on their sets.
+
+    Of a similar pair the smaller set's short prefix and the other's prefix share
+    a shingle, whatever the order; the places of the last shared one and how many
+    are shared up to it bound the overlap.
+    """
+    index = held.where("short").select("token", F.col("node").alias("a"), F.col("n").alias("n_other"),
+                                       F.col("bits").alias("bits_other"), F.col("label").alias("label_a"),
+                                       F.col("place").alias("place_a"), F.col("minor").alias("minor_a"))
+    probe = held.withColumnRenamed("node", "b")
+    # Later shared shingles have less room: those that the bound of the first leaves out are its remainder.
+    wanted = F.expr(f"label != label_a AND (n_other < n OR n_other = n AND a < b) AND {_room(percent)}")
 
     def pairs(x: DataFrame, y: DataFrame) -> DataFrame:
-        return x.join(y, "token").where(wanted & fits).select("a", "b")
+        return x.join(y, "token").where(wanted & fits).select("a", "b", "n", "n_other", "place", "place_a")
 
-    return pairs(index.where("small_a"), probe).unionByName(
-        pairs(index.where("not small_a"), probe.where("small"))).distinct()
+    # Nodes of a shingle's most frequent label need no pair with one another.
+    return (pairs(index.where("minor_a"), probe).unionByName(pairs(index.where("not minor_a"), probe.where("minor")))
+            .groupBy("a", "b").agg(F.count("*").alias("shared"), F.first("n").alias("n"), F.first("n_other").alias("n_other"),
+                                   F.max("place").alias("place"), F.max("place_a").alias("place_a"))
+            .where(f"(shared + least(n - place, n_other - place_a)) * {100 + percent} >= {percent} * (n + n_other)")
+            .select("a", "b"))
 
 
 def _mixed(crowded: DataFrame, labels: DataFrame | None) -> DataFrame:
@@ -357,9 +408,18 @@ def near_duplicates(docs: DataFrame, percent: int = THRESHOLD_PERCENT, doc_id: s
         labels = found.select(F.col("b").alias("node"), F.col("a").alias("component"))
     labels = connected_components(links)
 
-    # Then nodes of one bucket that are still in different components.
-    held = _mixed(held, labels)
-    cross = _similar_pairs(held, texts, fits, percent)
+    # Then nodes of one bucket that are still in different components, by the shingles of their prefixes:
+    # rounds of a few centres per node as long as they link, and the pairs that are left.
+    held = _prefix_rows(_mixed(held, labels), texts, percent)
+    apart = F.expr(_mismatches("bits", "bits_other", -(-places // 32)))
+    for turn, (slots, most) in enumerate(TOKEN_ROUNDS):
+        held = _mixed_tokens(held, labels)
+        centres = _nearest_centres(held, fits, apart, percent, turn, slots, most)
+        found = materialize(verify(centres, texts, percent), "minhash-links")
+        if found.isEmpty():
+            break
+        labels = materialize(_lift(labels, found), "minhash-labels")
+    cross = materialize(_similar_pairs(_mixed_tokens(held, labels), fits, percent), "minhash-pairs")
     labels = materialize(_lift(labels, verify(cross, texts, percent)), "minhash-labels")
 
     # A component is named by the smallest id of its nodes.

@@ -177,6 +177,32 @@ def test_pairs_after_the_star_rounds_find_all_links(docs, monkeypatch):
     assert rows_of(got, *got.columns) == brute_near(fixtures.texts())
 
 
+def test_a_large_group_of_near_copies_is_not_linked_by_all_its_pairs(spark, monkeypatch):
+    """Copies of one base, few of them near to all others: rounds of central nodes leave few pairs."""
+    base, rows = fixtures.words(21, 200, 5000), []
+    for k in range(150):
+        words = list(base)
+        for j in range(1 if k % 8 == 0 else 2):
+            words[(k * 37 + j * 83) % 190 + 5] = f"k{k}j{j}"
+        rows.append((k, " ".join(words)))
+    verified, verify = [], minhash_dedup.verify
+
+    def counted(pairs, *args):
+        verified.append(pairs.count())
+        return verify(pairs, *args)
+
+    monkeypatch.setattr(minhash_dedup, "verify", counted)
+    got = minhash_dedup.near_duplicates(fixtures.documents(spark, rows))
+    assert rows_of(got, *got.columns) == brute_near(rows)
+    assert verified[-1] <= len(rows), verified  # the pairs after the rounds
+
+
+def test_without_rounds_the_pairs_find_all_links(docs, monkeypatch):
+    monkeypatch.setattr(minhash_dedup, "TOKEN_ROUNDS", ())
+    got = minhash_dedup.near_duplicates(docs)
+    assert rows_of(got, *got.columns) == brute_near(fixtures.texts())
+
+
 def test_superminhash_is_the_sequential_algorithm():
     """Signatures with early stop equal those of the element-by-element definition."""
     places = 16
