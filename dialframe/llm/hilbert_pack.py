@@ -85,32 +85,30 @@ class ChunkEncoder:
             out += [raw[s:e] for s, e in zip([0, *(c + size for c in cuts)], [*cuts, len(raw)])]
         return out
 
-    def _learn(self, chunks: set[str]) -> dict[str, bytes]:
-        """The cache with all of ``chunks`` in it; of two generations, the older one is dropped when the newer fills."""
-        if len(self._young) > CACHE_CHUNKS:
-            self._young, self._old = {}, self._young
+    def _learn(self, chunks: list[str]) -> dict[str, bytes]:
+        """The cache with all of ``chunks`` in it, none of which it holds yet."""
         young, old = self._young, self._old
-        parts, needed = [], set()
-        for c in chunks.difference(young):
+        parts: list[tuple[str, str, str]] = []
+        missing: dict[str, None] = {}
+        for c in chunks:
             known = old.get(c)
             if known is not None:
                 young[c] = known
                 continue
-            word = c.rstrip(_TAIL)
-            if word and len(word) < len(c) and word[-1].isalnum():
-                tail = "\0" + c[len(word):]
-                parts.append((c, word, tail))
-                needed.add(word)
-                needed.add(tail)
-            else:
-                needed.add(c)
-        missing = []
-        for c in needed.difference(young):
-            known = old.get(c)
-            if known is None:
-                missing.append(c)
-            else:
-                young[c] = known
+            if c[-1] in _TAIL:
+                word = c.rstrip(_TAIL)
+                if word and word[-1].isalnum():
+                    tail = "\0" + c[len(word):]
+                    parts.append((c, word, tail))
+                    for w in (word, tail):
+                        if w not in young:
+                            known = old.get(w)
+                            if known is None:
+                                missing[w] = None
+                            else:
+                                young[w] = known
+                    continue
+            missing[c] = None
         # A chunk is a word after a space, a line feed and a word, or (marked) what follows neither.
         plain = [c[1:] if c[0] in "\0\n" else " " + c for c in missing]
         for c, ids in zip(missing, self._line_ids(plain)):
@@ -119,6 +117,17 @@ class ChunkEncoder:
             young[c] = young[word] + young[tail]
         return young
 
+    def _ids_of(self, names: list[str]) -> list[bytes]:
+        """Ids of distinct chunks.  Of the cache's two generations, the older one is dropped when the newer fills."""
+        if len(self._young) > CACHE_CHUNKS:
+            self._young, self._old = {}, self._young
+        known = list(map(self._young.get, names))
+        absent = [i for i, ids in enumerate(known) if ids is None]
+        young = self._learn([names[i] for i in absent])
+        for i in absent:
+            known[i] = young[names[i]]
+        return known
+
     def encode(self, texts: list[str]) -> list[bytes]:
         """Packed ids of every text; the chunks of all texts are looked up once each."""
         out = [b""] * len(texts)
@@ -132,7 +141,7 @@ class ChunkEncoder:
         chunks = pc.split_pattern(pa.array(["\0" + texts[i].replace("\n", " \n") for i in plain], pa.large_string()), " ")
         coded = pc.dictionary_encode(chunks.values)
         names, codes = coded.dictionary.to_numpy(zero_copy_only=False).tolist(), coded.indices.to_numpy()
-        known = list(map(self._learn(set(names)).__getitem__, names))
+        known = self._ids_of(names)
         ids = np.frombuffer(b"".join(known), self.dtype)
         sizes = np.fromiter(map(len, known), np.int64, len(known)) // self.dtype.itemsize
         # The ids of every chunk in a row: its place in `ids` and those after it.

@@ -341,6 +341,17 @@ def test_chunk_encoder_equals_the_tokenizer(monkeypatch):
                                      for e in plain.encode_batch(group, add_special_tokens=False)]
 
 
+def test_only_unknown_chunks_are_learned(monkeypatch):
+    """Of a slice's distinct chunks those in the cache are looked up once and go no further."""
+    own, learned = hilbert_pack.ChunkEncoder(tokenizer_path()), []
+    learn = own._learn
+    monkeypatch.setattr(own, "_learn", lambda chunks: (learned.append(sorted(chunks)), learn(chunks))[1])
+    first = own.encode(["one two, three.\nfour"])
+    assert own.encode(["one two, three.\nfour"]) == first
+    own.encode(["one five, three.\nfour"])
+    assert learned[1:] == [[], ["five,"]]
+
+
 def test_hilbert_curve_steps_by_one_cell():
     import itertools
     cells = np.array(list(itertools.product(range(8), repeat=3)))
