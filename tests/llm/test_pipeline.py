@@ -126,3 +126,22 @@ def test_near_dedup_links_pairs_from_080(spark):
 def test_near_dedup_of_the_corpus_is_the_brute_force_at_080(steps):
     want = {row[0] for row in brute_near(texts(steps["quality"]), 80) if row[3]}
     assert {d for d, _ in texts(steps["near_dedup"])} == want
+
+
+def test_a_task_gives_back_memory_after_its_last_batch(monkeypatch):
+    """Workers wait between tasks; what a task has freed must not stay with them."""
+    from dialframe.llm import common
+    seen = []
+
+    class Frame:
+        sparkSession = None
+
+        def mapInArrow(self, fn, schema):
+            return fn(iter([1, 2]))
+
+    monkeypatch.setattr(common, "ship_package", lambda spark: None)
+    monkeypatch.setattr(common, "give_back_memory", lambda: seen.append("back"))
+    seen += [0]
+    for x in common.map_batches(Frame(), lambda batches: (x + 1 for x in batches), "x long"):
+        seen.append(x)
+    assert seen == [0, 2, 3, "back"]
