@@ -7,8 +7,9 @@ fit (Platt) on margins that two cross-fitted models give to rows they have not
 seen.  Documents are scored in Arrow batches against a fixed threshold.
 
 Training uses at most ``max_train_rows`` labelled rows, the first by hash of the
-id; that bound is what lets the driver hold them.  Counting and scoring cover
-every document and its whole text.
+id.  The two cross-fitted models and the final one are three groups of Spark, each
+with these rows on its task's disk; the driver gets weights and margins only.
+Counting and scoring cover every document and its whole text.
 
 Defined results: a null text has no words and fails the base; repeated rows are
 judged one by one; without labelled rows of both classes there is no model and
@@ -19,6 +20,7 @@ an id the smallest counts; extra columns are ignored.
 from __future__ import annotations
 
 import re
+import tempfile
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -28,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from dialframe.llm.common import map_batches, pick, slices
+from dialframe.llm.common import give_back_memory, map_batches, pick, slices
 
 DIMS = 1 << 16
 MAX_TRAIN_ROWS = 3_000
@@ -130,15 +132,49 @@ def _sigmoid(x):
     return 1 / (1 + np.exp(-np.clip(x, -60, 60)))
 
 
-def _fit_weights(rows: list[tuple[np.ndarray, np.ndarray]], y: np.ndarray) -> tuple[np.ndarray, float]:
-    """AdaGrad over sparse rows (ids, relative counts), classes weighted alike."""
+class _SparseRows:
+    """A group's sparse rows (ids, relative counts) by doc_id: numbers in memory, n-grams in two files of the task."""
+
+    def __init__(self, batches: Iterator[pa.RecordBatch], ids_file, counts_file):
+        doc_id, label, sizes, fit = [], [], [], []
+        for b in batches:
+            for packed, file in (("ids", ids_file), ("counts", counts_file)):
+                for x in b.column(packed):
+                    file.write(x.as_buffer())
+            doc_id += b.column("doc_id").to_pylist()
+            label += b.column("label").to_pylist()
+            sizes += pa.compute.binary_length(b.column("ids")).to_pylist()
+            fit = b.column("fit").to_pylist()[:1] or fit
+        self.fit = fit[0]
+        order = np.argsort(np.array(doc_id, dtype=np.int64))
+        ends = np.cumsum(np.array(sizes, dtype=np.int64) // 2)
+        self.ends, self.starts = ends[order], ends[order] - np.array(sizes, dtype=np.int64)[order] // 2
+        self.y = np.array(label, dtype=float)[order]
+        for file in (ids_file, counts_file):
+            file.flush()
+        empty = not ends[-1]  # no map of an empty file
+        self.ids = np.zeros(0, "<u2") if empty else np.memmap(ids_file, "<u2", mode="r")
+        self.counts = np.zeros(0, "<u4") if empty else np.memmap(counts_file, "<u4", mode="r")
+
+    def __len__(self) -> int:
+        return len(self.y)
+
+    def __getitem__(self, i: int) -> tuple[np.ndarray, np.ndarray]:
+        part = slice(self.starts[i], self.ends[i])
+        c = np.asarray(self.counts[part]).astype(float)
+        return np.asarray(self.ids[part]).astype(np.int64), c / max(c.sum(), 1)
+
+
+def _fit_weights(rows: _SparseRows, on: np.ndarray) -> tuple[np.ndarray, float]:
+    """AdaGrad over the sparse rows numbered ``on``, classes weighted alike."""
+    y = rows.y[on]
     w, g2 = np.zeros(DIMS), np.full(DIMS, 1e-8)
     bias, b2 = 0.0, 1e-8
     weight = np.where(y == 1, 0.5 / max(y.mean(), 1e-9), 0.5 / max(1 - y.mean(), 1e-9))
     order = np.random.default_rng(7)
     for _ in range(_EPOCHS):
-        for i in order.permutation(len(rows)):
-            ids, x = rows[i]
+        for i in order.permutation(len(on)):
+            ids, x = rows[on[i]]
             err = (_sigmoid(w[ids] @ x + bias) - y[i]) * weight[i]
             step = err * x
             g2[ids] += step * step
@@ -182,6 +218,26 @@ def _train_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
             names=["doc_id", "label", "ids", "counts"])
 
 
+def _fit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """A group's model: without one half of its rows (0 or 1), to which it gives margins, or on all (2)."""
+    with tempfile.TemporaryFile() as ids_file, tempfile.TemporaryFile() as counts_file:
+        rows = _SparseRows(batches, ids_file, counts_file)
+        half = np.arange(len(rows)) % 2
+        on = np.flatnonzero(half != rows.fit)
+        weights, bias, margins = None, None, None
+        if len(rows) >= 4 and rows.y[on].min() != rows.y[on].max():
+            w, bias = _fit_weights(rows, on)
+            unseen = (rows[i] for i in np.flatnonzero(half == rows.fit))
+            margins = np.array([w[ids] @ x + bias for ids, x in unseen], dtype=float).tobytes()
+            weights = w.astype(np.float32).tobytes()
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([rows.fit], pa.int32()), pa.array([rows.y.tobytes()], pa.binary()),
+             pa.array([weights], pa.binary()), pa.array([bias], pa.float64()), pa.array([margins], pa.binary())],
+            names=["fit", "labels", "weights", "bias", "margins"])
+        del rows
+    give_back_memory()
+
+
 def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_ROWS) -> QualityModel | None:
     """Fit on at most ``max_train_rows`` labelled documents (doc_id, text) x (doc_id, quality)."""
     first = (pick(labels, doc_id="doc_id", label="quality").where("label in (0, 1) and doc_id is not null")
@@ -191,27 +247,19 @@ def train(docs: DataFrame, labels: DataFrame, max_train_rows: int = MAX_TRAIN_RO
             .join(F.broadcast(first), "doc_id"))  # at most max_train_rows pairs of numbers
     # An id may name several rows: one of them, whichever text is smallest, so that the bound holds.
     rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    got = map_batches(rows, _train_batches, "doc_id long, label int, ids binary, counts binary").collect()
-    got.sort(key=lambda r: r.doc_id)
-    y = np.array([r.label for r in got], dtype=float)
-    if len(got) < 4 or y.min() == y.max():
+    sparse = map_batches(rows, _train_batches, "doc_id long, label int, ids binary, counts binary")
+    each = sparse.withColumn("fit", F.explode(F.array(*[F.lit(k) for k in range(3)])))
+    fits = each.groupBy("fit").applyInArrow(
+        _fit, "fit int, labels binary, weights binary, bias double, margins binary").collect()
+    if not fits or any(r.weights is None for r in fits):
         return None
-    sparse = []
-    for r in got:
-        c = np.frombuffer(r.counts, "<u4").astype(float)
-        sparse.append((np.frombuffer(r.ids, "<u2").astype(np.int64), c / max(c.sum(), 1)))
-    fold = np.arange(len(got)) % 2
-    margin = np.zeros(len(got))
-    for k in (0, 1):
-        train_on = np.flatnonzero(fold != k)
-        if y[train_on].min() == y[train_on].max():
-            return None
-        w, b = _fit_weights([sparse[i] for i in train_on], y[train_on])
-        for i in np.flatnonzero(fold == k):
-            margin[i] = w[sparse[i][0]] @ sparse[i][1] + b
+    *crossed, last = sorted(fits, key=lambda r: r.fit)
+    y = np.frombuffer(last.labels)
+    margin = np.zeros(len(y))
+    for r in crossed:
+        margin[r.fit::2] = np.frombuffer(r.margins)
     slope, shift = _platt(margin, y)
-    w, b = _fit_weights(sparse, y)
-    return QualityModel(w.astype(np.float32), float(b), slope, shift)
+    return QualityModel(np.frombuffer(last.weights, np.float32), last.bias, slope, shift)
 
 
 def score(docs: DataFrame, model: QualityModel | None, threshold: float = THRESHOLD,

@@ -405,6 +405,43 @@ def test_quality_is_calibrated_on_held_out_rows(spark):
     assert np.mean((p - held.quality) ** 2) < 0.03
 
 
+def plain_fits(labelled):
+    """Weights of the final model and of the two halves, fitted in one process on (text, label) by doc_id."""
+    class Rows(list):
+        y = np.array([y for _, y in labelled], dtype=float)
+
+    rows = Rows()
+    for text, _ in labelled:
+        ids, n = np.unique(quality_lr.ngram_ids([text or ""])[1], return_counts=True)
+        rows.append((ids, n / max(n.sum(), 1)))
+    half = np.arange(len(rows)) % 2
+    fits = [quality_lr._fit_weights(rows, np.flatnonzero(half != k)) for k in range(3)]
+    margin = [fits[k][0][rows[i][0]] @ rows[i][1] + fits[k][1] for i, k in enumerate(half)]
+    return fits[2], quality_lr._platt(np.array(margin), rows.y)
+
+
+def test_quality_training_rows_stay_off_the_driver(spark, monkeypatch):
+    rows = fixtures.texts() + fixtures.junk()
+    docs, labels = fixtures.documents(spark, rows), fixtures.labels(spark)
+    sent, collect = [], type(docs).collect
+    monkeypatch.setattr(type(docs), "collect", lambda df: sent.append(collect(df)) or sent[-1])
+    model = quality_lr.train(docs, labels)
+    monkeypatch.undo()
+    assert sum(map(len, sent)) == 3  # models, not the 60 labelled rows
+    texts = {i: t for i, t in rows if i is not None}
+    known = {r.doc_id: r.quality for r in labels.collect() if r.quality is not None and r.doc_id in texts}
+    (weights, bias), (slope, shift) = plain_fits([(texts[i], known[i]) for i in sorted(known)])
+    assert np.allclose(model.weights, weights, rtol=1e-5, atol=1e-7)
+    assert np.allclose([model.bias, model.slope, model.shift], [bias, slope, shift])
+
+
+def test_quality_trains_on_texts_without_ngrams(spark):
+    docs = fixtures.documents(spark, [(i, None if i % 3 else "") for i in range(8)])
+    model = quality_lr.train(docs, fixtures.labels(spark, [(i, i // 2 % 2) for i in range(8)]))
+    assert model is not None and not model.weights.any()
+    assert quality_lr.score(docs, model).where("base_failed and not kept").count() == 8
+
+
 # ---- op10: secrets
 
 def test_base_spans_and_redaction():
